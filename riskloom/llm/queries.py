@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from riskloom.llm.langid import op9_language_id
 from riskloom.llm.simhash import op1_simhash_near_dedup
+from riskloom.llm.suffixes import op10_suffix_array_dedup
 from riskloom.llm.tokens import op2_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 #: No operator here has an SQL form that is exact on whole tables in reasonable time; tests compare with brute force.

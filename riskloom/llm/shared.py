@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -97,3 +98,9 @@ def components(links: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         links = links.join(to_u, "u").join(to_v, "v").where("a <> b")
         links = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     return known if known is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop shuffle files of finished jobs: Spark does so when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
