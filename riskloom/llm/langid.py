@@ -26,9 +26,9 @@ class LanguageModel:
     prior: np.ndarray
 
 
-def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts in one array, and where each text begins (the end last)."""
-    lowered = [x.decode().lower() for x in texts]
+def code_points(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The (lower-cased) code points of all texts in one array, and where each text begins (the end last)."""
+    lowered = [x.decode().lower() if lower else x.decode() for x in texts]
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(x) for x in lowered], out=starts[1:])
     return np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
@@ -48,7 +48,7 @@ def grams(points: np.ndarray, starts: np.ndarray, orders=ORDERS, buckets: int =
             for back in range(1, order):
                 at = starts[1:] - back
                 inside[at[at >= starts[:-1]]] = False
-            yield (mixed >> np.uint32(17 if buckets == 1 << 15 else 32 - buckets.bit_length() + 1)).astype(np.int32), inside
+            yield (mixed >> np.uint32(33 - buckets.bit_length())).astype(np.int32), inside
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from riskloom.llm.html import op6_html_extraction
 from riskloom.llm.langid import op9_language_id
+from riskloom.llm.quality import op8_quality_classifier
 from riskloom.llm.simhash import op1_simhash_near_dedup
 from riskloom.llm.suffixes import op10_suffix_array_dedup
+from riskloom.llm.topk import op7_exact_top_k
 from riskloom.llm.tokens import op2_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
