@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from riskloom.llm.html import op6_html_extraction
 from riskloom.llm.langid import op9_language_id
+from riskloom.llm.mixing import op3_lm_scoring
+from riskloom.llm.pieces import op4_sentencepiece
 from riskloom.llm.quality import op8_quality_classifier
 from riskloom.llm.simhash import op1_simhash_near_dedup
 from riskloom.llm.suffixes import op10_suffix_array_dedup
@@ -13,6 +15,8 @@ from riskloom.llm.tokens import op2_token_counts
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_html_extraction": op6_html_extraction,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality_classifier": op8_quality_classifier,
