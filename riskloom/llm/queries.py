@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm.html import op6_html_extraction
 from riskloom.llm.langid import op9_language_id
+from riskloom.llm.leaks import op5_benchmark_decontamination
 from riskloom.llm.mixing import op3_lm_scoring
 from riskloom.llm.pieces import op4_sentencepiece
 from riskloom.llm.quality import op8_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_extraction": op6_html_extraction,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality_classifier": op8_quality_classifier,

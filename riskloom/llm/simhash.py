@@ -35,15 +35,15 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42, block: int = 1 << 1
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``id, fp`` (a signed long holding the 64 bits) of every row; null and word-less texts get 0."""
+    """``id, fp, text_hash`` of every row: a signed long holding the 64 bits (0 for null and word-less texts), and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in sliced(batches, "text"):
             found = np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found), rows.column(2)], names=["id", "fp", "text_hash"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return rows.mapInArrow(run, "id long, fp long, text_hash long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -100,7 +100,7 @@ def _leaders(prints: DataFrame, distance: int, parts: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, parts: int = 3) -> DataFrame:
-    """Rows ``id, fp, component``: each row's SimHash and the smallest id that links of at most ``distance`` bits reach.
+    """Rows ``id, fp, text_hash, component``: each row's SimHash and the smallest id that links of at most ``distance`` bits reach.
 
     Exact copies of a fingerprint are one node from the start. Nodes are first joined to the leaders of
     their segment buckets (linear in the nodes), and the full search then returns only links between
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = prints.join(whole, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_print = saved(rooted.join(ids, "root").select("fp", "component"))
-    return marked.join(of_print, "fp").select("id", "fp", "component")
+    return marked.join(of_print, "fp").select("id", "fp", "text_hash", "component")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
