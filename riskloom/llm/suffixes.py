@@ -256,13 +256,13 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
     keyed = docs.select(text.alias("text")).where(F.octet_length("text") >= length).select(*(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")), "text")
 
     first = saved(_anchor_rows(keyed, length))
-    cores = first.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    cores = saved(first.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     alive = saved(first.join(cores, "core"))
     release(spark)
     spans = saved(alive.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("lead")))
     at, near, far = F.shiftright("place", 18), F.shiftright("place", 9).bitwiseAND(F.lit(511)), F.col("place").bitwiseAND(F.lit(511))
     equal = alive.join(spans.where("n > 1").select("core", "span"), ["core", "span"]).select("k1", "k2", (at - far).alias("start"), (at - near + length).alias("stop"))
-    kinds = spans.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = saved(spans.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     mixed = saved(spans.join(kinds, "core").select("core", "lead.*", "kinds"))
     release(spark)
 
