@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import cube, metrics, provider, selection, temporal
-from riskloom.sources import tables
+from riskloom.operators import cube, metrics, modelling, provider, search, selection, temporal
+from riskloom.sources import synthetic, tables
 from riskloom.sources.tables import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,3 +304,51 @@ def _iv(spark: SparkSession, sf_dir: str, features: list[str], numeric: list[str
 query("sel_iv_numeric", _SEL + " UNION ALL ".join(_iv_sql(f, _numeric_bin(f), False) for f in ("sparse", "price")))(lambda s, d: _iv(s, d, ["sparse", "price"], ["sparse", "price"]))
 query("sel_iv_categorical", _SEL + _iv_sql("status", "status", False))(lambda s, d: _iv(s, d, ["status"], []))
 query("iv_bin_details", _SEL + _iv_sql("sparse", _numeric_bin("sparse"), True) + " UNION ALL " + _iv_sql("status", "status", True))(lambda s, d: _iv(s, d, ["sparse", "status"], ["sparse"], True))
+
+
+# Folds, models and simulators.
+
+
+def _folded(spark: SparkSession, sf_dir: str, strategy: str, **options) -> DataFrame:
+    rows = view(spark, sf_dir, f"SELECT id, target, o_orderdate AS day FROM ({tables.SCORED.replace('SELECT ', 'SELECT o_orderdate, ', 1)})")
+    return modelling.with_folds(rows, "target", 4, strategy, **options)
+
+
+_ORDERED = f"SELECT id, target, row_number() OVER (ORDER BY o_orderdate, id) - 1 AS k, count(*) OVER () AS n FROM ({tables.SCORED.replace('SELECT ', 'SELECT o_orderdate, ', 1)})"
+query("folds_time_blocks", f"SELECT id, CAST(k * 4 // n AS INT) AS fold FROM ({_ORDERED})")(lambda s, d: _folded(s, d, "time_series", date_col="day", order_cols=["id"]).select("id", "fold"))
+query("folds_expanding", f"SELECT CAST(k * 4 // n AS INT) AS fold, count(*) AS rows_in, CAST(sum(target) AS BIGINT) AS events FROM ({_ORDERED}) GROUP BY 1")(lambda s, d: _folded(s, d, "expanding", date_col="day", order_cols=["id"]).groupBy("fold").agg(F.count("*").alias("rows_in"), F.sum("target").alias("events")))
+query("folds_stratified_counts", f"SELECT CAST((row_number() OVER (PARTITION BY target ORDER BY id) - 1) % 4 AS INT) AS fold, target, count(*) OVER (PARTITION BY target) AS n FROM ({tables.SCORED})".join(("SELECT fold, target, count(*) AS rows_in FROM (", ") GROUP BY fold, target")))(lambda s, d: _folded(s, d, "stratified").groupBy("fold", "target").agg(F.count("*").alias("rows_in")))
+query("folds_fold_col", f"SELECT id, CAST(id % 4 AS INT) AS fold FROM ({tables.SCORED})")(lambda s, d: modelling.with_folds(_scored(s, d).withColumn("part", F.col("id") % 4), "target", 4, fold_col="part").select("id", "fold"))
+
+
+def _rows(spark: SparkSession, table: list[dict], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r.values()) for r in table], schema)
+
+
+@query("train_logistic")
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a logistic regression for all rows."""
+    data = _selection(spark, sf_dir).select("target", *_NUMERIC)
+    return modelling.scored(modelling.fitted(data, "target", _NUMERIC, "logistic_regression", {"maxIter": 5}), data).select("target", F.round("score", 6).alias("score"))
+
+
+@query("cv_logistic")
+def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = modelling.cross_validate(_selection(spark, sf_dir), "target", _NUMERIC, "logistic_regression", {"maxIter": 5}, 2)
+    return _rows(spark, found.summary, "metric string, mean double, std double, min double, max double")
+
+
+@query("sel_l1")
+def _l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.l1_selection(_selection(spark, sf_dir), "target", _NUMERIC, reg_param=0.001, max_iter=10).feature_table
+    return _rows(spark, [{k: r[k] for k in ("feature", "coefficient", "selected")} for r in found], "feature string, coefficient double, selected boolean")
+
+
+@query("sel_importance")
+def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.feature_importance_selection(_selection(spark, sf_dir), "target", _NUMERIC, model_params={"numTrees": 5}, top_k=2).feature_table
+    return _rows(spark, [{k: r[k] for k in ("feature", "importance", "selected")} for r in found], "feature string, importance double, selected boolean")
+
+
+query("synth_credit")(lambda s, d: synthetic.simulate_credit_data(s, row_count=view(s, d, tables.SCORED).count(), anchor_date=date(2024, 1, 1))[0])
+query("synth_bureau")(lambda s, d: synthetic.simulate_bureau_history(view(s, d, tables.SPINE).select("id"), "id", "2022-01-31", "2023-12-31"))
