@@ -89,7 +89,7 @@ def _cube_sql(kind: str) -> str:
                 continue
             counts = _tiles_sql(keys, score) if kind == "metrics" else _scores_sql(keys, score)
             auc = "sum(dn * (2 * tpr - de) / 2)"
-            parts.append(f"SELECT {labels}, round(max(abs(tpr - fpr)), 4) AS \"KS\", round({auc}, 4) AS \"AUC\", round(2 * {auc} - 1, 4) AS \"Gini\", '{score}' AS score FROM ({_points_sql(counts, keys)}){f' GROUP BY {keys}' if keys else ''}")
+            parts.append(f"SELECT {labels}, round(max(abs(tpr - fpr)), 5) AS \"KS\", round({auc}, 5) AS \"AUC\", round(2 * {auc} - 1, 5) AS \"Gini\", '{score}' AS score FROM ({_points_sql(counts, keys)}){f' GROUP BY {keys}' if keys else ''}")
     return f"WITH pred AS (SELECT * FROM ({tables.SCORED}) WHERE period BETWEEN 1996 AND 1998) " + " UNION ALL ".join(parts)
 
 
@@ -97,8 +97,8 @@ def _cube_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where("period between 1996 and 1998")
 
 
-query("cube_metrics", _cube_sql("metrics"))(lambda s, d: _rounded(cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"]), 4))
-query("cube_metrics_exact", _cube_sql("exact"))(lambda s, d: _rounded(cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"], exact=True), 4))
+query("cube_metrics", _cube_sql("metrics"))(lambda s, d: cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"]))
+query("cube_metrics_exact", _cube_sql("exact"))(lambda s, d: cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"], exact=True))
 query("cube_ntile", _cube_sql("tiles"))(lambda s, d: _rounded(cube.calculate_ntile(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"], n_tiles=5)))
 
 
@@ -122,7 +122,7 @@ def _lookup_sql(name: str, value: str, k: int, unit: str = "months", stale: int
     found, day = _as_of(value, k, unit, stale)
     gap = "__" if legacy else "_"
     when = f"{day} AS {value}{gap}{name}_date" if legacy else f"CAST(date_diff('day', {day}, r) AS INT) AS {value}{gap}{name}_date_diff_days"
-    return f"round({found}, 4) AS {value}{gap}{name}, {when}"
+    return f"round({found}, 6) AS {value}{gap}{name}, {when}"
 
 
 _SQL_AGGREGATES = {"mean": "avg", "median": "median", "max": "max", "min": "min", "std": "stddev_samp", "sum": "sum", "count": "count"}
@@ -130,8 +130,8 @@ _SQL_AGGREGATES = {"mean": "avg", "median": "median", "max": "max", "min": "min"
 
 def _window_sql(value: str, k: int, kinds: list[str], unit: str = "months") -> str:
     inside = f"FILTER (WHERE d > {_edge(k, unit)})"
-    out = [f"{f'CAST(count({value}) {inside} AS BIGINT)' if a == 'count' else f'round({_SQL_AGGREGATES[a]}({value}) {inside}, 4)'} AS {value}_{a}_{k}_{unit}" for a in kinds]
-    return ", ".join([*out, f"round({_as_of(value)[0]} - avg({value}) {inside}, 4) AS {value}_current_minus_mean_{k}_{unit}"])
+    out = [f"{f'CAST(count({value}) {inside} AS BIGINT)' if a == 'count' else f'round({_SQL_AGGREGATES[a]}({value}) {inside}, 6)'} AS {value}_{a}_{k}_{unit}" for a in kinds]
+    return ", ".join([*out, f"round({_as_of(value)[0]} - avg({value}) {inside}, 6) AS {value}_current_minus_mean_{k}_{unit}"])
 
 
 def _temporal_sql(columns: list[str], history: str = tables.HISTORY, spine: str = tables.SPINE, kept: str = "id, segment, r") -> str:
@@ -140,31 +140,31 @@ def _temporal_sql(columns: list[str], history: str = tables.HISTORY, spine: str
 
 def _build(spark: SparkSession, sf_dir: str, values: str | list[str] = "total", **options) -> DataFrame:
     base, spine = _history(spark, sf_dir)
-    return _rounded(temporal.build_features(base, spine, key_cols="id", date_col="d", reference_date_col="r", value_cols=values, **options), 4)
+    return _rounded(temporal.build_features(base, spine, key_cols="id", date_col="d", reference_date_col="r", value_cols=values, **options))
 
 
 query("tf_current_lag", _temporal_sql([_lookup_sql(n, v, k) for v in ("total", "most") for n, k in (("current", 0), ("lag_1_months", 1), ("lag_6_months", 6))]))(lambda s, d: _build(s, d, ["total", "most"], windows=(), lags=(1, 6)))
 query("tf_windows", _temporal_sql([_lookup_sql("current", "total", 0), *(_window_sql("total", k, ["mean", "max", "min", "sum", "count"]) for k in (3, 12))]))(lambda s, d: _build(s, d, windows=(3, 12), lags=(), aggregations=("mean", "max", "min", "sum", "count")))
 query("tf_median_std", _temporal_sql([_lookup_sql("current", "most", 0), _window_sql("most", 24, ["median", "std"])]))(lambda s, d: _build(s, d, "most", windows=(24,), lags=(), aggregations=("median", "std")))
 query("tf_staleness", _temporal_sql([_lookup_sql("current", "total", 0, stale=45), _lookup_sql("lag_3_months", "total", 3, stale=45)]))(lambda s, d: _build(s, d, windows=(), lags=(3,), max_staleness_days=45))
-query("tf_legacy_names", _temporal_sql([_lookup_sql("current", "total", 0, legacy=True), _lookup_sql("lag_2_months", "total", 2, legacy=True)]))(lambda s, d: _rounded(temporal.temporal_features(*reversed(_history(s, d)), "id", "total", reference_col="r", observation_col="d", windows=(), lags=(2,)), 4))
+query("tf_legacy_names", _temporal_sql([_lookup_sql("current", "total", 0, legacy=True), _lookup_sql("lag_2_months", "total", 2, legacy=True)]))(lambda s, d: _rounded(temporal.temporal_features(*reversed(_history(s, d)), "id", "total", reference_col="r", observation_col="d", windows=(), lags=(2,))))
 
 
 def _daily(spark: SparkSession, sf_dir: str, unit: str, windows: tuple, lags: tuple) -> DataFrame:
     found = temporal.build_features(view(spark, sf_dir, tables.DAILY), view(spark, sf_dir, tables.DAILY_SPINE), key_cols="id", date_col="d", reference_date_col="r", value_cols="total", period_unit=unit, windows=windows, lags=lags, aggregations=("mean", "count"))
-    return _rounded(found, 4)
+    return _rounded(found)
 
 
 for _unit, _w, _l in (("days", 5, 3), ("weeks", 2, 1)):
     query(f"tf_{_unit}", _temporal_sql([_lookup_sql("current", "total", 0, _unit), _lookup_sql(f"lag_{_l}_{_unit}", "total", _l, _unit), _window_sql("total", _w, ["mean", "count"], _unit)], tables.DAILY, tables.DAILY_SPINE, "id, r"))(lambda s, d, u=_unit, w=_w, k=_l: _daily(s, d, u, (w,), (k,)))
 
-_RELATED = """SELECT id, segment, r, round(c, 4) AS total_current, cd AS total_current_date_diff_days, round(l, 4) AS total_lag_6_months, ld AS total_lag_6_months_date_diff_days,
- round(m, 4) AS total_mean_12_months, round(hi, 4) AS total_max_12_months, round(lo, 4) AS total_min_12_months, round(sd, 4) AS total_std_12_months, round(c - m, 4) AS total_current_minus_mean_12_months,
- round(c - l, 4) AS total_current_vs_lag_6_months_diff, round(c / nullif(l, 0), 4) AS total_current_vs_lag_6_months_ratio, round(100 * (c - l) / nullif(l, 0), 4) AS total_current_vs_lag_6_months_pct_change,
- round(c / nullif(m, 0), 4) AS total_current_vs_mean_12_months_ratio, round(100 * (c - m) / nullif(m, 0), 4) AS total_current_vs_mean_12_months_pct_change,
- round(c - hi, 4) AS total_current_vs_max_12_months_diff, round(c / nullif(hi, 0), 4) AS total_current_vs_max_12_months_ratio, round(100 * (c - hi) / nullif(hi, 0), 4) AS total_current_vs_max_12_months_pct_change,
- round(c - lo, 4) AS total_current_vs_min_12_months_diff, round(c / nullif(lo, 0), 4) AS total_current_vs_min_12_months_ratio, round(100 * (c - lo) / nullif(lo, 0), 4) AS total_current_vs_min_12_months_pct_change,
- round(hi - lo, 4) AS total_range_12_months, round((c - m) / nullif(sd, 0), 4) AS total_standardized_deviation_12_months, round(sd / nullif(abs(m), 0), 4) AS total_coefficient_of_variation_12_months"""
+_RELATED = """SELECT id, segment, r, round(c, 6) AS total_current, cd AS total_current_date_diff_days, round(l, 6) AS total_lag_6_months, ld AS total_lag_6_months_date_diff_days,
+ round(m, 6) AS total_mean_12_months, round(hi, 6) AS total_max_12_months, round(lo, 6) AS total_min_12_months, round(sd, 6) AS total_std_12_months, round(c - m, 6) AS total_current_minus_mean_12_months,
+ round(c - l, 6) AS total_current_vs_lag_6_months_diff, round(c / nullif(l, 0), 6) AS total_current_vs_lag_6_months_ratio, round(100 * (c - l) / nullif(l, 0), 6) AS total_current_vs_lag_6_months_pct_change,
+ round(c / nullif(m, 0), 6) AS total_current_vs_mean_12_months_ratio, round(100 * (c - m) / nullif(m, 0), 6) AS total_current_vs_mean_12_months_pct_change,
+ round(c - hi, 6) AS total_current_vs_max_12_months_diff, round(c / nullif(hi, 0), 6) AS total_current_vs_max_12_months_ratio, round(100 * (c - hi) / nullif(hi, 0), 6) AS total_current_vs_max_12_months_pct_change,
+ round(c - lo, 6) AS total_current_vs_min_12_months_diff, round(c / nullif(lo, 0), 6) AS total_current_vs_min_12_months_ratio, round(100 * (c - lo) / nullif(lo, 0), 6) AS total_current_vs_min_12_months_pct_change,
+ round(hi - lo, 6) AS total_range_12_months, round((c - m) / nullif(sd, 0), 6) AS total_standardized_deviation_12_months, round(sd / nullif(abs(m), 0), 6) AS total_coefficient_of_variation_12_months"""
 _PARTS = f"{_as_of('total')[0]} AS c, CAST(date_diff('day', {_as_of('total')[1]}, r) AS INT) AS cd, {_as_of('total', 6)[0]} AS l, CAST(date_diff('day', {_as_of('total', 6)[1]}, r) AS INT) AS ld, " + ", ".join(f"{f}(total) FILTER (WHERE d > {_edge(12)}) AS {n}" for f, n in (("avg", "m"), ("max", "hi"), ("min", "lo"), ("stddev_samp", "sd")))
 query("tf_relations", f"{_RELATED} FROM ({_temporal_sql([_PARTS])})")(lambda s, d: _build(s, d, windows=(12,), lags=(6,), aggregations=("mean", "max", "min", "std"), relative_historico=True))
 
