@@ -29,8 +29,9 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from riskloom.llm.shared import joined_bytes, release, saved, sliced
 
 BLOCK, SPLIT = 256, 4  # windows of an anchor; parts that a block is split into
-#: Anchors of one digit that are resolved together in a task; a larger group is resolved by a distributed count of its windows.
-TOGETHER = 1 << 15
+#: Anchors of one digit that are resolved together in a task. A larger group is dealt anew by the next, longer digit of each
+#: part of its blocks; a part's group that is still larger is resolved by a distributed count of its windows.
+TOGETHER = 1 << 12
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,6 +234,28 @@ def _window_rows(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, "k1 long, k2 long, start long, w1 long, w2 long")
 
 
+def _parts(contexts: DataFrame, length: int) -> DataFrame:
+    """The next pass: each anchor's block in four parts, a row each, under a hash of the part's longer digit."""
+    size = BLOCK // SPLIT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                place, around, core = some.column(3).to_numpy(), some.column(4).to_pylist(), some.column(0).to_numpy()
+                row = np.repeat(np.arange(len(around)), SPLIT)
+                offset = np.tile(size * np.arange(SPLIT), len(around))
+                near, far = np.maximum(offset, (place >> 9 & 511)[row]), np.minimum(offset + size - 1, (place & 511)[row])
+                row, offset, near, far = (x[near <= far] for x in (row, offset, near, far))
+                digit = [around[k][BLOCK - 1 - o : BLOCK - o - size + length] for k, o in zip(row.tolist(), offset.tolist(), strict=True)]
+                key = [_signed(xxhash.xxh64_intdigest(d, int(c) & 0xFFFFFFFF ^ o)) for d, c, o in zip(digit, core[row].tolist(), offset.tolist(), strict=True)]
+                keys = [some.column(k).take(pa.array(row)) for k in (1, 2)]
+                packed = (place[row] >> 18) << 18 | near << 9 | far
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *keys, pa.array(packed), some.column(4).take(pa.array(row))], names=["core", "k1", "k2", "place", "bytes"])
+
+    return contexts.mapInArrow(run, "core long, k1 long, k2 long, place long, bytes binary")
+
+
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
 
 
@@ -244,7 +267,8 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
     their columns (a column named ``spans`` is replaced); repeated rows are copies of one another, so
     that all bytes of a repeated text of enough length are covered. Texts are known by a 128-bit hash.
     ``length`` is at least 320. Groups of any size are resolved exactly: up to ``together`` anchors with
-    equal digits in a task, larger groups by counting their windows across the cluster.
+    equal digits in a task, larger groups by a further pass over longer digits, and what is still larger
+    then by counting windows across the cluster.
     """
     if length < BLOCK + 64:
         raise ValueError("length must be at least 320 bytes")
@@ -274,10 +298,13 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
     if large.isEmpty():
         ranges.append(saved(_resolved(around, length)))
     else:
-        around = saved(around)
-        large = saved(large)
-        ranges.append(saved(_resolved(around.join(large, "core", "left_anti"), length)))
-        windows = saved(_window_rows(around.join(large, "core", "left_semi").select("core", "k1", "k2", "place", "bytes"), length).distinct())
+        around, large = saved(around), saved(large)
+        parts = saved(_parts(around.join(large, "core", "left_semi").select("core", "k1", "k2", "place", "bytes"), length))
+        sizes = saved(parts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+        few = parts.join(sizes.where(F.col("n") <= together).select("core"), "core", "left_semi")
+        many = parts.join(sizes.where(F.col("n") > together).select("core"), "core", "left_semi").select("core", "k1", "k2", "place", "bytes")
+        ranges.append(saved(_resolved(around.join(large, "core", "left_anti").unionByName(few), length)))
+        windows = saved(_window_rows(many, length).distinct())
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         ranges.append(windows.join(again, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + length).alias("stop")))
     release(spark)

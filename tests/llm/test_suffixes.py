@@ -59,6 +59,7 @@ def test_spans_match_brute_force(spark):
 
 def test_large_groups_take_the_distributed_way(spark):
     check(spark, corpus(2), 3)
+    check(spark, corpus(4), 8)
 
 
 def test_query_and_cut_texts(spark, tmp_path):
