@@ -292,7 +292,7 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
 
     once = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     lists = mixed.groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "place")).alias("anchors"))
-    around = _contexts(once.join(lists, ["k1", "k2"]), length)
+    around = _contexts(once.join(lists.hint("merge"), ["k1", "k2"]), length)  # lists grow with the texts: joined alike at every size
     ranges = [equal]
     large = mixed.where(F.col("kinds") > together).select("core").distinct()
     if large.isEmpty():
@@ -311,7 +311,7 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
     listed = functools.reduce(DataFrame.union, ranges).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("parts"))
     listed = saved(listed.mapInArrow(_merged, StructType([StructField("k1", LongType()), StructField("k2", LongType()), StructField("spans", SPANS)])))
     release(spark)
-    named = docs.withColumns(keys).join(listed, ["k1", "k2"], "left")
+    named = docs.withColumns(keys).join(listed.hint("merge"), ["k1", "k2"], "left")
     back = [F.col(c).alias(next((k for k, v in hidden.items() if v == c), c)) for c in docs.columns]
     return named.select(*back, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
