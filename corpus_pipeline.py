@@ -2,7 +2,8 @@
 
 1. ``language_id`` learns the languages from the rows' own text and ``lang`` and lets go of documents
    without a letter, and of those whose language stays in doubt (less than half the probability).
-2. ``near_dedup`` keeps one document of each SimHash group: the one with the smallest id.
+2. ``near_dedup`` keeps one document of each group of near copies (Jaccard similarity of the 5-word
+   shingles at least 0.8): the one with the smallest id.
 3. ``suffix_dedup`` cuts all byte strings of 400 that stand in more than one place (whole characters
    only); documents that nothing is left of go.
 4. ``decontamination`` lets go of documents that hold a passage of the benchmark.
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, leaks, pieces, simhash, suffixes
+from riskloom.llm import copies, langid, leaks, pieces, suffixes
 from riskloom.llm.shared import saved
 
 #: Below this share of probability a document's language is in doubt.
 SURE = 0.5
+#: Documents are near copies if their shingles of so many words have at least this Jaccard similarity.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: of the smallest id (rows without one come last), then of the smallest text hash and fields."""
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), late), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    groups = simhash.near_duplicates(keyed, "__id")
+    groups = copies.near_copies(keyed, "__id", width=SHINGLE, similarity=SIMILAR)
     winners = groups.where("id = component").groupBy("component").agg(F.min("text_hash").alias("text_hash"))
     kept = keyed.join(winners, (F.col("__id") == F.col("component")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
     first = Window.partitionBy("__id", "__hash").orderBy("lang", "source", "n_chars")
@@ -60,7 +63,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL can't express the stages (SimHash, alignment, merges); tests compare them with brute force.
+#: SQL can't express the stages (near copies, alignment, merges); tests compare them with brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,56 @@
+import random
+
+import corpus_pipeline
+from riskloom.llm.copies import near_copies
+
+
+def sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(rows):
+    found = [sets(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        before = list(group)
+        for i in range(len(rows)):
+            for j in range(i):
+                if not (found[i] | found[j]) or len(found[i] & found[j]) / max(1, len(found[i] | found[j])) >= 0.8:
+                    group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    least = {}
+    for (k, _), g in zip(rows, group):
+        if k is not None:
+            least[g] = min(k, least.get(g, k))
+    return [least.get(g) for g in group]
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    rows = [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two three four five"), (906, "one two three four five six")]
+    for base in range(12):
+        text = [f"w{rng.randrange(400)}" for _ in range(rng.choice((40, 120, 400)))]
+        for _ in range(5):
+            copy = list(text)
+            for _ in range(rng.randrange(1 + len(text) // 25)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(copy)))
+    edge = [f"e{k}" for k in range(14)]  # ten shingles; the second text shares eight of ten in the union
+    return rows + [(800, " ".join(edge)), (801, " ".join(edge[:12])), (802, " ".join(edge[:11])), (None, " ".join(edge))]
+
+
+def test_groups_match_brute_force_jaccard(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["id"], r["component"]) for r in near_copies(docs).collect()), key=str)
+    assert got == sorted(((k, g) for (k, _), g in zip(rows, brute(rows))), key=str)
+    assert near_copies(docs.limit(0)).collect() == []
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rows = [(k, t) for k, t in corpus(4) if k is not None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(brute(rows)) and len(kept) < len(rows) - 20
