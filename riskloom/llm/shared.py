@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made and used.
+    Only where that setting is absent and all runs in one process (tests, a laptop) is a temporary folder
+    made and used; on a cluster without it an error is raised.
     """
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
@@ -25,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,7 +36,16 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder; cuts its lineage."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables from :func:`saved` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
