@@ -4,8 +4,8 @@
    without a letter, and of those whose language stays in doubt (less than half the probability).
 2. ``near_dedup`` keeps one document of each group of near copies (Jaccard similarity of the 5-word
    shingles at least 0.8): the one with the smallest id.
-3. ``suffix_dedup`` cuts all byte strings of 400 that stand in more than one place (whole characters
-   only); documents that nothing is left of go.
+3. ``suffix_dedup`` cuts every string of 50 words that stands in more than one place, but for its first
+   place; documents that nothing is left of go.
 4. ``decontamination`` lets go of documents that hold a passage of the benchmark.
 5. ``sentencepiece`` adds the pieces of each text, encoded with merge-dropout, and their number.
 """
@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm import copies, langid, leaks, pieces, suffixes
+from riskloom.llm import langid, leaks, pieces, simhash, suffixes
 from riskloom.llm.shared import saved
 
 #: Below this share of probability a document's language is in doubt.
 SURE = 0.5
 #: Documents are near copies if their shingles of so many words have at least this Jaccard similarity.
 SHINGLE, SIMILAR = 5, 0.8
+#: Passages of so many words are cut where they stand again.
+PASSAGE = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: of the smallest id (rows without one come last), then of the smallest text hash and fields."""
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), late), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    groups = copies.near_copies(keyed, "__id", width=SHINGLE, similarity=SIMILAR)
+    groups = simhash.near_copies(keyed, "__id", width=SHINGLE, similarity=SIMILAR)
     winners = groups.where("id = component").groupBy("component").agg(F.min("text_hash").alias("text_hash"))
     kept = keyed.join(winners, (F.col("__id") == F.col("component")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
     first = Window.partitionBy("__id", "__hash").orderBy("lang", "source", "n_chars")
@@ -41,7 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.without_repeats(docs.withColumn("__empty", F.coalesce(F.col("text"), F.lit("")) == ""))
+    """Repeated passages leave one copy each; texts that were empty before stay, ones that are cut whole go; null texts stay."""
+    whole = docs.withColumn("__empty", F.coalesce(F.col("text"), F.lit("")) == "")
+    cut = suffixes.without_repeats(whole, length=PASSAGE, unit="words", keep_first=True)
     kept = cut.where((F.col("text") != "") | F.col("__empty")).drop("__empty")
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
