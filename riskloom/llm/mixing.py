@@ -1,14 +1,15 @@
-"""Language-model scores by logistic context mixing over the bits of words."""
+"""Language-model scores by online logistic context mixing over the bits of whole texts."""
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,27 +17,39 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import joined_bytes, saved, settings, sliced
-
-END = b""  # the token after the last word of a text: a word of no letters
-STOP = 0x20  # ends each word when it is coded
-#: Slots of the hashed tables: contexts of the last 1, 2, 3 and 4 bytes of the word, and of all its bytes so far.
-SLOTS = (1 << 16, 1 << 19, 1 << 20, 1 << 21, 1 << 22)
-#: Only about so many tokens, the most frequent ones, enter the table of whole words' contexts, so that it stays sparse.
-WHOLE_WORDS = 1 << 17
-PART = 1 << 14  # slots that travel together
+from riskloom.llm.shared import dropped, joined_bytes, release, saved, settings, sliced
+
+#: A text is coded as its words with single blanks between, then one closing byte, which no word holds.
+BLANK, CLOSE = b"\x20", b"\x0A"
+END = b""  # the token after the last word of a text
+#: The contexts of a bit: the last 2, 3 and 5 bytes of the text, the word so far, and that with the word before.
+ORDERS = (2, 3, 5)
+KINDS = len(ORDERS) + 2
+#: Slots of each context's hashed table.
+SLOTS = (1 << 20, 1 << 21, 1 << 22, 1 << 22, 1 << 22)
+PART = 1 << 16  # slots that travel together
 #: A gate is the longest context that has counts, how many (up to 1, 7, 63, or more), and which decision on the byte is next.
 LEVELS = (1, 7, 63)
-GATES, CENTRES = (len(SLOTS) + 1) * (len(LEVELS) + 1) * 8, np.arange(-8.0, 8.5, 0.5)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: The most frequent tokens are looked up in a broadcast table of at most this size; all others by a join.
-HEAD = 1 << 16
+GATES, CENTRES = (KINDS + 1) * (len(LEVELS) + 1) * 8, np.arange(-8.0, 8.5, 0.5)
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+STEP = 1 << 16  # decisions that are predicted before the model moves
+#: Training bytes of a shard, which is learned in one go; their number follows the corpus.
+SHARD = 16 << 20
+FIX = 1 << 24  # weights are added up as multiples of 1/FIX, so that the sum has no order
+#: Only tokens of at most so many bytes, and of these the most frequent ones, are looked up in a broadcast table; all others by a join.
+HEAD, SHORT = 1 << 16, 64
 
 
 def words(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def coded(text: bytes) -> bytes:
+    """What is coded of a text."""
+    return BLANK.join(text.lower().split()) + CLOSE
+
+
 class Code:
     """A prefix code of bytes, frequent ones short: the path of each byte as tree nodes and bits."""
 
@@ -64,265 +77,361 @@ class Code:
             self.node[b, : len(path)], self.bit[b, : len(path)] = zip(*path, strict=True)
 
 
+@functools.lru_cache(maxsize=8)
+def _powers(bits: int, base: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    for k in range(bits):
+        out = np.concatenate((out, out * np.uint64(pow(base, 1 << k, 1 << 64))))
+    return out
+
+
+def powers(count: int, base: int) -> np.ndarray:
+    """base^0 .. base^(count - 1), mod 2^64."""
+    return _powers(max(1, (count - 1).bit_length()), base)[:count]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each kind, a hash of the context of every byte of concatenated coded texts; contexts end at the text's begin."""
+    size = len(data)
+    place = np.arange(size) - np.repeat(starts[:-1], np.diff(starts))
+    value = data.astype(np.uint64) + np.uint64(1)
+    out, rolling, order = [], np.zeros(size, np.uint64), 0
+    for wanted in ORDERS:
+        while order < wanted:
+            order += 1
+            rolling *= np.uint64(0x100000001B3)
+            reach = np.flatnonzero(place >= order)
+            rolling[reach] += value[reach - order]
+        out.append(_mixed((rolling + np.uint64(order)) * np.uint64(FACTOR)))
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(_mixed(value * np.uint64(FACTOR)) * powers(size, FACTOR), out=sums[1:])
+    part = (data == BLANK[0]) | (data == CLOSE[0])
+    begins = np.concatenate(([0], np.flatnonzero(part) + 1))[: int(part.sum()) or 1]
+    number = np.cumsum(part) - part  # the word of each byte; its closing byte belongs to it
+    begin = begins[number]
+    inverse = powers(size + 1, INVERSE)
+    so_far = (sums[:-1] - sums[begin]) * inverse[begin]
+    ends = np.flatnonzero(part)
+    whole = (sums[ends] - sums[begins]) * inverse[begins]
+    before = np.concatenate((np.zeros(1, np.uint64), whole[:-1])) if len(whole) else np.zeros(1, np.uint64)
+    if len(ends):
+        before[1:][data[ends[:-1]] == CLOSE[0]] = 0
+    out.append(_mixed((so_far + np.uint64(11)) * np.uint64(FACTOR)))
+    out.append(_mixed((so_far ^ _mixed(before * np.uint64(FACTOR) + np.uint64(1))[number]) * np.uint64(FACTOR) + np.uint64(13)))
+    return out
+
+
 @dataclass
 class Bits:
-    """The binary decisions of a batch of words, byte by byte along the code's paths."""
+    """The binary decisions of some bytes along the code's paths."""
 
-    owner: np.ndarray  # word number of each decision
+    byte: np.ndarray  # number of the byte of each decision
     bit: np.ndarray
     depth: np.ndarray  # how many decisions on the same byte came before, up to 7
     slots: list[np.ndarray]  # for each context kind
 
 
-def decisions(tokens: list[bytes], code: Code) -> Bits:
-    data, starts = joined_bytes([t + b"\x20" for t in tokens])
-    size = len(data)
-    owner = np.repeat(np.arange(len(tokens)), np.diff(starts))
-    place = np.arange(size) - starts[owner]
-    value = data.astype(np.uint64) + np.uint64(1)
-    length = code.length[data]
-    byte = np.repeat(np.arange(size), length)
+def decisions(data: np.ndarray, hashes: list[np.ndarray], code: Code, low: int, high: int) -> Bits:
+    """The decisions of the bytes low..high."""
+    some = data[low:high]
+    length = code.length[some]
+    byte = np.repeat(np.arange(high - low), length)
     depth = np.arange(len(byte)) - np.repeat(np.cumsum(length) - length, length)
-    node = code.node[data[byte], depth]
-    context, slots = np.zeros(size, np.uint64), []
-    for order in range(1, len(SLOTS) + 1):
-        if order < len(SLOTS):
-            reach = place >= order
-            context = context * np.uint64(0x100000001B3)
-            context[reach] += value[np.flatnonzero(reach) - order]
-        else:  # all bytes of the word so far, by a prefix hash that is taken relative to the word's begin
-            step = np.uint64(0xD1342543DE82EF95)
-            power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(place.max(initial=0)), step))), dtype=np.uint64)
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((value * FACTOR ^ value << np.uint64(17)) * power[place], out=sums[1:])
-            context = sums[:-1] - sums[starts[owner]]
-        mixed = (context ^ np.minimum(place, order).astype(np.uint64) << np.uint64(56)) * FACTOR
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-        mixed = mixed[byte]
-        slot = mixed + node * np.uint32(0x9E3779B1) if SLOTS[order - 1] > 1 << 16 else mixed * np.uint32(256) + node
-        slots.append(slot & np.uint32(SLOTS[order - 1] - 1))
-    return Bits(owner[byte], code.bit[data[byte], depth], np.minimum(depth, 7).astype(np.int32), slots)
+    path = some[byte].astype(np.int64) * code.node.shape[1] + depth
+    node = code.node.ravel()[path]
+    row = (node >> np.uint32(4)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)  # nodes of a row lie side by side
+    inner, slots = (node & np.uint32(15)).astype(np.int64), []
+    for k, h in enumerate(hashes):
+        mixed = h[low:high][byte]
+        mixed += row
+        mixed *= np.uint64(0x9FB21C651E98DF25)
+        mixed >>= np.uint64(65 - SLOTS[k].bit_length() + 4)
+        slot = mixed.view(np.int64) << 4
+        slot |= inner
+        slots.append(slot)
+    return Bits(byte + low, code.bit.ravel()[path], np.minimum(depth, 7), slots)
+
+
+def chunks(texts: list[bytes], code: Code) -> Iterator[tuple[Bits, np.ndarray]]:
+    """The decisions of coded texts in steps of about ``STEP``, and where each text begins."""
+    data, starts = joined_bytes([coded(x) for x in texts])
+    hashes = contexts(data, starts)
+    step = max(1, STEP // 5)
+    for low in range(0, len(data), step):
+        yield decisions(data, hashes, code, low, min(low + step, len(data))), starts
 
 
 @dataclass
 class Mixer:
-    """The code, counts of 0 and 1 in each slot, mixing weights of each gate, and the refining map of each gate."""
+    """What predicts: the code, packed odds of each slot, mixing weights of each gate, and the refining map of each gate."""
 
     code: Code
-    counts: list[np.ndarray]  # for each context kind (slots, 2)
-    weights: np.ndarray | None = None  # (gates, kinds + 1)
-    seen: np.ndarray | None = None  # (gates, centres): weight of decisions near each centre
-    ones: np.ndarray | None = None
-
-    def inputs(self, bits: Bits, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """What each context says of each decision, as log odds, and the gate.
-
-        With ``whole`` (which decisions are counted in the whole-word table), one occurrence is left out of the counts.
-        """
-        stretched = np.ones((len(SLOTS) + 1, bits.bit.size), np.float32)
-        longest, level = np.zeros(bits.bit.size, np.int32), np.zeros(bits.bit.size, np.int32)
-        every, one = np.arange(len(bits.bit)), bits.bit.astype(np.int8)
-        for k, (slot, table) in enumerate(zip(bits.slots, self.counts, strict=True)):
-            pair = table[slot].astype(np.float32)
-            if whole is not None:
-                pair[every, one] -= 1 if k < len(SLOTS) - 1 else whole
-                np.maximum(pair, 0, out=pair)
-            stretched[k] = np.log((pair[:, 1] + np.float32(0.3)) / (pair[:, 0] + np.float32(0.3)))
-            total = pair.sum(axis=1)
-            found = total > 0
-            longest[found] = k + 1
-            level[found] = np.searchsorted(LEVELS, total[found])
-        gate = (longest * (len(LEVELS) + 1) + level) * 8 + bits.depth
-        return stretched, gate
-
-    def mixed(self, stretched: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Log odds of a 1: the inputs weighed by the gate's weights."""
-        total = np.zeros(len(gate), np.float32)
-        for k in range(len(stretched)):
-            total += self.weights[gate, k].astype(np.float32) * stretched[k]
-        return np.clip(total, -11, 11)
-
-    def refined(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The chance of a 1: half the mixed one, half what came of decisions of the gate with like odds."""
-        plain = 1 / (1 + np.exp(-CENTRES))
-        table = (self.ones + 8 * plain) / (self.seen + 8)
-        place = (np.clip(odds, CENTRES[0], CENTRES[-1] - 1e-3) - CENTRES[0]) * 2
-        low = place.astype(np.int32)
-        share = place - low
-        looked = table[gate, low] * (1 - share) + table[gate, low + 1] * share
-        return np.clip(0.5 * looked + 0.5 / (1 + np.exp(-odds)), 1e-6, 1 - 1e-6)
-
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """The log10 probability of each token."""
-        bits = decisions(tokens, self.code)
+    odds: list[np.ndarray]  # for each context kind, (log odds in 1/256) * 8 + level of every slot; level 0: never met
+    weights: np.ndarray  # (gates, kinds + 1)
+    seen: np.ndarray  # (gates, centres): weight of decisions near each centre
+    ones: np.ndarray
+
+    def inputs(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+        packed = [table[slot] for slot, table in zip(bits.slots, self.odds, strict=True)]
+        return gated([(x >> 3).astype(np.float32) * np.float32(1 / 256) for x in packed], [x & 7 for x in packed], bits.depth)
+
+    def chance(self, bits: Bits) -> np.ndarray:
         stretched, gate = self.inputs(bits)
-        chance = self.refined(self.mixed(stretched, gate), gate)
-        cost = np.log10(np.where(bits.bit == 1, chance, 1 - chance))
-        return np.bincount(bits.owner, cost, minlength=len(tokens))
+        return refined(mixed(self.weights, stretched, gate), gate, self.seen, self.ones)
+
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """The log10 probability of each whole text."""
+        total = np.zeros(len(texts))
+        for bits, starts in chunks(texts, self.code):
+            chance = self.chance(bits)
+            cost = np.log10(np.where(bits.bit == 1, chance, 1 - chance))
+            owner = np.searchsorted(starts, bits.byte, side="right") - 1
+            low, high = owner[0], owner[-1] + 1
+            total[low:high] += np.bincount(owner - low, cost, minlength=high - low)
+        return total
+
+
+def gated(stretched: list[np.ndarray], levels: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The inputs of each decision (a constant last), and its gate."""
+    state = np.zeros(len(depth), np.int64)
+    for k, level in enumerate(levels):
+        found = (k + 1) * (len(LEVELS) + 1) - 1 + level.astype(np.int64)
+        np.copyto(state, found, where=level > 0)
+    return [*stretched, np.ones(len(depth), np.float32)], state * 8 + depth
+
+
+def mixed(weights: np.ndarray, stretched: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    """Log odds of a 1: the inputs weighed by the gate's weights."""
+    total = np.zeros(len(gate), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(weights.T, np.float32)):
+        total += column[gate] * stretched[k]
+    return np.clip(total, -11, 11)
+
+
+def _places(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = (np.clip(odds, CENTRES[0], CENTRES[-1] - 1e-3) - CENTRES[0]) * 2
+    low = place.astype(np.int64)
+    return low, place - low
+
+
+def refined(odds: np.ndarray, gate: np.ndarray, seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The chance of a 1: half the mixed one, half what came of decisions of the gate with like odds."""
+    table = ((ones + 8 / (1 + np.exp(-CENTRES))) / (seen + 8)).ravel()
+    low, share = _places(odds)
+    at = gate * len(CENTRES) + low
+    looked = table[at] * (1 - share) + table[at + 1] * share
+    return np.clip(0.5 * looked + 0.5 / (1 + np.exp(-odds)), 1e-6, 1 - 1e-6)
+
+
+def log_odds(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and level of slots' counts."""
+    zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+    total = zeros + ones
+    level = (total > 0).view(np.int8)
+    for most in LEVELS:
+        level += (total > most).view(np.int8)
+    zeros += np.float32(0.2)
+    ones += np.float32(0.2)
+    ones /= zeros
+    return np.log(ones, out=ones), level
+
+
+def halves(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counts in each of a shard's slots."""
+    return packed.view(np.int32)[0::2], packed.view(np.int32)[1::2]
 
 
 def first_weights() -> np.ndarray:
     """Where learning begins: trust in the longest context that has counts, the more the more it has."""
-    out = np.zeros((len(SLOTS) + 1, len(LEVELS) + 1, 8, len(SLOTS) + 1))
-    for longest in range(1, len(SLOTS) + 1):
+    out = np.zeros((KINDS + 1, len(LEVELS) + 1, 8, KINDS + 1))
+    for longest in range(1, KINDS + 1):
         for level in range(len(LEVELS) + 1):
-            trust = 0.5 + 0.5 * level / len(LEVELS)
+            trust = 0.4 + 0.5 * level / len(LEVELS)
             out[longest, level, :, longest - 1] = trust
             if longest > 1:
                 out[longest, level, :, longest - 2] = 1 - trust
     return out.reshape(GATES, -1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    return sliced(batches, "token", most)
+class Learner:
+    """The state of one shard: counts, weights and refining map, moved after each step of decisions."""
+
+    def __init__(self, code: Code, rate: float):
+        self.code, self.rate = code, rate
+        self.held: list[bytes] = []
+        self.size = 0
+        self.counts = [np.zeros(n, np.int64) for n in SLOTS]  # zeros in the low half, ones in the high half
+        self.weights, self.squares = first_weights(), np.full((GATES, KINDS + 1), 1e-4)
+        self.mass = np.zeros(GATES)
+        self.seen, self.ones = np.zeros((GATES, len(CENTRES))), np.zeros((GATES, len(CENTRES)))
+
+    def learn(self, text: bytes) -> None:
+        """Takes in the shard's next text; what is learned together depends on the shard's texts alone."""
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= STEP:
+            self.flush()
+
+    def flush(self) -> None:
+        texts, self.held, self.size = self.held, [], 0
+        for bits, _ in chunks(texts, self.code):
+            self.step(bits)
+
+    def step(self, bits: Bits) -> None:
+        """Predicts some decisions with the state so far, then moves weights, refining map and counts by what they are."""
+        found = [log_odds(*halves(table[slot])) for slot, table in zip(bits.slots, self.counts, strict=True)]
+        stretched, gate = gated([x for x, _ in found], [x for _, x in found], bits.depth)
+        odds = mixed(self.weights, stretched, gate)
+        error = bits.bit - 1 / (1 + np.exp(-odds))
+        mass = np.bincount(gate, minlength=GATES)
+        for k in range(KINDS + 1):
+            slope = np.bincount(gate, error * stretched[k], minlength=GATES) / np.maximum(mass, 1)
+            self.squares[:, k] += slope**2
+            self.weights[:, k] += self.rate * slope / np.sqrt(self.squares[:, k])
+        self.mass += mass
+        low, share = _places(odds)
+        for at, part in ((low, 1 - share), (low + 1, share)):
+            flat = gate * len(CENTRES) + at
+            self.seen += np.bincount(flat, part, minlength=self.seen.size).reshape(self.seen.shape)
+            self.ones += np.bincount(flat, part * bits.bit, minlength=self.ones.size).reshape(self.ones.shape)
+        one = np.int64(1) << (bits.bit.astype(np.int64) << 5)
+        for slot, table in zip(bits.slots, self.counts, strict=True):
+            np.add.at(table, slot, one)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The state as numbered arrays of whole numbers, to be added to those of other shards."""
+        self.flush()
+        fixed = [(self.weights * self.mass[:, None]).ravel(), self.mass, self.seen.ravel(), self.ones.ravel()]
+        yield -1, np.rint(np.concatenate(fixed) * FIX).astype(object)
+        number = 0
+        for table in self.counts:
+            for at in range(0, len(table), PART):
+                if (some := table[at : at + PART]).any():
+                    yield number, np.concatenate(halves(some)).astype(np.int64)
+                number += 1
 
 
 @dataclass
 class Packed:
-    """Compressed count tables, as they are broadcast; each worker process unpacks the last ones once."""
+    """A learned model as it is broadcast: compressed tables, which each worker process unpacks once."""
 
     name: str
-    tables: list[bytes]
-
-    @classmethod
-    def of(cls, tables: list[np.ndarray]) -> Packed:
-        return cls(uuid.uuid4().hex, [zlib.compress(t.tobytes(), 1) for t in tables])
+    code: Code
+    parts: list[bytes]
+    weights: np.ndarray
+    seen: np.ndarray
+    ones: np.ndarray
 
-    def counts(self) -> list[np.ndarray]:
+    def mixer(self) -> Mixer:
         if self.name not in _UNPACKED:
             _UNPACKED.clear()
-            _UNPACKED[self.name] = [np.frombuffer(zlib.decompress(t), np.uint32).reshape(-1, 2) for t in self.tables]
+            flat = np.concatenate([np.frombuffer(zlib.decompress(x), np.int16) if x else np.zeros(PART, np.int16) for x in self.parts])
+            _UNPACKED[self.name] = Mixer(self.code, np.split(flat, np.cumsum(SLOTS)[:-1]), self.weights, self.seen, self.ones)
         return _UNPACKED[self.name]
 
 
-_UNPACKED: dict[str, list[np.ndarray]] = {}
-
-
-def count_into(sums: list[np.ndarray], code: Code, tokens: list[bytes], n: np.ndarray, least: int) -> None:
-    """Adds the decisions of tokens that occur n times to the slots' counts; whole-word contexts only if n >= least."""
-    bits = decisions(tokens, code)
-    weight = n[bits.owner]
-    for k, slot in enumerate(bits.slots):
-        at = slot.astype(np.int64) * 2 + bits.bit
-        if k < len(SLOTS) - 1:
-            np.add.at(sums[k].reshape(-1), at, weight)
-        else:
-            np.add.at(sums[k].reshape(-1), at[weight >= least], weight[weight >= least])
-
-
-def practise(mixer: Mixer, squares: np.ndarray, tokens: list[bytes], n: np.ndarray, rate: float, least: int) -> float:
-    """One online step: codes a batch with the weights so far, then moves them; returns the weight of the batch."""
-    bits = decisions(tokens, mixer.code)
-    each = n[bits.owner].astype(float)
-    stretched, gate = mixer.inputs(bits, each >= least)
-    odds = mixer.mixed(stretched, gate)
-    one = bits.bit
-    error = (one - 1 / (1 + np.exp(-odds))) * each
-    mass = np.bincount(gate, each, minlength=GATES)
-    for k in range(len(SLOTS) + 1):
-        slope = np.bincount(gate, error * stretched[k], minlength=GATES) / np.maximum(mass, 1)
-        squares[:, k] += slope**2
-        mixer.weights[:, k] += rate * slope / np.sqrt(squares[:, k])
-    place = (np.clip(odds, CENTRES[0], CENTRES[-1] - 1e-3) - CENTRES[0]) * 2
-    low = place.astype(np.int64)
-    for at, share in ((low, 1 - (place - low)), (low + 1, place - low)):
-        flat = gate * len(CENTRES) + at
-        mixer.seen += np.bincount(flat, each * share, minlength=mixer.seen.size).reshape(mixer.seen.shape)
-        mixer.ones += np.bincount(flat, each * share * one, minlength=mixer.ones.size).reshape(mixer.ones.shape)
-    return each.sum()
-
-
-def _tables(vocabulary: DataFrame, code: Code, least: int) -> list[np.ndarray]:
-    """The counts of all slots, over all training tokens; the driver gets sums of a fixed size."""
-    total = sum(SLOTS)
-    edges = np.cumsum((0, *SLOTS))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((total, 2), np.int64)
-        tables = [sums[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        for rows, tokens in _batches(batches, 1 << 18):
-            count_into(tables, code, tokens, rows.column(1).to_numpy(), least)
-        for part in range(0, total, PART):
-            some = sums[part : part + PART]
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part // PART], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["part", "sums"])
+_UNPACKED: dict[str, Mixer] = {}
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for row in (r for b in batches for r in b.to_pylist()):
-            some = np.frombuffer(zlib.decompress(row["sums"]), np.int64)
-            held[row["part"]] = held[row["part"]] + some if row["part"] in held else some
-        for part, some in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["part", "sums"])
 
-    schema = "part int, sums binary"
-    with settings(vocabulary.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}):
-        parts = vocabulary.where("n > 0").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
-    out = np.zeros((total, 2), np.int64)
-    for row in parts:
-        some = np.frombuffer(zlib.decompress(row["sums"]), np.int64).reshape(-1, 2)
-        out[row["part"] * PART : row["part"] * PART + len(some)] = some
-    return [np.minimum(out[a:b], 2**31 - 1).astype(np.uint32) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _code(vocabulary: DataFrame) -> Code:
-    """The code for the bytes of the training vocabulary, each word once."""
+def _code(vocabulary: DataFrame) -> tuple[Code, int]:
+    """The code for the bytes of the training texts, and how many these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(256, np.int64)
-        for _, tokens in _batches(batches, 1 << 20):
-            data, _ = joined_bytes([t + b"\x20" for t in tokens])
-            counts += np.bincount(data, minlength=256)
+        for rows, tokens in sliced(batches, "token", 1 << 20):
+            data, starts = joined_bytes(tokens)
+            times = rows.column(1).to_numpy()
+            counts += np.bincount(data, np.repeat(times, np.diff(starts)), minlength=256).astype(np.int64)
+            counts[CLOSE[0]] += sum(int(n) for t, n in zip(tokens, times, strict=True) if not t)
+            counts[BLANK[0]] += sum(int(n) for t, n in zip(tokens, times, strict=True) if t)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(counts)], names=["byte", "n"])
 
     rows = vocabulary.where("n > 0").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(256, np.int64)
     for r in rows:
         counts[r["byte"]] = r["n"]
-    return Code(counts)
+    return Code(counts), int(counts.sum())
 
 
-def learn(vocabulary: DataFrame, rate: float = 0.05, batch_bytes: int = 1 << 13) -> tuple[Broadcast, Mixer]:
-    """Packed count tables (broadcast) and a mixer without them, learned from all rows ``token, n`` (n > 0: how often it occurs in the training texts).
+def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int = SHARD) -> Broadcast:
+    """A model of all rows ``id, text`` (``size`` bytes together), broadcast.
 
-    First the hashed contexts' counts are summed over the whole vocabulary. Then each task goes once
-    through its tokens, online: it codes a batch with its weights so far, leaving one occurrence of each
-    token out of the counts (as if that one were new), then moves each gate's weights down the gradient of
-    the bits' cost (each decision counts as often as its token occurs) and adds what came of each
-    probability to the refining map. The tasks' weights are averaged by the decisions they saw, the maps
-    added up. All state has a fixed size, whatever the corpus.
+    Rows are dealt by a hash of id and text into shards of about ``shard`` bytes, so many as the corpus
+    asks for, and each shard is learned online, in the order of another hash: every step of decisions is
+    predicted with the state so far (counts of hashed contexts, gated weights, refining map), which then
+    moves. The shards' counts and maps are added up, their weights averaged by the decisions of each gate,
+    all as whole numbers, so the model depends on the rows alone, not on how they lie in partitions. The
+    tables have a fixed number of slots, which bounds what is broadcast; contexts that share one blur.
     """
-    spark = vocabulary.sparkSession
-    last = vocabulary.where("n > 0").orderBy(F.desc("n"), "token").limit(WHOLE_WORDS).agg(F.min("n")).first()[0]
-    least = max(2, last or 0)
-    code = _code(vocabulary)
-    tables = spark.sparkContext.broadcast(Packed.of(_tables(vocabulary, code, least)))
-    kinds = len(SLOTS) + 1
+    spark = rows.sparkSession
+    count = max(1, -(-size // shard))
+    texts = F.coalesce("text", F.lit(""))
+    dealt = rows.select(F.pmod(F.xxhash64(F.lit(3), "id", texts), F.lit(count)).cast("int").alias("shard"), F.xxhash64(F.lit(5), texts).alias("order"), F.xxhash64(F.lit(6), texts).alias("order2"), texts.alias("text"))
+    partitions = min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = sum(SLOTS) // PART
+    wide = GATES * (KINDS + 2 + 2 * len(CENTRES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(code, tables.value.counts(), first_weights(), np.zeros((GATES, len(CENTRES))), np.zeros((GATES, len(CENTRES))))
-        squares, weight = np.full((GATES, kinds), 1e-6), 0.0
-        for rows, tokens in _batches(batches, batch_bytes):
-            weight += practise(mixer, squares, tokens, rows.column(1).to_numpy(), rate, least)
-        if weight:
-            yield _sum_row(np.concatenate([(mixer.weights * weight).ravel(), mixer.seen.ravel(), mixer.ones.ravel(), [weight]]))
+        state, current = None, None
+        for some, texts in sliced(batches, "text", 1 << 16):
+            shards = some.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if shards[a] != current:
+                    if state:
+                        yield from emitted(state)
+                    state, current = Learner(code, rate), shards[a]
+                for text in texts[a:b]:
+                    state.learn(text)
+        if state:
+            yield from emitted(state)
+
+    def row(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(sums.astype(np.int64).tobytes(), 1)], pa.binary())], names=["part", "sums"])
+
+    def emitted(state: Learner) -> Iterator[pa.RecordBatch]:
+        for part, sums in state.parts():
+            if part >= 0:
+                yield row(part, sums)
+            else:  # in two halves, so that sums of many shards stay within 64 bits
+                high = np.array([int(x) >> 32 for x in sums], np.int64)
+                yield row(-1, np.concatenate((high, np.array([int(x) & 0xFFFFFFFF for x in sums], np.int64))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(np.frombuffer(r["sums"]) for b in batches for r in b.to_pylist())
-        if not isinstance(total, int):
-            yield _sum_row(total)
-
-    rows = vocabulary.where("n > 0").mapInArrow(run, "sums binary").repartition(4).mapInArrow(add, "sums binary").collect()
-    total = sum((np.frombuffer(r["sums"]) for r in rows), start=np.zeros(GATES * (kinds + 2 * len(CENTRES)) + 1))
-    weights, seen, ones = np.split(total[:-1], np.cumsum((GATES * kinds, GATES * len(CENTRES))))
-    shape = (GATES, len(CENTRES))
-    weights = weights.reshape(GATES, kinds) / total[-1] if total[-1] else first_weights()
-    return tables, Mixer(code, [], weights, seen.reshape(shape), ones.reshape(shape))
-
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some = np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+                held[part] = held[part] + some if part in held else some
+        for part, some in held.items():
+            if part < 0:
+                yield row(part, some)
+            else:
+                odds, level = log_odds(*np.split(some, 2))
+                packed = (np.rint(np.clip(odds, -15, 15) * 256).astype(np.int16) << 3) + level.astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())], names=["part", "sums"])
 
-def _sum_row(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["sums"])
+    schema = "part int, sums binary"
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        shards = dealt.repartition(partitions, "shard").sortWithinPartitions("shard", "order", "order2").select("shard", "text")
+        sums = saved(shards.mapInArrow(run, schema))
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):
+        found = {r["part"]: bytes(r["sums"]) for r in sums.repartition("part").mapInArrow(add, schema).collect()}
+    dropped(sums)
+    release(spark)
+    flat = np.zeros(wide)
+    if -1 in found:
+        high, low = np.split(np.frombuffer(zlib.decompress(found[-1]), np.int64), 2)
+        flat = np.array([((int(h) << 32) + int(x)) / FIX for h, x in zip(high, low, strict=True)])
+    weights, mass, seen, ones = np.split(flat, np.cumsum((GATES * (KINDS + 1), GATES, GATES * len(CENTRES))))
+    mass, shape = mass[:, None], (GATES, len(CENTRES))
+    weights = np.where(mass > 0, weights.reshape(GATES, -1) / np.maximum(mass, 1), first_weights())
+    return spark.sparkContext.broadcast(Packed(uuid.uuid4().hex, code, [found.get(k, b"") for k in range(total)], weights, seen.reshape(shape), ones.reshape(shape)))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -340,18 +449,16 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "learned").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
-    """``id, learned, n_tokens, n_known, train_tokens, base_score, score, spelled, bits_per_byte`` of every row's whole text.
+def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rate: float = 0.02, shard: int = SHARD) -> DataFrame:
+    """``id, learned, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row's whole text.
 
-    A text is its words (ASCII lower-cased, white space parts them) and an end token. Each word is coded
-    byte by byte with a closing blank, each bit with the mixed and refined chance that :func:`learn` has
-    made from the rows where ``learned`` is true. ``spelled`` is the log10 probability of all words so
-    coded, and ``bits_per_byte`` the same in bits. ``base_score``, of add-one word frequencies, knows the
-    training tokens and one symbol for any other word; ``score`` is the model's log10 probability of the
-    same events: a word that is no training token counts as the event that the coded word is none of them,
-    whose chance is what the probabilities of all training tokens leave. Each distinct token is scored once,
-    in the vocabulary table; texts look the ``head`` most frequent tokens up in a broadcast table and join
-    the rest by token, so no hot token takes part in the join.
+    A text is its words (ASCII lower-cased, white space parts them) and an end token. ``score`` is the
+    log10 probability of the whole text, coded byte by byte with single blanks and a closing byte, under
+    the model that :func:`learn` makes of the rows where ``learned`` is true; ``bits_per_byte`` is the same
+    in bits. Every word is spelled out, known or not, in the context of what stands before it in the text.
+    ``base_score``, of add-one word frequencies, knows the training tokens and one symbol for any other
+    word. Texts look the ``head`` most frequent short tokens up in a broadcast table (at most ``head`` x
+    ``SHORT`` bytes) and join the rest by token, so no hot token takes part in the join.
 
     Null text counts as empty (one token, the end). Null ids stay; repeated rows are scored one by one;
     where nothing is learned all counts are 0 and the untrained mixer scores. Other columns are ignored.
@@ -361,40 +468,27 @@ def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
     vocabulary = saved(token_counts(rows))
     n, v = vocabulary.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n = n or 0
-    tables, learnt = learn(vocabulary)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = replace(learnt, counts=tables.value.counts())
-        for some, tokens in _batches(batches, 1 << 17):
-            counts = some.column(1).to_numpy()
-            base = np.log10((counts + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(base), pa.array(mixer.log10(tokens))], names=["token", "n", "base", "cost"])
-
-    vocabulary = saved(vocabulary.mapInArrow(rate, "token binary, n long, base double, cost double"))
-    known_mass = vocabulary.where("n > 0").agg(F.sum(F.pow(F.lit(10.0), "cost"))).first()[0] or 0.0
-    other = math.log10(max(1 - known_mass, 1e-12))
-    frequent = vocabulary.orderBy(F.desc("n"), "token").limit(head).collect()
-    table = spark.sparkContext.broadcast({bytes(r["token"]): (r["base"], r["cost"], int(r["n"] > 0)) for r in frequent})
+    model = learn(rows.where("learned"), *_code(vocabulary), rate, shard)
+    frequent = vocabulary.where(F.octet_length("token") <= SHORT).orderBy(F.desc("n"), "token").limit(head).collect()
+    table = spark.sparkContext.broadcast({bytes(r["token"]): r["n"] for r in frequent})
+    base_of = lambda c: math.log10((c + 1) / (n + v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for some, texts in sliced(batches, "text", 1 << 20):
+        known, mixer = table.value, model.value.mixer()
+        for some, texts in sliced(batches, "text", 1 << 17):
             keys = some.column(0).to_pylist()
             whole, rare = [], []
             for k, text in enumerate(texts):
                 tokens = words(text)
-                counts = Counter(tokens)
-                base, cost, sure, spelled = [], [], 0, []
-                for token, times in counts.items():
+                base, sure = [], 0
+                for token, times in Counter(tokens).items():
                     if token in known:
-                        b, c, s = known[token]
-                        base.append(times * b)
-                        cost.append(times * (c if s else other))
-                        spelled.append(times * c)
-                        sure += times * s
+                        base.append(times * base_of(known[token]))
+                        sure += times * (known[token] > 0)
                     else:
                         rare.append((keys[k], token, times))
-                whole.append((len(tokens), sure, math.fsum(base), math.fsum(cost), math.fsum(spelled), sum(map(len, tokens)) + len(tokens)))
+                whole.append((len(tokens), sure, math.fsum(base), sum(map(len, tokens)) + max(1, len(tokens) - 1)))
+            scores = pa.array(mixer.log10(texts))
             none = [None] * len(rare)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -403,19 +497,18 @@ def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
                     pa.concat_arrays([some.column(2), pa.nulls(len(rare), pa.bool_())]),
                     pa.array([None] * len(whole) + [r[1] for r in rare], pa.binary()),
                     pa.array([None] * len(whole) + [r[2] for r in rare], pa.int64()),
-                    *(pa.array([w[j] for w in whole] + none, t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))),
+                    *(pa.array([w[j] for w in whole] + none, t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))),
+                    pa.concat_arrays([scores, pa.nulls(len(rare), pa.float64())]),
                 ],
-                names=["key", "id", "learned", "token", "times", "n_tokens", "n_known", "base", "cost", "spelled", "n_bytes"],
+                names=["key", "id", "learned", "token", "times", "n_tokens", "n_known", "base", "n_bytes", "score"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "id", "learned", "text")
-    parts = saved(keyed.mapInArrow(read, f"key long, id {kind}, learned boolean, token binary, times long, n_tokens long, n_known long, base double, cost double, spelled double, n_bytes long"))
+    parts = saved(keyed.mapInArrow(read, f"key long, id {kind}, learned boolean, token binary, times long, n_tokens long, n_known long, base double, n_bytes long, score double"))
     rare = parts.where("token is not null").select("key", "token", "times").join(vocabulary, "token")
-    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("r_known"), F.sum(F.col("times") * F.col("base")).alias("r_base"), F.sum(F.col("times") * F.when(F.col("n") > 0, F.col("cost")).otherwise(other)).alias("r_cost"), F.sum(F.col("times") * F.col("cost")).alias("r_spelled"))
+    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("r_known"), F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(n + v + 1)))).alias("r_base"))
     whole = parts.where("token is null").drop("token", "times").join(rare, "key", "left")
-    cost = F.col("cost") + F.coalesce("r_cost", F.lit(0.0))
-    spelled = F.col("spelled") + F.coalesce("r_spelled", F.lit(0.0))
     return whole.select(
         "id",
         "learned",
@@ -423,13 +516,13 @@ def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
         (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"),
-        cost.alias("score"),
-        spelled.alias("spelled"),
-        (-spelled * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        "score",
+        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Every document's scores as :func:`scored` gives them, learned from those whose crc32(doc_id) mod 7 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scored(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
-    return found.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled", "bits_per_byte")
+    return found.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

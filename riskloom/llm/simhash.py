@@ -96,65 +96,62 @@ def _ball(value: Column, width: int, radius: int) -> list[Column]:
     return [value.bitwiseXOR(F.lit(x).cast("long")) for x in flips]
 
 
-def _keys(prints: DataFrame, lanes: list[str], parts: int, radii: list[int], kept: list[str]) -> DataFrame:
-    """A row ``kept.., k, value`` for each value in the ball of each segment."""
-    balls = [F.struct(F.lit(k).alias("k"), x.alias("value")) for value, width, k in _places(lanes, parts) for x in _ball(value, width, radii[k])]
-    return prints.select(*kept, F.explode(F.array(*balls)).alias("e")).select("e.k", "e.value", *kept)
+def _keys(prints: DataFrame, places: list[tuple[Column, int, int]], radii: list[int], kept: list[str]) -> DataFrame:
+    """A row ``key, kept..`` for each value in the ball of each segment; the key holds the segment's number and the value."""
+    balls = [x + F.lit(k << 48) if width <= 48 else F.xxhash64(F.lit(k), x) for value, width, k in places for x in _ball(value, width, radii[k])]
+    return prints.select(*kept, F.explode(F.array(*balls)).alias("key")).select("key", *kept)
 
 
-def _apart(lanes: list[str], other: str = "_t") -> Column:
+def _apart(lanes: list[str]) -> Column:
     """How many bits of two fingerprints differ."""
-    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(x + other))) for x in lanes), start=F.lit(0))
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_t"))) for x in lanes), start=F.lit(0))
 
 
-def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str | None = None, node: str = "fp", lanes: tuple[str, ...] = ("fp",), radius: int | None = None, also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str | None = None, node: str = "fp", lanes: tuple[str, ...] = ("fp",), radius: int | None = None, more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """Links ``u, v`` (u > v) between distinct nodes whose fingerprints are at most ``distance`` bits apart.
 
     A fingerprint is held in the columns ``lanes`` of 64 bits, each cut in ``parts`` segments. Multi-index
     hashing: with distance = a*segments + b, two such fingerprints are within a bits in one of the first b+1
     segments or within a-1 bits in one of the others, so probing the Hamming balls of these radii in the
     segments' tables meets every link; the complete distance is verified inside the join. A given
-    ``radius`` is probed in all segments instead (it may then miss links that are spread evenly). ``also``
-    is a further condition on the ``kept`` columns (those of the table's side end in ``_t``).
+    ``radius`` is probed in all segments instead (it may then miss links that are spread evenly), and the
+    segments of the ``more`` lanes are probed to radius 0. ``also`` is a further condition on the ``kept``
+    columns (those of the table's side end in ``_t``).
 
-    With ``label``, links between nodes of one label are left out, and such pairs are not even met: each
-    bucket of a table is told apart in its most frequent label and the others, and a probe of that label
-    meets the others only. So a large group that already has one label costs each bucket its size, not
-    the square.
+    With ``label``, links between nodes of one label are left out, each other pair is met once, by the
+    probes of the smaller label, and the largest label sends none: a large group that has one label already
+    costs no more than the probes of the others that meet it.
     """
-    lanes, count = list(lanes), len(lanes) * parts
-    whole, extra = divmod(distance, count)
-    radii = [radius if radius is not None else whole if k <= extra else whole - 1 for k in range(count)]
+    lanes = list(lanes)
+    first, second = _places(lanes, parts), _places([*lanes, *more], parts)
+    whole, extra = divmod(distance, len(first))
+    radii = [radius if radius is not None else whole if k <= extra else whole - 1 for k in range(len(first))] + [0] * (len(second) - len(first))
     if max(radii) > 2:
         raise ValueError("distance is too large for this number of segments")
-    carried = list(dict.fromkeys([node, *lanes, *kept, *([label] if label else [])]))
-    entries = _keys(prints, lanes, parts, [0] * count, carried)
-    asked = _keys(prints, lanes, parts, radii, carried)
-    on = ["k", "value"]
-    if label:
-        sizes = entries.groupBy(*on, label).agg(F.count("*").alias("n")).groupBy(*on).agg(F.max(F.struct("n", label)).alias("most"), F.count("*").alias("labels"))
-        most = saved(sizes.select(*on, F.col(f"most.{label}").alias("most"), "labels"))
-        entries = entries.join(most, on).withColumn("minor", F.col(label) != F.col("most")).drop("most", "labels")
-        useful = F.when(F.col(label) != F.col("most"), F.array(F.lit(False), F.lit(True))).when(F.col("labels") > 1, F.array(F.lit(True)))
-        asked = asked.join(most, on).withColumn("minor", F.explode(useful)).drop("most", "labels")
-        entries, asked, on = saved(entries), saved(asked), [*on, "minor"]
-    entries = entries.select(*on, *(F.col(x).alias(f"{x}_t") for x in carried))
-    met = asked.join(entries, on).where((F.col(node) > F.col(f"{node}_t")) & (_apart(lanes) <= distance))
+    carried = list(dict.fromkeys([node, *lanes, *kept]))
+    asked, order = prints, F.col(node) > F.col(f"{node}_t")
     if label:
-        met = met.where(F.col(label) != F.col(f"{label}_t"))
+        sizes = saved(prints.groupBy(label).agg(F.count("*").alias("__size")))
+        largest = sizes.agg(F.max(F.struct("__size", label)).alias("x")).select("x.*").first()
+        prints = prints.join(sizes, label)
+        asked = prints.where(F.col(label) != largest[1]) if largest[1] is not None else prints
+        carried += ["__size", label]
+        order = F.struct("__size", label) < F.struct(F.col("__size_t").alias("__size"), F.col(f"{label}_t").alias(label))
+    entries = _keys(prints, second, [0] * len(second), carried).select("key", *(F.col(x).alias(f"{x}_t") for x in carried))
+    met = _keys(asked, second, radii, carried).join(entries.hint("merge"), "key").where(order & (_apart(lanes) <= distance))
     if also is not None:
         met = met.where(also)
-    return met.select(F.col(node).alias("u"), F.col(f"{node}_t").alias("v")).distinct()
+    return met.select(F.greatest(node, f"{node}_t").alias("u"), F.least(node, f"{node}_t").alias("v")).distinct()
 
 
-def _leaders(prints: DataFrame, distance: int, parts: int, node: str = "fp", lanes: tuple[str, ...] = ("fp",), also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+def _leaders(prints: DataFrame, distance: int, parts: int, node: str = "fp", lanes: tuple[str, ...] = ("fp",), more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """For each node, links to the smallest node of its segment buckets, where near enough: a few rows each."""
-    lanes = list(lanes)
+    places = _places([*lanes, *more], parts)
     carried = list(dict.fromkeys([node, *lanes, *kept]))
-    spread = _keys(prints, lanes, parts, [0] * len(lanes) * parts, carried)
-    first = spread.groupBy("k", "value").agg(F.min(F.struct(*carried)).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("k", "value", *(F.col(f"lead.{x}").alias(f"{x}_t") for x in carried))
-    near = spread.join(first, ["k", "value"]).where((F.col(node) != F.col(f"{node}_t")) & (_apart(lanes) <= distance))
+    spread = _keys(prints, places, [0] * len(places), carried)
+    first = spread.groupBy("key").agg(F.min(F.struct(*carried)).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("key", *(F.col(f"lead.{x}").alias(f"{x}_t") for x in carried))
+    near = spread.join(first, "key").where((F.col(node) != F.col(f"{node}_t")) & (_apart(list(lanes)) <= distance))
     if also is not None:
         near = near.where(also)
     return near.select(F.col(node).alias("u"), F.col(f"{node}_t").alias("v")).distinct()
@@ -188,8 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of_print, "fp").select("id", "fp", "text_hash", "component")
 
 
-#: Fingerprints of 256 bits for whole-set similarity: four lanes of 64 bits, each in three segments that are probed to radius 1.
-LANES, SEGMENTS = 4, 3
+#: Fingerprints for whole-set similarity: lanes of 64 bits, each in three segments. The segments of the first two lanes are
+#: probed to radius 1 and their 128 bits are compared; those of the others are probed to radius 0.
+LANES, COMPARED, SEGMENTS = 10, 2, 3
 SALTS = np.random.default_rng(11).integers(0, 1 << 63, LANES, dtype=np.uint64)
 
 
@@ -205,9 +203,9 @@ def _laned(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def allowance(similarity: float) -> int:
-    """Differing bits of 256 that two sets of this Jaccard similarity are all but sure (four deviations) not to exceed."""
+    """Differing bits of the compared 128 that two sets of this Jaccard similarity are all but sure (four deviations) not to exceed."""
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    bits = BITS * LANES
+    bits = BITS * COMPARED
     return min(bits, math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share))))
 
 
@@ -260,10 +258,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are linked where the Jaccard similarity of their ``width``-word shingle sets (ASCII
     lower-cased words, 64-bit hashes) is ``similarity`` or more. Texts with equal sets are one node from
-    the start. Candidates come from multi-index hashing of 256-bit SimHash fingerprints of the sets: twelve
-    segments are probed to radius 1, the complete distance is checked against :func:`allowance`, and whole
-    sets decide. A pair of similarity 0.8 is met with a chance of about 0.86, one of 0.85 with 0.95, of 0.9
-    with 0.99 (and more often through a third text). Nodes are first compared with the smallest node of
+    the start. Candidates come from multi-index hashing of SimHash fingerprints of the sets: six segments of
+    21 bits are probed to radius 1 and 24 more to radius 0, the distance of 128 bits is checked against
+    :func:`allowance`, and whole sets decide. A pair of similarity 0.8 is met with a chance of about 0.83,
+    one of 0.85 with 0.94, of 0.9 with 0.99 (and more often through a third text). Nodes are first compared with the smallest node of
     each of their buckets; the full search then meets only nodes that are not yet in one group.
 
     Null text counts as empty; word-less texts are one group. A null id keeps its row; its component is
@@ -277,7 +275,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = saved(nodes)
     searched, bits = nodes.where("n > 0"), allowance(similarity)
     alike = F.least("n", "n_t") >= F.greatest("n", "n_t") * F.lit(similarity - 1e-9)
-    how = {"node": "node", "lanes": _LANES, "also": alike, "kept": ("n",)}
+    how = {"node": "node", "lanes": _LANES[:COMPARED], "more": _LANES[COMPARED:], "also": alike, "kept": ("n",)}
     stars = components(_verified(_leaders(searched, bits, SEGMENTS, **how), rows, nodes, width, similarity))
     named = saved(searched.join(stars, "node", "left").select("node", "n", *_LANES, F.coalesce("root", "node").alias("label")))
     links = _verified(near_links(named, bits, SEGMENTS, label="label", radius=1, **how), rows, nodes, width, similarity)
