@@ -18,7 +18,8 @@ def corpus(n, seed):
     vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
     weights = [1 / (k + 1) for k in range(300)]
     rare = lambda: "".join(rng.choice(parts) for _ in range(4))
-    return [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(1, 80)) + [rare()]).title(), "x") for k in range(n)]
+    phrases = [" ".join(rng.choices(vocabulary, weights, k=3)) for _ in range(200)]  # texts have an order to learn
+    return [(k, " ".join(rng.choices(phrases, k=rng.randrange(1, 27)) + [rare()] * (k % 3 > 0)).title(), "x") for k in range(n)]
 
 
 CODE = Code(np.bincount(np.frombuffer(b"the cat and the hat \n", np.uint8), minlength=256))
