@@ -2,46 +2,70 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Into so many ranges of the leading order column a table is cut.
-RANGES = 64
 
+def _side(df: DataFrame) -> int:
+    """Ranges are cut in so many coarse ones of so many fine ones: four ranges a shuffle partition, 64 at least."""
+    return max(8, math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
-def _ranged(df: DataFrame, lead: str, ranges: int) -> DataFrame:
-    """``df`` with ``__range``: the number of the score range that a row lies in (approximate quantiles part the ranges).
 
-    Equal scores share a range, and NaN lies above all numbers, as in Spark's order, so the ranges are ordered as the rows are.
+def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1) -> DataFrame:
+    """``df`` with ``__range``: the number of the range of ``lead`` that a row lies in (approximate quantiles part the ranges).
+
+    The quantiles are a subquery of the plan: nothing runs before the result is used. With ``kind`` (0 up
+    to ``kinds``) each kind of rows has ranges of its own. Equal values share a range, and NaN lies above
+    all numbers, as in Spark's order, so the ranges are ordered as the rows are.
     """
-    cuts = df.select(F.when(~F.isnan(lead), F.col(lead)).alias(lead)).agg(F.percentile_approx(lead, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    below = F.lit(0)
-    for cut in sorted(set(cuts)):
-        below = below + (F.col(lead) > F.lit(cut)).cast("int")
-    return df.withColumn("__range", below)
+    side = _side(df)
+    shares = [i / side**2 for i in range(1, side**2)]
+    number = F.when(~F.isnan(lead), F.col(lead))
+    per = [F.percentile_approx(number if kind is None else F.when(kind == i, number), shares, 10_000) for i in range(kinds)]
+    cuts = F.get(df.agg(F.array(*per).alias("c")).scalar(), F.lit(0) if kind is None else kind)
+
+    def above(place: Column) -> Column:
+        return F.coalesce((F.col(lead) > F.get(cuts, place)).cast("int"), F.lit(0))
+
+    coarse = df.withColumn("__coarse", sum((above(F.lit(i * side - 1)) for i in range(1, side)), start=F.lit(0)))
+    fine = sum((above(F.col("__coarse") * side + i) for i in range(side - 1)), start=F.lit(0))
+    return coarse.withColumn("__range", F.col("__coarse") * side + fine).drop("__coarse")
 
 
-def numbered(df: DataFrame, groups: Sequence[str], lead: str, descending: bool = True, ties: Sequence[Column] = (), ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``__row`` (from 1, by ``lead`` within each group) and ``__rows`` (the size of the group).
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+    """Equality of columns with those of the right side, which are named __g0, __g1 and so on; null equals null."""
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on &= left[c].eqNullSafe(right[f"__g{i}"])
+    return on
 
-    Rows are numbered within (group, range), which are spread over the cluster, and moved up by the rows of
-    the ranges before, a table of at most groups x ranges counts.
+
+def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1) -> DataFrame:
+    """``df`` with ``<value>_run`` and ``<value>_all``: sums of its group from the highest ``lead`` down to and with the row (lowest up, if not ``descending``), and of the whole group.
+
+    Rows are summed within (group, range), which are spread over the cluster, and moved up by the sums of
+    the ranges before, a table of at most groups x ranges rows.
     """
-    ranged = _ranged(df, lead, ranges)
+    parts = ranged(df, lead, kind, kinds)
     direction = F.desc if descending else F.asc
-    counts = ranged.groupBy(*groups, "__range").agg(F.count("*").alias("__here"))
     ahead = Window.partitionBy(*groups).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"__ahead": F.coalesce(F.sum("__here").over(ahead), F.lit(0)), "__rows": F.sum("__here").over(Window.partitionBy(*groups))}).drop("__here")
-    inner = Window.partitionBy(*groups, "__range").orderBy(direction(lead), *ties)
-    own = ranged.withColumn("__own", F.row_number().over(inner))
-    same = counts.withColumnsRenamed({c: f"__g{i}" for i, c in enumerate([*groups, "__range"])})
-    on = own["__range"] == same[f"__g{len(groups)}"]
-    for i, c in enumerate(groups):
-        on &= own[c].eqNullSafe(same[f"__g{i}"])
-    joined = own.join(same, on)
-    return joined.select(*df.columns, (F.col("__own") + F.col("__ahead")).alias("__row"), F.col("__rows"))
+    whole = Window.partitionBy(*groups)
+    sums = parts.groupBy(*groups, "__range").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate([*groups, "__range"])]
+    sums = sums.select(*keys, *[F.coalesce(F.sum(f"__s_{v}").over(ahead), F.lit(0)).alias(f"__a_{v}") for v in values], *[F.sum(f"__s_{v}").over(whole).alias(f"{v}_all") for v in values])
+    inner = Window.partitionBy(*groups, "__range").orderBy(direction(lead), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = parts.withColumns({f"__o_{v}": F.sum(v).over(inner) for v in values})
+    joined = own.join(sums, _same(own, sums, [*groups, "__range"]))
+    return joined.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values], *[f"{v}_all" for v in values])
+
+
+def numbered(df: DataFrame, groups: Sequence[str], lead: str, descending: bool = True, ties: Sequence[Column] = ()) -> DataFrame:
+    """``df`` with ``__row`` (from 1, by ``lead`` within each group) and ``__rows`` (the size of the group)."""
+    counted = running(df.withColumn("__one", F.lit(1)), groups, lead, ["__one"], descending, ties)
+    return counted.select(*df.columns, F.col("__one_run").alias("__row"), F.col("__one_all").alias("__rows"))
 
 
 def tile_of(row: Column, rows: Column, tiles: int) -> Column:
@@ -52,21 +76,22 @@ def tile_of(row: Column, rows: Column, tiles: int) -> Column:
     return F.when(row <= edge, F.ceil(row / (size + 1))).otherwise(late).cast("int")
 
 
-def tiled(df: DataFrame, groups: Sequence[str], score: str, tiles: int, descending: bool = True, ties: Sequence[Column] = ()) -> DataFrame:
-    """``df`` with ``__tile``: equal shares of each group's rows in score order, the highest scores (or lowest) in tile 1."""
-    ranked = numbered(df, groups, score, descending, ties)
-    return ranked.select(*df.columns, tile_of(F.col("__row"), F.col("__rows"), tiles).alias("__tile"))
-
-
-def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], ranges: int = RANGES) -> DataFrame:
-    """``df`` (one row a group and ``lead``) with ``<value>_run``: sums from the highest ``lead`` down to and with the row."""
-    ranged = _ranged(df, lead, ranges)
-    sums = ranged.groupBy(*groups, "__range").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    ahead = Window.partitionBy(*groups).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*groups, "__range"])], *[F.coalesce(F.sum(f"__s_{v}").over(ahead), F.lit(0)).alias(f"__a_{v}") for v in values])
-    inner = Window.partitionBy(*groups, "__range").orderBy(F.desc(lead)).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.withColumns({f"__o_{v}": F.sum(v).over(inner) for v in values})
-    on = own["__range"] == sums[f"__g{len(groups)}"]
-    for i, c in enumerate(groups):
-        on &= own[c].eqNullSafe(sums[f"__g{i}"])
-    return own.join(sums, on).select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values])
+def tile_end(tile: Column, rows: Column, tiles: int) -> Column:
+    """The number of the last row of a tile (0 for tile 0)."""
+    return tile * F.floor(rows / tiles) + F.least(tile, rows % tiles)
+
+
+def tiled(counts: DataFrame, groups: Sequence[str], lead: str, tiles: int, descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1) -> DataFrame:
+    """``groups.., lead, tile, n, e``: rows of counts (n rows alike, e of them events) in equal shares of each group's rows.
+
+    The highest values (or lowest) are in tile 1. A row of counts that a tile's end cuts is parted there;
+    of rows that are alike in ``lead`` and ``ties`` the events come last, so the result is definite.
+    """
+    ran = running(counts.where("n > 0"), groups, lead, ["n"], descending, ties, kind, kinds)
+    before = F.col("n_run") - F.col("n")
+    spans = ran.withColumns({"__before": before, "__tiles": F.sequence(tile_of(before + 1, F.col("n_all"), tiles), tile_of(F.col("n_run"), F.col("n_all"), tiles))})
+    each = spans.withColumn("tile", F.explode("__tiles"))
+    low = F.greatest("__before", tile_end(F.col("tile") - 1, F.col("n_all"), tiles))
+    high = F.least("n_run", tile_end(F.col("tile"), F.col("n_all"), tiles))
+    others = F.col("__before") + F.col("n") - F.col("e")
+    return each.select(*groups, lead, "tile", (high - low).alias("n"), F.greatest(F.lit(0), high - F.greatest(low, others)).alias("e"))

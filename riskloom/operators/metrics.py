@@ -24,6 +24,10 @@ def _keys(groups: Sequence[str]) -> list[str]:
     return [f"g{i}" for i in range(len(groups))]
 
 
+def _ties(ties: Sequence[str]) -> list[str]:
+    return [f"t{i}" for i in range(len(ties))]
+
+
 def _named(groups: Sequence[str]) -> list[Column]:
     return [F.col(f"g{i}").alias(g) for i, g in enumerate(groups)]
 
@@ -32,10 +36,15 @@ def _down(keys: Sequence[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def tile_counts(rows: DataFrame, keys: Sequence[str], n_tiles: int, ties: Sequence[str] = (), descending: bool = True) -> DataFrame:
+def collapsed(rows: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """Rows that are alike as one: how many (n), and how many of them events (e). A common score becomes one row before it is shuffled."""
+    return rows.groupBy(*keys, "s", *ties).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("e"))
+
+
+def tile_counts(counts: DataFrame, keys: Sequence[str], n_tiles: int, ties: Sequence[str] = (), descending: bool = True, kind: Column | None = None, kinds: int = 1) -> DataFrame:
     """Per group and tile: lowest and highest score, rows, events. A table of groups x tiles."""
-    parts = tiled(rows, keys, "s", n_tiles, descending, [F.col(t) for t in ties])
-    return parts.groupBy(*keys, F.col("__tile").alias("tile")).agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n"), F.sum("y").cast("long").alias("e"))
+    parts = tiled(counts, keys, "s", n_tiles, descending, [F.col(t) for t in ties], kind, kinds)
+    return parts.groupBy(*keys, "tile").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
 def _ks(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,22 +65,16 @@ def _area(points: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return found.withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def _tile_points(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def tile_points(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     down = _down(keys, "tile")
     return counts.withColumns({"er": F.sum("e").over(down), "nr": F.sum(F.col("n") - F.col("e")).over(down), "e_all": F.sum("e").over(whole), "n_all": F.sum(F.col("n") - F.col("e")).over(whole)})
 
 
-def _exact_points(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A point for each distinct score: rows collapse to counts first, which run down distributed."""
-    counts = rows.groupBy(*keys, "s").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("e")).withColumn("o", F.col("n") - F.col("e"))
-    totals = counts.groupBy(*keys).agg(F.sum("e").alias("e_all"), F.sum("o").alias("n_all"))
-    run = running(counts, keys, "s", ["e", "o"]).withColumnsRenamed({"e_run": "er", "o_run": "nr"})
-    renamed = totals.withColumnsRenamed({k: f"k_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on &= run[k].eqNullSafe(renamed[f"k_{k}"])
-    return run.join(renamed, on).select(*run.columns, "e_all", "n_all")
+def exact_points(counts: DataFrame, keys: Sequence[str], kind: Column | None = None, kinds: int = 1) -> DataFrame:
+    """A point for each distinct score, from rows of counts; the sums run down distributed."""
+    whole = counts.where("n > 0").groupBy(*keys, "s").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).withColumn("o", F.col("n") - F.col("e"))
+    return running(whole, keys, "s", ["e", "o"], kind=kind, kinds=kinds).withColumnsRenamed({"e_run": "er", "o_run": "nr", "o_all": "n_all"})
 
 
 def _empty_overall(found: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -93,7 +96,7 @@ def ks_ntile(score_column: str = "score", dataframe: DataFrame | None = None, gr
     require_columns(dataframe, [score_column, target, *groups, *ties])
     rows = _narrow(dataframe, groups, score_column, target, ties).where(F.col("s").isNotNull() & F.col("y").isin(0.0, 1.0))
     keys = _keys(groups)
-    found = _ks(_tile_points(tile_counts(rows, keys, n_tiles, [f"t{i}" for i in range(len(ties))]), keys), keys)
+    found = _ks(tile_points(tile_counts(collapsed(rows, keys, _ties(ties)), keys, n_tiles, _ties(ties)), keys), keys)
     return _empty_overall(found, keys, ["KS"]).select(*_named(groups), "KS")
 
 
@@ -127,7 +130,7 @@ def auc_gini(score_column: str = "score", df: DataFrame | None = None, group_by:
     reject(df, binary_fault(target_column))
     keys = _keys(groups)
     rows = _valid(_narrow(df, groups, score_column, target_column, ties))
-    points = _exact_points(rows, keys) if exact else _tile_points(tile_counts(rows, keys, n_tiles, [f"t{i}" for i in range(len(ties))]), keys)
+    points = exact_points(collapsed(rows, keys), keys) if exact else tile_points(tile_counts(collapsed(rows, keys, _ties(ties)), keys, n_tiles, _ties(ties)), keys)
     found = _all_groups(df, _area(points, keys, "s"), groups, ["auc", "gini"])
     return _empty_overall(found, keys, ["auc", "gini"]).select(*_named(groups), "auc", "gini")
 
@@ -141,7 +144,7 @@ def ks_exact(score_column: str, df: DataFrame, group_by: str | Sequence[str] | N
     require_columns(df, [score_column, target_column, *groups])
     reject(df, binary_fault(target_column))
     keys = _keys(groups)
-    found = _ks(_exact_points(_valid(_narrow(df, groups, score_column, target_column)), keys), keys)
+    found = _ks(exact_points(collapsed(_valid(_narrow(df, groups, score_column, target_column)), keys), keys), keys)
     return _empty_overall(_all_groups(df, found, groups, ["KS"]), keys, ["KS"]).select(*_named(groups), "KS")
 
 
@@ -155,7 +158,7 @@ def curve_roc(score_column: str = "score", df: DataFrame | None = None, target_c
     require_columns(df, [score_column, target_column, *ties])
     reject(df, binary_fault(target_column))
     rows = _valid(_narrow(df, [], score_column, target_column, ties))
-    points = _exact_points(rows, []) if exact else _tile_points(tile_counts(rows, [], n_tiles, [f"t{i}" for i in range(len(ties))]), [])
+    points = exact_points(collapsed(rows, []), []) if exact else tile_points(tile_counts(collapsed(rows, [], _ties(ties)), [], n_tiles, _ties(ties)), [])
     both = points.where("e_all > 0 and n_all > 0")
     fpr, tpr = F.col("nr") / F.col("n_all"), F.col("er") / F.col("e_all")
     label = F.col("s").alias("threshold") if exact else F.col("tile").alias("tile")
@@ -173,7 +176,7 @@ def risk_table(score_column: str = "score", df: DataFrame | None = None, target_
     require_columns(df, [score_column, target_column, *ties])
     reject(df, binary_fault(target_column) | {f"scores in {score_column!r} must be finite": F.abs(col(score_column).cast("double")) == float("inf")})
     rows = _valid(_narrow(df, [], score_column, target_column, ties))
-    counts = tile_counts(rows, [], n_tiles, [f"t{i}" for i in range(len(ties))], not ascending)
+    counts = tile_counts(collapsed(rows, [], _ties(ties)), [], n_tiles, _ties(ties), not ascending)
     return risk_columns(counts).orderBy("n_tile")
 
 

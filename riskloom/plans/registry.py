@@ -90,16 +90,12 @@ def _cube_sql(kind: str) -> str:
             counts = _tiles_sql(keys, score) if kind == "metrics" else _scores_sql(keys, score)
             auc = "sum(dn * (2 * tpr - de) / 2)"
             parts.append(f"SELECT {labels}, round(max(abs(tpr - fpr)), 5) AS \"KS\", round({auc}, 5) AS \"AUC\", round(2 * {auc} - 1, 5) AS \"Gini\", '{score}' AS score FROM ({_points_sql(counts, keys)}){f' GROUP BY {keys}' if keys else ''}")
-    return f"WITH pred AS (SELECT * FROM ({tables.SCORED}) WHERE period BETWEEN 1996 AND 1998) " + " UNION ALL ".join(parts)
+    return f"WITH pred AS (SELECT * FROM ({tables.SCORED})) " + " UNION ALL ".join(parts)
 
 
-def _cube_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where("period between 1996 and 1998")
-
-
-query("cube_metrics", _cube_sql("metrics"))(lambda s, d: cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"]))
-query("cube_metrics_exact", _cube_sql("exact"))(lambda s, d: cube.calculate_metrics(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"], exact=True))
-query("cube_ntile", _cube_sql("tiles"))(lambda s, d: _rounded(cube.calculate_ntile(_cube_rows(s, d), ["seg", "period"], ["score", "reverse"], n_tiles=5)))
+query("cube_metrics", _cube_sql("metrics"))(lambda s, d: cube.calculate_metrics(_scored(s, d), ["seg", "period"], ["score", "reverse"]))
+query("cube_metrics_exact", _cube_sql("exact"))(lambda s, d: cube.calculate_metrics(_scored(s, d), ["seg", "period"], ["score", "reverse"], exact=True))
+query("cube_ntile", _cube_sql("tiles"))(lambda s, d: _rounded(cube.calculate_ntile(_scored(s, d), ["seg", "period"], ["score", "reverse"], n_tiles=5)))
 
 
 # Point-in-time features.

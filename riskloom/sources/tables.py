@@ -19,10 +19,10 @@ SPINE = """SELECT c_custkey AS id, c_mktsegment AS segment, r FROM customer CROS
 DAILY = "SELECT user_id AS id, CAST(ts AS DATE) AS d, sum(value) AS total FROM events GROUP BY user_id, CAST(ts AS DATE)"
 DAILY_SPINE = "SELECT DISTINCT user_id AS id, CAST('2024-01-20' AS DATE) AS r FROM events"
 #: What was sent to a provider and what came back, with gaps, repeats and values out of range.
-SENT = "SELECT CASE WHEN o_orderkey % 97 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey END AS id, CAST(o_orderdate AS DATE) AS dt FROM orders WHERE o_orderkey % 5 <> 0"
-RECEIVED = """SELECT o_orderkey - o_orderkey % 2 AS id, CASE WHEN o_orderkey % 89 = 0 THEN CAST(NULL AS DATE) ELSE CAST(o_orderdate AS DATE) END AS dt,
+SENT = "SELECT CASE WHEN o_orderkey % 97 = 0 THEN CAST(NULL AS BIGINT) WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS id, CAST(o_orderdate AS DATE) AS dt FROM orders"
+RECEIVED = """SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey - o_orderkey % 2 END AS id, CASE WHEN o_orderkey % 89 = 0 THEN CAST(NULL AS DATE) ELSE CAST(o_orderdate AS DATE) END AS dt,
  CASE WHEN o_orderkey % 53 = 0 THEN CAST(NULL AS DOUBLE) WHEN o_orderkey % 101 = 0 THEN CAST(-5 AS DOUBLE) WHEN o_orderkey % 103 = 0 THEN CAST(1200 AS DOUBLE)
- ELSE o_totalprice / CAST(500 AS DOUBLE) END AS score FROM orders WHERE o_orderkey % 7 <> 0"""
+ ELSE o_totalprice / CAST(500 AS DOUBLE) END AS score FROM orders"""
 #: Features and a target for selection.
 SELECTION = """SELECT CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INT) AS target, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
  CAST(l_linenumber AS INT) AS code, CASE WHEN l_orderkey % 10 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_quantity END AS sparse, CAST(7 AS INT) AS flat, l_linestatus AS status,
