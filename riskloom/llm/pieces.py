@@ -50,8 +50,17 @@ class Pieces:
         pairs = {(normal[t[:k]], normal[t[k:]]): i for t, i in normal.items() for k in range(1, len(t)) if t[:k] in normal and t[k:] in normal}
         self.pairs = pairs
         keys = np.array([a * (self.size + 1) + b for a, b in pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.array(list(pairs.values()), dtype=np.int32)[order]
+        merged, self.tables = np.array(list(pairs.values()), dtype=np.int32), []
+        while len(keys):  # hashed tables of pairs; what finds its slot taken goes to the next table
+            shift = np.uint64(64 - max(8, (16 * len(keys)).bit_length()))
+            table = np.full(1 << (64 - int(shift)), -1, dtype=np.int64), np.full(1 << (64 - int(shift)), -1, dtype=np.int32)
+            slot = self._slot(keys, shift)
+            _, first = np.unique(slot, return_index=True)
+            table[0][slot[first]], table[1][slot[first]] = keys[first], merged[first]
+            self.tables.append((shift, *table))
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, merged = keys[rest], merged[rest]
         raw = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else t.replace("▁", " ").encode() for i, t in enumerate(texts)]
         self.raw_starts = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -60,11 +69,18 @@ class Pieces:
             raise ValueError("pieces with a blank inside are not supported")
         self.units = re.compile(r" *[^ \n]+| +|\n" if "\n" not in inner else r" *[^ ]+| +")
 
+    @staticmethod
+    def _slot(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).view(np.int64)
+
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair merges to, or -1."""
         key = left.astype(np.int64) * (self.size + 1) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        found = np.full(len(key), -1, dtype=np.int32)
+        for shift, keys, merged in self.tables:
+            slot = self._slot(key, shift)
+            np.copyto(found, merged[slot], where=keys[slot] == key)
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,11 +100,9 @@ def dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndar
     return (_mix(_mix(place) ^ key) >> np.uint64(40)).astype(np.float64) < dropout * (1 << 24)
 
 
-def unit_key(points: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """A hash of each unit's characters with its salt."""
-    place = (np.arange(len(points)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.uint64)
-    value = _mix(points.astype(np.uint64) + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return _mix(np.add.reduceat(value, starts[:-1]) ^ salt) if len(starts) > 1 else np.zeros(0, np.uint64)
+def unit_keys(salt: int, offsets: np.ndarray) -> np.ndarray:
+    """A key for each unit of a text: of the text's salt and the unit's place in the text."""
+    return _mix(offsets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
 def agenda(model: Pieces, points: np.ndarray, key: np.uint64, dropout: float) -> list[tuple[int, int]]:
@@ -168,12 +182,11 @@ def matrix(model: Pieces, points: np.ndarray, starts: np.ndarray, keys: np.ndarr
     return ids, first, counts
 
 
-def encode_units(model: Pieces, units: list[str], salts: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def encode_units(model: Pieces, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """The piece ids of all units in one array, and where each unit's begin (the end last)."""
     sizes = np.array([len(u) for u in units], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    keys = unit_key(points, starts, salts)
     unit, piece, place = [], [], []
     edges = (0, 3, 6, 9, 13, 18, 26, WIDE)
     for low, high in zip(edges, edges[1:], strict=False):
@@ -214,37 +227,45 @@ def gathered(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tupl
 
 
 def encode_texts(model: Pieces, texts: list[str], salts: list[int], dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts in one array, and where each text's begin; units that texts of one salt share are encoded once."""
-    index: dict[tuple[str, int], int] = {}
-    chosen, counts = [], []
-    for text, salt in zip(texts, salts, strict=True):
-        units = model.units.findall(f" {text}") if text else []
-        counts.append(len(units))
-        chosen += [index.setdefault((u, salt), len(index)) for u in units]
-    flat, starts = encode_units(model, [u for u, _ in index], np.array([s for _, s in index], dtype=np.uint64), dropout)
-    ids, ends = gathered(flat, starts, np.array(chosen, dtype=np.int64))
-    return ids, ends[np.concatenate(([0], np.cumsum(counts)))]
-
-
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+    """Piece ids of all texts in one array, and where each text's begin.
+
+    Each unit is encoded where it stands, by its own key; without dropout equal units are encoded once.
+    """
+    parts = [model.units.findall(f" {text}") if text else [] for text in texts]
+    counts = [len(x) for x in parts]
+    units = [u for x in parts for u in x]
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    if dropout:
+        places = np.cumsum(np.concatenate(([0], [len(u) for u in units])))
+        keys = [unit_keys(salt, places[a:b] - places[a]) for salt, a, b in zip(salts, bounds, bounds[1:], strict=False)]
+        ids, starts = encode_units(model, units, np.concatenate(keys) if keys else np.zeros(0, np.uint64), dropout)
+        return ids, starts[bounds]
+    index: dict[str, int] = {}
+    chosen = np.array([index.setdefault(u, len(index)) for u in units], dtype=np.int64)
+    flat, starts = encode_units(model, list(index), np.zeros(len(index), np.uint64), 0.0)
+    ids, ends = gathered(flat, starts, chosen)
+    return ids, ends[bounds]
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """``docs`` with ``pieces``: the piece ids of each whole text, as the model's merges give them with dropout.
 
     With dropout 0 these are the library's own pieces. Else each candidate merge is skipped with that
-    chance, decided by a hash of the seed, the document's variant (``variants`` of them, by a hash of
-    its id), the unit (a word with its blanks) and the candidate's place in it; so results do not depend
-    on how rows are dealt, a document is encoded alike each time, another seed gives other pieces, and
-    like documents of different variants differ. Every text decodes to itself, whatever was skipped.
-
-    Null and empty texts have no pieces; null ids are of variant 0. Rows pass through with all columns
-    (one named ``pieces`` is replaced). One pass, no shuffle.
+    chance, decided by a hash of the seed, the document's id, the unit's (a word with its blanks) place in
+    the text and the candidate's place in the unit. So each occurrence of a word draws its own merges, in
+    one document too; results do not depend on how rows are dealt, a document is encoded alike each time,
+    and another seed gives other pieces. Every text decodes to itself, whatever was skipped.
+
+    Null and empty texts have no pieces; null ids have a key of their own; rows with the same id and text
+    are encoded alike. Rows pass through with all columns (one named ``pieces`` is replaced). One pass, no
+    shuffle; a very long text is a task's work alone.
     """
     docs = docs.drop("pieces")
-    place = docs.columns.index(id_col)
-    keyed = docs.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(docs.columns[place]).cast("string")), F.lit(variants)), F.lit(0)) + F.lit(seed) * variants)
+    keyed = docs.withColumn("__salt", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(vocabulary)
-        for rows, raw in sliced(batches, text_col, 2 << 20):
+        for rows, raw in sliced(batches, text_col, 1 << 19):
             ids, starts = encode_texts(model, [x.decode() for x in raw], [x & (1 << 64) - 1 for x in rows.column(rows.num_columns - 1).to_pylist()], dropout)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*rows.schema.names[:-1], "pieces"])
@@ -278,7 +299,7 @@ def decoded(docs: DataFrame, pieces_col: str = "pieces", vocabulary: str = "piec
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Each document's pieces, counted and hashed, and whether they decode to its text."""
+    """Each document's pieces, their number, and whether they decode to its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = decoded(encoded(docs))
-    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"), "pieces")

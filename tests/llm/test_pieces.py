@@ -3,7 +3,7 @@ import random
 import numpy as np
 import sentencepiece
 
-from riskloom.llm.pieces import agenda, decode_ids, decoded, encode_texts, encoded, op4_sentencepiece, pieces, unit_key
+from riskloom.llm.pieces import agenda, decode_ids, decoded, encode_texts, encoded, op4_sentencepiece, pieces, unit_keys
 from riskloom.llm.tokens import vocabulary_path
 
 NAME = "piece_bpe_32k.model"
@@ -32,10 +32,11 @@ def test_matrix_as_agenda_and_lossless():
         for text in texts(80, 2):
             ids, starts = encode_texts(model, [text], [5], dropout)
             assert decode_ids(model, ids, starts) == [text]
-            plain = []
+            plain, place = [], 0
             for unit in model.units.findall(f" {text}") if text else []:
                 points = np.array([ord(c) for c in unit], dtype=np.uint32)
-                key = unit_key(points, np.array([0, len(points)]), np.array([5], dtype=np.uint64))[0]
+                key = unit_keys(5, np.array([place]))[0]
+                place += len(unit)
                 for piece, at in agenda(model, points, key, dropout):
                     plain += [piece] if piece != model.other else model.byte[list(unit[at].encode())].tolist()
             assert ids.tolist() == plain
@@ -50,6 +51,27 @@ def test_dropout_varies_with_seed_and_rows_do_not_matter(spark):
     assert all(r["decoded"] == (r["text"] or "") for r in back) and len(back) == len(rows)
 
 
+def test_each_occurrence_draws_its_own_merges():
+    model = pieces(NAME)
+    ids, starts = encode_texts(model, ["internationalization " * 200] * 2, [1, 2], 0.2)
+    one, two = split(ids, starts)
+    assert one != two and decode_ids(model, ids, starts) == ["internationalization " * 200] * 2
+    words, at = set(), []
+    for i in one:
+        if model.raw[model.raw_starts[i] : model.raw_starts[i] + 1].tobytes() == b" " and at:
+            words.add(tuple(at))
+            at = []
+        at.append(i)
+    assert len(words) > 20
+
+
+def test_a_very_long_text():
+    model = pieces(NAME)
+    long = "the quick été 日本 " * 60_000 + "x" * 5000
+    ids, starts = encode_texts(model, [long, ""], [9, 9], 0.1)
+    assert decode_ids(model, ids, starts) == [long, ""]
+
+
 def test_query(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
