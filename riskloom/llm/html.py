@@ -16,7 +16,6 @@ from riskloom.llm.shared import sliced
 
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|select|button|svg|math|object|audio|video|canvas|noembed|noframes)\b[^>]*+(?:(?<=/)>|>(?:.*?</(?P=raw)\b[^>]*>|.*))"
     r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|$)"
     r"|<[!?/][^>]*+(?:>|$)",
@@ -25,94 +24,77 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[^\W_]+")
 
-# Element names that end a block, that hold one, that stand for boilerplate, and words that class, id and role use.
+# Element names whose content is no text (the first four hold it to their end tag or the page's end, the others
+# need an end tag), that end a block, that hold one, that stand for boilerplate or controls, and words that class, id and role use.
+OPAQUE = frozenset("script style title textarea".split())
+EMBEDDED = frozenset("audio button canvas iframe math noembed noframes noscript object select svg template video".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol p search section span table td ul".split())
-BOILERPLATE = frozenset("aside dialog fieldset footer form menu nav search".split())
+BOILERPLATE = frozenset("aside dialog footer menu nav search".split())
+CONTROLS = frozenset("button label legend optgroup option summary".split())
 CONTENT_ROLES = frozenset("main article".split())
 HINTS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising alert author authorbox banner banners bio breadcrumb breadcrumbs byline cmp comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog discussion disclaimer disqus donate dropdown feedback footer footnav gdpr hidden legal login menu menus message meta modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions rail recommendations recommended related replies reply respond review reviews search share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription survey tabs tags teaser toc toolbar topbar tracking trending warning widget widgets".split()
+    "ad ads adbox adsense advert adverts advertisement advertising alert author authorbox banner banners bio breadcrumb breadcrumbs byline cmp comment commentlist comments complementary consent contentinfo cookie cookies copyright dialog discussion disclaimer disqus donate dropdown feedback footer footnav gdpr legal login menu menus message meta modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination popup promo promoted promotion promotions rail recommendations recommended related replies reply respond review reviews search share sharing sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription survey tabs tags teaser toc toolbar topbar tracking trending warning widget widgets".split()
 )
-COMMENTS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
+COMMENTS = frozenset("comment commentlist comments disqus replies respond".split())
+TEASERS = frozenset("ad promo promoted recommended related sponsored teaser".split())
 
-#: A small labelled table of blocks (fixed values). Columns: words, link share, words and link share of the block before and
-#: after, inside an article, outside the page's article, boilerplate element, boilerplate name, main text (1) or not (0).
+#: Small labelled pages. A block is "+" (main text) or "-" (not) and how many words it has, then "." if it ends a sentence and
+#: "a" if it is a link. The tree is grown from their blocks' features, so the table is made by the code that reads pages.
 LABELLED = """
-120 0.00 90 0.00 80 0.00 0 0 0 0 1
-45 0.00 60 0.05 70 0.00 0 0 0 0 1
-30 0.10 45 0.00 12 0.00 0 0 0 0 1
-18 0.00 3 0.00 50 0.00 0 0 0 0 1
-6 0.00 2 1.00 60 0.00 0 0 0 0 1
-5 0.00 40 0.00 55 0.00 0 0 0 0 1
-9 0.00 70 0.02 35 0.00 0 0 0 0 1
-4 0.00 50 0.00 4 1.00 0 0 0 0 1
-8 0.00 25 0.00 6 0.00 0 0 0 0 1
-3 0.00 30 0.00 22 0.00 0 0 0 0 1
-22 0.20 20 0.10 25 0.00 0 0 0 0 1
-2 0.00 2 1.00 16 0.00 0 0 0 0 1
-3 0.00 5 1.00 15 0.00 0 0 0 0 1
-1 0.00 18 0.00 17 0.00 0 0 0 0 1
-17 0.00 1 0.00 1 1.00 0 0 0 0 1
-20 0.00 2 1.00 3 1.00 0 0 0 0 1
-15 0.00 15 0.00 1 1.00 0 0 0 0 1
-14 0.00 4 1.00 0 0.00 0 0 0 0 1
-2 1.00 2 1.00 2 1.00 0 0 0 0 0
-1 1.00 0 0.00 1 1.00 0 0 0 0 0
-4 1.00 3 1.00 50 0.00 0 0 0 0 0
-6 0.90 60 0.00 5 1.00 0 0 0 0 0
-12 0.80 10 0.90 11 0.70 0 0 0 0 0
-25 0.90 24 0.80 30 0.90 0 0 0 0 0
-40 0.60 6 1.00 9 0.90 0 0 0 0 0
-3 0.00 2 1.00 1 1.00 0 0 0 0 0
-5 0.00 4 1.00 3 0.00 0 0 0 0 0
-2 0.00 0 0.00 3 0.00 0 0 0 0 0
-7 0.00 6 0.00 0 0.00 0 0 0 0 0
-4 0.25 3 0.50 2 0.00 0 0 0 0 0
-60 0.00 50 0.00 70 0.00 1 0 0 0 1
-35 0.10 8 0.00 40 0.00 1 0 0 0 1
-14 0.00 3 0.00 1 0.00 1 0 0 0 1
-8 0.00 0 0.00 6 0.00 1 0 0 0 1
-1 0.00 1 0.00 1 0.00 1 0 0 0 1
-2 0.00 30 0.00 2 0.00 1 0 0 0 1
-3 0.33 2 0.00 4 0.00 1 0 0 0 1
-5 0.40 40 0.00 60 0.00 1 0 0 0 1
-20 0.45 12 0.00 15 0.10 1 0 0 0 1
-4 1.00 60 0.00 3 1.00 1 0 0 0 0
-2 1.00 2 1.00 2 1.00 1 0 0 0 0
-8 0.90 4 1.00 6 1.00 1 0 0 0 0
-15 0.95 30 0.00 12 1.00 1 0 0 0 0
-90 0.00 80 0.00 70 0.00 0 1 0 0 0
-30 0.00 4 1.00 60 0.00 0 1 0 0 0
-8 0.00 3 1.00 12 0.00 0 1 0 0 0
-2 1.00 2 1.00 2 1.00 0 1 0 0 0
-15 0.20 40 0.00 0 0.00 0 1 0 0 0
-80 0.00 60 0.00 90 0.00 0 0 1 0 0
-25 0.00 20 0.00 40 0.10 0 0 1 0 0
-12 0.00 5 1.00 70 0.00 0 1 1 0 0
-3 1.00 3 1.00 3 1.00 0 1 1 0 0
-6 0.00 60 0.00 5 0.00 1 0 1 0 0
-40 0.00 60 0.00 30 0.00 1 0 1 0 0
-18 0.30 25 0.00 10 0.50 1 0 1 0 0
-70 0.00 50 0.00 60 0.00 0 0 0 1 0
-22 0.00 30 0.00 9 0.00 0 0 0 1 0
-9 0.00 2 1.00 45 0.00 0 1 0 1 0
-5 0.50 6 0.50 4 0.50 0 1 0 1 0
-35 0.00 50 0.00 28 0.00 1 0 0 1 0
-8 0.00 60 0.00 9 0.00 1 0 0 1 0
-3 0.00 40 0.00 3 0.33 1 0 0 1 0
-12 0.00 9 0.00 20 0.00 1 0 1 1 0
+<header><h2>-2</h2></header><nav><ul><li>-1a<li>-2a<li>-1a</ul></nav><div class=ad>-9.</div><article><h1>+8</h1><p>+30.<p>+55.<p>+4.<p>+70.</article><footer>-12.</footer>
+<nav>-1a -1a -1a</nav><div class=advert>-22.</div><article><h1>+5</h1><p>+12.<p>+9.</article><aside class=sidebar><h3>-2</h3><p>-40.<p>-25.</aside><footer><p>-20.<p>-3a</footer>
+<nav><ul><li>-1a<li>-1a</ul></nav><main><h1>+6</h1><p>+45.<ul><li>+2<li>+3<li>+12.</ul><p>+25.<div class=share><span>-2</span>-1a -1a</div><h2>+3</h2><p>+60.</main><footer>-6.</footer>
+<div id=cookie-notice><p>-32.<p>-5a</div><header><div>-3</div></header><article><h1>+7</h1><p>+80.<p>+40.<blockquote>+18.</blockquote><p>+33.</article><section id=comments><h3>-2</h3><article class=comment><p>-14.</article><article class=comment><p>-60.<p>-25.</article></section><footer>-9.</footer>
+<div class=top>-1a -1a -2a -1a</div><div class=content><h2>+4</h2><p>+40.<p>+65.<p>+3.<p>+28.<p>+90.</div><div class=links>-4a</div><div>-5a</div><div class=footer>-11.</div>
+<div>-1a -1a</div><div class=movie-review><p>+70.<p>+85.<p>+20.</div><div>-2a -2a</div><div class=comments><p>-30.<p>-8.<p>-45.</div>
+<div>-1a -1a -1a</div><div class=message><h2>+3</h2><p>+50.<p>+62.</div><div class=sidebar><p>-20.<p>-15.</div>
+<ul><li>-1a<li>-2a</ul><div class=search-results><p>+44.<p>+58.<p>+39.</div><div id=newsletter><p>-16.<form><label>-3</label></form></div>
+<form><div class=menu>-1a -1a -1a</div><div><h1>+5</h1><p>+48.<p>+66.<p>+31.</div><label>-2</label><div class=footer>-10.</div></form>
+<nav>-2a -2a</nav><article class="post alert"><h1>+6</h1><p>+57.<p>+42.<p>+6.</article><div class=related><h4>-2</h4><p>-9a<p>-8a</div>
+<nav>-1a</nav><main><article><header><h1>+9</h1><p>+14.</header><p>+64.<aside><p>-24.</aside><p>+52.<form><label>-4</label><p>-13.</form><p>+35.<div class=tags>-1a -1a -1a</div></article><article class=teaser><h3>-6a</h3><p>-18.</article></main>
+<header>-2</header><div><div><h3>-3</h3><ul><li>-4a<li>-5a<li>-3a</ul></div><div><h1>+5</h1><p>+36.<table><tr><td>+6<td>+9<td>+4</table><p>+41.<p>+77.<h2>+2</h2><p>+22.</div></div><div>-4</div>
+<div>-3</div><ul><li>-1a<li>-1a<li>-1a<li>-1a</ul><div>-2</div><footer>-7.<p>-3a</footer>
+<nav>-1a -1a</nav><div class=banner><p>-26.</div><article><p>+16.</article><div class=promo><p>-19.<p>-12.</div><div class=social>-1a -1a</div><footer>-30.</footer>
+<div>-6a</div><p>+33.</p><p>+47.</p><p>+8.</p><p>+59.</p><div class=ads>-13.</div><p>+24.</p><div>-12a</div><div>-4 -6a</div>
+<nav>-1a -1a</nav><article><h1>+4</h1><p>+20.<p>-7a<p>+38.<p>-9a<h2>+3</h2><p>+71.<p>+1.<p>+2.<p>-3a</article><aside><p>-35.<p>-50.</aside>
+<header><h1>-3</h1><p>-9.</header><div class=page><h2>+5</h2><p>+27.<p>+5.<p>+44.<h2>+2</h2><ol><li>+11.<li>+14.<li>+9.</ol><p>+38.</div><div class=author><p>-21.</div><footer><p>-15.</footer>
+<div class=notice><p>-17.</div><div>-2a -2a -2a</div><div class=main><p>+88.<p>+95.<p>+13.<p>+61.</div><div class=widget><h4>-2</h4><p>-14.</div><div class=legal>-34.</div>
+<nav>-1a</nav><article><h1>+6</h1><p>+5.<p>+7.<p>+3.</article><div class=comments><p>-40.<p>-55.<p>-62.<p>-48.</div><footer>-14.</footer>
+<nav>-1a -1a</nav><article><h1>+3</h1><p>+1.<p>+1.<p>+40.<p>+1.<p>+1.</article><footer>-5.</footer>
+<nav>-1a</nav><div class=ad>-4.</div><article><h1>+6</h1><p>+1.<p>+2.<p>+1.</article><footer>-8.</footer>
+<div class=ad>-6.</div><article><p>+1.</article><footer>-1.</footer>
+<header>-2</header><main><h1>+2</h1><p>+2.<p>+1.<ul><li>+1<li>+1<li>+2</ul><p>+3.</main><div>-2</div><footer>-1</footer>
+<div>-1a -1a</div><h3>-2</h3><ul><li>-2a<li>-3a</ul><div><h1>+4</h1><p>+30.<p>+1.<p>+25.</div><h3>-3</h3><ul><li>-4a<li>-3a</ul><div>-1</div>
+<div><h3>-3</h3><ul><li>-4a<li>-6a<li>-5a</ul><h2>+5</h2><p>+42.<h2>+3</h2><p>+18.<h3>-2</h3><ul><li>-3a<li>-7a</ul></div><div>-2</div>
+<article><h1>+5</h1><p>+11.<p>+3.</article><h3>-3</h3><p>-14.<h3>-2</h3><p>-5a
+<div>-4</div><div><h2>+3</h2><p>+36.<p>+1.<p>+29.<ul><li>+1<li>+1<li>+3</ul><p>+33.</div><div>-2a -1a</div><div>-3</div>
+<article><h1>+4</h1><p>+26.<ul><li>+2<li>+3</ul><div class=share>-2a</div><p>+14.<ol><li>+4<li>+1</ol><div class=tags>-1a -1a</div></article><footer>-5.</footer>
+<nav>-1a</nav><main><h2>+2</h2><p>+20.<table><tr><td>+1<td>+2</table><div class=pager>-1a -1a</div></main><footer>-4.</footer>
+<nav>-1a</nav><article><p>+17.<ul><li>+2<li>+1<li>+1</ul><p>-2a</article><div>-3a</div>
+<div>-1a</div><div><h1>+3</h1><p>+34.<p>+12.<p>+20.</div>
+<p>+25.<p>+15.
+<h2>+4</h2><p>+9.<p>+18.
+<div>-2a -1a</div><div><p>+40.<p>+7.</div>
+<div>-1a -1a -1a</div><p>+20.<p>+20.
+<div>-3a</div><h1>+4</h1><p>+29.<p>+10.<ul><li>-4a<li>-3a</ul><p>-12.
+<h1>+5</h1><p>+37.<p>+16.<div>-2a -2a -1a</div><div>-9.</div>
+<p>+31.<p>+22.<div>-3a</div><div>-5</div>
+<nav>-1a</nav><article><p>+20.<p>+2.</article>
+<article><h1>+3</h1><p>+28.<p>+1.</article>
+<nav>-2a</nav><main><p>+15.<p>+11.<p>+3.</main>
+<p>+24.<p>+13.<div>-1a -1a</div><div>-2.</div>
+<article><h1>+5</h1><p>+30.<p>+44.</article>
+<article><p>+20.<p>+35.<p>+8.</article>
+<p>+60.
+<div>-1a -2a</div><div class=text><h1>+4</h1><p>+52.<p>+18.<p>+75.</div>
+<main><p>+9.<ul><li>+3<li>+4</ul></main>
+<div>-1a -1a</div><article><h2>+3</h2><p>+90.</article>
+<h1>+6</h1><p>+48.<p>+33.
+<div class=header>-3 -2a</div><div class=story><p>+29.<p>+6.<p>+31.</div><div class=disqus><p>-33.</div><p>-5</p><p>-3</p>
 """
 
 
-@dataclass
-class Block:
-    text: str
-    linked: int
-    inside: bool
-    boiler: bool
-    named: bool
-
-
 @dataclass
 class Holder:
     """What an open element makes of the text in it."""
@@ -120,24 +102,32 @@ class Holder:
     tag: str
     inside: bool = False
     boiler: bool = False
-    named: bool = False
     comments: bool = False
+    hint: int = 0  # number of the outermost element around with a telling name; 0: none
+
+
+@dataclass
+class Block:
+    text: str
+    linked: int
+    holder: Holder
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _held(tag: str, attributes: dict[str, str], outer: Holder) -> Holder:
+def _held(tag: str, attributes: dict[str, str], outer: Holder, number: int) -> Holder:
     names = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label") if k in attributes)
     words = {w.lower() for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names))}
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     comments = outer.comments or bool(words & COMMENTS)
-    content = (tag in CONTENT_ROLES or attributes.get("role", "").lower() in CONTENT_ROLES) and not comments
-    if content and not hidden and (tag == "main" or not (outer.boiler or outer.named)) and not (tag == "article" and words & (HINTS - {"author", "meta", "tags", "review", "reviews", "byline"})):
-        return Holder(tag, True, False, False, False)
-    boiler = outer.boiler or tag in BOILERPLATE or tag == "header" and not outer.inside
-    return Holder(tag, outer.inside, boiler, outer.named or hidden or bool(words & HINTS), comments)
+    content = tag in CONTENT_ROLES or attributes.get("role", "").lower() in CONTENT_ROLES
+    if content and not hidden and not comments and not (tag == "article" and words & TEASERS) and (tag == "main" or not outer.boiler):
+        return Holder(tag, True, False, False, 0 if tag == "main" or not outer.inside else outer.hint)
+    boiler = outer.boiler or hidden or tag in BOILERPLATE or tag == "header" and not outer.inside
+    telling = tag in ("form", "fieldset") or bool(words & HINTS)
+    return Holder(tag, outer.inside, boiler, comments, outer.hint or (number if telling else 0))
 
 
 def blocks(page: str) -> list[Block]:
@@ -145,24 +135,24 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack = [Holder("")]
     parts: list[str] = []
-    linked, depth = 0, 0
+    linked, links, controls, number = 0, False, 0, 0
+    open_ended: set[str] = set()  # elements without an end tag from here on
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            top = stack[-1]
-            found.append(Block(text, linked, top.inside, top.boiler, top.named))
+            found.append(Block(text, linked, stack[-1]))
         parts, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
-        if depth:
+        if links or controls:
             linked += len(text.split())
 
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -170,13 +160,25 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closes, attrs = bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or ""
+        if tag in OPAQUE or tag in EMBEDDED:
+            if not closes and not attrs.endswith("/") and tag not in open_ended:
+                end = _end_tag(tag).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    open_ended.add(tag)
+                    at = len(page) if tag in OPAQUE else at
+            continue
         if tag == "a":
-            depth = 0 if closes else 1
+            links = not closes
         elif tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            depth = 0 if tag in ("p", "div", "article", "section", "main", "body") else depth
+            links = links and tag not in ("p", "div", "article", "section", "main", "body")
+            controls = 0 if tag in ("div", "p", "section", "article", "main", "form", "body") else controls
+        if tag in CONTROLS:
+            controls = max(0, controls + (-1 if closes else 1))
         if tag in HOLDERS and tag != "p":
             if closes:
                 place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
@@ -185,8 +187,9 @@ def blocks(page: str) -> list[Block]:
                         flush()
                     del stack[place:]
             elif not attrs.rstrip().endswith("/"):
-                held = _held(tag, _attributes(attrs), stack[-1])
-                if tag != "span" or (held.named, held.inside) != (stack[-1].named, stack[-1].inside):
+                number += 1
+                held = _held(tag, _attributes(attrs), stack[-1], number)
+                if tag != "span" or (held.boiler, held.comments, held.hint, held.inside) != (stack[-1].boiler, stack[-1].comments, stack[-1].hint, stack[-1].inside):
                     flush()
                 stack.append(held)
     add(page[at:])
@@ -194,17 +197,53 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
 def features(found: list[Block]) -> list[list[float]]:
-    """A row a block: its word count and link share, those of its neighbours, and where it stands."""
+    """A row a block: its word count and link share, those of the blocks before and after, and where it stands.
+
+    A class name or a form says little by itself: the last feature but one is how much of the page's own
+    text (no links, no boilerplate) lies outside the element with the telling name, 0 where there is none.
+    """
     words = [len(b.text.split()) for b in found]
     share = [min(1.0, b.linked / max(1, w)) for b, w in zip(found, words, strict=True)]
-    whole = any(b.inside and not b.boiler and not b.named for b in found)
+    own = [0 if b.holder.boiler or b.holder.comments else max(0, w - b.linked) for b, w in zip(found, words, strict=True)]
+    within: dict[int, int] = {}
+    for b, w in zip(found, own, strict=True):
+        within[b.holder.hint] = within.get(b.holder.hint, 0) + w
+    total = max(1, sum(own))
+    whole = any(b.holder.inside and not b.holder.boiler for b in found)
     around = [(0, 0.0), *zip(words, share, strict=True), (0, 0.0)]
-    return [[*around[k + 1], *around[k], *around[k + 2], b.inside, whole and not b.inside, b.boiler, b.named] for k, b in enumerate(found)]
+    rows = []
+    for k, b in enumerate(found):
+        hinted = 1 - within[b.holder.hint] / total if b.holder.hint else 0.0
+        rows.append([*around[k + 1], *around[k], *around[k + 2], b.holder.inside, whole and not b.holder.inside, b.holder.boiler, b.holder.comments, hinted, b.text[-1] in ".!?:;\"'\u201d\u2026\u3002"])
+    return rows
 
 
-def grow(rows: list[list[float]], labels: list[int], depth: int = 8) -> tuple | float:
-    """A decision tree (feature, threshold, low, high) that splits where the Gini impurity falls most; leaves: share of 1."""
+def labelled_blocks(pages: str = LABELLED) -> tuple[list[list[float]], list[int]]:
+    """The features and labels of all blocks of the labelled pages."""
+    rows, labels = [], []
+
+    def spelled(m: re.Match) -> str:
+        text = ("yes" if m[1] == "+" else "no") + " word" * (int(m[2]) - 1) + m[3]
+        return f"<a href=x>{text}</a>" if m[4] else text
+
+    for page in pages.split("\n"):
+        found = blocks(re.sub(r"([+-])(\d+)(\.?)(a?)(?=[\s<]|$)", spelled, page))
+        rows += features(found)
+        labels += [int(b.text.startswith("yes")) for b in found]
+    return rows, labels
+
+
+def grow(rows: list[list[float]], labels: list[int], depth: int = 8, least: int = 1) -> tuple | float:
+    """A decision tree (feature, threshold, low, high) that splits where the Gini impurity falls most; leaves: share of 1.
+
+    No side of a split has fewer than ``least`` rows.
+    """
     share = sum(labels) / len(labels)
     if depth == 0 or share in (0, 1):
         return share
@@ -219,19 +258,18 @@ def grow(rows: list[list[float]], labels: list[int], depth: int = 8) -> tuple |
             cut = (low + high) / 2
             under = [y for r, y in zip(rows, labels, strict=True) if r[k] <= cut]
             over = [y for r, y in zip(rows, labels, strict=True) if r[k] > cut]
-            if best is None or impurity(under) + impurity(over) < best[0] - 1e-12:
+            if min(len(under), len(over)) >= least and (best is None or impurity(under) + impurity(over) < best[0] - 1e-12):
                 best = (impurity(under) + impurity(over), k, cut)
     if best is None or best[0] >= impurity(labels) - 1e-12:
         return share
     _, k, cut = best
     low, high = ([(r, y) for r, y in zip(rows, labels, strict=True) if (r[k] > cut) == side] for side in (False, True))
-    return k, cut, *(grow([r for r, _ in part], [y for _, y in part], depth - 1) for part in (low, high))
+    return k, cut, *(grow([r for r, _ in part], [y for _, y in part], depth - 1, least) for part in (low, high))
 
 
 @functools.cache
 def default_tree() -> tuple:
-    table = [list(map(float, line.split())) for line in LABELLED.split("\n") if line]
-    return grow([r[:-1] for r in table], [int(r[-1]) for r in table])
+    return grow(*labelled_blocks(), least=2)
 
 
 def keeps(tree: tuple | float, row: list[float]) -> bool:

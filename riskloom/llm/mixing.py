@@ -22,20 +22,20 @@ from riskloom.llm.shared import dropped, joined_bytes, release, saved, settings,
 #: A text is coded as its words with single blanks between, then one closing byte, which no word holds.
 BLANK, CLOSE = b"\x20", b"\x0A"
 END = b""  # the token after the last word of a text
-#: The contexts of a bit: the last 2, 3 and 5 bytes of the text, the word so far, and that with the word before.
-ORDERS = (2, 3, 5)
+#: The contexts of a bit: the last 4 bytes of the text, the word so far, and that with the word before.
+ORDERS = (4,)
 KINDS = len(ORDERS) + 2
 #: Slots of each context's hashed table.
-SLOTS = (1 << 20, 1 << 21, 1 << 22, 1 << 22, 1 << 22)
+SLOTS = (1 << 21, 1 << 22, 1 << 22)
 PART = 1 << 16  # slots that travel together
 #: A gate is the longest context that has counts, how many (up to 1, 7, 63, or more), and which decision on the byte is next.
 LEVELS = (1, 7, 63)
 GATES, CENTRES = (KINDS + 1) * (len(LEVELS) + 1) * 8, np.arange(-8.0, 8.5, 0.5)
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-STEP = 1 << 16  # decisions that are predicted before the model moves
+STEP = 1 << 15  # decisions that are predicted before the model moves
 #: Training bytes of a shard, which is learned in one go; their number follows the corpus.
-SHARD = 16 << 20
+SHARD = 8 << 20
 FIX = 1 << 24  # weights are added up as multiples of 1/FIX, so that the sum has no order
 #: Only tokens of at most so many bytes, and of these the most frequent ones, are looked up in a broadcast table; all others by a join.
 HEAD, SHORT = 1 << 16, 64
@@ -95,6 +95,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _hash(x: np.ndarray) -> np.ndarray:
+    return (_mixed(x * np.uint64(FACTOR)) >> np.uint64(32)).astype(np.uint32)
+
+
 def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """For each kind, a hash of the context of every byte of concatenated coded texts; contexts end at the text's begin."""
     size = len(data)
@@ -107,7 +111,7 @@ def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             rolling *= np.uint64(0x100000001B3)
             reach = np.flatnonzero(place >= order)
             rolling[reach] += value[reach - order]
-        out.append(_mixed((rolling + np.uint64(order)) * np.uint64(FACTOR)))
+        out.append(_hash(rolling + np.uint64(order)))
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_mixed(value * np.uint64(FACTOR)) * powers(size, FACTOR), out=sums[1:])
     part = (data == BLANK[0]) | (data == CLOSE[0])
@@ -121,8 +125,8 @@ def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     before = np.concatenate((np.zeros(1, np.uint64), whole[:-1])) if len(whole) else np.zeros(1, np.uint64)
     if len(ends):
         before[1:][data[ends[:-1]] == CLOSE[0]] = 0
-    out.append(_mixed((so_far + np.uint64(11)) * np.uint64(FACTOR)))
-    out.append(_mixed((so_far ^ _mixed(before * np.uint64(FACTOR) + np.uint64(1))[number]) * np.uint64(FACTOR) + np.uint64(13)))
+    out.append(_hash(so_far + np.uint64(11)))
+    out.append(_hash((so_far ^ _mixed(before * np.uint64(FACTOR) + np.uint64(1))[number]) + np.uint64(13)))
     return out
 
 
@@ -130,7 +134,8 @@ def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 class Bits:
     """The binary decisions of some bytes along the code's paths."""
 
-    byte: np.ndarray  # number of the byte of each decision
+    low: int  # number of the first byte
+    first: np.ndarray  # of each byte, its first decision
     bit: np.ndarray
     depth: np.ndarray  # how many decisions on the same byte came before, up to 7
     slots: list[np.ndarray]  # for each context kind
@@ -144,17 +149,17 @@ def decisions(data: np.ndarray, hashes: list[np.ndarray], code: Code, low: int,
     depth = np.arange(len(byte)) - np.repeat(np.cumsum(length) - length, length)
     path = some[byte].astype(np.int64) * code.node.shape[1] + depth
     node = code.node.ravel()[path]
-    row = (node >> np.uint32(4)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)  # nodes of a row lie side by side
-    inner, slots = (node & np.uint32(15)).astype(np.int64), []
+    row = (node >> np.uint32(4)) * np.uint32(0x85EBCA6B)  # nodes of a row lie side by side
+    inner, slots = node & np.uint32(15), []
     for k, h in enumerate(hashes):
         mixed = h[low:high][byte]
         mixed += row
-        mixed *= np.uint64(0x9FB21C651E98DF25)
-        mixed >>= np.uint64(65 - SLOTS[k].bit_length() + 4)
-        slot = mixed.view(np.int64) << 4
-        slot |= inner
-        slots.append(slot)
-    return Bits(byte + low, code.bit.ravel()[path], np.minimum(depth, 7), slots)
+        mixed *= np.uint32(0x9E3779B1)
+        mixed >>= np.uint32(33 - SLOTS[k].bit_length() + 4)
+        mixed <<= np.uint32(4)
+        mixed |= inner
+        slots.append(mixed.astype(np.int64))
+    return Bits(low, np.cumsum(length) - length, code.bit.ravel()[path], np.minimum(depth, 7), slots)
 
 
 def chunks(texts: list[bytes], code: Code) -> Iterator[tuple[Bits, np.ndarray]]:
@@ -190,9 +195,9 @@ class Mixer:
         for bits, starts in chunks(texts, self.code):
             chance = self.chance(bits)
             cost = np.log10(np.where(bits.bit == 1, chance, 1 - chance))
-            owner = np.searchsorted(starts, bits.byte, side="right") - 1
-            low, high = owner[0], owner[-1] + 1
-            total[low:high] += np.bincount(owner - low, cost, minlength=high - low)
+            begin = np.searchsorted(starts, bits.low, side="right") - 1  # the texts from here up to the last byte's
+            end = np.searchsorted(starts, bits.low + len(bits.first))
+            total[begin:end] += np.add.reduceat(cost, bits.first[np.maximum(starts[begin:end] - bits.low, 0)], dtype=np.float64)
         return total
 
 
@@ -214,18 +219,18 @@ def mixed(weights: np.ndarray, stretched: list[np.ndarray], gate: np.ndarray) ->
 
 
 def _places(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (np.clip(odds, CENTRES[0], CENTRES[-1] - 1e-3) - CENTRES[0]) * 2
-    low = place.astype(np.int64)
-    return low, place - low
+    place = (np.clip(odds, np.float32(CENTRES[0]), np.float32(CENTRES[-1] - 1e-3)) - np.float32(CENTRES[0])) * np.float32(2)
+    low = place.astype(np.int32)
+    return low.astype(np.int64), place - low.astype(np.float32)
 
 
 def refined(odds: np.ndarray, gate: np.ndarray, seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The chance of a 1: half the mixed one, half what came of decisions of the gate with like odds."""
-    table = ((ones + 8 / (1 + np.exp(-CENTRES))) / (seen + 8)).ravel()
+    table = ((ones + 8 / (1 + np.exp(-CENTRES))) / (seen + 8)).ravel().astype(np.float32)
     low, share = _places(odds)
     at = gate * len(CENTRES) + low
     looked = table[at] * (1 - share) + table[at + 1] * share
-    return np.clip(0.5 * looked + 0.5 / (1 + np.exp(-odds)), 1e-6, 1 - 1e-6)
+    return np.clip(np.float32(0.5) * (looked + 1 / (1 + np.exp(-odds))), np.float32(1e-6), np.float32(1 - 1e-6))
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,10 +300,10 @@ class Learner:
             self.weights[:, k] += self.rate * slope / np.sqrt(self.squares[:, k])
         self.mass += mass
         low, share = _places(odds)
-        for at, part in ((low, 1 - share), (low + 1, share)):
-            flat = gate * len(CENTRES) + at
-            self.seen += np.bincount(flat, part, minlength=self.seen.size).reshape(self.seen.shape)
-            self.ones += np.bincount(flat, part * bits.bit, minlength=self.ones.size).reshape(self.ones.shape)
+        near = gate * len(CENTRES) + low + (share > 0.5)
+        both = np.bincount(near * 2 + bits.bit, minlength=2 * self.seen.size).reshape(*self.seen.shape, 2)
+        self.seen += both.sum(axis=2)
+        self.ones += both[:, :, 1]
         one = np.int64(1) << (bits.bit.astype(np.int64) << 5)
         for slot, table in zip(bits.slots, self.counts, strict=True):
             np.add.at(table, slot, one)
@@ -311,8 +316,10 @@ class Learner:
         number = 0
         for table in self.counts:
             for at in range(0, len(table), PART):
-                if (some := table[at : at + PART]).any():
-                    yield number, np.concatenate(halves(some)).astype(np.int64)
+                some = table[at : at + PART]
+                used = np.flatnonzero(some)
+                if len(used):
+                    yield number, np.concatenate((used, *halves(some[used]))).astype(np.int32)
                 number += 1
 
 
@@ -372,7 +379,7 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
     count = max(1, -(-size // shard))
     texts = F.coalesce("text", F.lit(""))
     dealt = rows.select(F.pmod(F.xxhash64(F.lit(3), "id", texts), F.lit(count)).cast("int").alias("shard"), F.xxhash64(F.lit(5), texts).alias("order"), F.xxhash64(F.lit(6), texts).alias("order2"), texts.alias("text"))
-    partitions = min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = min(4 * count, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = sum(SLOTS) // PART
     wide = GATES * (KINDS + 2 + 2 * len(CENTRES))
 
@@ -392,7 +399,7 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
             yield from emitted(state)
 
     def row(part: int, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(sums.astype(np.int64).tobytes(), 1)], pa.binary())], names=["part", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["part", "sums"])
 
     def emitted(state: Learner) -> Iterator[pa.RecordBatch]:
         for part, sums in state.parts():
@@ -406,8 +413,15 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                some = np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
-                held[part] = held[part] + some if part in held else some
+                raw = zlib.decompress(packed.as_py())
+                if part < 0:
+                    some = np.frombuffer(raw, np.int64)
+                    held[part] = held[part] + some if part in held else some
+                else:
+                    used, zeros, ones = np.split(np.frombuffer(raw, np.int32), 3)
+                    sums = held.setdefault(part, np.zeros(2 * PART, np.int64))
+                    sums[used] += zeros
+                    sums[used + PART] += ones
         for part, some in held.items():
             if part < 0:
                 yield row(part, some)

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from riskloom.llm.html import LABELLED, blocks, default_tree, extracted, grow, keeps, main_text, op6_html_extraction
+from riskloom.llm.html import LABELLED, blocks, default_tree, extracted, grow, keeps, labelled_blocks, main_text, op6_html_extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>Title</title><style>p{}</style><script>var a="</p>";if(a<b){}</script></head>
 <body class="has-sidebar"><div id="cookie-consent"><p>We use cookies to make this site work for you, please accept them all now.</p></div>
@@ -37,11 +37,45 @@ def test_blocks_and_links():
     assert [(b.text, b.linked) for b in found] == [("a b c d e", 2), ("<x> 1 < 2", 0)]
 
 
-def test_tree_fits_its_table():
-    table = [list(map(float, x.split())) for x in LABELLED.strip().split("\n")]
-    wrong = [r for r in table if keeps(default_tree(), r[:-1]) != bool(r[-1])]
-    assert len(wrong) <= 1
+def test_tree_fits_its_table_and_pages_it_has_not_seen():
+    rows, labels = labelled_blocks()
+    assert len(rows) > 250 and sum(keeps(default_tree(), r) != bool(y) for r, y in zip(rows, labels)) <= len(rows) // 40
+    pages, wrong = [p for p in LABELLED.split("\n") if p], 0
+    assert len(pages) >= 30
+    for k, page in enumerate(pages):
+        tree = grow(*labelled_blocks("\n".join(pages[:k] + pages[k + 1 :])), least=2)
+        wrong += sum(keeps(tree, r) != bool(y) for r, y in zip(*labelled_blocks(page)))
+    assert wrong <= len(rows) // 25
     assert grow([[1.0], [2.0]], [0, 1]) == (0, 1.5, 0.0, 1.0) and grow([[1.0], [1.0]], [0, 1]) == 0.5
+    assert grow([[1.0], [2.0], [3.0]], [0, 1, 1], least=2) == 2 / 3
+
+
+def test_the_tree_looks_at_neighbours():
+    used = set()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used.add(tree[0])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(default_tree())
+    assert used & {2, 3} and used & {4, 5}
+
+
+LONG = "This is a sentence of the main text that goes on for a while so that it counts and is long."
+
+
+@pytest.mark.parametrize("wrap", ['<div class="movie-review">%s</div>', '<div class="message">%s</div>', '<div class="search-results">%s</div>', '<article class="post alert">%s</article>', '<article class="post tag-ads">%s</article>', "<form>%s</form>", "<button>%s", "<svg>%s", "<div><select>%s</div>", "<body>%s", "%s", "<main>%s</main>"])
+def test_telling_names_and_open_elements_do_not_lose_the_text(wrap):
+    for around in ("%s", "<nav><a href=x>Home</a> <a href=y>News</a></nav>%s<footer>All rights reserved.</footer>"):
+        assert main_text(around % (wrap % f"<p>{LONG}</p><p>{LONG}</p>")) == f"{LONG}\n{LONG}"
+
+
+def test_embedded_content_is_no_text():
+    for tag in ("script", "style", "button", "svg", "noscript", "select"):
+        assert main_text(f"<p>{LONG}</p><{tag} a='>'>{LONG}</{tag.upper()} ><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<p>{LONG}</p><script>{LONG}<p>{LONG}</p>") == LONG
 
 
 def test_rows(spark, tmp_path):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm.mixing import KINDS, Code, Learner, Mixer, coded, contexts, decisions, halves, log_odds, op3_lm_scoring, scored, words
+from riskloom.llm.mixing import KINDS, ORDERS, Code, Learner, Mixer, coded, contexts, decisions, halves, log_odds, op3_lm_scoring, scored, words
 from riskloom.llm.shared import joined_bytes
 
 
@@ -43,10 +43,10 @@ def mixer(state):
 
 
 def plain_contexts(text, i):
-    """The five contexts of byte i of a coded text, as plain values."""
+    """The contexts of byte i of a coded text, as plain values."""
     begin = max(text.rfind(b" ", 0, i), -1) + 1
     before = text[:begin].split()[-1] if begin else b""
-    return [text[max(0, i - 2) : i], text[max(0, i - 3) : i], text[max(0, i - 5) : i], text[begin:i], (before, text[begin:i])]
+    return [*(text[max(0, i - o) : i] for o in ORDERS), text[begin:i], (before, text[begin:i])]
 
 
 def test_contexts_are_those_of_the_plain_model():
@@ -96,7 +96,7 @@ def test_learning_is_online():
     state = learner(texts)
     data, starts = joined_bytes([coded(b"aa bb")])
     bits = decisions(data, contexts(data, starts), CODE, 0, 1)
-    zeros, ones = halves(state.counts[3][bits.slots[3]])
+    zeros, ones = halves(state.counts[KINDS - 2][bits.slots[KINDS - 2]])
     # the word-so-far context at a word's begin was met six times, four of these before an "a"
     assert (zeros + ones)[0] == 6 and (zeros + ones)[-1] >= 3
     again = learner(texts)
