@@ -84,6 +84,10 @@ LABELLED = """
 <article><h1>+3</h1><p>+28.<p>+1.</article>
 <nav>-2a</nav><main><p>+15.<p>+11.<p>+3.</main>
 <p>+24.<p>+13.<div>-1a -1a</div><div>-2.</div>
+<article><p>+50</article>
+<div>-1a</div><div><p>+30.<p>+41</div>
+<p>+21<p>+60
+<nav>-1a</nav><article><h1>+4</h1><ul><li>+3<li>+2</ul></article>
 <article><h1>+5</h1><p>+30.<p>+44.</article>
 <article><p>+20.<p>+35.<p>+8.</article>
 <p>+60.
