@@ -11,15 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import sliced
+from riskloom.llm.shared import dropped, saved, sliced
 
-ORDERS, BUCKETS, MOST_LANGUAGES, UNKNOWN = (1, 2, 3), 1 << 15, 512, "und"
-LETTER = re.compile(r"[^\W\d_]")
+ORDERS, BUCKETS, UNKNOWN = (1, 2, 3), 1 << 15, "und"
+#: Languages of one broadcast matrix; more languages take more passes over the texts.
+TOGETHER = 256
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; signs such as ½ or ① are word characters, but no letters."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
 
 
 @dataclass
 class LanguageModel:
-    """``weights[bucket, language]``: log probabilities; ``prior[language]``; names in order."""
+    """``weights[bucket, language]``: log probabilities; ``prior[language]``; names in order. One of the passes' matrices."""
 
     names: list[str]
     weights: np.ndarray
@@ -77,63 +84,79 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
-    """A model of all rows with text and language (at most ``MOST_LANGUAGES`` languages, else an error).
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, together: int = TOGETHER) -> list[LanguageModel]:
+    """A model of all rows with text and language, in matrices of at most ``together`` languages.
 
-    Counting is distributed over all rows; the driver gets at most languages x buckets counts.
+    Counting is distributed over all rows; the driver gets the counts of ``together`` languages x buckets at a time.
     """
-    counted = gram_counts(docs, text_col, lang_col)
-    per_name = {r["lang"]: r["n"] for r in counted.where("bucket = -1").limit(MOST_LANGUAGES + 1).collect()}
-    if len(per_name) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names = sorted(per_name)
-    counts = np.zeros((BUCKETS, max(1, len(names))))
-    table = counted.where("bucket >= 0").toPandas() if names else None
-    if table is not None:
-        counts[table["bucket"].to_numpy(), np.searchsorted(names, table["lang"].to_numpy(dtype=str))] = table["n"].to_numpy()
-    weights = np.log((counts + smoothing) / (counts + smoothing).sum(axis=0))
-    seen = np.array([per_name[x] for x in names], dtype=float)
-    return LanguageModel(names, weights.astype(np.float32), np.log(seen / seen.sum()) if names else np.zeros(1))
-
-
-def predict_texts(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """The likeliest language of each text and its posterior probability."""
+    counted = saved(gram_counts(docs, text_col, lang_col))
+    per_name = {r["lang"]: r["n"] for r in counted.where("bucket = -1").collect()}
+    names, models = sorted(per_name), []
+    seen = float(sum(per_name.values()))
+    for at in range(0, len(names), together):
+        some = names[at : at + together]
+        counts = np.zeros((BUCKETS, len(some)))
+        table = counted.where((F.col("bucket") >= 0) & F.col("lang").between(some[0], some[-1])).toPandas()
+        counts[table["bucket"].to_numpy(), np.searchsorted(some, table["lang"].to_numpy(dtype=str))] = table["n"].to_numpy()
+        weights = np.log((counts + smoothing) / (counts + smoothing).sum(axis=0))
+        models.append(LanguageModel(some, weights.astype(np.float32), np.log(np.array([per_name[x] for x in some]) / seen)))
+    dropped(counted)
+    return models
+
+
+def text_scores(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
+    """A row a text: the log probability of each language and the text's n-grams, which are counted first and only then multiplied."""
     points, starts = code_points(texts)
     total = np.tile(model.prior, (len(texts), 1))
-    full = np.flatnonzero(starts[1:] > starts[:-1])
-    if model.names and len(full):
-        for bucket, inside in grams(points, starts):
-            bucket[~inside] = BUCKETS
-            padded = np.vstack([model.weights, np.zeros((1, len(model.names)), np.float32)])
-            total[full] += np.add.reduceat(padded[bucket], starts[:-1][full], axis=0, dtype=np.float64)
-    best = total.argmax(axis=1)
-    chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    known = [bool(model.names) and LETTER.search(x.decode()) is not None for x in texts]
-    return [model.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, chance, 0.0)
-
-
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    kinds = [(bucket, inside) for bucket, inside in grams(points, starts)]
+    for k in np.flatnonzero(starts[1:] > starts[:-1]).tolist():
+        part = slice(starts[k], starts[k + 1])
+        found = np.concatenate([bucket[part][inside[part]] for bucket, inside in kinds])
+        if len(found) < 2048:
+            used, times = np.unique(found, return_counts=True)
+        else:
+            times = np.bincount(found, minlength=BUCKETS)
+            used = np.flatnonzero(times)
+            times = times[used]
+        total[k] += times.astype(np.float64) @ model.weights[used].astype(np.float64)
+    return total
+
+
+def predict(docs: DataFrame, models: list[LanguageModel], text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added (they replace columns of these names).
 
     Null texts and texts without a letter get ``und`` and score 0, as do all where nothing was learned;
-    of equal probabilities the first name in order wins. The model is broadcast: its size is bounded by
-    ``MOST_LANGUAGES`` x ``BUCKETS``. Whole texts are read; other columns pass through untouched.
+    of equal probabilities the first name in order wins. What is broadcast at a time is bounded by
+    ``TOGETHER`` languages x ``BUCKETS``; each matrix takes a pass over the texts, in one stage. A text's
+    n-grams are counted sparsely, so memory follows its different n-grams, not its length times the
+    languages. Whole texts are read; other columns pass through untouched.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    from pyspark.sql.types import DoubleType, StringType, StructType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches, text_col, 1 << 20):
-            names, scores = predict_texts(shared.value, texts)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*rows.schema.names, "lang_pred", "score"])
+    docs = docs.drop("lang_pred", "score", "__all")
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("__all", DoubleType())
+    out = docs.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(float("-inf")), "__all": F.lit(float("-inf"))})
+    for model in models:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for rows, texts in sliced(batches, text_col, 1 << 20):
+                total = text_scores(shared.value, texts)
+                place, best = total.argmax(axis=1), total.max(axis=1)
+                names, before = rows.column(rows.num_columns - 3).to_pylist(), rows.column(rows.num_columns - 2).to_numpy()
+                whole = np.logaddexp(rows.column(rows.num_columns - 1).to_numpy(), best + np.log(np.exp(total - best[:, None]).sum(axis=1)))
+                known = [has_letter(x.decode()) for x in texts]
+                names = [shared.value.names[p] if k and b > a else n for p, k, b, a, n in zip(place, known, best, before, names, strict=True)]
+                score = np.where(known, np.maximum(best, before), float("-inf"))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-3], pa.array(names, pa.string()), pa.array(score), pa.array(whole)], names=rows.schema.names)
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+        out = out.mapInArrow(run, schema)
+    chance = F.when(F.col("lang_pred").isNull(), F.lit(0.0)).otherwise(F.exp(F.col("score") - F.col("__all")))
+    return out.withColumns({"score": chance, "lang_pred": F.coalesce("lang_pred", F.lit(UNKNOWN))}).drop("__all")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every document's language as :func:`predict` gives it, learned from those whose crc32(doc_id) mod 5 is not 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     model = fit(docs.where(~held))

@@ -19,14 +19,18 @@ def corpus(n, seed):
 
 
 def test_counts_and_posterior_match_plain_python(spark):
-    rows = corpus(60, 1) + [(None, None, "en", 0.0), (7, "", "fr", 0.0), (8, "123 !", "de", None), (9, "abc", None, None), (9, "İstanbul", "de", 1.0)]
+    rows = corpus(60, 1) + [(None, None, "en", 0.0), (7, "", "fr", 0.0), (8, "123 !", "de", None), (9, "abc", None, None), (9, "İstanbul", "de", 1.0), (10, "½ ² ①", "fr", 1.0), (11, "the " * 5000, "en", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     plain = Counter((lang, b) for _, t, lang, _ in rows if t is not None and lang for b in buckets_of(t))
     plain += Counter((lang, -1) for _, t, lang, _ in rows if t is not None and lang)
     assert {(r["lang"], r["bucket"]): r["n"] for r in gram_counts(docs).collect()} == dict(plain)
-    model = fit(docs)
+    (model,) = fit(docs)
     assert model.names == ["de", "en", "fr"]
-    got = predict(docs, model).collect()
+    got = predict(docs, [model]).collect()
+    parts = fit(docs, together=1)
+    assert [x.names for x in parts] == [["de"], ["en"], ["fr"]]
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["lang"]))
+    assert [(r["lang_pred"], round(r["score"], 5)) for r in sorted(predict(docs, parts).collect(), key=key)] == [(r["lang_pred"], round(r["score"], 5)) for r in sorted(got, key=key)]
     assert len(got) == len(rows)
     totals = {x: sum(n for (lang, b), n in plain.items() if lang == x and b >= 0) for x in model.names}
     n_docs = sum(plain[x, -1] for x in model.names)
