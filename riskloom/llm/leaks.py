@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from riskloom.llm.shared import sliced
+from riskloom.llm.shared import saved, sliced
 
 Q, RATE, LEAST = 8, 0.1, 24
+#: Shared q-grams that are held at a time, however many items have a common one.
+HELD = 1 << 21
 #: Benchmark characters that are searched for in one pass over the documents; a larger benchmark takes more passes.
 PASS_CHARS = 4 << 20
 LEAKS = ArrayType(StructType([StructField("item_id", LongType()), StructField("distance", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())]))
+_LEAK_LIST = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
 
 _SPACES = np.zeros(0x3001, dtype=bool)
 _SPACES[[c for c in range(0x3001) if chr(c).isspace()]] = True
@@ -57,17 +62,22 @@ def budget(size: int, rate: float = RATE) -> int:
 
 @dataclass
 class Items:
-    """Benchmark items with an index of their q-grams."""
+    """Benchmark items with an index of their q-grams; those of fewer than ``least`` characters are found by exact words instead."""
 
     ids: list[int]
     points: list[np.ndarray]
     rate: float
+    least: int = LEAST
 
     def __post_init__(self) -> None:
         self.sizes = np.array([len(p) for p in self.points], dtype=np.int64)
         self.edits = np.array([budget(n, self.rate) for n in self.sizes], dtype=np.int64)
         self.asked = self.sizes - Q + 1 - Q * self.edits  # the q-gram lemma: so many q-grams are shared at least
-        hashes = [gram_hashes(p) for p in self.points]
+        short = self.sizes < self.least
+        self.short: dict[str, list[int]] = {}
+        for n in np.flatnonzero(short & (self.sizes > 0)).tolist():
+            self.short.setdefault("".join(map(chr, self.points[n].tolist())), []).append(n)
+        hashes = [gram_hashes(p) if not few else np.zeros(0, np.uint64) for p, few in zip(self.points, short, strict=True)]
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -79,8 +89,8 @@ class Items:
         self.seen = np.zeros(1 << self.bits, dtype=bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, place in the item) of each q-gram that a text shares with an item."""
+    def hits(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, place in the item) of each q-gram that a text shares with an item, about ``HELD`` at a time."""
         h = gram_hashes(points)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
         at = at[at + Q <= starts[np.searchsorted(starts, at, side="right")]]
@@ -88,9 +98,11 @@ class Items:
         same = self.keys[gram] == h[at]
         at, gram = at[same], gram[same]
         times = self.first[gram + 1] - self.first[gram]
-        offsets = np.cumsum(times) - times
-        posting = np.repeat(self.first[gram] - offsets, times) + np.arange(times.sum())
-        return np.repeat(at, times), self.item[posting], self.place[posting]
+        part = np.cumsum(times) // HELD
+        for low, high in zip(np.searchsorted(part, np.unique(part)), np.searchsorted(part, np.unique(part), side="right"), strict=True):
+            some, offsets = times[low:high], np.cumsum(times[low:high]) - times[low:high]
+            posting = np.repeat(self.first[gram[low:high]] - offsets, some) + np.arange(some.sum())
+            yield np.repeat(at[low:high], some), self.item[posting], self.place[posting]
 
     def bands(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows (text, item, first diagonal): bands that hold as many different q-grams of an item as its edits leave.
@@ -98,16 +110,16 @@ class Items:
         A band spans two steps of edits + 1 diagonals and begins at each step, so the diagonals of any
         alignment within the budget, which differ by at most the edits, lie in one band together.
         """
-        place, item, inner = self.hits(points, starts)
-        text = np.searchsorted(starts, place, side="right") - 1
-        step = self.edits[item] + 1
-        cell = (place - starts[text] - inner) // step
-        key = np.stack((text, item, cell))
-        order = np.lexsort((inner, key[2], key[1], key[0]))
-        key, inner = key[:, order], inner[order]
-        new = np.ones(key.shape[1], dtype=bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0) | (inner[1:] != inner[:-1])
-        key = key[:, new]  # one entry for each q-gram of an item in each cell
+        key = np.zeros((4, 0), dtype=np.int64)  # text, item, cell of diagonals, q-gram of the item: each once
+        for place, item, inner in self.hits(points, starts):
+            text = np.searchsorted(starts, place, side="right") - 1
+            cell = (place - starts[text] - inner) // (self.edits[item] + 1)
+            key = np.concatenate((key, np.stack((text, item, cell, inner))), axis=1)
+            key = key[:, np.lexsort(key[::-1])]
+            new = np.ones(key.shape[1], dtype=bool)
+            new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+            key = key[:, new]
+        key = key[:3]
         edge = np.ones(key.shape[1], dtype=bool)
         edge[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         cells, at = key[:, edge], np.flatnonzero(edge)
@@ -146,15 +158,26 @@ def aligned(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value // unit, value % unit, best + size
 
 
+def _short(items: Items, points: np.ndarray, out: dict[int, tuple]) -> None:
+    """Adds the short items that stand in a text exactly, as whole words: the first place of each."""
+    text = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    for item, numbers in items.short.items():
+        at = text.find(item)
+        while at >= 0 and (text[at - 1 : at].isalnum() and item[0].isalnum() or text[at + len(item) : at + len(item) + 1].isalnum() and item[-1].isalnum()):
+            at = text.find(item, at + 1)
+        if at >= 0:
+            out.update((n, (0, at, at + len(item))) for n in numbers)
+
+
 def found(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """For each text the leaks (item id, distance, start, stop), the best alignment of each item."""
     parts = [normalised(t) for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(p) for p, _ in parts])))
     points = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0, np.uint32)
     out: list[dict[int, tuple]] = [{} for _ in texts]
-    if len(points) < Q or not len(items.keys):
-        return [[] for _ in texts]
-    bands = items.bands(points, starts)
+    for k in range(len(texts)) if items.short else ():
+        _short(items, points[starts[k] : starts[k + 1]], out[k])
+    bands = items.bands(points, starts) if len(points) >= Q and len(items.keys) else np.zeros((0, 3), np.int64)
     for number in np.unique(bands[:, 1]):
         some = bands[bands[:, 1] == number]
         edits, item = int(items.edits[number]), items.points[number]
@@ -176,41 +199,56 @@ def found(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]
     return [[(items.ids[n], d, int(where[a]), int(where[b - 1]) + 1) for n, (d, a, b) in sorted(x.items())] for x, (_, where) in zip(out, parts, strict=True)]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_col: str = "text", rate: float = RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_col: str = "text", rate: float = RATE, least: int = LEAST, pass_chars: int = PASS_CHARS) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items that a passage of the whole text is, but for a few edits.
 
     Letters are compared lower-cased, white space as single blanks. An item of n characters is found
     where its edit distance to a passage is at most ``rate`` x n, and at most (n - 8) / 8 (see
     :func:`budget`); each leak has the item's id, the distance, and the passage's characters in the text
-    as it was given (the best passage of each item; ties: the first). Items that are null or have fewer
-    than 24 characters are not looked for: clean texts hold such strings. Items are searched for in
-    passes of about ``pass_chars`` characters (what is broadcast stays bounded); each pass reads the rows
-    once, without a shuffle. Repeated items are each found, repeated rows and null ids pass through, null
-    texts have no leaks; a column named ``leaks`` is replaced.
+    as it was given (the best passage of each item; ties: the first). Items of fewer than ``least``
+    characters are found where they stand exactly, as whole words. Null and blank items are nowhere.
+
+    Items are searched for in passes of about ``pass_chars`` characters. A benchmark of one pass marks the
+    rows as they are read; a larger one writes each pass's hits before the next is broadcast, so one
+    pass's items are held at a time, and joins them by the texts' 128-bit hashes. Repeated items are each
+    found, repeated rows and null ids pass through, null texts have no leaks; a column named ``leaks`` is
+    replaced. An empty benchmark leaves no leaks.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     passes = -(-total // pass_chars) or 1
-    docs = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAKS))
-    schema = docs.schema
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-    for number in range(passes):
+    kept = [c for c in docs.columns if c.lower() != "leaks"]
+    docs = docs.select(*kept)
+
+    def shared_items(number: int) -> Broadcast:
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == number).collect()
         some = sorted(((r["id"], normalised(r["text"])[0]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1].tobytes()))
-        some = [x for x in some if len(x[1]) >= LEAST]
-        shared = spark.sparkContext.broadcast(Items([x for x, _ in some], [p for _, p in some], rate))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for rows, raw in sliced(batches, text_col, 1 << 20):
-                new = found(shared.value, [x.decode() for x in raw])
-                old = rows.column(rows.num_columns - 1).to_pylist()
-                names = ("item_id", "distance", "start", "stop")
-                lists = [o + [dict(zip(names, x, strict=True)) for x in n] for o, n in zip(old, new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(lists, kind)], names=rows.schema.names)
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        return spark.sparkContext.broadcast(Items([x for x, _ in some], [p for _, p in some], rate, least))
+
+    def searched(rows: DataFrame, shared: Broadcast, column: str) -> DataFrame:
+        names = ("item_id", "distance", "start", "stop")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some, raw in sliced(batches, column, 1 << 20):
+                lists = [[dict(zip(names, x, strict=True)) for x in one] for one in found(shared.value, [x.decode() for x in raw])]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(lists, _LEAK_LIST)], names=[*some.schema.names, "leaks"])
+
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("leaks", LEAKS)]))
+
+    if passes == 1:
+        return searched(docs, shared_items(0), text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(7), text)}
+    keyed = docs.select(*[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    parts = []
+    for number in range(passes):
+        shared = shared_items(number)
+        parts.append(saved(searched(keyed, shared, "text").where(F.size("leaks") > 0).select("__k1", "__k2", F.explode("leaks").alias("leak")).distinct()))
+        shared.unpersist()
+    listed = functools.reduce(DataFrame.union, parts).groupBy("__k1", "__k2").agg(F.sort_array(F.collect_list("leak")).alias("leaks"))
+    marked = docs.withColumns(keys).join(listed, ["__k1", "__k2"], "left")
+    return marked.select(*kept, F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import random
+import re
 
 import numpy as np
 
-from riskloom.llm.leaks import LEAST, Items, aligned, budget, found, normalised, op5_benchmark_decontamination, with_leaks
+from riskloom.llm.leaks import HELD, LEAST, Items, aligned, budget, found, normalised, op5_benchmark_decontamination, with_leaks
 
 
 def plain(text):
@@ -48,7 +49,10 @@ def test_same_pairs_as_brute_force(spark, tmp_path):
     want = set()
     for k, t in [*enumerate(texts), (None, items[1])]:
         for n, item in enumerate(items):
-            if item and len(plain(item)) >= LEAST:
+            if item and len(plain(item)) < LEAST:
+                if re.search(rf"(?<![^\W_]){re.escape(plain(item))}(?![^\W_])", plain(t or "")):
+                    want.add((k, n, 0))
+            elif item:
                 d = within(plain(item), plain(t or ""))
                 if d <= budget(len(plain(item))):
                     want.add((k, n, d))
@@ -84,3 +88,15 @@ def test_alignment():
 def test_normalised():
     points, at = normalised("  A\t\nİb ")
     assert "".join(map(chr, points)) == "a İb" and at.tolist() == [2, 3, 5, 6]
+
+
+def test_common_grams_and_long_texts():
+    """Items of one template share most q-grams; a long text is full of them."""
+    rng = random.Random(3)
+    template = "which of the following answers is the right one for question {} of the list that was given above"
+    items = [template.format("".join(rng.choice("abcdefghij") for _ in range(30))) for _ in range(150)]
+    index = Items(list(range(len(items))), [normalised(x)[0] for x in items], 0.1)
+    assert max(len(x) for x, _, _ in index.hits(*[np.concatenate([normalised(template * 300)[0]]), np.array([0, len(normalised(template * 300)[0])])])) < HELD + 200
+    long = (template.format("nothing") + " ") * 400 + items[7] + " " + items[9].replace("given", "givn") + " word" * 100_000
+    got = found(index, [long, "", items[3]])
+    assert [(n, d) for n, d, _, _ in got[0]] == [(7, 0), (9, 1)] and got[1] == [] and [(n, d) for n, d, _, _ in got[2]] == [(3, 0)]
