@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 import uuid
@@ -26,7 +25,7 @@ END = b""  # the token after the last word of a text
 ORDERS = (4,)
 KINDS = len(ORDERS) + 2
 #: Slots of each context's hashed table.
-SLOTS = (1 << 21, 1 << 22, 1 << 22)
+SLOTS = (1 << 20, 1 << 21, 1 << 22)
 PART = 1 << 16  # slots that travel together
 #: A gate is the longest context that has counts, how many (up to 1, 7, 63, or more), and which decision on the byte is next.
 LEVELS = (1, 7, 63)
@@ -35,7 +34,7 @@ FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 STEP = 1 << 15  # decisions that are predicted before the model moves
 #: Training bytes of a shard, which is learned in one go; their number follows the corpus.
-SHARD = 8 << 20
+SHARD = 16 << 20
 FIX = 1 << 24  # weights are added up as multiples of 1/FIX, so that the sum has no order
 #: Only tokens of at most so many bytes, and of these the most frequent ones, are looked up in a broadcast table; all others by a join.
 HEAD, SHORT = 1 << 16, 64
@@ -71,23 +70,25 @@ class Code:
                 at = parent[at][0] + 256
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths])
-        self.node = np.zeros((256, self.length.max()), dtype=np.uint32)
-        self.bit = np.zeros(self.node.shape, dtype=np.uint8)
-        for b, path in enumerate(paths):
-            self.node[b, : len(path)], self.bit[b, : len(path)] = zip(*path, strict=True)
+        self.start = np.cumsum(self.length) - self.length  # where each byte's path begins in what follows
+        self.node = np.array([n for p in paths for n, _ in p], dtype=np.uint32)
+        self.bit = np.array([b for p in paths for _, b in p], dtype=np.uint8)
+        self.depth = np.array([min(k, 7) for p in paths for k in range(len(p))])
+        self.row = (self.node >> np.uint32(4)) * np.uint32(0x85EBCA6B)  # nodes of a row lie side by side in the tables
+        self.inner = self.node & np.uint32(15)
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(bits: int, base: int) -> np.ndarray:
-    out = np.ones(1, dtype=np.uint64)
-    for k in range(bits):
-        out = np.concatenate((out, out * np.uint64(pow(base, 1 << k, 1 << 64))))
-    return out
+_KEPT: dict[int, np.ndarray] = {}
 
 
 def powers(count: int, base: int) -> np.ndarray:
-    """base^0 .. base^(count - 1), mod 2^64."""
-    return _powers(max(1, (count - 1).bit_length()), base)[:count]
+    """base^0 .. base^(count - 1), mod 2^64; up to 2^19 of them are kept for the next call."""
+    out = _KEPT.get(base, np.ones(1, dtype=np.uint64))
+    while len(out) < count:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), 1 << 64))))
+        if len(out) <= 1 << 19:
+            _KEPT[base] = out
+    return out[:count]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -99,6 +100,9 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return (_mixed(x * np.uint64(FACTOR)) >> np.uint64(32)).astype(np.uint32)
 
 
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(FACTOR))
+
+
 def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """For each kind, a hash of the context of every byte of concatenated coded texts; contexts end at the text's begin."""
     size = len(data)
@@ -113,7 +117,7 @@ def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             rolling[reach] += value[reach - order]
         out.append(_hash(rolling + np.uint64(order)))
     sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_mixed(value * np.uint64(FACTOR)) * powers(size, FACTOR), out=sums[1:])
+    np.cumsum(_BYTES[data] * powers(size, FACTOR), out=sums[1:])
     part = (data == BLANK[0]) | (data == CLOSE[0])
     begins = np.concatenate(([0], np.flatnonzero(part) + 1))[: int(part.sum()) or 1]
     number = np.cumsum(part) - part  # the word of each byte; its closing byte belongs to it
@@ -145,12 +149,10 @@ def decisions(data: np.ndarray, hashes: list[np.ndarray], code: Code, low: int,
     """The decisions of the bytes low..high."""
     some = data[low:high]
     length = code.length[some]
+    first = np.cumsum(length) - length
     byte = np.repeat(np.arange(high - low), length)
-    depth = np.arange(len(byte)) - np.repeat(np.cumsum(length) - length, length)
-    path = some[byte].astype(np.int64) * code.node.shape[1] + depth
-    node = code.node.ravel()[path]
-    row = (node >> np.uint32(4)) * np.uint32(0x85EBCA6B)  # nodes of a row lie side by side
-    inner, slots = node & np.uint32(15), []
+    path = (code.start[some] - first)[byte] + np.arange(len(byte))
+    row, inner, slots = code.row[path], code.inner[path], []
     for k, h in enumerate(hashes):
         mixed = h[low:high][byte]
         mixed += row
@@ -159,7 +161,7 @@ def decisions(data: np.ndarray, hashes: list[np.ndarray], code: Code, low: int,
         mixed <<= np.uint32(4)
         mixed |= inner
         slots.append(mixed.astype(np.int64))
-    return Bits(low, np.cumsum(length) - length, code.bit.ravel()[path], np.minimum(depth, 7), slots)
+    return Bits(low, first, code.bit[path], code.depth[path], slots)
 
 
 def chunks(texts: list[bytes], code: Code) -> Iterator[tuple[Bits, np.ndarray]]:
@@ -308,7 +310,7 @@ class Learner:
         for slot, table in zip(bits.slots, self.counts, strict=True):
             np.add.at(table, slot, one)
 
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+    def parts(self) -> Iterator[tuple[int, tuple]]:
         """The state as numbered arrays of whole numbers, to be added to those of other shards."""
         self.flush()
         fixed = [(self.weights * self.mass[:, None]).ravel(), self.mass, self.seen.ravel(), self.ones.ravel()]
@@ -319,7 +321,7 @@ class Learner:
                 some = table[at : at + PART]
                 used = np.flatnonzero(some)
                 if len(used):
-                    yield number, np.concatenate((used, *halves(some[used]))).astype(np.int32)
+                    yield number, (used.astype(np.uint16), *halves(some[used]))
                 number += 1
 
 
@@ -398,13 +400,13 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
         if state:
             yield from emitted(state)
 
-    def row(part: int, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], names=["part", "sums"])
+    def row(part: int, *sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(b"".join(x.tobytes() for x in sums), 1)], pa.binary())], names=["part", "sums"])
 
     def emitted(state: Learner) -> Iterator[pa.RecordBatch]:
         for part, sums in state.parts():
             if part >= 0:
-                yield row(part, sums)
+                yield row(part, *sums)
             else:  # in two halves, so that sums of many shards stay within 64 bits
                 high = np.array([int(x) >> 32 for x in sums], np.int64)
                 yield row(-1, np.concatenate((high, np.array([int(x) & 0xFFFFFFFF for x in sums], np.int64))))
@@ -418,7 +420,9 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
                     some = np.frombuffer(raw, np.int64)
                     held[part] = held[part] + some if part in held else some
                 else:
-                    used, zeros, ones = np.split(np.frombuffer(raw, np.int32), 3)
+                    size = len(raw) // 10
+                    used = np.frombuffer(raw, np.uint16, size).astype(np.int64)
+                    zeros, ones = np.frombuffer(raw, np.int32, size, 2 * size), np.frombuffer(raw, np.int32, size, 6 * size)
                     sums = held.setdefault(part, np.zeros(2 * PART, np.int64))
                     sums[used] += zeros
                     sums[used + PART] += ones

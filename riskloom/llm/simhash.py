@@ -216,7 +216,7 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
     """``id, text_hash, node, n, f0..``: a row's set of shingles as a hash, its size and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, texts in sliced(batches, "text", 1 << 20):
+        for some, texts in sliced(batches, "text", 1 << 19):
             sets = [np.unique(shingles(x, width)) for x in texts]
             sizes = np.array([len(x) for x in sets])
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)

@@ -44,17 +44,17 @@ BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(bits: int, base: int) -> np.ndarray:
-    """base^0 .. base^(2^bits - 1), mod 2^64."""
-    out = np.ones(1, dtype=np.uint64)
-    for k in range(bits):
-        out = np.concatenate((out, out * np.uint64(pow(base, 1 << k, 1 << 64))))
-    return out
+_KEPT: dict[int, np.ndarray] = {}
 
 
 def powers(count: int, base: int) -> np.ndarray:
-    return _powers(max(1, (count - 1).bit_length()), base)[:count]
+    """base^0 .. base^(count - 1), mod 2^64; up to 2^19 of them are kept for the next call."""
+    out = _KEPT.get(base, np.ones(1, dtype=np.uint64))
+    while len(out) < count:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), 1 << 64))))
+        if len(out) <= 1 << 19:
+            _KEPT[base] = out
+    return out[:count]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -82,7 +82,7 @@ def test_log10_is_the_plain_sum_over_bits():
                 low, share = int(place), place - int(place)
                 cell = lambda j: (model.ones[gate, j] + 8 / (1 + math.exp(8 - j / 2))) / (model.seen[gate, j] + 8)  # noqa: B023, E731
                 chance = 0.5 * (cell(low) * (1 - share) + cell(low + 1) * share) + 0.5 / (1 + math.exp(-odds))
-                total += math.log10(chance if CODE.bit[byte, depth] else 1 - chance)
+                total += math.log10(chance if CODE.bit[CODE.start[byte] + depth] else 1 - chance)
                 at += 1
         assert model.log10([text])[0] == pytest.approx(total, rel=1e-4)
     assert model.log10([b"the cat sat on the mat"])[0] > model.log10([b"mat the on sat cat the"])[0]
@@ -104,7 +104,7 @@ def test_learning_is_online():
 
 
 def test_code_is_a_prefix_code():
-    paths = ["".join(map(str, CODE.bit[b, : CODE.length[b]])) for b in range(256)]
+    paths = ["".join(map(str, CODE.bit[CODE.start[b] : CODE.start[b] + CODE.length[b]])) for b in range(256)]
     assert len(set(paths)) == 256 and sum(2.0 ** -len(p) for p in paths) == 1
     assert len(paths[ord(" ")]) < len(paths[0]) and CODE.node.max() == 254
     assert not any(b.startswith(a) for a in paths for b in paths if a != b)
