@@ -395,28 +395,37 @@ def with_repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 4
     """
     if length < 1 or unit not in ("bytes", "words"):
         raise ValueError("length must be positive and unit bytes or words")
-    of = Tokens(length, unit == "words")
-    clash = [c for c in docs.columns if c.lower() in ("spans", "k1", "k2")]
-    hidden = {c: f"__{i}_{c}" for i, c in enumerate(clash) if c.lower() != "spans"}
-    docs = docs.drop(*(c for c in clash if c.lower() == "spans")).withColumnsRenamed(hidden)
+    return _marked(docs, text_col, {"spans": (Tokens(length, unit == "words"), keep_first)}, together)
+
+
+def _marked(docs: DataFrame, text_col: str, wanted: dict[str, tuple[Tokens, bool]], together: int) -> DataFrame:
+    """``docs`` with a column of byte ranges for each of the wanted kinds of strings (and whether the first copy stays)."""
+    clash = [c for c in docs.columns if c.lower() in (*wanted, "k1", "k2")]
+    hidden = {c: f"__{i}_{c}" for i, c in enumerate(clash) if c.lower() not in wanted}
+    docs = docs.drop(*(c for c in clash if c.lower() in wanted)).withColumnsRenamed(hidden)
     text_col = hidden.get(text_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)}
-    listed = _token_spans(docs, keys, text, of, keep_first, together)
-    named = docs.withColumns(keys).join(listed.hint("merge"), ["k1", "k2"], "left")
+    found = docs.withColumns(keys)
+    for name, (of, keep_first) in wanted.items():
+        listed = _token_spans(docs, keys, text, of, keep_first, together).withColumnRenamed("spans", name)
+        found = found.join(listed.hint("merge"), ["k1", "k2"], "left")
     back = [F.col(c).alias(next((k for k, v in hidden.items() if v == c), c)) for c in docs.columns]
-    found = named.select(*back, F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    if not of.words:
+    found = found.select(*back, *[F.coalesce(name, F.array().cast(SPANS)).alias(name) for name in wanted])
+    place, of_words = docs.columns.index(text_col), [len(docs.columns) + i for i, (of, _) in enumerate(wanted.values()) if of.words]
+    if not of_words:
         return found
-    place = docs.columns.index(text_col)
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(place), batch.column(batch.num_columns - 1).to_pylist()
-            for k in (k for k, x in enumerate(spans) if x):
-                begin, end = _bounds(*joined_bytes([texts[k].as_py().encode()]))
-                spans[k] = [{"start": int(begin[x["start"]]), "stop": int(end[x["stop"] - 1])} for x in spans[k]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, _SPAN_LIST)], names=batch.schema.names)
+            texts, columns = batch.column(place), list(batch.columns)
+            for n in of_words:
+                spans = batch.column(n).to_pylist()
+                for k in (k for k, x in enumerate(spans) if x):
+                    begin, end = _bounds(*joined_bytes([texts[k].as_py().encode()]))
+                    spans[k] = [{"start": int(begin[x["start"]]), "stop": int(end[x["stop"] - 1])} for x in spans[k]]
+                columns[n] = pa.array(spans, _SPAN_LIST)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return found.mapInArrow(to_bytes, found.schema)
 
@@ -470,20 +479,30 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 400,
     return marked.mapInArrow(run, StructType(marked.schema.fields[:-1]))
 
 
+#: Repeated passages of so many words are counted beside the repeated byte strings.
+PASSAGE = 50
+
+
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 400 bytes; and how many of its bytes lie in repeated passages of 50 words.
+
+    Null texts count as empty; repeated rows are copies of one another.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    marked = with_repeated_spans(docs)
+    marked = _marked(docs, "text", {"spans": (Tokens(400), False), "passages": (Tokens(PASSAGE, True), False)}, TOGETHER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw in sliced(batches, "text"):
-            spans = rows.column(2).to_pylist()
+            spans, passages = rows.column(2).to_pylist(), rows.column(3).to_pylist()
+            size = lambda many: pa.array([sum(x["stop"] - x["start"] for x in s) for s in many], pa.int64())
             columns = [
                 rows.column(0),
                 pa.array([len(x) for x in raw], pa.int64()),
-                pa.array([sum(x["stop"] - x["start"] for x in s) for s in spans], pa.int64()),
+                size(spans),
                 pa.array([len(s) for s in spans], pa.int64()),
                 pa.array([hashlib.sha256(_cut(x, s, False)).hexdigest() for x, s in zip(raw, spans, strict=True)], pa.string()),
+                size(passages),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
 
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")

@@ -69,11 +69,11 @@ def test_query_and_cut_texts(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
     got = sorted((tuple(r) for r in op10_suffix_array_dedup(spark, str(tmp_path / "a")).collect()), key=str)
     want = []
-    for k, (t, spans) in enumerate(zip(texts, brute(texts))):
+    for k, (t, spans, passages) in enumerate(zip(texts, brute(texts), word_brute(texts, 50))):
         raw = bytearray((t or "").encode())
         for a, b in reversed(spans):
             del raw[a:b]
-        want.append((k if k % 7 else None, len((t or "").encode()), sum(b - a for a, b in spans), len(spans), hashlib.sha256(raw).hexdigest()))
+        want.append((k if k % 7 else None, len((t or "").encode()), sum(b - a for a, b in spans), len(spans), hashlib.sha256(raw).hexdigest(), sum(b - a for a, b in passages)))
     assert got == sorted(want, key=str)
     cut = without_repeats(docs)
     assert cut.columns == docs.columns
