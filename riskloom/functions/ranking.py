@@ -68,6 +68,34 @@ def numbered(df: DataFrame, groups: Sequence[str], lead: str, descending: bool =
     return counted.select(*df.columns, F.col("__one_run").alias("__row"), F.col("__one_all").alias("__rows"))
 
 
+def observed_quantiles(df: DataFrame, values: Sequence[Column], parts: int, interpolated: bool = False) -> list[list[float]]:
+    """For each of the values the quantiles 1/parts .. (parts - 1)/parts: observed ones, or between the two next ones if ``interpolated``.
+
+    Nulls and NaN are left out; a column without values has no quantiles. Equal values are counted first,
+    their ranks run distributed, and only the rows that hold a wanted rank reach the driver.
+    """
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), v.cast("double").alias("v")) for i, v in enumerate(values)])).alias("x")).select("x.*")
+    counts = each.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("f", "v").agg(F.count("*").alias("n"))
+    ran = running(counts, ["f"], "v", ["n"], False, kind=F.col("f"), kinds=len(values))
+    whole = F.col("n_all")
+    if interpolated:
+        places = [((whole - 1) * i, i) for i in range(1, parts)]
+        ranks = [x for p, i in places for x in ((F.lit(i), F.expr("'low'"), F.floor(p / parts) + 1), (F.lit(i), F.expr("'high'"), F.ceil(p / parts) + 1))]
+    else:
+        ranks = [(F.lit(i), F.expr("'low'"), F.ceil(whole * i / parts)) for i in range(1, parts)]
+    wanted = F.array(*[F.struct(i.alias("i"), side.alias("side"), rank.cast("long").alias("rank")) for i, side, rank in ranks])
+    hits = ran.select("f", "v", "n_all", "n_run", "n", F.explode(wanted).alias("w")).where((F.col("w.rank") <= F.col("n_run")) & (F.col("w.rank") > F.col("n_run") - F.col("n")))
+    found = {(r["f"], r["i"], r["side"]): (r["v"], r["n_all"]) for r in hits.select("f", "v", "n_all", "w.*").collect()}
+    out: list[list[float]] = [[] for _ in values]
+    for f in range(len(values)):
+        for i in range(1, parts):
+            if (f, i, "low") in found:
+                (low, n), (high, _) = found[f, i, "low"], found.get((f, i, "high"), (0.0, 0))
+                place = (n - 1) * i / parts
+                out[f].append(low + (high - low) * (place - math.floor(place)) if interpolated else low)
+    return out
+
+
 def tile_of(row: Column, rows: Column, tiles: int) -> Column:
     """The tile of a row number: sizes differ by one at most, the first tiles are the larger ones."""
     size, larger = F.floor(rows / tiles), rows % tiles

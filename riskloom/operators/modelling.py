@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.core.checks import col, require_columns
+from riskloom.core.checks import col, present, reject, require_columns, require_numeric
 from riskloom.functions.ranking import numbered
 from riskloom.operators import cube
 from riskloom.operators.selection import supervised
@@ -94,7 +94,7 @@ class TrainingResult:
     scoring_predictions: DataFrame | None
     metrics: dict[str, float]
     feature_importance: list[dict]
-    output_dir: Path | None = None
+    output_dir: Path | str | None = None
     run_id: str | None = None
     save_model_to: str = "folder"
     model_uri: str | None = None
@@ -110,6 +110,18 @@ def _checked(df: DataFrame, target: str, features: Sequence[str]) -> list[str]:
     return supervised(df, target, features)
 
 
+def _evaluation_frame(df: DataFrame, target: str | None, features: Sequence[str]) -> None:
+    """Checks, in one job, that a frame to be scored has numeric, finite features and, with a target, only 0 and 1 in it."""
+    require_columns(df, [*features, *([target] if target else [])])
+    require_numeric(df, features)
+    values = [col(f).cast("double") for f in features]
+    faults = {f"feature {f!r} must be finite and without nulls in rows to be scored": ~present(v) | (F.abs(v) == math.inf) for f, v in zip(features, values, strict=True)}
+    if target:
+        y = col(target).cast("double")
+        faults |= {"out-of-time targets must be 0 or 1 and not null": ~present(y) | ~y.isin(0.0, 1.0)}
+    reject(df, faults)
+
+
 def train_model(run_name: str, target_col: str, feature_cols: Sequence[str], train_df: DataFrame, oot_df: DataFrame, model: str | Estimator = "logistic_regression", *, model_params: dict | None = None, random_state: int = 42, df_scoring: DataFrame | None = None, output_dir: str | Path = "models", save_model_to: str = "folder", n_tiles: int = 10, overwrite: bool = False, analysis_cube: dict | None = None) -> TrainingResult:
     """Fits on the training rows, scores the out-of-time rows, measures, and stores model and reports in a run folder.
 
@@ -124,29 +136,43 @@ def train_model(run_name: str, target_col: str, feature_cols: Sequence[str], tra
         except ImportError as error:
             raise ImportError("save_model_to='mlflow' needs the mlflow package") from error
     features = _checked(train_df, target_col, list(feature_cols))
-    require_columns(oot_df, [target_col, *features])
+    _evaluation_frame(oot_df, target_col, features)
+    if df_scoring is not None:
+        _evaluation_frame(df_scoring, None, features)
     made = fitted(train_df, target_col, features, model, model_params, random_state)
     oot = scored(made, oot_df)
     result = TrainingResult(made, oot, scored(made, df_scoring) if df_scoring is not None else None, evaluate(oot, target_col, n_tiles), importances(made, features), save_model_to=save_model_to)
     if analysis_cube is not None:
         result.analysis_cube = cube.calculate_metrics(oot, target_column=target_col, **analysis_cube)
     if save_model_to == "folder":
-        _store(result, run_name, features, target_col, model, model_params, Path(output_dir), overwrite)
+        _store(train_df.sparkSession, result, run_name, features, target_col, model, model_params, output_dir, overwrite)
     return result
 
 
-def _store(result: TrainingResult, run_name: str, features: Sequence[str], target: str, model: str | Estimator, params: dict | None, folder: Path, overwrite: bool) -> None:
+def written(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small report through Spark's file system, where the model goes too."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _store(spark: SparkSession, result: TrainingResult, run_name: str, features: Sequence[str], target: str, model: str | Estimator, params: dict | None, folder: str | Path, overwrite: bool) -> None:
+    """Model and reports in a run folder of their own; ``folder`` may be a path or an address of any store that Spark writes to."""
     result.run_id = uuid.uuid4().hex
-    result.output_dir = folder / f"{re.sub(r'[^A-Za-z0-9_-]+', '_', run_name).strip('_') or 'run'}_{result.run_id}"
-    result.output_dir.mkdir(parents=True)
-    path = result.output_dir / "model"
+    name = f"{re.sub(r'[^A-Za-z0-9_-]+', '_', run_name).strip('_') or 'run'}_{result.run_id}"
+    root = f"{str(folder).rstrip('/')}/{name}"
+    result.output_dir = root if "://" in root else Path(root)
+    path = f"{root}/model"
     save_model(result.model, path, overwrite=overwrite)
     result.model_uri, result.model_format = str(path), "spark"
     info = {"run_name": run_name, "run_id": result.run_id, "backend": "pyspark", "target": target, "features": list(features), "model": model if isinstance(model, str) else type(model).__name__, "params": {k: str(v) for k, v in (params or {}).items()}}
     for name, content in (("model_info.json", info), ("metrics.json", result.metrics), ("metadata.json", {"model_format": "spark", "run_id": result.run_id})):
-        (result.output_dir / name).write_text(json.dumps(content, indent=2))
+        written(spark, f"{root}/{name}", json.dumps(content, indent=2))
     lines = ["feature,importance", *(f"{r['feature']},{r['importance']!r}" for r in result.feature_importance)]
-    (result.output_dir / "feature_importance.csv").write_text("\n".join(lines) + "\n")
+    written(spark, f"{root}/feature_importance.csv", "\n".join(lines) + "\n")
 
 
 def save_model(model: PipelineModel, path: str | Path, format: str = "spark", *, overwrite: bool = False) -> None:
@@ -196,6 +222,12 @@ def with_folds(df: DataFrame, target: str, cv: int = 5, strategy: str = "stratif
     return ranked.withColumn("fold", F.pmod(F.col("__row") - 1, F.lit(cv)).cast("int")).drop("__row", "__rows", "__deal")
 
 
+def rounds(folded: DataFrame, cv: int, strategy: str = "stratified") -> list[tuple[int, DataFrame, DataFrame]]:
+    """(fold, training rows, rows to measure) of each round: all other folds train, or, ``expanding``, the earlier ones (cv - 1 rounds)."""
+    first = 1 if strategy == "expanding" else 0
+    return [(k, folded.where(F.col("fold") < k if strategy == "expanding" else F.col("fold") != k), folded.where(F.col("fold") == k)) for k in range(first, cv)]
+
+
 @dataclass
 class CrossValidationResult:
     fold_metrics: list[dict]
@@ -228,10 +260,9 @@ def cross_validate(df: DataFrame, target_col: str, feature_cols: Sequence[str],
     records, models = [], []
     folded = with_folds(df, target_col, cv, strategy, group_col=group_col, date_col=date_col, fold_col=fold_col, random_state=random_state).select(target_col, *features, "fold")
     with cached(folded):
-        for fold in range(1 if strategy == "expanding" else 0, cv):
-            train = folded.where(F.col("fold") < fold if strategy == "expanding" else F.col("fold") != fold)
+        for fold, train, held in rounds(folded, cv, strategy):
             made = fitted(train, target_col, features, model, model_params, random_state)
-            parts = {"": folded.where(F.col("fold") == fold)} | ({"train_": train} if return_train_metrics else {})
+            parts = {"": held} | ({"train_": train} if return_train_metrics else {})
             found = {f"{p}{k.upper()}": v for p, rows in parts.items() for k, v in evaluate(scored(made, rows), target_col, n_tiles).items() if k in metrics}
             records.append({"fold": fold + 1, **found})
             models.append(made)

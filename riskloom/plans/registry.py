@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import cube, metrics, modelling, provider, search, selection, temporal
@@ -79,6 +81,20 @@ for _name, _way in (("desc", "DESC"), ("asc", "ASC")):
     query(f"risk_table_{_name}", f"WITH pred AS ({tables.SCORED}) SELECT {_RISK} FROM ({_tiles_sql('', way=_way)})")(lambda s, d, up=_way == "ASC": _rounded(metrics.risk_table("score", _scored(s, d), ascending=up)))
 
 
+# Scores with many equal values: a column breaks the ties.
+_TIED = f"SELECT id, seg, period, target, floor(score / 20000) AS score FROM ({tables.SCORED})"
+
+
+def _tied_sql(what: str) -> str:
+    return _metric_sql(_tiles_sql("", way="DESC, id"), "", what).replace(f"({tables.SCORED})", f"({_TIED})", 1)
+
+
+query("ks_ties", _tied_sql("ks"))(lambda s, d: _rounded(metrics.ks_ntile("score", view(s, d, _TIED), tie_breaker="id")))
+query("auc_gini_ties", _tied_sql("auc"))(lambda s, d: _rounded(metrics.auc_gini("score", view(s, d, _TIED), tie_breaker="id")))
+query("risk_table_ties", f"WITH pred AS ({_TIED}) SELECT {_RISK} FROM ({_tiles_sql('', way='ASC, id')})")(lambda s, d: _rounded(metrics.risk_table("score", view(s, d, _TIED), ascending=True, tie_breaker="id")))
+query("exact_auc_ties", _metric_sql(_scores_sql(""), "", "auc").replace(f"({tables.SCORED})", f"({_TIED})", 1))(lambda s, d: _rounded(metrics.auc_gini("score", view(s, d, _TIED), exact=True)))
+
+
 def _cube_sql(kind: str) -> str:
     parts = []
     for score in ("score", "reverse"):
@@ -214,6 +230,24 @@ def _cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.createDataFrame([(i, float(c)) for i, c in enumerate(cuts, 1)], "decile int, cutoff double"))
 
 
+@query("pv_cutoffs_approximate", "SELECT CAST(i AS INT) AS decile, true AS within_bound FROM range(1, 10) r(i)")
+def _approximate_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each approximate decile, as the report uses it, lies within 1/1000 of its rank (1/10000 is what is asked for)."""
+    received = _received(spark, sf_dir)
+    cuts = spark.createDataFrame([(i, float(c)) for i, c in enumerate(received.cutoffs(_BASE), 1)], "decile int, cutoff double")
+    inside = received.rows.where((F.col("cohort") == _BASE) & F.col("score").between(0, 1000)).select("score")
+    shares = inside.join(F.broadcast(cuts)).groupBy("decile").agg(F.avg((F.col("score") <= F.col("cutoff")).cast("double")).alias("reached"), F.count("*").alias("n"))
+    return shares.select("decile", (F.abs(F.col("reached") - F.col("decile") / 10) <= F.greatest(F.lit(0.001), 1.5 / F.col("n"))).alias("within_bound"))
+
+
+@query("pv_report", f"""{_PROVIDER}SELECT (SELECT min(strftime(dt, '%Y%m')) FROM received) AS baseline, (SELECT count(DISTINCT strftime(dt, '%Y%m')) FROM received) AS months, 'available' AS stability_status, true AS range_warning, CAST(13 AS BIGINT) AS bands,
+ CAST(1 AS BIGINT) + (SELECT CAST(count(*) > 0 AS INT) FROM received WHERE score < 0) + (SELECT CAST(count(*) > 0 AS INT) FROM received WHERE score > 1000) + (SELECT CAST(count(*) > 0 AS INT) FROM received WHERE dt IS NULL) + 2 AS warnings""")
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = provider.validate_external_dataframe(view(spark, sf_dir, tables.SENT), view(spark, sf_dir, tables.RECEIVED).withColumn("day", F.col("dt")), "id", "day", "score")
+    row = (found["baseline"], len(found["monthly_volume"]), found["stability_status"], found["range_warning"], len({r["band"] for r in found["monthly_bands"]}), len(found["warnings"]))
+    return spark.createDataFrame([row], "baseline string, months long, stability_status string, range_warning boolean, bands long, warnings long")
+
+
 _BAND = "CASE WHEN score IS NULL THEN 'Missing' WHEN score < 0 THEN 'Below 0' WHEN score > 1000 THEN 'Above 1000' ELSE 'D' || CAST(least(1 + (SELECT count(*) FROM cuts WHERE cut < score), 10) AS VARCHAR) END"
 
 
@@ -246,9 +280,9 @@ def _each(features: list[str], sql: str) -> str:
 
 query("sel_completeness", _each(["quantity", "sparse", "flag"], "SELECT '{f}' AS feature, round(count({f}) / count(*), 6) AS completeness FROM t"))(lambda s, d: _rounded(selection.quality_table(_selection(s, d), ["quantity", "sparse", "flag"]).select("feature", "completeness")))
 query("sel_completeness_grouped", _each(["quantity", "sparse", "flag"], "SELECT status, '{f}' AS feature, round(count({f}) / count(*), 6) AS completeness FROM t GROUP BY status"))(lambda s, d: _rounded(selection.grouped_completeness(_selection(s, d), ["quantity", "sparse", "flag"], ["status"])))
-query("sel_variance", _each([*_NUMERIC, "sparse", "flat"], "SELECT '{f}' AS feature, round(var_pop({f}), 4) AS variance FROM t"))(lambda s, d: _rounded(selection.quality_table(_selection(s, d), [*_NUMERIC, "sparse", "flat"]).select("feature", "variance"), 4))
+query("sel_variance", _each([*_NUMERIC, "sparse", "flat"], "SELECT '{f}' AS feature, round(var_pop({f}), 2) AS variance FROM t"))(lambda s, d: _rounded(selection.quality_table(_selection(s, d), [*_NUMERIC, "sparse", "flat"]).select("feature", "variance"), 2))
 query("sel_cardinality", _each(["quantity", "code", "flat", "flag"], "SELECT '{f}' AS feature, count(DISTINCT {f}) AS unique_count, round(count(DISTINCT {f}) / count(*), 8) AS unique_ratio FROM t"))(
-    lambda s, d: selection.quality_table(_selection(s, d), ["quantity", "code", "flat", "flag"]).select("feature", F.col("unique").alias("unique_count"), F.round(F.col("unique") / F.col("rows"), 8).alias("unique_ratio"))
+    lambda s, d: selection.cardinality_table(_selection(s, d), ["quantity", "code", "flat", "flag"]).select("feature", F.col("unique").alias("unique_count"), F.round(F.col("unique") / F.col("rows"), 8).alias("unique_ratio"))
 )
 _PAIRS = [(a, b) for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :]]
 query("sel_corr_pearson", _SEL + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 8) AS correlation FROM t" for a, b in _PAIRS))(lambda s, d: _rounded(selection.pearson_pairs(_selection(s, d), _NUMERIC), 8))
@@ -314,6 +348,24 @@ _ORDERED = f"SELECT id, target, row_number() OVER (ORDER BY o_orderdate, id) - 1
 query("folds_time_blocks", f"SELECT id, CAST(k * 4 // n AS INT) AS fold FROM ({_ORDERED})")(lambda s, d: _folded(s, d, "time_series", date_col="day", order_cols=["id"]).select("id", "fold"))
 query("folds_expanding", f"SELECT CAST(k * 4 // n AS INT) AS fold, count(*) AS rows_in, CAST(sum(target) AS BIGINT) AS events FROM ({_ORDERED}) GROUP BY 1")(lambda s, d: _folded(s, d, "expanding", date_col="day", order_cols=["id"]).groupBy("fold").agg(F.count("*").alias("rows_in"), F.sum("target").alias("events")))
 query("folds_stratified_counts", f"SELECT CAST((row_number() OVER (PARTITION BY target ORDER BY id) - 1) % 4 AS INT) AS fold, target, count(*) OVER (PARTITION BY target) AS n FROM ({tables.SCORED})".join(("SELECT fold, target, count(*) AS rows_in FROM (", ") GROUP BY fold, target")))(lambda s, d: _folded(s, d, "stratified").groupBy("fold", "target").agg(F.count("*").alias("rows_in")))
+query("folds_group", f"SELECT seg, CAST(1 AS BIGINT) AS folds, count(*) AS rows_in, true AS in_range FROM ({tables.SCORED}) GROUP BY seg")(
+    lambda s, d: modelling.with_folds(_scored(s, d), "target", 4, "group", group_col="seg").groupBy("seg").agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("rows_in"), F.every(F.col("fold").between(0, 3)).alias("in_range"))
+)
+
+
+def _round_rows(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """How many rows train and are measured in each round, and the sums of their ids."""
+    folded = _folded(spark, sf_dir, "time_series", date_col="day", order_cols=["id"])
+    sides = [x.agg(F.lit(k).alias("round"), F.lit(side).alias("side"), F.count("*").alias("rows_in"), F.sum("id").alias("ids")) for k, *both in modelling.rounds(folded, 4, strategy) for side, x in zip(("train", "held"), both, strict=True)]
+    return functools.reduce(DataFrame.union, sides)
+
+
+def _rounds_sql(train: str, first: int) -> str:
+    return f"WITH f AS (SELECT id, CAST(k * 4 // n AS INT) AS fold FROM ({_ORDERED})), r AS (SELECT CAST(i AS INT) AS round FROM range({first}, 4) x(i)) SELECT round, CASE WHEN fold = round THEN 'held' ELSE 'train' END AS side, count(*) AS rows_in, CAST(sum(id) AS BIGINT) AS ids FROM r JOIN f ON fold = round OR {train} GROUP BY ALL"
+
+
+query("cv_rounds_expanding", _rounds_sql("fold < round", 1))(lambda s, d: _round_rows(s, d, "expanding"))
+query("cv_rounds_other_folds", _rounds_sql("fold <> round", 0))(lambda s, d: _round_rows(s, d, "time_series"))
 query("folds_fold_col", f"SELECT id, CAST(id % 4 AS INT) AS fold FROM ({tables.SCORED})")(lambda s, d: modelling.with_folds(_scored(s, d).withColumn("part", F.col("id") % 4), "target", 4, fold_col="part").select("id", "fold"))
 
 
@@ -321,30 +373,80 @@ def _rows(spark: SparkSession, table: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r.values()) for r in table], schema)
 
 
-@query("train_logistic")
+# With one yes-or-no feature a logistic regression is saturated: its score is the share of events among rows that are alike.
+_YES_NO = "SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS DOUBLE) AS x, CAST(CASE WHEN l_returnflag = 'R' OR l_quantity > 45 THEN 1 ELSE 0 END AS INT) AS target, CAST(l_orderkey % 2 AS INT) AS part FROM lineitem"
+_EXACTLY = {"maxIter": 100, "tol": 1e-10}
+
+
+@query("train_logistic", f"SELECT x, count(*) AS rows_in, round(avg(target), 4) AS low, round(avg(target), 4) AS high FROM ({_YES_NO}) GROUP BY x")
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a logistic regression for all rows."""
-    data = _selection(spark, sf_dir).select("target", *_NUMERIC)
-    return modelling.scored(modelling.fitted(data, "target", _NUMERIC, "logistic_regression", {"maxIter": 5}), data).select("target", F.round("score", 6).alias("score"))
+    """Scores of a logistic regression for all rows, by the one feature."""
+    data = view(spark, sf_dir, _YES_NO)
+    found = modelling.scored(modelling.fitted(data, "target", ["x"], "logistic_regression", _EXACTLY), data)
+    return found.groupBy("x").agg(F.count("*").alias("rows_in"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"))
+
 
+_CV = f"""WITH t AS ({_YES_NO}), r AS (SELECT f.part, x, avg(target) AS rate FROM t, (SELECT DISTINCT part FROM t) f WHERE t.part <> f.part GROUP BY f.part, x),
+ c AS (SELECT part, tile, count(*) AS n, CAST(sum(target) AS BIGINT) AS e FROM (SELECT t.part, target, ntile(10) OVER (PARTITION BY t.part ORDER BY rate DESC, target) AS tile FROM t JOIN r ON r.part = t.part AND r.x = t.x) GROUP BY part, tile),
+ m AS (SELECT part, round(max(abs(tpr - fpr)), 5) AS ks, round(sum(dn * (2 * tpr - de) / 2), 5) AS auc FROM ({_points_sql('SELECT * FROM c', 'part')}) GROUP BY part),
+ v AS (SELECT 'KS' AS metric, ks AS v FROM m UNION ALL SELECT 'AUC', auc FROM m UNION ALL SELECT 'GINI', round(2 * auc - 1, 5) FROM m)
+ SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS std, round(min(v), 3) AS min, round(max(v), 3) AS max FROM v GROUP BY metric"""
 
-@query("cv_logistic")
+
+@query("cv_logistic", _CV)
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = modelling.cross_validate(_selection(spark, sf_dir), "target", _NUMERIC, "logistic_regression", {"maxIter": 5}, 2)
-    return _rows(spark, found.summary, "metric string, mean double, std double, min double, max double")
+    """Cross-validation by a fold column; of rows that score alike the events come last, which makes the tiles definite."""
+    found = modelling.cross_validate(view(spark, sf_dir, _YES_NO), "target", ["x"], "logistic_regression", _EXACTLY, 2, fold_col="part")
+    return _rounded(_rows(spark, found.summary, "metric string, mean double, std double, min double, max double"), 3)
+
+
+# One feature tells the target, the other is constant: every search must keep the first and only that.
+_PLAIN = f"SELECT id, target, target + CAST(id % 7 AS DOUBLE) / 100 AS signal, CAST(1 AS DOUBLE) AS flat, CAST(id % 2 AS INT) AS fold FROM ({tables.SCORED})"
+_KEPT = "SELECT 'signal' AS feature, true AS selected UNION ALL SELECT 'flat', false"
+_TWO = ["signal", "flat"]
+_FAST = {"model": "logistic_regression", "model_params": {"maxIter": 5}}
+
+
+def _searched(name: str, run: Callable[[DataFrame], list[str]]) -> None:
+    """Registers a search: which of the two features it keeps, over the whole table."""
+
+    def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+        chosen = set(run(view(spark, sf_dir, _PLAIN)))
+        return spark.createDataFrame([(f, f in chosen) for f in _TWO], "feature string, selected boolean")
+
+    query(name, _KEPT)(kept)
+
+
+_searched("sel_l1", lambda x: search.l1_selection(x, "target", _TWO, reg_param=0.01, max_iter=10).selected_features)
+_searched("sel_importance", lambda x: search.feature_importance_selection(x, "target", _TWO, model_params={"numTrees": 5}, top_k=1).selected_features)
+_searched("sel_permutation", lambda x: search.permutation_importance_selection(modelling.fitted(x, "target", _TWO, **_FAST_FIT), x, "target", _TWO, n_repeats=2, threshold=0.1).selected_features)
+_searched("sel_rfe", lambda x: _eliminated(x))
+_searched("sel_rfecv", lambda x: search.rfecv(x, "target", _TWO, cv=2, fold_col="fold", **_FAST).selected_features)
+_searched("sel_sequential", lambda x: search.sequential_selection(x, "target", _TWO, cv=2, fold_col="fold", **_FAST).selected_features)
+_searched("sel_stability", lambda x: search.stability_selection(x, "target", _TWO, method="l1", n_iterations=2, selector_kwargs={"reg_param": 0.01, "max_iter": 5}).selected_features)
+_searched("sel_boruta", lambda x: search.boruta(x, "target", _TWO, n_estimators=3, max_iter=8).selected_features)
+_FAST_FIT = {"model": "logistic_regression", "params": {"maxIter": 5}}
 
 
-@query("sel_l1")
-def _l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.l1_selection(_selection(spark, sf_dir), "target", _NUMERIC, reg_param=0.001, max_iter=10).feature_table
-    return _rows(spark, [{k: r[k] for k in ("feature", "coefficient", "selected")} for r in found], "feature string, coefficient double, selected boolean")
+def _eliminated(rows: DataFrame) -> list[str]:
+    with tempfile.TemporaryDirectory(prefix="riskloom-") as folder:
+        return search.rfe("rfe", "target", rows, rows, _TWO, output_dir=folder, **_FAST).selected_features
 
 
-@query("sel_importance")
-def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.feature_importance_selection(_selection(spark, sf_dir), "target", _NUMERIC, model_params={"numTrees": 5}, top_k=2).feature_table
-    return _rows(spark, [{k: r[k] for k in ("feature", "importance", "selected")} for r in found], "feature string, importance double, selected boolean")
+@query("synth_credit", f"SELECT count(*) AS rows_in, true AS dates_inside, true AS flags, CAST(20 AS BIGINT) AS features, true AS finite FROM ({tables.SCORED})")
+def _credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the whole simulated table: as many rows as asked for, days after the anchor, flags, finite features."""
+    count = view(spark, sf_dir, tables.SCORED).count()
+    rows, names = synthetic.simulate_credit_data(spark, row_count=count, anchor_date=date(2024, 1, 1))
+    finite = functools.reduce(Column.__and__, [F.col(n).isNotNull() & (F.abs(n) < 10) for n in names])
+    return rows.agg(F.count("*").alias("rows_in"), F.every(F.col("reference_date").between("2024-01-02", "2024-01-31")).alias("dates_inside"), F.every(F.col("default_flag").isin(0, 1)).alias("flags"), F.lit(len(names)).cast("long").alias("features"), F.every(finite).alias("finite"))
 
 
-query("synth_credit")(lambda s, d: synthetic.simulate_credit_data(s, row_count=view(s, d, tables.SCORED).count(), anchor_date=date(2024, 1, 1))[0])
-query("synth_bureau")(lambda s, d: synthetic.simulate_bureau_history(view(s, d, tables.SPINE).select("id"), "id", "2022-01-31", "2023-12-31"))
+@query("synth_bureau", f"SELECT count(*) AS customers, true AS month_ends, true AS in_range, true AS one_a_month, true AS mostly_whole FROM (SELECT DISTINCT id FROM ({tables.SPINE}))")
+def _bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the whole simulated history: every customer, month ends, scores in range, one row a month at most."""
+    people = view(spark, sf_dir, tables.SPINE).select("id")
+    rows = synthetic.simulate_bureau_history(people, "id", "2022-01-31", "2023-12-31")
+    day, score = (c for c in rows.columns if c != "id")
+    one = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct(day).alias("days"), F.every(F.col(day) == F.last_day(day)).alias("ends"), F.every(F.col(score).between(0, 1000)).alias("inside"))
+    return one.agg(F.count("*").alias("customers"), F.every("ends").alias("month_ends"), F.every("inside").alias("in_range"), F.every(F.col("n") == F.col("days")).alias("one_a_month"), (F.avg((F.col("n") == 24).cast("double")) > 0.5).alias("mostly_whole"))

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.core.doctor import doctor
+from riskloom.core.doctor import LEAST, doctor, judged, version_state
 from riskloom.operators import modelling, search
 from riskloom.sources.synthetic import simulate_bureau_history, simulate_credit_data
 
@@ -102,4 +102,22 @@ def test_simulators(spark):
 
 
 def test_doctor(capsys):
-    assert doctor()["capabilities"]["spark"] == "READY" and "READY" in capsys.readouterr().out
+    report = doctor()
+    assert report["capabilities"]["spark"] == "READY" and "READY" in capsys.readouterr().out and report["result"] == "READY"
+    wanted = doctor(backend="spark", model="lightgbm", save_model_to="mlflow", verbose=False)
+    assert set(wanted["blocking"]) == {"lightgbm models", "mlflow storage"} and wanted["result"] == "NOT AVAILABLE" and capsys.readouterr().out == ""
+    for bad in ({"model": "random_forest"}, {"backend": "dask"}, {"backend": "spark", "model": "x"}):
+        with pytest.raises(ValueError):
+            doctor(**bad)
+    assert [version_state(v, (3, 5)) for v in ("3.5.0", "3.10", "3.4.9", "4", "4.0.0+abc", "4.0rc1", None)] == ["READY", "READY", "INCOMPATIBLE", "READY", "READY", "PARTIAL", "NOT AVAILABLE"]
+    parts = {n: {"version": "99.0", "error": None} for n in (*LEAST, "java")} | {"numpy": {"version": None, "error": "OSError"}}
+    off = {"running": False, "version": None, "jvm": None, "error": None}
+    assert judged(parts, off)[1]["spark"] == "PARTIAL"
+    parts["numpy"] = {"version": "99.0", "error": None}
+    assert judged(parts, off)[1]["spark"] == "READY" and judged(parts, off | {"running": True, "version": "98.0", "jvm": True})[1]["spark"] == "PARTIAL"
+
+
+def test_frames_to_be_scored_are_checked(data):
+    for bad in (data.withColumn("signal", F.lit(float("inf"))), data.withColumn("signal", F.lit(None).cast("double")), data.withColumn("target", F.lit(2))):
+        with pytest.raises(ValueError):
+            modelling.train_model("x", "target", ["signal"], data, bad, save_model_to="none")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.distributions import binomial_tails, chi2_tail, f_tail
-from riskloom.operators import cube, metrics, provider, selection, temporal
+from riskloom.functions.ranking import observed_quantiles
+from riskloom.operators import cube, metrics, provider, search, selection, temporal
 
 NAN = float("nan")
 
@@ -115,3 +116,47 @@ def test_tails():
     assert chi2_tail(3.841458820694124, 1) == pytest.approx(0.05) and chi2_tail(18.307038053275146, 10) == pytest.approx(0.05)
     assert f_tail(4.964602743730711, 1, 10) == pytest.approx(0.05) and f_tail(math.inf, 1, 5) == 0
     assert binomial_tails(3, 3) == (0.125, 1.0)
+
+
+def test_cube_runs_one_check_before_it_is_used(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i % 2, float(i % 10), -float(i), i % 2) for i in range(60)], "seg string, part int, score double, other double, target int")
+    ran = []
+    kind = type(rows)
+    for name in ("first", "collect", "count", "toPandas", "head", "take"):
+        whole = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, *a, _f=whole, _n=name, **k: ran.append(_n) or _f(self, *a, **k))
+    one = cube.calculate_metrics(rows, ["seg", "part"], ["score", "other"])
+    two = cube.calculate_ntile(rows, ["seg", "part"], ["score", "other"], n_tiles=3)
+    assert ran.count("first") == 2 and set(ran) <= {"first", "head", "take", "collect"}  # first() itself takes and collects
+    monkeypatch.undo()
+    assert one.count() == 2 * (1 + 2 + 2 + 4) and two.count() == 3 * one.count()
+    empty = cube.calculate_metrics(rows.limit(0), ["seg"], "score").collect()
+    assert [(r["seg"], math.isnan(r["KS"])) for r in empty] == [("Geral", True)]
+
+
+def test_a_common_score_is_parted_at_tile_ends(spark):
+    rows = spark.createDataFrame([(0.5, i % 2) for i in range(1000)] + [(0.9, 1)] * 10 + [(0.1, 0)] * 10, "score double, target int")
+    found = metrics.risk_table("score", rows, n_tiles=4).collect()
+    assert [r["total_volume"] for r in found] == [255] * 4 and sum(r["total_events"] for r in found) == 510
+    assert [r["total_events"] for r in found] == [10, 0, 255, 245]  # of rows that are alike the events come last
+
+
+def test_observed_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = [float(x) for x in rng.normal(size=501)] + [0.25] * 300
+    rows = spark.createDataFrame([(v, None if i % 5 else float(i), float("nan")) for i, v in enumerate(values)], "a double, b double, c double")
+    seen = [values, [float(i) for i in range(0, len(values), 5)]]
+    for interpolated, how in ((False, "inverted_cdf"), (True, "linear")):
+        found = observed_quantiles(rows, [F.col("a"), F.col("b"), F.col("c")], 4, interpolated)
+        for got, want in zip(found, seen):
+            assert got == pytest.approx([float(np.quantile(want, q, method=how)) for q in (0.25, 0.5, 0.75)])
+        assert found[2] == []
+
+
+def test_shuffled_is_the_same_from_any_partitions(spark):
+    rows = spark.createDataFrame([(i, float(i % 4), "x" * (i % 3)) for i in range(80)] + [(1, 1.0, "x")] * 5, "k int, a double, b string")
+    one, two = (sorted(map(tuple, search.shuffled(x, ["a", "b"], 3, ["a", "s"]).collect()), key=str) for x in (rows, rows.repartition(7)))
+    assert one == two and sorted(r[1] for r in one) == sorted(r["a"] for r in rows.collect())
+    assert [r[1] for r in one] != [float(r[0] % 4) for r in one]
