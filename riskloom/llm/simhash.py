@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -144,12 +145,13 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str
     return met.select(F.greatest(node, f"{node}_t").alias("u"), F.least(node, f"{node}_t").alias("v")).distinct()
 
 
-def _leaders(prints: DataFrame, distance: int, parts: int, node: str = "fp", lanes: tuple[str, ...] = ("fp",), more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
-    """For each node, links to the smallest node of its segment buckets, where near enough: a few rows each."""
+def _leaders(prints: DataFrame, distance: int, parts: int, node: str = "fp", lanes: tuple[str, ...] = ("fp",), more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """For each node, links to one node (the seed decides which) of each of its segment buckets, where near enough: a few rows each."""
     places = _places([*lanes, *more], parts)
     carried = list(dict.fromkeys([node, *lanes, *kept]))
     spread = _keys(prints, places, [0] * len(places), carried)
-    first = spread.groupBy("key").agg(F.min(F.struct(*carried)).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    turn = F.xxhash64(F.lit(seed), node, "key") if seed else F.col(node)
+    first = spread.groupBy("key").agg(F.min_by(F.struct(*carried), turn).alias("lead"), F.count("*").alias("n")).where("n > 1")
     first = first.select("key", *(F.col(f"lead.{x}").alias(f"{x}_t") for x in carried))
     near = spread.join(first, "key").where((F.col(node) != F.col(f"{node}_t")) & (_apart(list(lanes)) <= distance))
     if also is not None:
@@ -186,8 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Fingerprints for whole-set similarity: lanes of 64 bits, each in three segments. The segments of the first two lanes are
-#: probed to radius 1 and their 128 bits are compared; those of the others are probed to radius 0.
+#: probed to radius 1, those of the others to radius 0; the bits of the first two are compared.
 LANES, COMPARED, SEGMENTS = 10, 2, 3
+#: Rounds in which nodes are compared with one node of each of their buckets, before all pairs of different groups are met.
+ROUNDS = 3
 SALTS = np.random.default_rng(11).integers(0, 1 << 63, LANES, dtype=np.uint64)
 
 
@@ -261,8 +265,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the start. Candidates come from multi-index hashing of SimHash fingerprints of the sets: six segments of
     21 bits are probed to radius 1 and 24 more to radius 0, the distance of 128 bits is checked against
     :func:`allowance`, and whole sets decide. A pair of similarity 0.8 is met with a chance of about 0.83,
-    one of 0.85 with 0.94, of 0.9 with 0.99 (and more often through a third text). Nodes are first compared with the smallest node of
-    each of their buckets; the full search then meets only nodes that are not yet in one group.
+    one of 0.85 with 0.94, of 0.9 with 0.99 (and more often through a third text). Nodes are first compared
+    with one node of each of their buckets, for a few rounds; the full search then meets only nodes that are
+    not yet in one group.
 
     Null text counts as empty; word-less texts are one group. A null id keeps its row; its component is
     the smallest non-null id reached, null if there is none. Repeated ids and rows are kept; other columns
@@ -276,7 +281,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     searched, bits = nodes.where("n > 0"), allowance(similarity)
     alike = F.least("n", "n_t") >= F.greatest("n", "n_t") * F.lit(similarity - 1e-9)
     how = {"node": "node", "lanes": _LANES[:COMPARED], "more": _LANES[COMPARED:], "also": alike, "kept": ("n",)}
-    stars = components(_verified(_leaders(searched, bits, SEGMENTS, **how), rows, nodes, width, similarity))
+    met = functools.reduce(DataFrame.union, [_leaders(searched, bits, SEGMENTS, seed=k, **how) for k in range(ROUNDS)])
+    stars = components(_verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows, nodes, width, similarity))
     named = saved(searched.join(stars, "node", "left").select("node", "n", *_LANES, F.coalesce("root", "node").alias("label")))
     links = _verified(near_links(named, bits, SEGMENTS, label="label", radius=1, **how), rows, nodes, width, similarity)
     whole = components(links.union(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))

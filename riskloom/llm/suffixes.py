@@ -35,12 +35,14 @@ from riskloom.llm.shared import dropped, joined_bytes, release, saved, sliced
 SPLIT = 4  # parts that a block is split into
 #: Anchors of one digit that are resolved together in a task. A larger group is dealt anew by the next, longer digit of each
 #: part of its blocks; a part's group that is still larger is resolved by a distributed count of its windows.
-TOGETHER = 1 << 12
+TOGETHER = 1 << 10
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Tokens that are hashed together.
+PORTION = 1 << 18
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -89,9 +91,16 @@ class Tokens:
         if not self.words:
             return data, starts
         begin, end = _bounds(data, starts)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE[data] * powers(len(data), FACTOR), out=sums[1:])
-        return _mixed((sums[end] - sums[begin]) * powers(len(data) + 1, INVERSE)[begin]), np.searchsorted(begin, starts)
+        hashes, low = np.zeros(len(begin), dtype=np.uint64), 0
+        while low < len(begin):  # some words at a time, so that memory does not follow the longest text
+            high = max(low + 1, int(np.searchsorted(end, begin[low] + PORTION, side="right")))
+            first, some = begin[low], data[begin[low] : end[high - 1]]
+            sums = np.zeros(len(some) + 1, dtype=np.uint64)
+            np.cumsum(BYTE[some] * powers(len(some), FACTOR), out=sums[1:])
+            a, b = begin[low:high] - first, end[low:high] - first
+            hashes[low:high] = _mixed((sums[b] - sums[a]) * powers(len(some) + 1, INVERSE)[a])
+            low = high
+        return hashes, np.searchsorted(begin, starts)
 
     def values(self, tokens: np.ndarray) -> np.ndarray:
         return tokens if self.words else BYTE[tokens]
@@ -106,10 +115,23 @@ def _bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def anchors(tokens: np.ndarray, starts: np.ndarray, of: Tokens) -> np.ndarray:
-    """Places of the anchors in concatenated texts."""
+    """Places of the anchors in concatenated texts, found a portion at a time."""
+    reach, out = of.block + of.length, [np.zeros(0, dtype=np.int64)]
+    long = np.flatnonzero(np.diff(starts) >= of.length)
+    first, last = starts[long], starts[long + 1] - of.length  # the windows of each text
+    for low in range(0, len(tokens), PORTION):
+        begin, end = max(0, low - reach), min(len(tokens), low + PORTION + reach)
+        here = (last >= begin) & (first <= end - of.length)
+        found = _anchors(tokens[begin:end], np.maximum(first[here], begin) - begin, np.minimum(last[here], end - of.length) - begin, of) + begin
+        out.append(found[(found >= low) & (found < low + PORTION)])
+    return np.concatenate(out)
+
+
+def _anchors(tokens: np.ndarray, first: np.ndarray, last: np.ndarray, of: Tokens) -> np.ndarray:
+    """Places of the anchors of the windows first..last of some texts."""
     length, block, digit = of.length, of.block, of.digit
     count = len(tokens) - length + 1
-    if count <= 0:
+    if count <= 0 or not len(first):
         return np.zeros(0, dtype=np.int64)
     sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
     np.cumsum(of.values(tokens) * powers(len(tokens), FACTOR), out=sums[1:])
@@ -120,9 +142,8 @@ def anchors(tokens: np.ndarray, starts: np.ndarray, of: Tokens) -> np.ndarray:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     inside = np.zeros(count + 1, dtype=np.int8)
-    long = np.flatnonzero(np.diff(starts) >= length)
-    np.add.at(inside, starts[long], 1)
-    np.add.at(inside, starts[long + 1] - length + 1, -1)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
     least = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, least, np.uint32(0))
     edge, width = np.zeros(block - 1, dtype=np.uint32), 1
     most = np.concatenate((edge, least, edge))
