@@ -20,7 +20,7 @@ def data(spark):
 def test_train_store_and_load(data, tmp_path):
     result = modelling.train_model("a run!", "target", ["signal", "noise"], data, data, output_dir=tmp_path, n_tiles=6, analysis_cube={"n_tiles": 6})
     assert result.metrics["auc"] == 1.0 and result.metrics["ks"] == 1.0 and result.analysis_cube.count() == 1
-    assert {p.name for p in result.output_dir.iterdir()} == {"model", "model_info.json", "metrics.json", "metadata.json", "feature_importance.csv"}
+    assert {p.name for p in result.output_dir.iterdir() if not p.name.startswith(".")} == {"model", "model_info.json", "metrics.json", "metadata.json", "feature_importance.csv"}
     again = modelling.scored(modelling.load_model(result.model_uri), data)
     assert [r["score"] for r in again.orderBy("id").collect()] == [r["score"] for r in result.oot_predictions.orderBy("id").collect()]
     with pytest.raises(ValueError):
