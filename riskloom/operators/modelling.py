@@ -300,27 +300,44 @@ class OptimizationResult:
 
 
 class Suggest:
-    """Draws parameters of a trial; the methods that search spaces given as functions call."""
+    """Draws parameters of a trial; the methods that search spaces given as functions call.
 
-    def __init__(self, rng: random.Random):
-        self.rng, self.params = rng, {}
+    With ``good`` parameters of earlier trials, most draws are taken near one of these, the nearer the more
+    trials there were (``width``, as a share of the range); the others, and all of the first trials, are
+    drawn from the whole range.
+    """
+
+    def __init__(self, rng: random.Random, good: Sequence[dict[str, Any]] = (), width: float = 1.0):
+        self.rng, self.good, self.width, self.params = rng, list(good), width, {}
+
+    def _near(self, name: str) -> Any:
+        """A good earlier value to stay near, or None for a draw from the whole range."""
+        known = [g[name] for g in self.good if name in g]
+        return self.rng.choice(known) if known and self.rng.random() < 0.8 else None
+
+    def _number(self, name: str, low: float, high: float, log: bool) -> float:
+        into, back = (math.log, math.exp) if log else (float, float)
+        a, b, near = into(low), into(high), self._near(name)
+        value = self.rng.uniform(a, b) if near is None else self.rng.gauss(into(near), self.width * (b - a))
+        return back(min(b, max(a, value)))
 
     def suggest_float(self, name: str, low: float, high: float, *, step: float | None = None, log: bool = False) -> float:
-        value = math.exp(self.rng.uniform(math.log(low), math.log(high))) if log else self.rng.uniform(low, high)
+        value = self._number(name, low, high, log)
         if step:
-            value = min(high, low + round((value - low) / step) * step)
-        return self.params.setdefault(name, value)
+            value = low + round((value - low) / step) * step
+        return self.params.setdefault(name, min(high, max(low, value)))
 
     def suggest_int(self, name: str, low: int, high: int, *, step: int = 1, log: bool = False) -> int:
-        value = int(math.exp(self.rng.uniform(math.log(low), math.log(high + 1)))) if log else low + step * self.rng.randrange((high - low) // step + 1)
-        return self.params.setdefault(name, min(value, high))
+        value = self._number(name, low, high, log) if log else self._number(name, low - step / 2, high + step / 2, False)
+        return self.params.setdefault(name, int(min(low + (high - low) // step * step, max(low, low + round((value - low) / step) * step))))
 
     def suggest_categorical(self, name: str, choices: Sequence[Any]) -> Any:
-        return self.params.setdefault(name, self.rng.choice(list(choices)))
+        near = self._near(name)
+        return self.params.setdefault(name, near if near in list(choices) else self.rng.choice(list(choices)))
 
 
-def drawn(space: dict | Callable, rng: random.Random) -> dict[str, Any]:
-    suggest = Suggest(rng)
+def drawn(space: dict | Callable, rng: random.Random, good: Sequence[dict[str, Any]] = (), width: float = 1.0) -> dict[str, Any]:
+    suggest = Suggest(rng, good, width)
     if callable(space):
         return dict(space(suggest))
     for name, spec in space.items():
@@ -334,6 +351,15 @@ def drawn(space: dict | Callable, rng: random.Random) -> dict[str, Any]:
     return suggest.params
 
 
+def proposed(space: dict | Callable, rng: random.Random, trials: Sequence[Trial], direction: str = "maximize", startup: int = 8) -> dict[str, Any]:
+    """Parameters of the next trial: random ones at first, then mostly near the best quarter of the trials so far (feasible ones first)."""
+    done = [t for t in trials if math.isfinite(t.value)]
+    if len(done) < startup:
+        return drawn(space, rng)
+    best = sorted(done, key=lambda t: (not t.feasible, t.violation, t.value if direction == "minimize" else -t.value, t.number))
+    return drawn(space, rng, [t.params for t in best[: max(2, len(done) // 4)]], 0.5 / math.sqrt(len(done)))
+
+
 def derived(train: dict[str, float], cv: dict[str, float], oot: dict[str, float]) -> dict[str, float]:
     """train_, cv_ and oot_ values, and how far oot lies from the others, signed and absolute."""
     if not train or not set(train) == set(cv) == set(oot):
@@ -360,18 +386,22 @@ def chosen(trials: Sequence[Trial], direction: str, constrained: bool) -> Trial:
     return best
 
 
-def optimize(train_df: DataFrame, oot_df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator, search_space: dict | Callable, objective_metric: str = "ks", direction: str = "maximize", n_trials: int = 50, cv: int = 5, metrics: Sequence[str] = ("ks", "auc", "gini"), *, save_as: str = "none", save_path: str | Path = "models", study_name: str = "study", random_state: int = 42, n_tiles: int = 10, target_metric: str | None = None, target_limit: float | None = None, target_operator: str = "<=") -> OptimizationResult:
-    """Random search from a seed: each trial is cross-validated and fitted whole; the chosen parameters are fitted and stored at last.
+def optimize(train_df: DataFrame, oot_df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator, search_space: dict | Callable, objective_metric: str = "ks", direction: str = "maximize", n_trials: int = 50, cv: int = 5, metrics: Sequence[str] = ("ks", "auc", "gini"), *, save_as: str = "none", save_path: str | Path = "models", study_name: str = "study", random_state: int = 42, n_tiles: int = 10, target_metric: str | None = None, target_limit: float | None = None, target_operator: str = "<=", sampler: str = "adaptive") -> OptimizationResult:
+    """Search from a seed: each trial is cross-validated and fitted whole; the chosen parameters are fitted and stored at last.
+
+    ``sampler``: ``adaptive`` (see :func:`proposed`) or ``random``.
 
     ``target_metric`` (one of the values of :func:`derived`) with ``target_limit`` bounds what may be chosen.
     """
+    if sampler not in ("adaptive", "random"):
+        raise ValueError("sampler must be adaptive or random")
     if direction not in ("maximize", "minimize") or target_operator not in ("<=", ">=") or type(n_trials) is not int or n_trials < 1:
         raise ValueError("direction must be maximize or minimize, the operator <= or >=, n_trials at least 1")
     if (target_metric is None) != (target_limit is None):
         raise ValueError("target_metric and target_limit belong together")
     rng, trials = random.Random(random_state), []
     for number in range(n_trials):
-        params = drawn(search_space, rng)
+        params = proposed(search_space, rng, trials, direction) if sampler == "adaptive" else drawn(search_space, rng)
         validated = cross_validate(train_df, target_col, feature_cols, model, params, cv, metrics=metrics, random_state=random_state, n_tiles=n_tiles)
         made = fitted(train_df, target_col, list(feature_cols), model, params, random_state)
         whole, late = ({m: evaluate(scored(made, x), target_col, n_tiles)[m] for m in metrics} for x in (train_df, oot_df))

@@ -1,6 +1,7 @@
 """Training, folds, search and simulators on small separable data."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -101,6 +102,22 @@ def test_simulators(spark):
     assert sorted(map(str, found)) == sorted(map(str, simulate_bureau_history(people.repartition(7).union(people), "k", "2023-01-15", "2023-12-31", seed=5).collect()))
 
 
+def test_adaptive_search_beats_random_search():
+    space = {"x": {"type": "float", "low": -10, "high": 10}, "n": {"type": "int", "low": 1, "high": 100}, "lr": {"type": "float", "low": 1e-5, "high": 1.0, "log": True}, "kind": {"type": "categorical", "choices": ["a", "b", "c"]}}
+    loss = lambda p: (p["x"] - 3) ** 2 + (p["n"] - 70) ** 2 / 100 + math.log10(p["lr"] / 1e-2) ** 2 + (p["kind"] != "b") * 5
+    ends = {True: [], False: []}
+    for adaptive in (True, False):
+        for seed in range(10):
+            rng, trials = random.Random(seed), []
+            for number in range(60):
+                params = modelling.proposed(space, rng, trials, "minimize") if adaptive else modelling.drawn(space, rng)
+                assert -10 <= params["x"] <= 10 and 1 <= params["n"] <= 100 and type(params["n"]) is int and 1e-5 <= params["lr"] <= 1.0 and params["kind"] in "abc"
+                trials.append(modelling.Trial(number, params, loss(params)))
+            ends[adaptive].append(min(t.value for t in trials))
+    assert sum(ends[True]) < 0.5 * sum(ends[False])
+    assert modelling.drawn({"n": {"type": "int", "low": 2, "high": 9, "step": 3}}, random.Random(1))["n"] in (2, 5, 8)
+
+
 def test_doctor(capsys):
     report = doctor()
     assert report["capabilities"]["spark"] == "READY" and "READY" in capsys.readouterr().out and report["result"] == "READY"
