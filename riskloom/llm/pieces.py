@@ -96,8 +96,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def dropped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """Whether candidate merges of [start, middle) and [middle, end) of the units with these keys are skipped."""
-    place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-    return (_mix(_mix(place) ^ key) >> np.uint64(40)).astype(np.float64) < dropout * (1 << 24)
+    place = (start << 42 ^ middle << 21 ^ end).view(np.uint64)
+    place *= np.uint64(0x9E3779B97F4A7C15)
+    place ^= key
+    return _mix(place) < np.uint64(min(1.0, dropout) * ((1 << 64) - 1 - (1 << 11)))
 
 
 def unit_keys(salt: int, offsets: np.ndarray) -> np.ndarray:
@@ -150,10 +152,11 @@ def matrix(model: Pieces, points: np.ndarray, starts: np.ndarray, keys: np.ndarr
 
     def candidates(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         made = model.joined(ids[row, at], ids[row, at + 1])
-        good = made >= 0
         if dropout:
-            good &= ~dropped(keys[row], first[row, at], first[row, at + 1], first[row, at + 2], dropout)
-        return np.where(good, made, -1), np.where(good, model.rank[made], NEVER)
+            some = np.flatnonzero(made >= 0)
+            r, p = row[some], at[some]
+            made[some[dropped(keys[r], first[r, p], first[r, p + 1], first[r, p + 2], dropout)]] = -1
+        return made, np.where(made >= 0, model.rank[made], NEVER)
 
     made = np.full((rows, max(1, width - 1)), -1, dtype=np.int32)
     rank = np.full(made.shape, NEVER, dtype=np.int32)
@@ -265,7 +268,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(vocabulary)
-        for rows, raw in sliced(batches, text_col, 1 << 19):
+        for rows, raw in sliced(batches, text_col, 1 << 20):
             ids, starts = encode_texts(model, [x.decode() for x in raw], [x & (1 << 64) - 1 for x in rows.column(rows.num_columns - 1).to_pylist()], dropout)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*rows.schema.names[:-1], "pieces"])
