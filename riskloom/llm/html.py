@@ -297,11 +297,12 @@ def extracted(pages: DataFrame, html_col: str = "html", tree: tuple | float | No
     what :func:`grow` makes of a labelled table; the default is grown from :data:`LABELLED`.
     """
     tree = default_tree() if tree is None else tree
-    kept = [c for c in pages.columns if c not in ("text", html_col)]
-    pages = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
+    kept = [c for c in pages.columns if c.lower() not in ("text", html_col.lower())]
+    hidden = "__html" + "_" * max((len(c) for c in kept if c.lower().startswith("__html")), default=0)
+    pages = pages.select(*kept, F.col(html_col).cast("string").alias(hidden))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw in sliced(batches, "__html"):
+        for rows, raw in sliced(batches, hidden):
             texts = pa.array([main_text(x.decode(), tree) for x in raw], pa.string())
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], texts], names=[*kept, "text"])
 
@@ -311,5 +312,6 @@ def extracted(pages: DataFrame, html_col: str = "html", tree: tuple | float | No
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page, whole, and how many code points it has; null pages have none."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extracted(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -121,12 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of at most ``most`` labelled rows (documented bound; chosen by a hash of the id, so the same ones each time).
 
     Labels other than 0 and 1 and null ids or labels are left out; a document with several label rows
-    counts once for each distinct label. With no labels, or of one kind only, every text gets the same score.
+    counts once for each distinct label, and of documents that share an id one counts. With no labels, or of one kind only, every text gets the same score.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = histograms(texts.join(F.broadcast(sample), "id")).collect()  # the sample has `most` rows at most
+    # The sample has `most` rows at most, and of documents that share an id one is taken, so as many rows reach the driver.
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = histograms(one).collect()
     return train(sorted((r["label"], bytes(r["buckets"]), bytes(r["weights"])) for r in rows))
 
 
@@ -146,6 +148,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels of those whose crc32(doc_id) mod 3 is not 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))

@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, s
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows ``id, text_hash, component``: the smallest id that links of at least ``similarity`` reach.
+    """Rows ``id, text_hash, component, root``: the smallest id that links of at least ``similarity`` reach, and the group's own number.
 
     Two texts are linked where the Jaccard similarity of their ``width``-word shingle sets (ASCII
     lower-cased words, 64-bit hashes) is ``similarity`` or more. Texts with equal sets are one node from
@@ -288,10 +288,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = components(links.union(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = nodes.select("node", "least").join(whole, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = saved(rooted.join(ids, "root").select("node", "component"))
+    of_node = saved(rooted.join(ids, "root").select("node", "component", "root"))
     dropped(nodes, named, links)
     release(docs.sparkSession)
-    return marked.join(of_node, "node").select("id", "text_hash", "component")
+    return marked.join(of_node, "node").select("id", "text_hash", "component", "root")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

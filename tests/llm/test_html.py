@@ -96,3 +96,9 @@ def test_synthetic_pages_keep_the_article_only(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         article = re.search(r"<article>.*</article>", r["html"], re.S)[0]
         assert main_text(r["html"]) == "\n".join(b.text for b in blocks(article))
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, f"<p>{LONG}</p>", "a", 2, "b", 3)], "page_id long, html string, __html string, n_chars int, Text string, k1 int")
+    got = extracted(pages)
+    assert got.columns == ["page_id", "__html", "n_chars", "k1", "text"] and got.collect()[0].asDict() == {"page_id": 1, "__html": "a", "n_chars": 2, "k1": 3, "text": LONG}

@@ -5,8 +5,8 @@ from riskloom.llm.langid import fit, predict
 from riskloom.llm.leaks import LEAST, budget
 from riskloom.llm.pieces import decoded
 from tests.llm.test_leaks import plain, within
-from tests.llm.test_simhash import brute as simhash_brute
-from tests.llm.test_suffixes import brute as suffix_brute
+from tests.llm.test_near_copies import groups_of
+from tests.llm.test_suffixes import word_spans_first
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,24 +48,26 @@ def test_stages_match_brute_force(spark, tmp_path):
     two = stage["near_dedup"](spark, one, str(tmp_path))
     single = as_rows(two)
     late = [(k if k is not None else 10**9 + n, t) for n, (k, t, *_) in enumerate(kept)]
-    groups = {(k, t): g for k, _, g in simhash_brute(late) for k2, t in late if k == k2}
-    assert two.columns == COLUMNS and len(single) == len(set(groups.values()))
-    assert {r[0] for r in single if r[0] is not None} == {g for g in groups.values() if g < 10**9}
+    first = {}
+    for g, (k, t) in zip(groups_of(late), late):
+        first[g] = min(k, first.get(g, k))
+    assert two.columns == COLUMNS and len(single) == len(first) < len(kept)
+    assert sorted(r[0] for r in single if r[0] is not None) == sorted(k for k in first.values() if k < 10**9)
 
     three = stage["suffix_dedup"](spark, two, str(tmp_path))
-    spans = suffix_brute([r[1] for r in single])
-    want = []
+    texts = spark.createDataFrame([(r[1],) for r in single], "text string").selectExpr("text", "xxhash64(text) a", "xxhash64(7, text) b").collect()
+    keys = {r["text"].encode(): (r["a"], r["b"]) for r in texts}
+    spans = word_spans_first([r[1] for r in single], 50, keys.__getitem__)
+    want = {}
     for r, cut in zip(single, spans):
         raw = bytearray(r[1].encode())
         for a, b in reversed(cut):
             del raw[a:b]
         if raw:
-            want.append((r[0], bytes(raw).decode("utf-8", "ignore")))
-    assert any(spans) and three.columns == COLUMNS
+            want[r[0]] = bytes(raw).decode()
     got = {r[0]: r for r in as_rows(three)}
-    assert len(got) == len(want)
-    for k, text in want:
-        assert abs(len(got[k][1]) - len(text)) <= 2 * len(spans) and got[k][4] == len(got[k][1])
+    assert any(spans) and three.columns == COLUMNS and {k: r[1] for k, r in got.items()} == want
+    assert all(r[4] == len(r[1]) for r in got.values())
 
     four = stage["decontamination"](spark, three, str(tmp_path))
     items = [plain(t) for _, t in bench if len(plain(t)) >= LEAST]
@@ -77,3 +79,12 @@ def test_stages_match_brute_force(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), list(r["pieces"])) for r in whole) == sorted((str(r["doc_id"]), list(r["pieces"])) for r in five.collect())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -45,3 +45,13 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in score(docs, fit(docs, labels)).collect()} == {0.5}
     assert score(docs.limit(0), fit(docs, labels)).count() == 0
+
+
+def test_long_texts_and_shared_ids(spark):
+    long = "good words here " * 150_000
+    docs = spark.createDataFrame([(1, long), (1, "bad"), (2, "bad " * 50), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = fit(docs, labels)
+    found = score(docs, model).collect()
+    assert len(found) == 4 and all(0 <= r["score"] <= 1 for r in found)
+    assert model.scores([long.encode()]).tolist() == fit(docs.repartition(3), labels).scores([long.encode()]).tolist()

@@ -133,6 +133,21 @@ def word_brute(texts, length):
     return out
 
 
+def word_spans_first(texts, length, order):
+    """Spans without each passage's first place, in the given order of the texts (equal texts count once)."""
+    seen, found = set(), {}
+    for x in sorted({(t or "").encode() for t in texts}, key=order):
+        places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)]
+        words = tuple(x[a:b] for a, b in places)
+        covered = bytearray(len(words))
+        for i in range(len(words) - length + 1):
+            if words[i : i + length] in seen:
+                covered[i : i + length] = b"\1" * length
+            seen.add(words[i : i + length])
+        found[x] = [(places[m.start()][0], places[m.end() - 1][1]) for m in re.finditer(b"\1+", covered)]
+    return [found[(t or "").encode()] for t in texts]
+
+
 def test_words_match_brute_force(spark):
     texts = word_corpus(2)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
