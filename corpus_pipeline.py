@@ -27,17 +27,21 @@ PASSAGE = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known well enough. Null and letterless texts go; of ties the first language counts; an empty table stays empty."""
     found = langid.predict(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: of the smallest id (rows without one come last), then of the smallest text hash and fields."""
+    """One row of each group of near copies: of the smallest id (rows without one come last), then of the smallest text hash and fields.
+
+    Null and wordless texts are one group; repeated rows are copies of one another; an empty table stays empty.
+    """
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), late), "__hash": F.xxhash64(F.col("text").cast("string"))})
     groups = simhash.near_copies(keyed, "__id", width=SHINGLE, similarity=SIMILAR)
-    winners = groups.where("id = component").groupBy("component").agg(F.min("text_hash").alias("text_hash"))
-    kept = keyed.join(winners, (F.col("__id") == F.col("component")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
+    winners = groups.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("first.*")
+    kept = keyed.join(winners, (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
     first = Window.partitionBy("__id", "__hash").orderBy("lang", "source", "n_chars")
     return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
 
@@ -51,11 +55,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage. Null texts hold none and stay; repeated rows fare alike; an empty benchmark lets all stay."""
     marked = leaks.with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its pieces. Null and empty texts have none; repeated rows are encoded alike; an empty table stays empty."""
     return pieces.encoded(docs).withColumn("n_pieces", F.size("pieces")).select("doc_id", "lang", "source", "text", "n_pieces", "pieces")
 
 
