@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: probed to radius 1, those of the others to radius 0; the bits of the first two are compared.
 LANES, COMPARED, SEGMENTS = 10, 2, 3
 #: Rounds in which nodes are compared with one node of each of their buckets, before all pairs of different groups are met.
-ROUNDS = 3
+ROUNDS = 1
 SALTS = np.random.default_rng(11).integers(0, 1 << 63, LANES, dtype=np.uint64)
 
 
@@ -284,6 +284,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = functools.reduce(DataFrame.union, [_leaders(searched, bits, SEGMENTS, seed=k, **how) for k in range(ROUNDS)])
     stars = components(_verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows, nodes, width, similarity))
     named = saved(searched.join(stars, "node", "left").select("node", "n", *_LANES, F.coalesce("root", "node").alias("label")))
+    release(docs.sparkSession)
     links = _verified(near_links(named, bits, SEGMENTS, label="label", radius=1, **how), rows, nodes, width, similarity)
     whole = components(links.union(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = nodes.select("node", "least").join(whole, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
