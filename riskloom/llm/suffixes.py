@@ -35,7 +35,7 @@ from riskloom.llm.shared import dropped, joined_bytes, release, saved, sliced
 SPLIT = 4  # parts that a block is split into
 #: Anchors of one digit that are resolved together in a task. A larger group is dealt anew by the next, longer digit of each
 #: part of its blocks; a part's group that is still larger is resolved by a distributed count of its windows.
-TOGETHER = 1 << 10
+TOGETHER = 1 << 12
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
