@@ -11,13 +11,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.shared import components, dropped, release, saved, sliced
-from riskloom.llm.simhash import shingles
 
 #: Slots of the table of frequent shingles (one byte each, sent to every task), hashes counted at a time, and the
 #: occurrences in such a block that make a shingle known. The table only orders shingles: results never depend on it.
 SLOTS, COUNTED, OFTEN = 1 << 22, 1 << 21, 4
 #: Regions of more documents are split by so many pivots, at most so often.
 REGION, PIVOTS, DEPTH = 48, 8, 3
+#: Words that a worker keeps the hashes of, and the most bits of the filter of wanted texts.
+WORDS, FILTER_BITS = 1 << 18, 1 << 29
+
+
+class WordHashes(dict):
+    """The 64-bit hash of each word, kept for the words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def shingle_set(text: bytes, width: int, words: WordHashes) -> np.ndarray:
+    """The distinct ``width``-word shingles (ASCII lower-cased) of a text as sorted hashes, chained from those of the words.
+
+    A shorter text is one shingle, a word-less one has none.
+    """
+    found = text.lower().split()
+    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    width = min(width, len(found))
+    count = len(found) - width + 1 if width else 0
+    out = np.full(count, width, np.uint64)
+    for k in range(width):
+        out = (out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + count]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -34,10 +61,10 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
             often = counts >= OFTEN
             return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["key", "n"])
 
-        held, size = [], 0
+        held, size, words = [], 0, WordHashes()
         for _, texts in sliced(batches, "text", 1 << 20):
             for text in texts:
-                held.append(np.unique(shingles(text, width)))
+                held.append(shingle_set(text, width, words))
                 size += len(held[-1])
             if size >= COUNTED:
                 yield counted(held)
@@ -56,10 +83,11 @@ def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> Da
     """``id, text_hash, node, n, keys``: a row's set of shingles as a hash, its size, and its nearest one-shingle pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
         for some, texts in sliced(batches, "text", 1 << 19):
             nodes, sizes, keys = [], [], []
             for text in texts:
-                members = np.unique(shingles(text, width))
+                members = shingle_set(text, width, words)
                 nodes.append(xxhash.xxh64_intdigest(members.tobytes()))
                 sizes.append(len(members))
                 wanted = len(members) - least_overlap(len(members), percent) + 1 if len(members) else 0
@@ -72,17 +100,39 @@ def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> Da
     return rows.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, node long, n long, keys array<long>")
 
 
+def _seen(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """A filter of the longs in column ``h``: as many bits as there is need for, up to a fixed most; it may pass others."""
+    bits = 1 << 10
+    while bits < min(FILTER_BITS, 8 * hashes.count()):
+        bits *= 2
+    place = F.pmod("h", F.lit(bits))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return bits, out.view(np.uint64)
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``node, members``: the whole sets of the wanted nodes ``node, id, text_hash``, from one text each."""
+    """``node, members``: the whole sets of the wanted nodes ``node, id, text_hash``, from one text each.
+
+    A filter of bounded size keeps most unwanted texts from being shuffled; the join decides.
+    """
+    bits, known = _seen(wanted.select(F.col("text_hash").alias("h")))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("text_hash").to_numpy() % bits
+            yield batch.filter(pa.array((known[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
         for some, texts in sliced(batches, "text", 1 << 20):
-            sets = [np.unique(shingles(x, width)).view(np.int64) for x in texts]
+            sets = [shingle_set(x, width, words).view(np.int64) for x in texts]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "members"])
 
     place = [F.coalesce("id", F.lit(-1)).alias("place"), "text_hash"]
-    texts = rows.select(*place, "text").join(wanted.select(*place, "node"), ["place", "text_hash"])
+    texts = rows.select(*place, "text").mapInArrow(passed, "place long, text_hash long, text string").join(wanted.select(*place, "node"), ["place", "text_hash"])
     return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, members array<long>")
 
 
@@ -180,22 +230,28 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = saved(_marked(rows, width, percent, frequencies(rows, width)))
-    nodes = saved(marked.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("from"), F.min("n").alias("n")))
-    keys = marked.where("n > 0").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("pos", "region"))
-    keys = saved(keys)
-    lead = keys.groupBy("region").agg(F.min(F.struct("node", "n", "pos")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    regions = saved(keys.join(lead, "region").select("region", "node", "n", "pos", "lead"))
-    dropped(keys)
+    full = saved(_marked(rows, width, percent, frequencies(rows, width)))
+    one = full.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash", "n", "keys")).alias("from"))
+    nodes = saved(one.select("node", "least", "from.*"))
+    marked = saved(full.select("id", "node", "n"))
+    dropped(full)
+    # What is shuffled twice is narrow: first the shingles alone, to find those that two nodes hold, then (size, place) in one number.
+    spread = nodes.select("node", "n", F.posexplode("keys").alias("pos", "region"))
+    shared = spread.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
+    place = (F.shiftleft("n", 31) + F.col("pos")).alias("place")
+    met = spread.select("region", "node", place).join(shared, "region")
+    regions = saved(met.select("region", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")))
     release(docs.sparkSession)
-    wanted = nodes.join(regions.select("node").distinct(), "node").select("node", "from.*")
+    wanted = nodes.join(regions.select("node").distinct(), "node").select("node", "id", "text_hash")
     sets = saved(_sets(rows, wanted, width))
-    first = regions.withColumns({"node_t": F.col("lead.node"), "n_t": F.col("lead.n"), "pos_t": F.col("lead.pos"), "far": F.array().cast("array<double>"), "far_t": F.array().cast("array<double>")})
+    lead = saved(regions.groupBy("region").agg(F.min(F.struct("node", "n", "pos")).alias("lead")))
+    first = regions.join(lead, "region").withColumns({"node_t": F.col("lead.node"), "n_t": F.col("lead.n"), "pos_t": F.col("lead.pos"), "far": F.array().cast("array<double>"), "far_t": F.array().cast("array<double>")})
     links = saved(_linked(_distances(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v")), sets), percent))
     stars = components(links)
     started = regions.select("region", "node", "n", "pos", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
     open_regions, depth = saved(_labelled(started, stars)), 0
-    dropped(regions)
+    dropped(regions, lead)
+    release(docs.sparkSession)
     while not open_regions.isEmpty():
         large = F.col("size") > REGION
         if depth:  # a region that its pivots did not divide is not divided again
