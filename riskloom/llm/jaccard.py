@@ -17,6 +17,8 @@ from riskloom.llm.shared import components, dropped, release, saved, sliced
 SLOTS, COUNTED, OFTEN = 1 << 22, 1 << 21, 4
 #: Regions of more documents are split by so many pivots, at most so often.
 REGION, PIVOTS, DEPTH = 48, 8, 3
+#: Of its nearest one-shingle pivots a document takes so many along into regions that are divided.
+HEAD = 64
 #: Words that a worker keeps the hashes of, and the most bits of the filter of wanted texts.
 WORDS, FILTER_BITS = 1 << 18, 1 << 29
 
@@ -136,15 +138,23 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, members array<long>")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v, shared, joined``: the sizes of the intersection and the union of each distinct pair of nodes."""
-    pairs = saved(pairs.select("u", "v").distinct())
-    ends = [sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}")) for x in ("u", "v")]
-    shared = F.size(F.array_intersect("su", "sv"))
-    met = pairs.join(ends[1], "v").join(ends[0], "u").select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("joined"))
-    out = saved(met)
-    dropped(pairs)
-    return out
+class Texts:
+    """The texts ``id, text_hash, text`` and where each node's text is found, from which pairs are measured."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int):
+        self.rows, self.nodes, self.width = rows, nodes, width
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """``u, v, shared, joined``: the sizes of the intersection and the union of each distinct pair of nodes."""
+        pairs = saved(pairs.select("u", "v").distinct())
+        wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(self.nodes, "node").select("node", "id", "text_hash"))
+        sets = saved(_sets(self.rows, wanted, self.width))
+        ends = [sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}")) for x in ("u", "v")]
+        shared = F.size(F.array_intersect("su", "sv"))
+        met = pairs.join(ends[1], "v").join(ends[0], "u").select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("joined"))
+        out = saved(met)
+        dropped(pairs, wanted, sets)
+        return out
 
 
 def _linked(far: DataFrame, percent: int) -> DataFrame:
@@ -170,14 +180,28 @@ def _possible(percent: int) -> F.Column:
     return sizes & places & pivots
 
 
+def _alike_heads(percent: int) -> F.Column:
+    """Whether two heads (the first shingles of each set, in the common order) leave a link possible, and meet first in this region.
+
+    At most n - least members of a set are missing in the other, so of the shingles that both hold the first
+    (head - n + least) lie in both heads. A pair is taken in the region of the first shingle that it shares.
+    """
+    least = F.ceil((F.col("n") + F.col("n_t")) * F.lit(percent / (100 + percent)) - 1e-9)
+    both = F.array_intersect("head", "head_t")
+    needed = F.least(F.size("head") - F.col("n"), F.size("head_t") - F.col("n_t")) + least
+    return (F.size(both) >= needed) & ((F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("key")))
+
+
 def _pairs(regions: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` of different components that share a region, one of them at home in it, and may be linked."""
-    right = regions.select("region", *(F.col(x).alias(f"{x}_t") for x in ("node", "n", "pos", "label", "home", "far")))
-    met = regions.hint("merge").join(right, "region").where((F.col("node") > F.col("node_t")) & (F.col("label") != F.col("label_t")) & (F.col("home") | F.col("home_t")))
-    return met.where(_possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v")).distinct()
+    headed = [x for x in ("head",) if x in regions.columns]
+    right = regions.select("region", *(F.col(x).alias(f"{x}_t") for x in ("node", "n", "pos", "label", "home", "far", *headed)))
+    allowed = (F.col("node") > F.col("node_t")) & (F.col("label") != F.col("label_t")) & (F.col("home") | F.col("home_t")) & _possible(percent)
+    met = regions.hint("merge").join(right, "region").where(allowed & _alike_heads(percent) if headed else allowed)
+    return met.select(F.col("node").alias("u"), F.col("node_t").alias("v")).distinct()
 
 
-def _split(regions: DataFrame, sets: DataFrame, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The Voronoi regions of pivots inside each region, and the links to pivots that were found.
 
     A document lies at home in the region of its nearest pivot and is a guest in every region whose
@@ -187,18 +211,18 @@ def _split(regions: DataFrame, sets: DataFrame, depth: int, percent: int) -> tup
     # Pivots by hash order, a minimum each: pre-aggregated, however large a region is.
     draws = [F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(k), "node").alias("h"), "node"))["node"] for k in range(PIVOTS)]
     pivots = regions.groupBy("region").agg(F.array_distinct(F.array(*draws)).alias("qs"))
-    asked = saved(regions.join(pivots, "region").withColumn("q", F.explode("qs")).drop("qs", "far"))
-    far = _distances(asked.where("node <> q").select(F.col("node").alias("u"), F.col("q").alias("v")), sets)
+    asked = saved(regions.join(pivots, "region").withColumn("q", F.explode("qs")).drop("qs", "far", "head"))
+    far = texts.distances(asked.where("node <> q").select(F.col("node").alias("u"), F.col("q").alias("v")))
     d = F.when(F.col("node") == F.col("q"), 0.0).otherwise(1 - F.col("shared") / F.col("joined"))
     known = asked.join(far.withColumnsRenamed({"u": "node", "v": "q"}), ["node", "q"], "left").select(*asked.columns, d.alias("d"))
-    carried = ["region", "node", "n", "pos", "size"]
+    carried = ["region", "key", "node", "n", "pos", "size"]
     # A row a document and region: its distances to the (at most eight) pivots.
     seen = known.groupBy(*carried).agg(F.array_sort(F.collect_list(F.struct("q", "d"))).alias("all"))
     home = F.array_min(F.transform("all", lambda x: F.struct(x["d"].alias("d"), x["q"].alias("q"))))
     near = F.filter("all", lambda x: x["d"] <= F.col("own.d") + F.lit(2 * (1 - percent / 100) + 1e-9))
     spread = seen.withColumn("own", home).withColumn("at", F.explode(near))
-    parts = spread.select(F.xxhash64("region", "at.q").alias("region"), "node", "n", "pos", F.col("size").alias("before"), (F.col("at.q") == F.col("own.q")).alias("home"), F.transform("all", lambda x: x["d"]).alias("far"))
-    parts = saved(parts)
+    parts = spread.select(F.xxhash64("region", "at.q").alias("region"), "key", "node", "n", "pos", F.col("size").alias("before"), (F.col("at.q") == F.col("own.q")).alias("home"), F.transform("all", lambda x: x["d"]).alias("far"))
+    parts = saved(parts.join(texts.nodes.select("node", F.slice("keys", 1, HEAD).alias("head")), "node"))
     links = saved(_linked(far, percent))
     dropped(asked, far)
     return parts, links
@@ -218,8 +242,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     region all documents are first measured against one pivot, a document; what is linked is one component,
     and regions within one component are done. Larger regions are divided by eight pivots of their own,
     with homes, guests within the triangle inequality's window, and recursion (:func:`_split`); in regions of
-    48 documents or less, or after three levels, pairs of different components that sizes, places and the distances to the
-    pivots leave possible are measured. Every distance is taken on whole sets.
+    48 documents or less, or after three levels, pairs of different components that sizes, places, the
+    distances to the pivots and the first shingles of both leave possible are measured. Every distance is taken on whole sets.
 
     Rarity comes from a fixed table of frequent shingles, which orders them and decides nothing else. All
     regions stay in written tables, pre-aggregated before they are shuffled; no region is gathered in a task.
@@ -242,11 +266,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = spread.select("region", "node", place).join(shared, "region")
     regions = saved(met.select("region", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")))
     release(docs.sparkSession)
-    wanted = nodes.join(regions.select("node").distinct(), "node").select("node", "id", "text_hash")
-    sets = saved(_sets(rows, wanted, width))
+    texts = Texts(rows, nodes, width)
     lead = saved(regions.groupBy("region").agg(F.min(F.struct("node", "n", "pos")).alias("lead")))
     first = regions.join(lead, "region").withColumns({"node_t": F.col("lead.node"), "n_t": F.col("lead.n"), "pos_t": F.col("lead.pos"), "far": F.array().cast("array<double>"), "far_t": F.array().cast("array<double>")})
-    links = saved(_linked(_distances(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v")), sets), percent))
+    links = saved(_linked(texts.distances(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v"))), percent))
     stars = components(links)
     started = regions.select("region", "node", "n", "pos", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
     open_regions, depth = saved(_labelled(started, stars)), 0
@@ -257,11 +280,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if depth:  # a region that its pivots did not divide is not divided again
             large = large & (F.col("size") < 0.8 * F.col("before"))
         now = open_regions if depth == DEPTH else open_regions.where(~large)
-        links = links.union(_linked(_distances(_pairs(now, percent), sets), percent))
+        links = links.union(_linked(texts.distances(_pairs(now, percent)), percent))
         rest = open_regions.where(large) if depth < DEPTH else open_regions.limit(0)
         if rest.isEmpty():
             break
-        parts, more = _split(rest.drop("before") if depth else rest, sets, depth, percent)
+        parts, more = _split(rest.drop("before") if depth else rest.withColumn("key", F.col("region")), texts, depth, percent)
         links = saved(links.union(more))
         stars = components(links)
         former, open_regions = open_regions, saved(_labelled(parts, stars))
@@ -271,7 +294,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = nodes.join(whole, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_node = saved(rooted.join(ids, "root").select("node", "component"))
-    dropped(open_regions, sets, nodes)
+    dropped(open_regions, nodes)
     found = marked.join(of_node, "node", "left")
     return found.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
