@@ -81,13 +81,36 @@ def frequencies(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether the members in each of 2^k >= their number of hash classes are odd in number, packed in longs.
+
+    Each class in which two sets differ holds a member of their symmetric difference. Half as many classes
+    are the exclusive or of both halves.
+    """
+    count = max(64, 1 << (len(members) - 1).bit_length()) if len(members) else 64
+    odd = np.bincount((members >> np.uint64(24)).astype(np.int64) & (count - 1), minlength=count) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _apart(a: str, b: str) -> F.Column:
+    """A lower bound of the symmetric difference of two sets whose sizes differ by less than half, from their parities."""
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fitted = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(fitted(a, b), fitted(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0)))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+
+
 def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``id, text_hash, node, n, keys``: a row's set of shingles as a hash, its size, and its nearest one-shingle pivots."""
+    """``id, text_hash, node, n, keys, bits``: a row's set of shingles as a hash, its size, its nearest one-shingle pivots, its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for some, texts in sliced(batches, "text", 1 << 19):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, bits = [], [], [], []
             for text in texts:
                 members = shingle_set(text, width, words)
                 nodes.append(xxhash.xxh64_intdigest(members.tobytes()))
@@ -95,11 +118,11 @@ def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> Da
                 wanted = len(members) - least_overlap(len(members), percent) + 1 if len(members) else 0
                 order = np.argsort(levels[(members % np.uint64(SLOTS)).astype(np.int64)], kind="stable")[:wanted]
                 keys.append(members[order].view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            columns = [some.column(0), some.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", "keys"])
+                bits.append(parities(members))
+            columns = [some.column(0), some.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys), _lists(bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", "keys", "bits"])
 
-    return rows.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, node long, n long, keys array<long>")
+    return rows.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, node long, n long, keys array<long>, bits array<long>")
 
 
 def _seen(hashes: DataFrame) -> tuple[int, np.ndarray]:
@@ -130,8 +153,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         words = WordHashes()
         for some, texts in sliced(batches, "text", 1 << 20):
             sets = [shingle_set(x, width, words).view(np.int64) for x in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "members"])
+            yield pa.RecordBatch.from_arrays([some.column(0), _lists(sets)], names=["node", "members"])
 
     place = [F.coalesce("id", F.lit(-1)).alias("place"), "text_hash"]
     texts = rows.select(*place, "text").mapInArrow(passed, "place long, text_hash long, text string").join(wanted.select(*place, "node"), ["place", "text_hash"])
@@ -141,8 +163,18 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 class Texts:
     """The texts ``id, text_hash, text`` and where each node's text is found, from which pairs are measured."""
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int):
-        self.rows, self.nodes, self.width = rows, nodes, width
+    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int, percent: int):
+        self.rows, self.nodes, self.width, self.percent = rows, nodes, width, percent
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of nodes that their parities leave possible: what differs must be few enough."""
+        ends = [self.nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("bits").alias(b)) for x, n, b in (("u", "n", "bits"), ("v", "n_t", "bits_t"))]
+        both = pairs.select("u", "v").distinct().join(ends[1], "v").join(ends[0], "u")
+        return both.where((F.least("n", "n_t") * 100 >= F.greatest("n", "n_t") * self.percent) & _alike_bits(self.percent)).select("u", "v")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are linked."""
+        return _linked(self.distances(self.near(pairs)), self.percent)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """``u, v, shared, joined``: the sizes of the intersection and the union of each distinct pair of nodes."""
@@ -180,6 +212,11 @@ def _possible(percent: int) -> F.Column:
     return sizes & places & pivots
 
 
+def _alike_bits(percent: int) -> F.Column:
+    """Whether the parities of two sets leave few enough members in which they can differ."""
+    return _apart("bits", "bits_t") <= F.floor((F.col("n") + F.col("n_t")) * F.lit((100 - percent) / (100 + percent)) + 1e-9)
+
+
 def _alike_heads(percent: int) -> F.Column:
     """Whether two heads (the first shingles of each set, in the common order) leave a link possible, and meet first in this region.
 
@@ -194,10 +231,10 @@ def _alike_heads(percent: int) -> F.Column:
 
 def _pairs(regions: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` of different components that share a region, one of them at home in it, and may be linked."""
-    headed = [x for x in ("head",) if x in regions.columns]
+    headed = [x for x in ("head", "bits") if x in regions.columns]
     right = regions.select("region", *(F.col(x).alias(f"{x}_t") for x in ("node", "n", "pos", "label", "home", "far", *headed)))
     allowed = (F.col("node") > F.col("node_t")) & (F.col("label") != F.col("label_t")) & (F.col("home") | F.col("home_t")) & _possible(percent)
-    met = regions.hint("merge").join(right, "region").where(allowed & _alike_heads(percent) if headed else allowed)
+    met = regions.hint("merge").join(right, "region").where(allowed & _alike_bits(percent) & _alike_heads(percent) if headed else allowed)
     return met.select(F.col("node").alias("u"), F.col("node_t").alias("v")).distinct()
 
 
@@ -211,7 +248,7 @@ def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[
     # Pivots by hash order, a minimum each: pre-aggregated, however large a region is.
     draws = [F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(k), "node").alias("h"), "node"))["node"] for k in range(PIVOTS)]
     pivots = regions.groupBy("region").agg(F.array_distinct(F.array(*draws)).alias("qs"))
-    asked = saved(regions.join(pivots, "region").withColumn("q", F.explode("qs")).drop("qs", "far", "head"))
+    asked = saved(regions.join(pivots, "region").withColumn("q", F.explode("qs")).drop("qs", "far", "head", "bits"))
     far = texts.distances(asked.where("node <> q").select(F.col("node").alias("u"), F.col("q").alias("v")))
     d = F.when(F.col("node") == F.col("q"), 0.0).otherwise(1 - F.col("shared") / F.col("joined"))
     known = asked.join(far.withColumnsRenamed({"u": "node", "v": "q"}), ["node", "q"], "left").select(*asked.columns, d.alias("d"))
@@ -222,7 +259,7 @@ def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[
     near = F.filter("all", lambda x: x["d"] <= F.col("own.d") + F.lit(2 * (1 - percent / 100) + 1e-9))
     spread = seen.withColumn("own", home).withColumn("at", F.explode(near))
     parts = spread.select(F.xxhash64("region", "at.q").alias("region"), "key", "node", "n", "pos", F.col("size").alias("before"), (F.col("at.q") == F.col("own.q")).alias("home"), F.transform("all", lambda x: x["d"]).alias("far"))
-    parts = saved(parts.join(texts.nodes.select("node", F.slice("keys", 1, HEAD).alias("head")), "node"))
+    parts = saved(parts.join(texts.nodes.select("node", F.slice("keys", 1, HEAD).alias("head"), "bits"), "node"))
     links = saved(_linked(far, percent))
     dropped(asked, far)
     return parts, links
@@ -243,7 +280,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and regions within one component are done. Larger regions are divided by eight pivots of their own,
     with homes, guests within the triangle inequality's window, and recursion (:func:`_split`); in regions of
     48 documents or less, or after three levels, pairs of different components that sizes, places, the
-    distances to the pivots and the first shingles of both leave possible are measured. Every distance is taken on whole sets.
+    distances to the pivots, the first shingles of both and the parities of their hash classes leave
+    possible are measured. Every distance is taken on whole sets.
 
     Rarity comes from a fixed table of frequent shingles, which orders them and decides nothing else. All
     regions stay in written tables, pre-aggregated before they are shuffled; no region is gathered in a task.
@@ -255,7 +293,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     full = saved(_marked(rows, width, percent, frequencies(rows, width)))
-    one = full.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash", "n", "keys")).alias("from"))
+    one = full.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash", "n", "keys", "bits")).alias("from"))
     nodes = saved(one.select("node", "least", "from.*"))
     marked = saved(full.select("id", "node", "n"))
     dropped(full)
@@ -266,10 +304,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = spread.select("region", "node", place).join(shared, "region")
     regions = saved(met.select("region", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")))
     release(docs.sparkSession)
-    texts = Texts(rows, nodes, width)
+    texts = Texts(rows, nodes, width, percent)
     lead = saved(regions.groupBy("region").agg(F.min(F.struct("node", "n", "pos")).alias("lead")))
     first = regions.join(lead, "region").withColumns({"node_t": F.col("lead.node"), "n_t": F.col("lead.n"), "pos_t": F.col("lead.pos"), "far": F.array().cast("array<double>"), "far_t": F.array().cast("array<double>")})
-    links = saved(_linked(texts.distances(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v"))), percent))
+    links = texts.links(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v")))
     stars = components(links)
     started = regions.select("region", "node", "n", "pos", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
     open_regions, depth = saved(_labelled(started, stars)), 0
@@ -280,7 +318,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if depth:  # a region that its pivots did not divide is not divided again
             large = large & (F.col("size") < 0.8 * F.col("before"))
         now = open_regions if depth == DEPTH else open_regions.where(~large)
-        links = links.union(_linked(texts.distances(_pairs(now, percent)), percent))
+        links = links.union(texts.links(_pairs(now, percent)))
         rest = open_regions.where(large) if depth < DEPTH else open_regions.limit(0)
         if rest.isEmpty():
             break
