@@ -16,7 +16,7 @@ from riskloom.llm.shared import components, dropped, release, saved, sliced
 #: occurrences in such a block that make a shingle known. The table only orders shingles: results never depend on it.
 SLOTS, COUNTED, OFTEN = 1 << 22, 1 << 21, 4
 #: Regions of more documents are split by so many pivots, at most so often.
-REGION, PIVOTS, DEPTH = 48, 8, 3
+REGION, PIVOTS, DEPTH = 48, 4, 3
 #: Of its nearest one-shingle pivots a document takes so many along into regions that are divided.
 HEAD = 64
 #: Words that a worker keeps the hashes of, and the most bits of the filter of wanted texts.
@@ -186,6 +186,7 @@ class Texts:
         met = pairs.join(ends[1], "v").join(ends[0], "u").select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("joined"))
         out = saved(met)
         dropped(pairs, wanted, sets)
+        release(pairs.sparkSession)
         return out
 
 
@@ -253,7 +254,7 @@ def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[
     d = F.when(F.col("node") == F.col("q"), 0.0).otherwise(1 - F.col("shared") / F.col("joined"))
     known = asked.join(far.withColumnsRenamed({"u": "node", "v": "q"}), ["node", "q"], "left").select(*asked.columns, d.alias("d"))
     carried = ["region", "key", "node", "n", "pos", "size"]
-    # A row a document and region: its distances to the (at most eight) pivots.
+    # A row a document and region: its distances to the (at most four) pivots.
     seen = known.groupBy(*carried).agg(F.array_sort(F.collect_list(F.struct("q", "d"))).alias("all"))
     home = F.array_min(F.transform("all", lambda x: F.struct(x["d"].alias("d"), x["q"].alias("q"))))
     near = F.filter("all", lambda x: x["d"] <= F.col("own.d") + F.lit(2 * (1 - percent / 100) + 1e-9))
@@ -277,7 +278,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nearest ones: two documents within t lack too few of each other's shingles to miss each other there.
     (Pivots that are documents cannot divide a corpus at this level: nearly all distances are 1.) In each
     region all documents are first measured against one pivot, a document; what is linked is one component,
-    and regions within one component are done. Larger regions are divided by eight pivots of their own,
+    and regions within one component are done. Larger regions are divided by four pivots of their own,
     with homes, guests within the triangle inequality's window, and recursion (:func:`_split`); in regions of
     48 documents or less, or after three levels, pairs of different components that sizes, places, the
     distances to the pivots, the first shingles of both and the parities of their hash classes leave
