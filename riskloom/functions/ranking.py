@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskloom.core.checks import col
 
 
 def _side(df: DataFrame) -> int:
@@ -14,25 +17,39 @@ def _side(df: DataFrame) -> int:
     return max(8, math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1) -> DataFrame:
+def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1, split: Column | None = None, descending: bool = False) -> DataFrame:
     """``df`` with ``__range``: the number of the range of ``lead`` that a row lies in (approximate quantiles part the ranges).
 
     The quantiles are a subquery of the plan: nothing runs before the result is used. With ``kind`` (0 up
     to ``kinds``) each kind of rows has ranges of its own. Equal values share a range, and NaN lies above
     all numbers, as in Spark's order, so the ranges are ordered as the rows are.
+
+    With ``split``, a number that orders rows of equal ``lead`` (rising, even if ``descending``), rows that equal the
+    upper end of their range, as all values with more than a few ranges' share of the rows do, are parted once
+    more by the ranges of that number.
     """
     side = _side(df)
     shares = [i / side**2 for i in range(1, side**2)]
     number = F.when(~F.isnan(lead), F.col(lead))
     per = [F.percentile_approx(number if kind is None else F.when(kind == i, number), shares, 10_000) for i in range(kinds)]
-    cuts = F.get(df.agg(F.array(*per).alias("c")).scalar(), F.lit(0) if kind is None else kind)
-
-    def above(place: Column) -> Column:
-        return F.coalesce((F.col(lead) > F.get(cuts, place)).cast("int"), F.lit(0))
-
-    coarse = df.withColumn("__coarse", sum((above(F.lit(i * side - 1)) for i in range(1, side)), start=F.lit(0)))
-    fine = sum((above(F.col("__coarse") * side + i) for i in range(side - 1)), start=F.lit(0))
-    return coarse.withColumn("__range", F.col("__coarse") * side + fine).drop("__coarse")
+    inner = [] if split is None else [F.percentile_approx(split.cast("double"), shares, 10_000)]
+    every = df.agg(F.array(*per, *inner).alias("c")).scalar()
+
+    def among(value: Column, cuts: Column, to: str) -> DataFrame:
+        """Adds the number of cuts below the value, found in two steps."""
+        above = lambda place: F.coalesce((value > F.get(cuts, place)).cast("int"), F.lit(0))
+        coarse = df.withColumn("__coarse", sum((above(F.lit(i * side - 1)) for i in range(1, side)), start=F.lit(0)))
+        fine = sum((above(F.col("__coarse") * side + i) for i in range(side - 1)), start=F.lit(0))
+        return coarse.withColumn(to, F.col("__coarse") * side + fine).drop("__coarse")
+
+    cuts = F.get(every, F.lit(0) if kind is None else kind)
+    df = among(F.col(lead), cuts, "__range")
+    if split is None:
+        return df
+    df = among(split.cast("double"), F.get(every, F.lit(kinds)), "__part")
+    part = 1 + (side**2 - 1 - F.col("__part") if descending else F.col("__part"))
+    at_end = F.coalesce(F.col(lead) == F.get(cuts, F.col("__range")), F.lit(False))
+    return df.withColumn("__range", F.col("__range") * (side**2 + 1) + F.when(at_end, part).otherwise(0)).drop("__part")
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -43,13 +60,14 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return on
 
 
-def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1) -> DataFrame:
+def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1, split: Column | None = None) -> DataFrame:
     """``df`` with ``<value>_run`` and ``<value>_all``: sums of its group from the highest ``lead`` down to and with the row (lowest up, if not ``descending``), and of the whole group.
 
     Rows are summed within (group, range), which are spread over the cluster, and moved up by the sums of
-    the ranges before, a table of at most groups x ranges rows.
+    the ranges before, a table of at most groups x ranges rows. ``split``, a number that rises with ``ties``,
+    parts rows of equal ``lead`` too (:func:`ranged`).
     """
-    parts = ranged(df, lead, kind, kinds)
+    parts = ranged(df, lead, kind, kinds, split, descending)
     direction = F.desc if descending else F.asc
     ahead = Window.partitionBy(*groups).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -59,13 +77,49 @@ def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[st
     inner = Window.partitionBy(*groups, "__range").orderBy(direction(lead), *ties).rowsBetween(Window.unboundedPreceding, 0)
     own = parts.withColumns({f"__o_{v}": F.sum(v).over(inner) for v in values})
     joined = own.join(sums, _same(own, sums, [*groups, "__range"]))
-    return joined.select(*df.columns, *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values], *[f"{v}_all" for v in values])
+    return joined.select(*[col(c) for c in df.columns], *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values], *[f"{v}_all" for v in values])
 
 
 def numbered(df: DataFrame, groups: Sequence[str], lead: str, descending: bool = True, ties: Sequence[Column] = ()) -> DataFrame:
     """``df`` with ``__row`` (from 1, by ``lead`` within each group) and ``__rows`` (the size of the group)."""
     counted = running(df.withColumn("__one", F.lit(1)), groups, lead, ["__one"], descending, ties)
-    return counted.select(*df.columns, F.col("__one_run").alias("__row"), F.col("__one_all").alias("__rows"))
+    return counted.select(*[col(c) for c in df.columns], F.col("__one_run").alias("__row"), F.col("__one_all").alias("__rows"))
+
+
+#: Rows that are alike are written out in blocks of so many.
+ALIKE = 4096
+
+
+def magnitude(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises: numbers and times themselves, of texts the first six bytes."""
+    kind, value = df.schema[name].dataType, col(name)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.lit(0.0)
+
+
+def placed(df: DataFrame, groups: Sequence[str], lead: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``__row`` (from 1, by rising ``lead``, then ``ties``, then a hash of the row) and ``__rows`` (the size of the group).
+
+    Nothing has to stay together but what a few ranges hold: rows that are alike are counted first and written
+    out again in blocks, rows of equal ``lead`` are parted by the first of the ties, or by the hash. The
+    numbers follow from the rows' values alone, so they are the same under any partitioning (rows that are
+    alike may change places, which nothing shows).
+    """
+    every = [col(c) for c in df.columns]
+    hashed = df.groupBy(*every).agg(F.count("*").alias("__n")).withColumn("__h", F.xxhash64(*every))
+    split = magnitude(df, ties[0]) if ties else F.col("__h").cast("double")
+    ran = running(hashed.withColumn("__split", split), groups, lead, ["__n"], False, [*map(col, ties), F.col("__h"), *every], split=F.col("__split"))
+    each = ran.withColumn("__before", F.col("__n_run") - F.col("__n"))
+    few = each.where(F.col("__n") <= ALIKE).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    blocks = each.where(F.col("__n") > ALIKE).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ALIKE).cast("long")))).repartition("__h", "__b")
+    many = blocks.withColumn("__i", F.explode(F.sequence(F.col("__b") + 1, F.least(F.col("__b") + ALIKE, F.col("__n"))))).drop("__b")
+    whole = few.unionByName(many)
+    return whole.select(*every, (F.col("__before") + F.col("__i")).alias("__row"), F.col("__n_all").alias("__rows"))
 
 
 def observed_quantiles(df: DataFrame, values: Sequence[Column], parts: int, interpolated: bool = False) -> list[list[float]]:

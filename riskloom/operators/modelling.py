@@ -16,13 +16,14 @@ from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from riskloom.core.checks import col, present, reject, require_columns, require_numeric
-from riskloom.functions.ranking import numbered
+from riskloom.functions.ranking import placed
 from riskloom.operators import cube
 from riskloom.operators.selection import supervised
 
@@ -68,15 +69,28 @@ def fitted(train: DataFrame, target: str, features: Sequence[str], model: str |
     return Pipeline(stages=stages).fit(train.withColumn(target, col(target).cast("double")))
 
 
+def coded(df: DataFrame, target: str) -> DataFrame:
+    """``df`` with the target as a number: texts by their place in alphabetical order (the classes, a few, reach the driver)."""
+    if not isinstance(df.schema[target].dataType, StringType):
+        return df
+    indexer = StringIndexer(inputCol=target, outputCol="__class", stringOrderType="alphabetAsc").fit(df)
+    return indexer.transform(df).drop(target).withColumnRenamed("__class", target)
+
+
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The frame with the model's columns and ``score``, the probability of class 1."""
     return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> list[dict[str, Any]]:
-    """``feature, importance`` (or coefficient), the largest in size first."""
+    """``feature, importance`` (or coefficient; of several classes the mean size), the largest in size first."""
     last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray() if hasattr(last, "coefficients") else []
+    if hasattr(last, "featureImportances"):
+        values = last.featureImportances.toArray()
+    elif hasattr(last, "coefficientMatrix") and last.numClasses > 2:
+        values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
+    else:
+        values = last.coefficients.toArray() if hasattr(last, "coefficients") else []
     rows = [{"feature": f, "importance": float(v)} for f, v in zip(features, values, strict=bool(len(values)))] if len(values) else []
     return sorted(rows, key=lambda r: -abs(r["importance"]))
 
@@ -195,7 +209,8 @@ def with_folds(df: DataFrame, target: str, cv: int = 5, strategy: str = "stratif
     """``df`` with ``fold`` in [0, cv): a given column, whole groups by hash, time blocks of equal size, or an even deal in hash order.
 
     Hashes are of the rows' own values (or ``order_cols``), so folds stay the same however rows are dealt.
-    Ranks are made without a window over the whole table; equal rows may change places, not counts.
+    Ranks are made without a window over the whole table, or over the rows of one day, or over rows that are
+    alike (:func:`riskloom.functions.ranking.placed`); equal rows may change places, not counts.
     """
     if type(cv) is not int or cv < 2:
         raise ValueError("cv must be an integer of at least 2")
@@ -215,10 +230,10 @@ def with_folds(df: DataFrame, target: str, cv: int = 5, strategy: str = "stratif
         if not date_col:
             raise ValueError("time folds need date_col")
         timed = df.withColumn("__when", F.unix_micros(col(date_col).cast("timestamp")).cast("double"))
-        ranked = numbered(timed, [], "__when", False, [col(c) for c in order_cols])
+        ranked = placed(timed, [], "__when", order_cols)
         return ranked.withColumn("fold", F.floor((F.col("__row") - 1) * cv / F.col("__rows")).cast("int")).drop("__row", "__rows", "__when")
     dealt = df.withColumn("__deal", F.xxhash64(F.lit(random_state), *[col(c) for c in names]).cast("double"))
-    ranked = numbered(dealt, [target] if strategy == "stratified" else [], "__deal", False)
+    ranked = placed(dealt, [target] if strategy == "stratified" else [], "__deal")
     return ranked.withColumn("fold", F.pmod(F.col("__row") - 1, F.lit(cv)).cast("int")).drop("__row", "__rows", "__deal")
 
 

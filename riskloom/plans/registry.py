@@ -285,14 +285,20 @@ query("sel_cardinality", _each(["quantity", "code", "flat", "flag"], "SELECT '{f
     lambda s, d: selection.cardinality_table(_selection(s, d), ["quantity", "code", "flat", "flag"]).select("feature", F.col("unique").alias("unique_count"), F.round(F.col("unique") / F.col("rows"), 8).alias("unique_ratio"))
 )
 _PAIRS = [(a, b) for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :]]
-query("sel_corr_pearson", _SEL + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 8) AS correlation FROM t" for a, b in _PAIRS))(lambda s, d: _rounded(selection.pearson_pairs(_selection(s, d), _NUMERIC), 8))
+
+
+def _correlations(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    found = selection.correlation_filter(_selection(spark, sf_dir), _NUMERIC, method=method).correlation_pairs
+    return _rounded(spark.createDataFrame([(r["left"], r["right"], r["correlation"]) for r in found], "left string, right string, correlation double"), 8)
+
+
+query("sel_corr_pearson", _SEL + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 8) AS correlation FROM t" for a, b in _PAIRS))(lambda s, d: _correlations(s, d, "pearson"))
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in _NUMERIC)
 
 
 @query("sel_corr_spearman", f"{_SEL}, r AS (SELECT {_RANKS} FROM t) " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 8) AS correlation FROM r" for a, b in _PAIRS))
 def _spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.correlation_filter(_selection(spark, sf_dir), _NUMERIC, method="spearman").correlation_pairs
-    return _rounded(spark.createDataFrame([(r["left"], r["right"], r["correlation"]) for r in found], "left string, right string, correlation double"), 8)
+    return _correlations(spark, sf_dir, "spearman")
 
 
 _CELLS = "(SELECT {f} AS x, target AS y, count(*) AS n FROM t GROUP BY ALL)"
@@ -310,6 +316,17 @@ query("sel_anova", _each(_NUMERIC, "SELECT '{f}' AS feature, round((sum(n * (m -
     lambda s, d: selection.anova_table(_selection(s, d), "target", _NUMERIC).select("feature", F.round((F.col("ssb") / (F.col("classes") - 1)) / (F.col("ssw") / (F.col("rows") - F.col("classes"))), 6).alias("f_statistic"))
 )
 
+_CLASSES = "SELECT l.l_returnflag AS class, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax FROM lineitem l"
+_BETWEEN = """SELECT '{f}' AS feature, round(sum(n * (m - g) * (m - g)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))), 6) AS f_statistic
+ FROM (SELECT n, m, v, sum(n * m) OVER () / sum(n) OVER () AS g FROM (SELECT count(*) AS n, avg({f}) AS m, var_pop({f}) AS v FROM c GROUP BY class))"""
+
+
+@query("sel_anova_classes", f"WITH c AS ({_CLASSES}) " + " UNION ALL ".join(_BETWEEN.replace("{f}", f) for f in _NUMERIC))
+def _anova_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F of the means of three classes, as the selector gives it."""
+    found = selection.anova(view(spark, sf_dir, _CLASSES), "class", _NUMERIC, max_p_value=None).feature_table
+    return _rounded(spark.createDataFrame([(r["feature"], r["f_statistic"]) for r in found], "feature string, f_statistic double"))
+
 
 def _iv_sql(feature: str, code: str, details: bool) -> str:
     bins = f"""SELECT bin, e, o, (e + 0.5) / (sum(e) OVER () + 0.5 * count(*) OVER ()) AS de, (o + 0.5) / (sum(o) OVER () + 0.5 * count(*) OVER ()) AS dn
