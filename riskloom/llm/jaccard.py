@@ -21,6 +21,8 @@ REGION, PIVOTS, DEPTH = 48, 4, 3
 HEAD = 64
 #: Words that a worker keeps the hashes of, and the most bits of the filter of wanted texts.
 WORDS, FILTER_BITS = 1 << 18, 1 << 29
+#: Sets with so many members together (8 MB) are sent to every task.
+SENT = 1 << 20
 
 
 class WordHashes(dict):
@@ -182,8 +184,12 @@ class Texts:
         wanted = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(self.nodes, "node").select("node", "id", "text_hash"))
         sets = saved(_sets(self.rows, wanted, self.width))
         ends = [sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}")) for x in ("u", "v")]
+        right = ends[1].join(pairs.select("v").distinct(), "v", "left_semi")
+        # A few sets that many are measured against, as pivots are, go to every task; more are joined by a shuffle.
+        if (right.agg(F.sum(F.size("sv").cast("long"))).first()[0] or 0) <= SENT:
+            right = F.broadcast(right)
         shared = F.size(F.array_intersect("su", "sv"))
-        met = pairs.join(ends[1], "v").join(ends[0], "u").select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("joined"))
+        met = pairs.join(ends[0], "u").join(right, "v").select("u", "v", shared.alias("shared"), (F.size("su") + F.size("sv") - shared).alias("joined"))
         out = saved(met)
         dropped(pairs, wanted, sets)
         release(pairs.sparkSession)
