@@ -39,8 +39,9 @@ HINTS = frozenset(
 COMMENTS = frozenset("comment commentlist comments disqus replies respond".split())
 TEASERS = frozenset("ad promo promoted recommended related sponsored teaser".split())
 
-#: Small labelled pages. A block is "+" (main text) or "-" (not) and how many words it has, then "." if it ends a sentence and
-#: "a" if it is a link. The tree is grown from their blocks' features, so the table is made by the code that reads pages.
+#: Small labelled pages. A block is "+" (main text) or "-" (not) and how many words it has, then "/" and how many of these are
+#: linked, "." if it ends a sentence and "a" if it is a link as a whole. The tree is grown from their blocks' features, so the
+#: table is made by the code that reads pages.
 LABELLED = """
 <header><h2>-2</h2></header><nav><ul><li>-1a<li>-2a<li>-1a</ul></nav><div class=ad>-9.</div><article><h1>+8</h1><p>+30.<p>+55.<p>+4.<p>+70.</article><footer>-12.</footer>
 <nav>-1a -1a -1a</nav><div class=advert>-22.</div><article><h1>+5</h1><p>+12.<p>+9.</article><aside class=sidebar><h3>-2</h3><p>-40.<p>-25.</aside><footer><p>-20.<p>-3a</footer>
@@ -95,6 +96,27 @@ LABELLED = """
 <main><p>+9.<ul><li>+3<li>+4</ul></main>
 <div>-1a -1a</div><article><h2>+3</h2><p>+90.</article>
 <h1>+6</h1><p>+48.<p>+33.
+<nav>-1a -1a</nav><article><h1>+5</h1><p>+40/3.<p>+25/6.<p>+60/20.<p>+33/18.<p>+12/5.</article><footer>-12/4.</footer>
+<div>-1a -2a -1a</div><div class=content><h2>+3</h2><p>+52/15.<p>+31/11.<p>+80/9.<p>+20/9.<ul><li>+8/3<li>+11/4.<li>+6/2</ul><p>+44/21.</div><div>-9/4</div>
+<article><h1>+4</h1><p>+22.<p>-4a<p>+28.</article>
+<article><h1>+6</h1><p>+35/8.<p>-3a<p>+15.</article><div class=related>-5a -6a</div>
+<header>-2 -3a</header><main><h1>+2</h1><p>+71/30.<p>+48/22.<h2>+2</h2><p>+19/8.<ul><li>+7/4.<li>+9/5.<li>+12/6.</ul><p>+64/35.<h2>+1</h2><ul><li>-4a<li>-6a<li>-5a</ul></main><footer>-18/6.<p>-7/4.</footer>
+<nav><ul><li>-1a<li>-2a</ul></nav><main><article><h1>+7</h1><p>+26/2.<p>+90/40.<p>-5a<p>+45/12.<p>+38/17.<div class=share>-3/2</div></article><aside><h3>-2</h3><p>-30/8.<p>-12/6.</aside></main><footer>-15/5.</footer>
+<div class=top>-6/4</div><div class=body><h1>+6</h1><p>+57/25.<p>+16/7.<p>+34/14.<p>+29.</div><div>-14/7.</div><div class=footer>-10/6.</div>
+<div class=cookie><p>-28/4.</div><article><p>+44/10.<p>+18/10.<p>+50.<p>-2a<p>+21/4.</article><section class=comments><p>-26/3.<p>-18/6.</section>
+<p>+36/9.</p><p>+22/10.</p><p>+58/26.</p><p>+41.</p>
+<div>-3a -2a</div><p>+47/20.</p><p>+15/6.</p><p>+66/8.</p><div>-8/5</div><div>-6/4</div>
+<article><h1>+3</h1><p>+31.<p>+24.<div>-3a</div><p>+17.</article><footer>-9.</footer>
+<article><h1>+4</h1><p>+19.<p>-6a<h2>+2</h2><p>+40.<p>-4a<p>+12.</article><div>-2a</div>
+<nav>-1a</nav><main><h1>+5</h1><p>+27.<p>-2a<p>+33.</main><footer>-4/2.</footer>
+<article><p>+14.<p>-3a<p>+9.</article>
+<main><p>+52.<ul><li>-4a<li>-3a</ul><p>+20.</main>
+<article><header><h1>+6</h1><p>-5/2</header><p>+43/13.<p>+37/16.<p>+28/3.</article><div class=author><p>-22/3.</div>
+<nav>-2a -1a</nav><div><h1>+5</h1><p>+62/27.<p>+39/5.<p>+24/11.</div><div class=newsletter><p>-16/4.</div><div>-7/3</div>
+<nav>-1a -1a</nav><article><h1>+4</h1><p>+30/15.<p>+45/22.<p>+11/5.<p>+6/3.</article><div class=ad>-14/5.</div>
+<article><p>+25/12.<p>+60/33.</article>
+<main><p>+20/4.<p>+10/5.<p>+34/19.</main><footer>-11/6.</footer>
+<header>-4/2</header><article><h1>+5/2</h1><p>+32/7.<blockquote>+24/6.</blockquote><table><tr><td>+2/1<td>+5/2<td>+4</table><p>+51/24.</article>
 <div class=header>-3 -2a</div><div class=story><p>+29.<p>+6.<p>+31.</div><div class=disqus><p>-33.</div><p>-5</p><p>-3</p>
 """
 
@@ -233,11 +255,13 @@ def labelled_blocks(pages: str = LABELLED) -> tuple[list[list[float]], list[int]
     rows, labels = [], []
 
     def spelled(m: re.Match) -> str:
-        text = ("yes" if m[1] == "+" else "no") + " word" * (int(m[2]) - 1) + m[3]
-        return f"<a href=x>{text}</a>" if m[4] else text
+        words = ["yes" if m[1] == "+" else "no", *["word"] * (int(m[2]) - 1)]
+        linked = len(words) if m[5] else int(m[3] or 0)
+        plain, link = " ".join(words[: len(words) - linked]), " ".join(words[len(words) - linked :])
+        return f"{plain} <a href=x>{link}</a>{m[4]}" if linked else plain + m[4]
 
     for page in pages.split("\n"):
-        found = blocks(re.sub(r"([+-])(\d+)(\.?)(a?)(?=[\s<]|$)", spelled, page))
+        found = blocks(re.sub(r"([+-])(\d+)(?:/(\d+))?(\.?)(a?)(?=[\s<]|$)", spelled, page))
         rows += features(found)
         labels += [int(b.text.startswith("yes")) for b in found]
     return rows, labels
@@ -273,7 +297,7 @@ def grow(rows: list[list[float]], labels: list[int], depth: int = 8, least: int
 
 @functools.cache
 def default_tree() -> tuple:
-    return grow(*labelled_blocks(), least=2)
+    return grow(*labelled_blocks(), least=4)
 
 
 def keeps(tree: tuple | float, row: list[float]) -> bool:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -102,3 +103,69 @@ def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, f"<p>{LONG}</p>", "a", 2, "b", 3)], "page_id long, html string, __html string, n_chars int, Text string, k1 int")
     got = extracted(pages)
     assert got.columns == ["page_id", "__html", "n_chars", "k1", "text"] and got.collect()[0].asDict() == {"page_id": 1, "__html": "a", "n_chars": 2, "k1": 3, "text": LONG}
+
+
+@pytest.mark.parametrize("linked", [0, 3, 6, 8, 10, 13])
+def test_paragraphs_with_up_to_half_their_words_linked_stay(linked):
+    text = " ".join(["word"] * (25 - linked)) + (f" <a href=x>{' '.join(['word'] * linked)}</a>" if linked else "")
+    for page in ("<article><h1>Head</h1><p>%s.</p></article>", "<main><p>%s.</p><p>%s.</p></main>", "<nav><a href=x>Home</a></nav><article><p>%s.</p><p>%s.</p></article><footer>All rights reserved.</footer>"):
+        assert main_text(page.replace("%s", text)).count("word") == 25 * page.count("%s")
+
+
+def test_last_paragraphs_after_a_link_stay():
+    page = "<article><h1>Head</h1><p>The first of some paragraphs.</p><p><a href=x>See the source</a></p><p>The final paragraph of it.</p></article>"
+    assert main_text(page) == "Head\nThe first of some paragraphs.\nThe final paragraph of it."
+
+
+def generated(rng):
+    """A page that is not in the table, and which of its blocks (named b1, b2, ..) are main text."""
+    truth = {}
+
+    def text(words, main, link=0.0, end="."):
+        name = f"b{len(truth) + 1}"
+        truth[name] = main
+        said, linked = [name, *(rng.choice("river stone window market garden letter summer".split()) for _ in range(words - 1))], round(link * words)
+        at = rng.randint(0, words - linked)
+        return " ".join([*said[:at], *["<a href=/x>"] * (linked > 0), *said[at : at + linked], *["</a>"] * (linked > 0), *said[at + linked :]]) + end
+
+    def some(low, high, make):
+        return "".join(make() for _ in range(rng.randint(low, high)))
+
+    def body():
+        draw = rng.random()
+        if draw < 0.7:
+            return f"<p>{text(rng.randint(12, 90), True, rng.choice([0, 0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5]))}</p>"
+        if draw < 0.8:
+            return f"<h2>{text(rng.randint(2, 6), True, end='')}</h2><p>{text(rng.randint(15, 60), True, rng.choice([0, 0.1, 0.3]))}</p>"
+        if draw < 0.9:
+            return "<ul>" + some(2, 4, lambda: f"<li>{text(rng.randint(4, 14), True, rng.choice([0, 0.2, 0.4]))}") + "</ul>"
+        return f"<p>{text(rng.randint(2, 6), False, 1, '')}</p>"
+
+    def maybe(chance, make):
+        return make() if rng.random() < chance else ""
+
+    tags = rng.choice([["article"], ["main"], ["main", "article"], ["div"]])
+    page = maybe(0.7, lambda: "<nav><ul>" + some(2, 6, lambda: f"<li>{text(rng.randint(1, 2), False, 1, '')}") + "</ul></nav>")
+    page += maybe(0.3, lambda: "<div>" + some(2, 5, lambda: f"<div>{text(rng.randint(1, 3), False, 1, '')}</div>") + "</div>")
+    page += maybe(0.4, lambda: f"<div class=ad>{text(rng.randint(5, 20), False, rng.choice([0, 0.2]))}</div>")
+    page += maybe(0.3, lambda: f"<div id=cookie-notice><p>{text(rng.randint(12, 30), False, rng.choice([0, 0.1, 0.2]))}</div>")
+    page += "".join(f"<{t}>" for t in tags) + f"<h1>{text(rng.randint(3, 9), True, end='')}</h1><p>{text(rng.randint(20, 60), True)}</p>" + some(1, 8, body)
+    page += f"<p>{text(rng.randint(8, 60), True, rng.choice([0, 0.2, 0.5]))}</p>" + "".join(f"</{t}>" for t in reversed(tags))
+    page += maybe(0.4, lambda: rng.choice(["<aside>", "<div class=sidebar>"]) + some(1, 3, lambda: f"<p>{text(rng.randint(5, 30), False, rng.choice([0, 0.3, 1]))}</p>"))
+    page += maybe(0.4, lambda: "</aside></div><div class=comments>" + some(1, 4, lambda: f"<p>{text(rng.randint(5, 50), False, rng.choice([0, 0.1]))}</p>"))
+    page += maybe(0.8, lambda: "</aside></div>" + rng.choice(["<footer>", "<div class=footer>"]) + text(rng.randint(3, 15), False, rng.choice([0, 0.3, 0.6])))
+    return page, truth
+
+
+def test_generated_pages_kept_out_of_training():
+    rng, hits, found, wanted = random.Random(11), 0, 0, 0
+    for _ in range(200):
+        page, truth = generated(rng)
+        kept = set(re.findall(r"\bb\d+", main_text(page)))
+        main = {name for name, is_main in truth.items() if is_main}
+        hits, found, wanted = hits + len(kept & main), found + len(kept), wanted + len(main)
+    assert wanted > 1000 and hits / found >= 0.95 and hits / wanted >= 0.95, (hits, found, wanted)
+
+
+def test_empty_table(spark):
+    assert extracted(spark.createDataFrame([], "page_id long, html string")).collect() == []
