@@ -11,7 +11,9 @@ import warnings
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import partial
 from pathlib import Path
+from statistics import NormalDist
 from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from riskloom.core.checks import col, present, reject, require_columns, require_numeric
+from riskloom.core.jobs import side_by_side
 from riskloom.functions.ranking import placed
 from riskloom.operators import cube
 from riskloom.operators.selection import supervised
@@ -64,7 +67,8 @@ def classifier(model: str | Estimator, target: str, params: dict | None = None,
     return made
 
 
-def fitted(train: DataFrame, target: str, features: Sequence[str], model: str | Estimator, params: dict | None = None, random_state: int = 42) -> PipelineModel:
+def fitted(train: DataFrame, target: str, features: Sequence[str], model: str | Estimator, params: dict | None = None, random_state: int = 42, weight_col: str | None = None) -> PipelineModel:
+    params = {**(params or {}), "weightCol": weight_col} if weight_col else params
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), classifier(model, target, params, random_state)]
     return Pipeline(stages=stages).fit(train.withColumn(target, col(target).cast("double")))
 
@@ -263,24 +267,27 @@ def _summary(records: list[dict], names: Sequence[str]) -> list[dict]:
     return out
 
 
-def cross_validate(df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator = "logistic_regression", model_params: dict | None = None, cv: int = 5, strategy: str = "stratified", group_col: str | None = None, date_col: str | None = None, fold_col: str | None = None, metrics: Sequence[str] = ("ks", "auc", "gini"), return_train_metrics: bool = False, random_state: int = 42, n_tiles: int = 10, return_models: bool = False) -> CrossValidationResult:
+def cross_validate(df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator = "logistic_regression", model_params: dict | None = None, cv: int = 5, strategy: str = "stratified", group_col: str | None = None, date_col: str | None = None, fold_col: str | None = None, metrics: Sequence[str] = ("ks", "auc", "gini"), return_train_metrics: bool = False, random_state: int = 42, n_tiles: int = 10, return_models: bool = False, parallelism: int = 1) -> CrossValidationResult:
     """Fits and measures each fold; folds are assigned once and cached while the loop runs.
 
-    ``expanding`` trains on earlier time blocks only (cv - 1 rounds); all other strategies on all other folds.
+    ``expanding`` trains on earlier time blocks only (cv - 1 rounds); all other strategies on all other folds. Up to
+    ``parallelism`` folds run at a time.
     """
     if not metrics or set(metrics) - {"ks", "auc", "gini"}:
         raise ValueError("metrics must be some of ks, auc, gini")
     features = _checked(df, target_col, list(feature_cols))
     wanted = [m.upper() for m in metrics]
-    records, models = [], []
     folded = with_folds(df, target_col, cv, strategy, group_col=group_col, date_col=date_col, fold_col=fold_col, random_state=random_state).select(target_col, *features, "fold")
+
+    def one(fold: int, train: DataFrame, held: DataFrame) -> tuple[dict, PipelineModel]:
+        made = fitted(train, target_col, features, model, model_params, random_state)
+        parts = {"": held} | ({"train_": train} if return_train_metrics else {})
+        found = {f"{p}{k.upper()}": v for p, rows in parts.items() for k, v in evaluate(scored(made, rows), target_col, n_tiles).items() if k in metrics}
+        return {"fold": fold + 1, **found}, made
+
     with cached(folded):
-        for fold, train, held in rounds(folded, cv, strategy):
-            made = fitted(train, target_col, features, model, model_params, random_state)
-            parts = {"": held} | ({"train_": train} if return_train_metrics else {})
-            found = {f"{p}{k.upper()}": v for p, rows in parts.items() for k, v in evaluate(scored(made, rows), target_col, n_tiles).items() if k in metrics}
-            records.append({"fold": fold + 1, **found})
-            models.append(made)
+        done = side_by_side(df.sparkSession, [partial(one, *x) for x in rounds(folded, cv, strategy)], parallelism)
+    records, models = [r for r, _ in done], [m for _, m in done]
     names = wanted + [f"train_{m}" for m in wanted] * return_train_metrics
     return CrossValidationResult(records, _summary(records, names), models if return_models else None)
 
@@ -351,8 +358,69 @@ class Suggest:
         return self.params.setdefault(name, near if near in list(choices) else self.rng.choice(list(choices)))
 
 
-def drawn(space: dict | Callable, rng: random.Random, good: Sequence[dict[str, Any]] = (), width: float = 1.0) -> dict[str, Any]:
-    suggest = Suggest(rng, good, width)
+@dataclass
+class Density:
+    """A kernel density over [low, high]: a truncated normal curve at each value, and one flat share of the same weight.
+
+    A curve is as wide as the larger gap to its neighbours, within bounds that close in as values gather.
+    """
+
+    values: Sequence[float]
+    low: float
+    high: float
+
+    def __post_init__(self) -> None:
+        span, known = self.high - self.low, sorted(self.values)
+        edged = [self.low, *known, self.high]
+        gaps = [max(x - before, after - x) for before, x, after in zip(edged, edged[1:], edged[2:], strict=False)]
+        self.curves = [NormalDist(x, min(span, max(gap, span / min(100, 2 * (len(known) + 1))))) for x, gap in zip(known, gaps, strict=True)]
+        self.ends = [(c.cdf(self.low), c.cdf(self.high)) for c in self.curves]
+
+    def draw(self, rng: random.Random) -> float:
+        at = rng.randrange(len(self.curves) + 1)
+        if at == len(self.curves):
+            return rng.uniform(self.low, self.high)
+        share = rng.uniform(*self.ends[at])
+        return self.curves[at].inv_cdf(share) if 0 < share < 1 else rng.uniform(self.low, self.high)
+
+    def at(self, value: float) -> float:
+        heights = [c.pdf(value) / (above - under) for c, (under, above) in zip(self.curves, self.ends, strict=True)]
+        return (sum(heights) + 1 / (self.high - self.low)) / (len(heights) + 1)
+
+
+class RatioSuggest(Suggest):
+    """Draws where good trials are dense and the others are not.
+
+    For each parameter two densities are made, of its values in ``good`` and in ``other`` trials (only of trials
+    that have it, so that parts of nested spaces don't disturb one another); of ``draws`` values from the first
+    the one with the largest ratio of both is taken. Categories have smoothed shares for densities.
+    """
+
+    def __init__(self, rng: random.Random, good: Sequence[dict[str, Any]], other: Sequence[dict[str, Any]], draws: int = 24):
+        super().__init__(rng, good)
+        self.other, self.draws = list(other), draws
+
+    def _known(self, name: str) -> tuple[list[Any], list[Any]]:
+        return tuple([p[name] for p in side if name in p] for side in (self.good, self.other))
+
+    def _number(self, name: str, low: float, high: float, log: bool) -> float:
+        into, back = (math.log, math.exp) if log else (float, float)
+        if low == high:
+            return low
+        good, other = (Density([min(into(high), max(into(low), into(v))) for v in values], into(low), into(high)) for values in self._known(name))
+        tried = [good.draw(self.rng) for _ in range(self.draws)]
+        return back(max(tried, key=lambda v: good.at(v) / other.at(v)))
+
+    def suggest_categorical(self, name: str, choices: Sequence[Any]) -> Any:
+        places = range(len(choices))
+        good, other = ([(sum(v == choices[i] for v in values) + 1) / (len(values) + len(choices)) for i in places] for values in self._known(name))
+        tried = self.rng.choices(places, good, k=max(1, self.draws // 8))
+        return self.params.setdefault(name, choices[max(tried, key=lambda i: good[i] / other[i])])
+
+
+def drawn(space: dict | Callable, suggest: Suggest | random.Random) -> dict[str, Any]:
+    """The parameters that a space, a table or a function, takes from the draws; from a generator alone: from whole ranges."""
+    suggest = Suggest(suggest) if isinstance(suggest, random.Random) else suggest
     if callable(space):
         return dict(space(suggest))
     for name, spec in space.items():
@@ -366,13 +434,26 @@ def drawn(space: dict | Callable, rng: random.Random, good: Sequence[dict[str, A
     return suggest.params
 
 
-def proposed(space: dict | Callable, rng: random.Random, trials: Sequence[Trial], direction: str = "maximize", startup: int = 8) -> dict[str, Any]:
-    """Parameters of the next trial: random ones at first, then mostly near the best quarter of the trials so far (feasible ones first)."""
+SAMPLERS = ("density", "adaptive", "random")
+
+
+def proposed(space: dict | Callable, rng: random.Random, trials: Sequence[Trial], direction: str = "maximize", startup: int = 8, sampler: str = "density") -> dict[str, Any]:
+    """Parameters of the next trial: random ones at first, then by the trials so far (feasible ones first, then by value).
+
+    ``density``: by the ratio of the densities of the best trials and the others (:class:`RatioSuggest`);
+    ``adaptive``: mostly near one of the best quarter; ``random``: always random. A space given as a function
+    must return its draws under the names that it drew them by, for those to be learned from.
+    """
+    if sampler not in SAMPLERS:
+        raise ValueError(f"sampler must be one of {', '.join(SAMPLERS)}")
     done = [t for t in trials if math.isfinite(t.value)]
-    if len(done) < startup:
+    if sampler == "random" or len(done) < startup:
         return drawn(space, rng)
-    best = sorted(done, key=lambda t: (not t.feasible, t.violation, t.value if direction == "minimize" else -t.value, t.number))
-    return drawn(space, rng, [t.params for t in best[: max(2, len(done) // 4)]], 0.5 / math.sqrt(len(done)))
+    best = [t.params for t in sorted(done, key=lambda t: (not t.feasible, t.violation, t.value if direction == "minimize" else -t.value, t.number))]
+    if sampler == "adaptive":
+        return drawn(space, Suggest(rng, best[: max(2, len(done) // 4)], 0.5 / math.sqrt(len(done))))
+    first = min(25, math.ceil(len(best) * 0.1))
+    return drawn(space, RatioSuggest(rng, best[:first], best[first:]))
 
 
 def derived(train: dict[str, float], cv: dict[str, float], oot: dict[str, float]) -> dict[str, float]:
@@ -401,23 +482,23 @@ def chosen(trials: Sequence[Trial], direction: str, constrained: bool) -> Trial:
     return best
 
 
-def optimize(train_df: DataFrame, oot_df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator, search_space: dict | Callable, objective_metric: str = "ks", direction: str = "maximize", n_trials: int = 50, cv: int = 5, metrics: Sequence[str] = ("ks", "auc", "gini"), *, save_as: str = "none", save_path: str | Path = "models", study_name: str = "study", random_state: int = 42, n_tiles: int = 10, target_metric: str | None = None, target_limit: float | None = None, target_operator: str = "<=", sampler: str = "adaptive") -> OptimizationResult:
+def optimize(train_df: DataFrame, oot_df: DataFrame, target_col: str, feature_cols: Sequence[str], model: str | Estimator, search_space: dict | Callable, objective_metric: str = "ks", direction: str = "maximize", n_trials: int = 50, cv: int = 5, metrics: Sequence[str] = ("ks", "auc", "gini"), *, save_as: str = "none", save_path: str | Path = "models", study_name: str = "study", random_state: int = 42, n_tiles: int = 10, target_metric: str | None = None, target_limit: float | None = None, target_operator: str = "<=", sampler: str = "density", parallelism: int = 1) -> OptimizationResult:
     """Search from a seed: each trial is cross-validated and fitted whole; the chosen parameters are fitted and stored at last.
 
-    ``sampler``: ``adaptive`` (see :func:`proposed`) or ``random``.
+    ``sampler``: see :func:`proposed`. Trials follow one another; up to ``parallelism`` folds of one run at a time.
 
     ``target_metric`` (one of the values of :func:`derived`) with ``target_limit`` bounds what may be chosen.
     """
-    if sampler not in ("adaptive", "random"):
-        raise ValueError("sampler must be adaptive or random")
+    if sampler not in SAMPLERS:
+        raise ValueError(f"sampler must be one of {', '.join(SAMPLERS)}")
     if direction not in ("maximize", "minimize") or target_operator not in ("<=", ">=") or type(n_trials) is not int or n_trials < 1:
         raise ValueError("direction must be maximize or minimize, the operator <= or >=, n_trials at least 1")
     if (target_metric is None) != (target_limit is None):
         raise ValueError("target_metric and target_limit belong together")
     rng, trials = random.Random(random_state), []
     for number in range(n_trials):
-        params = proposed(search_space, rng, trials, direction) if sampler == "adaptive" else drawn(search_space, rng)
-        validated = cross_validate(train_df, target_col, feature_cols, model, params, cv, metrics=metrics, random_state=random_state, n_tiles=n_tiles)
+        params = proposed(search_space, rng, trials, direction, sampler=sampler)
+        validated = cross_validate(train_df, target_col, feature_cols, model, params, cv, metrics=metrics, random_state=random_state, n_tiles=n_tiles, parallelism=parallelism)
         made = fitted(train_df, target_col, list(feature_cols), model, params, random_state)
         whole, late = ({m: evaluate(scored(made, x), target_col, n_tiles)[m] for m in metrics} for x in (train_df, oot_df))
         values = derived(whole, {m: validated.mean(m.upper()) for m in metrics}, late)

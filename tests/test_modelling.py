@@ -102,20 +102,62 @@ def test_simulators(spark):
     assert sorted(map(str, found)) == sorted(map(str, simulate_bureau_history(people.repartition(7).union(people), "k", "2023-01-15", "2023-12-31", seed=5).collect()))
 
 
-def test_adaptive_search_beats_random_search():
-    space = {"x": {"type": "float", "low": -10, "high": 10}, "n": {"type": "int", "low": 1, "high": 100}, "lr": {"type": "float", "low": 1e-5, "high": 1.0, "log": True}, "kind": {"type": "categorical", "choices": ["a", "b", "c"]}}
-    loss = lambda p: (p["x"] - 3) ** 2 + (p["n"] - 70) ** 2 / 100 + math.log10(p["lr"] / 1e-2) ** 2 + (p["kind"] != "b") * 5
-    ends = {True: [], False: []}
-    for adaptive in (True, False):
-        for seed in range(10):
-            rng, trials = random.Random(seed), []
-            for number in range(60):
-                params = modelling.proposed(space, rng, trials, "minimize") if adaptive else modelling.drawn(space, rng)
-                assert -10 <= params["x"] <= 10 and 1 <= params["n"] <= 100 and type(params["n"]) is int and 1e-5 <= params["lr"] <= 1.0 and params["kind"] in "abc"
-                trials.append(modelling.Trial(number, params, loss(params)))
-            ends[adaptive].append(min(t.value for t in trials))
-    assert sum(ends[True]) < 0.5 * sum(ends[False])
+MIXED = {"x": {"type": "float", "low": -10, "high": 10}, "n": {"type": "int", "low": 1, "high": 100}, "lr": {"type": "float", "low": 1e-5, "high": 1.0, "log": True}, "kind": {"type": "categorical", "choices": ["a", "b", "c"]}}
+
+
+def nested(suggest):
+    """The parameters depend on the kind; both kinds have a ``depth`` with another best place."""
+    kind = suggest.suggest_categorical("kind", ["tree", "line"])
+    if kind == "tree":
+        return {"kind": kind, "depth": suggest.suggest_int("depth", 1, 40), "share": suggest.suggest_float("share", 0, 1)}
+    return {"kind": kind, "rate": suggest.suggest_float("rate", 1e-6, 1, log=True), "power": suggest.suggest_float("power", 0, 4)}
+
+
+SIDES = {f"x{k}": {"type": "float", "low": -5, "high": 5} for k in range(3)}
+FUNCTIONS = {
+    "mixed": (MIXED, lambda p: (p["x"] - 3) ** 2 + (p["n"] - 70) ** 2 / 100 + math.log10(p["lr"] / 1e-2) ** 2 + (p["kind"] != "b") * 5),
+    "nested": (nested, lambda p: abs(p["depth"] - 17) / 4 + 4 * (p["share"] - 0.8) ** 2 if p["kind"] == "tree" else 1 + math.log10(p["rate"] / 1e-3) ** 2 + (p["power"] - 1) ** 2),
+    "waves": (SIDES, lambda p: sum((v - 1) ** 2 + 4 * (1 - math.cos(math.pi * (v - 1))) for v in p.values())),
+}
+
+
+def best_found(space, loss, sampler, seed, trials=60):
+    rng, done = random.Random(seed), []
+    for number in range(trials):
+        params = modelling.proposed(space, rng, done, "minimize", sampler=sampler)
+        done.append(modelling.Trial(number, params, loss(params)))
+    return min(t.value for t in done), done
+
+
+@pytest.mark.parametrize("name", FUNCTIONS)
+def test_density_search_beats_the_others(name):
+    space, loss = FUNCTIONS[name]
+    mean = {s: sum(best_found(space, loss, s, seed)[0] for seed in range(20)) / 20 for s in modelling.SAMPLERS}
+    assert mean["density"] < mean["adaptive"] and mean["density"] < 0.6 * mean["random"], mean
+
+
+def test_samplers_stay_in_their_space():
+    for sampler in modelling.SAMPLERS:
+        for t in best_found(*FUNCTIONS["mixed"], sampler, 1)[1]:
+            p = t.params
+            assert -10 <= p["x"] <= 10 and 1 <= p["n"] <= 100 and type(p["n"]) is int and 1e-5 <= p["lr"] <= 1.0 and p["kind"] in "abc"
+        assert best_found(*FUNCTIONS["nested"], sampler, 1)[1] == best_found(*FUNCTIONS["nested"], sampler, 1)[1]
     assert modelling.drawn({"n": {"type": "int", "low": 2, "high": 9, "step": 3}}, random.Random(1))["n"] in (2, 5, 8)
+    assert modelling.RatioSuggest(random.Random(1), [{"x": 1.0}], []).suggest_float("x", 1.0, 1.0) == 1.0
+    with pytest.raises(ValueError):
+        modelling.proposed({}, random.Random(1), [], sampler="grid")
+
+
+def test_densities():
+    d = modelling.Density([1.0, 1.1, 4.0], 0.0, 5.0)
+    width = 0.001
+    assert sum(d.at(i * width) for i in range(5000)) * width == pytest.approx(1.0, abs=1e-3)
+    assert d.at(1.05) > d.at(2.5) and modelling.Density([], 0.0, 2.0).at(1.0) == 0.5
+    rng = random.Random(5)
+    drawn = [d.draw(rng) for _ in range(4000)]
+    assert min(drawn) >= 0 and max(drawn) <= 5
+    for low, high in ((0, 1), (1, 2), (3.5, 4.5)):
+        assert sum(low <= v < high for v in drawn) / 4000 == pytest.approx(sum(d.at(low + i * width) for i in range(int((high - low) / width))) * width, abs=0.03)
 
 
 def test_doctor(capsys):
