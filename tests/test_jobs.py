@@ -103,19 +103,19 @@ def test_stability_does_not_depend_on_partitions(rows, method, options):
 
 def test_searches_give_the_same_side_by_side(rows):
     folded = rows.withColumn("fold", (F.col("noise") % 2).cast("int"))
-    both = ["signal", "noise"]
+    both, few = ["signal", "noise"], {"model_params": {"maxIter": 2}}
     for run in (
-        lambda p: search.sequential_selection(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, parallelism=p).history,
-        lambda p: search.rfecv(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, nested=True, parallelism=p).history,
-        lambda p: modelling.cross_validate(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, parallelism=p).fold_metrics,
+        lambda p: search.sequential_selection(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, parallelism=p, **few).history,
+        lambda p: search.rfecv(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, nested=True, parallelism=p, **few).history,
+        lambda p: modelling.cross_validate(folded, "target", both, cv=2, fold_col="fold", n_tiles=4, parallelism=p, **few).fold_metrics,
     ):
         assert run(1) == run(2)
 
 
 def test_what_a_result_says_of_its_last_model(rows):
-    plain = search.l1_selection(rows, "target", ["signal", "noise"], reg_param=0.1)
+    plain = search.l1_selection(rows, "target", ["signal", "noise"], reg_param=0.1, max_iter=5)
     assert plain.metadata["evaluation_status"] == "not_requested" and plain.metadata["input_features"] == ["signal", "noise"] and plain.model is None
-    late = search.l1_selection(rows, "target", ["signal", "noise"], reg_param=0.1, oot_df=rows, n_tiles=4)
+    late = search.l1_selection(rows, "target", ["signal", "noise"], reg_param=0.1, max_iter=5, oot_df=rows, n_tiles=4)
     assert late.metadata["evaluation_status"] == "evaluated" and late.metadata["model_feature_cols"] == ["signal"] and late.model is late.training_result.model
     none = search.l1_selection(rows, "target", ["noise"], reg_param=9.0, oot_df=rows, n_tiles=4)
     assert none.metadata["evaluation_status"] == "no_selected_features" and none.training_result is None
