@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import cube, metrics, modelling, provider, search, selection, temporal
+from riskloom.operators import cube, metrics, modelling, provider, search, selection, sketches, temporal, wide
 from riskloom.sources import synthetic, tables
 from riskloom.sources.tables import view
 
@@ -467,3 +467,68 @@ def _bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     day, score = (c for c in rows.columns if c != "id")
     one = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct(day).alias("days"), F.every(F.col(day) == F.last_day(day)).alias("ends"), F.every(F.col(score).between(0, 1000)).alias("inside"))
     return one.agg(F.count("*").alias("customers"), F.every("ends").alias("month_ends"), F.every("inside").alias("in_range"), F.every(F.col("n") == F.col("days")).alias("one_a_month"), (F.avg((F.col("n") == 24).cast("double")) > 0.5).alias("mostly_whole"))
+
+
+# Many columns, and sketches.
+
+#: Columns of the wide table; the later half repeats the first but for a little noise.
+_WIDE = 280
+_WIDE_ROWS = f"""WITH k AS (SELECT unnest(range(1, {_WIDE} + 1)) AS k), b AS (SELECT k, (k - 1) % {_WIDE // 2} + 1 AS b FROM k),
+ l AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem),
+ x AS (SELECT k, list(CAST((l_orderkey * b * b + l_linenumber * ((b * b) % 97)) % (101 + b) + CASE WHEN k > b THEN l_partkey % 7 ELSE 0 END AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey) AS v FROM l, b GROUP BY k),
+ m AS (SELECT k, v, len(v) AS n, list_sum(v) AS s, list_inner_product(v, v) AS q FROM x)"""
+_WIDE_CORR = "(a.n * list_inner_product(a.v, c.v) - a.s * c.s) / (sqrt(a.n * a.q - a.s * a.s) * sqrt(c.n * c.q - c.s * c.s))"
+
+
+@query("sel_corr_wide", f"""{_WIDE_ROWS} SELECT concat('f', a.k) AS "left", concat('f', c.k) AS "right", round({_WIDE_CORR}, 6) AS correlation
+ FROM m a JOIN m c ON a.k < c.k WHERE abs({_WIDE_CORR}) >= 0.9""")
+def _corr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of 280 columns that correlate at least 0.9 in size."""
+    half = _WIDE // 2
+    names = [f"f{k}" for k in range(1, _WIDE + 1)]
+    columns = []
+    for k, name in enumerate(names, 1):
+        b = (k - 1) % half + 1
+        noise = "l_partkey % 7" if k > half else "0"
+        columns.append(F.expr(f"(l_orderkey * {b * b} + l_linenumber * {b * b % 97}) % {101 + b} + {noise}").cast("double").alias(name))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns)
+    pairs = wide.correlation_table(wide.gram(rows, names), names)
+    return pairs.where(~F.isnan("correlation") & (F.abs("correlation") >= 0.9)).select("left", "right", F.round("correlation", 6).alias("correlation"))
+
+
+_SKETCHED = ("l_quantity", "l_discount", "l_extendedprice")
+_MONTH_OF = "strftime(l_shipdate, '%Y%m')"
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.monthly_sketches(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_shipdate", [*_SKETCHED, "l_returnflag"])
+
+
+@query("pv_sketch_years", " UNION ALL ".join(
+    f"""SELECT left({_MONTH_OF}, 4) AS "year", '{c}' AS "column", count(*) AS "rows", count({c}) AS present, round({low}, 2) AS lowest, round({high}, 2) AS highest, {kinds} AS kinds
+ FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1"""
+    for c, low, high, kinds in [
+        ("l_quantity", "min(l_quantity)", "max(l_quantity)", "count(DISTINCT l_quantity)"),
+        ("l_discount", "min(l_discount)", "max(l_discount)", "count(DISTINCT l_discount)"),
+        ("l_extendedprice", "min(l_extendedprice)", "max(l_extendedprice)", "CAST(NULL AS BIGINT)"),
+        ("l_returnflag", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "count(DISTINCT l_returnflag)"),
+    ]))
+def _sketch_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months merged to years: what the sketches hold exactly (counts, ends, few kinds); prices have too many kinds for that."""
+    years = sketches.merged(_sketched(spark, sf_dir).withColumn("year", F.left("cohort", F.lit(4))), ["year"])
+    kinds = F.when(F.col("column") != "l_extendedprice", sketches.distinct())
+    return years.select("year", "column", "rows", "present", F.round(sketches.quantile(0), 2).alias("lowest"), F.round(sketches.quantile(1), 2).alias("highest"), kinds.alias("kinds"))
+
+
+@query("pv_sketch_deciles", f"""SELECT {_MONTH_OF} AS cohort, CAST(i AS INT) AS decile, count(*) AS present, true AS within_bound
+ FROM lineitem, range(1, 10) r(i) WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1, 2""")
+def _sketch_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's deciles of the price: are their ranks among the month's rows, counted exactly, within the stated error?"""
+    months = _sketched(spark, sf_dir).where("column = 'l_extendedprice'")
+    cuts = F.explode(F.array(*[F.struct(F.lit(i).alias("decile"), sketches.quantile(i / 10).alias("cut")) for i in range(1, 10)]))
+    deciles = months.select("cohort", cuts.alias("x")).select("cohort", "x.*")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.date_format("l_shipdate", "yyyyMM").alias("cohort"), F.col("l_extendedprice").cast("double").alias("v")).where("v is not null")
+    counts = rows.join(F.broadcast(deciles), "cohort").groupBy("cohort", "decile").agg(F.count("*").alias("present"), F.count_if(F.col("v") < F.col("cut")).alias("below"), F.count_if(F.col("v") <= F.col("cut")).alias("up_to"))
+    share, bound = F.col("decile") / 10, sketches.rank_error()
+    inside = share.between(F.col("below") / F.col("present") - bound, F.col("up_to") / F.col("present") + bound)
+    return counts.select("cohort", "decile", "present", inside.alias("within_bound"))
