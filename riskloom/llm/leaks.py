@@ -6,6 +6,7 @@ import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -89,6 +90,15 @@ class Items:
         self.seen = np.zeros(1 << self.bits, dtype=bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """All short items; each worker builds it from the shared items when it first meets a text."""
+        made = ahocorasick.Automaton()
+        for item, numbers in self.short.items():
+            made.add_word(item, (item, numbers))
+        made.make_automaton()
+        return made
+
     def hits(self, points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(place, item, place in the item) of each q-gram that a text shares with an item, about ``HELD`` at a time."""
         h = gram_hashes(points)
@@ -159,14 +169,15 @@ def aligned(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _short(items: Items, points: np.ndarray, out: dict[int, tuple]) -> None:
-    """Adds the short items that stand in a text exactly, as whole words: the first place of each."""
+    """Adds the short items that stand in a text exactly, as whole words: the first place of each.
+
+    One automaton meets all items in one pass over the text; an item's matches come in the order of their places.
+    """
     text = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-    for item, numbers in items.short.items():
-        at = text.find(item)
-        while at >= 0 and (text[at - 1 : at].isalnum() and item[0].isalnum() or text[at + len(item) : at + len(item) + 1].isalnum() and item[-1].isalnum()):
-            at = text.find(item, at + 1)
-        if at >= 0:
-            out.update((n, (0, at, at + len(item))) for n in numbers)
+    for last, (item, numbers) in items.automaton.iter(text):
+        at, after = last + 1 - len(item), text[last + 1 : last + 2]
+        if numbers[0] not in out and not (text[max(0, at - 1) : at].isalnum() and item[0].isalnum() or after.isalnum() and item[-1].isalnum()):
+            out.update((n, (0, at, last + 1)) for n in numbers)
 
 
 def found(items: Items, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
@@ -210,12 +221,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
 
     Items are searched for in passes of about ``pass_chars`` characters. A benchmark of one pass marks the
     rows as they are read; a larger one writes each pass's hits before the next is broadcast, so one
-    pass's items are held at a time, and joins them by the texts' 128-bit hashes. Repeated items are each
-    found, repeated rows and null ids pass through, null texts have no leaks; a column named ``leaks`` is
+    pass's items are held at a time, and joins them by the texts' 128-bit hashes. A row of the benchmark that
+    repeats another counts once, so that copies cannot fill a pass; items of one text under several ids
+    are each found. Repeated documents and null ids pass through, null texts have no leaks; a column named ``leaks`` is
     replaced. An empty benchmark leaves no leaks.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     passes = -(-total // pass_chars) or 1
     kept = [c for c in docs.columns if c.lower() != "leaks"]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -100,3 +101,51 @@ def test_common_grams_and_long_texts():
     long = (template.format("nothing") + " ") * 400 + items[7] + " " + items[9].replace("given", "givn") + " word" * 100_000
     got = found(index, [long, "", items[3]])
     assert [(n, d) for n, d, _, _ in got[0]] == [(7, 0), (9, 1)] and got[1] == [] and [(n, d) for n, d, _, _ in got[2]] == [(3, 0)]
+
+
+def short_by_find(item, text):
+    at = text.find(item)
+    while at >= 0 and (text[max(0, at - 1) : at].isalnum() and item[0].isalnum() or text[at + len(item) : at + len(item) + 1].isalnum() and item[-1].isalnum()):
+        at = text.find(item, at + 1)
+    return at
+
+
+def test_short_items_by_one_automaton():
+    rng = random.Random(8)
+    letters = "ab -é\x00\ud800"
+    items = [plain("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))) for _ in range(300)] + ["a", "ab", "a"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 200))) for _ in range(60)] + ["", "ab", "a" * 3000]
+    got = found(Items(list(range(len(items))), [normalised(x)[0] for x in items], 0.1), texts)
+    for text, leaks in zip(texts, got):
+        low = plain(text)
+        want = {n: at for n, item in enumerate(items) if item and (at := short_by_find(item, low)) >= 0}
+        assert [n for n, *_ in leaks] == sorted(want) and all(d == 0 for _, d, _, _ in leaks)
+        places = normalised(text)[1]
+        assert all(start == places[want[n]] for n, _, start, _ in leaks)
+
+
+def test_many_short_items_cost_little():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(2000)) for _ in range(20)]
+    longs = [normalised(" ".join(word() for _ in range(20)))[0] for _ in range(50)]
+    none, many = (Items(list(range(50 + n)), longs + [normalised(f"{word()} {word()} {k % 97}")[0][: LEAST - 1] for k in range(n)], 0.1) for n in (0, 20_000))
+
+    def seconds(items):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            found(items, texts)
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(many) < 4 * seconds(none)  # searching item by item took some eighty times as long
+
+
+def test_repeated_benchmark_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "the short one is here"), (1, "the short one is here")], "doc_id long, text string")
+    rows = [(7, "short one")] * 50 + [(8, "short one"), (None, "short one"), (None, "short one")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    for size in (4 << 20, 9):
+        got = with_leaks(docs, benchmark, pass_chars=size).collect()
+        assert [sorted(x["item_id"] or 0 for x in r["leaks"]) for r in got] == [[0, 7, 8]] * 2
