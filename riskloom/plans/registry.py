@@ -532,3 +532,34 @@ def _sketch_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     share, bound = F.col("decile") / 10, sketches.rank_error()
     inside = share.between(F.col("below") / F.col("present") - bound, F.col("up_to") / F.col("present") + bound)
     return counts.select("cohort", "decile", "present", inside.alias("within_bound"))
+
+
+# Nearest-neighbour information.
+
+_CENTS = """SELECT CAST(l_linestatus = 'F' AS INT) + CAST(l_discount > 0.05 AS INT) AS y, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, CAST(l_quantity AS BIGINT) AS quantity,
+ CAST(round(l_discount * 100) AS BIGINT) * 1000003 + l_partkey AS mixed FROM lineitem"""
+_NEAR = ["price", "quantity", "mixed"]
+
+
+def _digamma_sql(n: str) -> str:
+    z = f"({n} + 8.0)"
+    steps = " - ".join(f"1.0 / ({n} + {i}.0)" for i in range(8))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} * {z}) + 1 / (120 * pow({z}, 4)) - 1 / (252 * pow({z}, 6)) - {steps})"
+
+
+def _neighbours_sql(feature: str) -> str:
+    """Third neighbours by lag and lead inside the class, then a range frame over all rows; whole numbers, so less than d is at most d - 1."""
+    far, order = "4000000000000000", "OVER (PARTITION BY y ORDER BY v)"
+    left = lambda j: f"v - lag(v, {j}, -{far}) {order}" if j else "0"
+    right = lambda j: f"lead(v, {j}, {far}) {order} - v" if j else "0"
+    third = "least(" + ", ".join(f"greatest({left(j)}, {right(3 - j)})" for j in range(4)) + ")"
+    inner = f"SELECT y, v, {third} AS d, count(*) OVER (PARTITION BY y) AS c FROM (SELECT y, {feature} AS v FROM x)"
+    counted = f"SELECT *, count(*) OVER (ORDER BY v RANGE BETWEEN greatest(d - 1, 0) PRECEDING AND greatest(d - 1, 0) FOLLOWING) AS m FROM ({inner})"
+    total = f"{_digamma_sql('count(*)')} + {_digamma_sql('3')} - avg({_digamma_sql('c')}) - avg({_digamma_sql('m')})"
+    return f"SELECT '{feature}' AS feature, round(greatest({total}, 0), 7) AS mutual_information FROM ({counted})"
+
+
+@query("sel_mi_neighbours", f"WITH x AS ({_CENTS}) " + " UNION ALL ".join(map(_neighbours_sql, _NEAR)))
+def _mi_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information with a target of three classes by third neighbours; values are whole numbers, so that both sides count alike."""
+    return _rounded(selection.neighbour_information_table(view(spark, sf_dir, _CENTS), "y", _NEAR, 3), 7)
