@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def neighbour_distances(counts: DataFrame, k: int, features: int, block: int = B
     return one.select("f", "y", "value", "n", "of_class", asked.alias("asked"), distance.alias("d"))
 
 
-def neighbour_information(values: DataFrame, k: int, features: int, block: int = BLOCK) -> DataFrame:
+def neighbour_information(values: DataFrame, k: int, features: int, block: int = BLOCK, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Rows ``f, mutual_information`` in nats, of rows ``f, y, value`` (a feature's number, a class, a finite number).
 
     For each row the distance d to its k-th neighbour of the same class is found, and the number m of rows
@@ -53,9 +55,13 @@ def neighbour_information(values: DataFrame, k: int, features: int, block: int =
     psi(rows) + mean psi(k) - mean psi(size of the class) - mean psi(m), and 0 at least. m is a difference
     of two ranks: the ends of the intervals are sorted among the values in ranges, and running sums tell
     how many values lie before each. Values are taken as they are, without scaling or random noise.
+
+    Both rankings read their input three times (for the ranges, the sums of these, the rows). ``held`` may cache
+    the two tables that they read, a row for each different value of a feature and class: what it
+    returns is used in place of what it is given.
     """
     counts = values.groupBy("f", "y", (F.col("value") + F.lit(0.0)).alias("value")).agg(F.count("*").alias("n"))
-    found = neighbour_distances(counts, k, features, block)
+    found = held(neighbour_distances(held(counts), k, features, block))
     flat = F.col("d") == 0
     # An end sorts before the values equal to it (0) or after them (2), which are in between (1).
     ends = F.array(
