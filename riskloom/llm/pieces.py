@@ -138,88 +138,77 @@ def agenda(model: Pieces, points: np.ndarray, key: np.uint64, dropout: float) ->
     return [(ids[a], a) for a in range(n) if alive[a]]
 
 
-def matrix(model: Pieces, points: np.ndarray, starts: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The agenda of many short units at once: (pieces, first characters, counts); a row of each matrix is a unit."""
+def matrix(model: Pieces, points: np.ndarray, starts: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+    """The agenda of many short units at once: for each character the piece that begins there, or -1.
+
+    A row of each matrix is a unit, with a column more than the longest has characters, so that every unit is
+    followed by a cell without a piece; the places of pieces are linked and never move.
+    """
     sizes = np.diff(starts)
-    rows, width = len(sizes), int(sizes.max(initial=1))
-    columns = np.arange(width)
-    inside = columns < sizes[:, None]
-    ids = np.full((rows, width), -1, dtype=np.int32)
+    rows, wide = len(sizes), int(sizes.max(initial=1)) + 1
+    inside = np.arange(wide) < sizes[:, None]
+    ids = np.full((rows, wide), -1, dtype=np.int32)
     ids[inside] = model.of_char[points]
-    first = np.broadcast_to(columns, (rows, width + 1)[:1] + (width,)).copy()
-    first = np.concatenate((first, np.full((rows, 1), width)), axis=1)
-    first = np.minimum(first, sizes[:, None])
+    ids, cells = ids.ravel(), np.arange(rows * wide)
+    before, after = cells - 1, cells + 1
+    made = np.full(len(cells), -1, dtype=np.int32)
+    rank = np.full(len(cells), NEVER, dtype=np.int32)
 
-    def candidates(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        made = model.joined(ids[row, at], ids[row, at + 1])
+    def offer(left: np.ndarray, right: np.ndarray, end: np.ndarray, row: np.ndarray) -> None:
+        found = model.joined(ids[left], ids[right])  # a cell without a piece merges with nothing
         if dropout:
-            some = np.flatnonzero(made >= 0)
-            r, p = row[some], at[some]
-            made[some[dropped(keys[r], first[r, p], first[r, p + 1], first[r, p + 2], dropout)]] = -1
-        return made, np.where(made >= 0, model.rank[made], NEVER)
-
-    made = np.full((rows, max(1, width - 1)), -1, dtype=np.int32)
-    rank = np.full(made.shape, NEVER, dtype=np.int32)
-    row, at = np.nonzero(columns[:-1] < sizes[:, None] - 1)
-    made[row, at], rank[row, at] = candidates(row, at)
-    counts = sizes.copy()
-    live = np.flatnonzero(rank.min(axis=1) < NEVER) if rows else np.zeros(0, np.int64)
+            some = np.flatnonzero(found >= 0)
+            r = row[some]
+            base = r * wide
+            found[some[dropped(keys[r], left[some] - base, right[some] - base, end[some] - base, dropout)]] = -1
+        made[left] = found
+        rank[left] = model.rank[found]  # the last rank, of -1, is NEVER
+
+    first = cells[inside.ravel()]
+    offer(first, first + 1, first + 2, np.repeat(np.arange(rows), sizes))
+    live, ranks = np.arange(rows), rank.reshape(rows, wide)
     while len(live):
-        best = rank[live].argmin(axis=1)
-        ids[live, best] = made[live, best]
-        for table, hole in ((ids, best + 1), (first, best + 1), (made, best), (rank, best)):
-            part = table[live]
-            shift = np.arange(part.shape[1] - 1) >= hole[:, None]
-            part[:, :-1] = np.where(shift, part[:, 1:], part[:, :-1])
-            part[:, -1] = NEVER if table is rank else part[:, -1] if table is first else -1
-            table[live] = part
-        counts[live] -= 1
-        for side in (-1, 0):
-            place = best + side
-            ok = (place >= 0) & (place + 1 < counts[live])
-            r, p = live[ok], place[ok]
-            made[r, p], rank[r, p] = candidates(r, p)
-            gone = (place >= 0) & ~ok & (place < rank.shape[1])
-            rank[live[gone], place[gone]] = NEVER
-        live = live[rank[live].min(axis=1) < NEVER]
-    return ids, first, counts
+        some = ranks[live]
+        best = some.argmin(axis=1)
+        going = np.flatnonzero(some[np.arange(len(live)), best] < NEVER)
+        live = live[going]
+        a = live * wide + best[going]
+        b = after[a]
+        c = after[b]
+        ids[a], ids[b], rank[b] = made[a], -1, NEVER
+        after[a], before[c] = c, a
+        left = before[a]
+        offer(np.concatenate((left, a)), np.concatenate((a, c)), np.concatenate((c, after[c])), np.concatenate((live, live)))
+    return ids.reshape(rows, wide)[inside]
 
 
 def encode_units(model: Pieces, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """The piece ids of all units in one array, and where each unit's begin (the end last)."""
-    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
     starts = np.concatenate(([0], np.cumsum(sizes)))
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    unit, piece, place = [], [], []
+    begun = np.full(len(points), -1, dtype=np.int32)  # the piece that begins at each character
     edges = (0, 3, 6, 9, 13, 18, 26, WIDE)
     for low, high in zip(edges, edges[1:], strict=False):
         some = np.flatnonzero((sizes > low) & (sizes <= high))
         if len(some):
-            chars = np.repeat(starts[some] - np.concatenate(([0], np.cumsum(sizes[some])[:-1])), sizes[some]) + np.arange(sizes[some].sum())
-            ids, first, counts = matrix(model, points[chars], np.concatenate(([0], np.cumsum(sizes[some]))), keys[some], dropout)
-            kept = np.arange(ids.shape[1]) < counts[:, None]
-            unit.append(np.repeat(some, counts))
-            piece.append(ids[kept])
-            place.append(starts[np.repeat(some, counts)] + first[:, :-1][kept])
+            offsets = np.concatenate(([0], np.cumsum(sizes[some])))
+            chars = np.repeat(starts[some] - offsets[:-1], sizes[some]) + np.arange(offsets[-1])
+            begun[chars] = matrix(model, points[chars], offsets, keys[some], dropout)
     for k in np.flatnonzero(sizes > WIDE):
-        found = agenda(model, points[starts[k] : starts[k + 1]], keys[k], dropout)
-        unit.append(np.full(len(found), k))
-        piece.append(np.array([i for i, _ in found], dtype=np.int32))
-        place.append(starts[k] + np.array([p for _, p in found]))
-    if not unit:
-        return np.zeros(0, np.int32), np.zeros(len(units) + 1, np.int64)
-    unit, piece, place = (np.concatenate(x) for x in (unit, piece, place))
-    order = np.argsort(place, kind="stable")
-    unit, piece, place = unit[order], piece[order], place[order]
+        for piece, at in agenda(model, points[starts[k] : starts[k + 1]], keys[k], dropout):
+            begun[starts[k] + at] = piece
+    place = np.flatnonzero(begun >= 0)
+    piece, edge = begun[place], np.searchsorted(place, starts)
     unknown = np.flatnonzero(piece == model.other)
     if len(unknown):  # characters without a piece become the pieces of their bytes
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[place[unknown]].tolist()]
         times = np.ones(len(piece), dtype=np.int64)
         times[unknown] = [len(x) for x in raw]
         slot = np.repeat(piece == model.other, times)
-        piece, unit = np.repeat(piece, times), np.repeat(unit, times)
+        piece, edge = np.repeat(piece, times), np.concatenate(([0], np.cumsum(times)))[edge]
         piece[slot] = model.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-    return piece, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(units)))))
+    return piece, edge
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +228,7 @@ def encode_texts(model: Pieces, texts: list[str], salts: list[int], dropout: flo
     units = [u for x in parts for u in x]
     bounds = np.concatenate(([0], np.cumsum(counts)))
     if dropout:
-        places = np.cumsum(np.concatenate(([0], [len(u) for u in units])))
+        places = np.concatenate(([0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))))
         keys = [unit_keys(salt, places[a:b] - places[a]) for salt, a, b in zip(salts, bounds, bounds[1:], strict=False)]
         ids, starts = encode_units(model, units, np.concatenate(keys) if keys else np.zeros(0, np.uint64), dropout)
         return ids, starts[bounds]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import sentencepiece
 
-from riskloom.llm.pieces import agenda, decode_ids, decoded, encode_texts, encoded, op4_sentencepiece, pieces, unit_keys
+from riskloom.llm.pieces import agenda, decode_ids, decoded, encode_texts, encoded, matrix, op4_sentencepiece, pieces, unit_keys
 from riskloom.llm.tokens import vocabulary_path
 
 NAME = "piece_bpe_32k.model"
@@ -42,6 +42,19 @@ def test_matrix_as_agenda_and_lossless():
             assert ids.tolist() == plain
 
 
+def test_pieces_of_a_matrix_stay_where_they_begin():
+    """One array over all characters: what a piece takes over is -1, and rows of all widths, first and last, keep apart."""
+    model, units = pieces(NAME), [" internationalization", "a", " the", "aaaaaaaa", "é", " 日本", "x"]
+    keys = unit_keys(7, np.arange(len(units)))
+    points = np.array([ord(c) for u in units for c in u], dtype=np.uint32)
+    starts = np.concatenate(([0], np.cumsum([len(u) for u in units])))
+    for dropout in (0.0, 0.3, 1.0):
+        found = matrix(model, points, starts, keys, dropout)
+        assert len(found) == len(points)
+        for k, (a, b) in enumerate(zip(starts, starts[1:])):
+            assert [(int(i), p) for p, i in enumerate(found[a:b]) if i >= 0] == agenda(model, points[a:b], keys[k], dropout)
+
+
 def test_dropout_varies_with_seed_and_rows_do_not_matter(spark):
     rows = [(k, t, "x") for k, t in enumerate(texts(40, 3))] + [(None, None, None), (3, "again", "y"), (None, "some words here", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pieces string")
