@@ -10,10 +10,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that a Python worker gets at a time while a scratch table is written. Spark's own 64 MB (or 10,000 rows)
+#: stand in the JVM and in each worker, and idle workers keep their share of an executor's memory.
+BATCH = 2 << 20
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -33,10 +39,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder; cuts its lineage."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a written table in the shared folder; cuts its lineage. Python workers get at most ``BATCH`` bytes (or a row) at a time."""
+    spark, most = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(most))
+    with settings(spark, {most: str(BATCH)} if now > BATCH else {}):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
 
@@ -71,13 +80,13 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
     """Slices of the batches whose texts hold ``most_bytes`` together (a longer text comes alone)."""
     for batch in batches:
         place = batch.schema.get_field_index(column)
-        texts = raw_texts(batch.column(place))
-        sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
         while start < batch.num_rows:
             total = np.cumsum(sizes[start:])
             stop = start + max(1, int(np.searchsorted(total, most_bytes, side="right")))
-            yield batch.slice(start, stop - start), texts[start:stop]
+            rows = batch.slice(start, min(stop, batch.num_rows) - start)
+            yield rows, raw_texts(rows.column(place))  # the texts of one slice at a time
             start = stop
 
 
