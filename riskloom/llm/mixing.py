@@ -38,6 +38,8 @@ SHARD = 16 << 20
 FIX = 1 << 24  # weights are added up as multiples of 1/FIX, so that the sum has no order
 #: Only tokens of at most so many bytes, and of these the most frequent ones, are looked up in a broadcast table; all others by a join.
 HEAD, SHORT = 1 << 16, 64
+#: Different tokens that a task counts before it passes them on, however its rows come in batches.
+COUNTED = 1 << 17
 
 
 def words(text: bytes) -> list[bytes]:
@@ -386,6 +388,7 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
     wide = GATES * (KINDS + 2 + 2 * len(CENTRES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _UNPACKED.clear()  # a worker that scored before still holds that model
         state, current = None, None
         for some, texts in sliced(batches, "text", 1 << 16):
             shards = some.column(0).to_numpy()
@@ -455,14 +458,19 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
 def token_counts(docs: DataFrame) -> DataFrame:
     """``token, n`` of all texts: occurrences in rows whose ``learned`` is true (0 for tokens of other rows only)."""
 
+    def emitted(counts: Counter, others: Counter) -> pa.RecordBatch:
+        names = [*counts, *(x for x in others if x not in counts)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([counts.get(x, 0) for x in names], pa.int64())], names=["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches, "text", 8 << 20):
-            learned = rows.column(1).to_pylist()
-            counts, others = Counter(), Counter()
-            for text, flag in zip(texts, learned, strict=True):
+        counts, others = Counter(), Counter()
+        for rows, texts in sliced(batches, "text", 1 << 20):
+            for text, flag in zip(texts, rows.column(1).to_pylist(), strict=True):
                 (counts if flag else others).update(words(text))
-            names = [*counts, *(x for x in others if x not in counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([counts.get(x, 0) for x in names], pa.int64())], names=["token", "n"])
+            if len(counts) + len(others) >= COUNTED:
+                yield emitted(counts, others)
+                counts, others = Counter(), Counter()
+        yield emitted(counts, others)
 
     return docs.select("text", "learned").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 

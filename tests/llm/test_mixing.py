@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm.mixing import KINDS, ORDERS, Code, Learner, Mixer, coded, contexts, decisions, halves, log_odds, op3_lm_scoring, scored, words
+from riskloom.llm import mixing
+from riskloom.llm.mixing import KINDS, ORDERS, Code, Learner, Mixer, coded, contexts, decisions, halves, log_odds, op3_lm_scoring, scored, token_counts, words
 from riskloom.llm.shared import joined_bytes
 
 
@@ -167,3 +168,18 @@ def test_nothing_learned_and_empty(spark, tmp_path):
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(3, 0, 0), (1, 0, 0)} and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert op3_lm_scoring(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("counted", [1 << 17, 3])
+def test_tokens_are_counted_across_batches(spark, monkeypatch, counted):
+    """Batches of four rows: the sums are those of all rows, whether a task passes them on once or often."""
+    monkeypatch.setattr(mixing, "COUNTED", counted)
+    docs = spark.createDataFrame([(("b a", "a a C", None, "d")[k % 4], k % 4 != 3) for k in range(40)], "text string, learned boolean").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        found = {bytes(r["token"]): r["n"] for r in token_counts(docs).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert found == {b"a": 30, b"b": 10, b"c": 10, b"d": 0, b"": 30}
