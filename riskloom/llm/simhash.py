@@ -108,7 +108,7 @@ def _apart(lanes: list[str]) -> Column:
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_t"))) for x in lanes), start=F.lit(0))
 
 
-def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str | None = None, node: str = "fp", lanes: tuple[str, ...] = ("fp",), radius: int | None = None, more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str | None = None, node: str = "fp", lanes: tuple[str, ...] = ("fp",), radius: int | None = None, more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = (), turns: int = 1) -> DataFrame:
     """Links ``u, v`` (u > v) between distinct nodes whose fingerprints are at most ``distance`` bits apart.
 
     A fingerprint is held in the columns ``lanes`` of 64 bits, each cut in ``parts`` segments. Multi-index
@@ -117,7 +117,8 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str
     segments' tables meets every link; the complete distance is verified inside the join. A given
     ``radius`` is probed in all segments instead (it may then miss links that are spread evenly), and the
     segments of the ``more`` lanes are probed to radius 0. ``also`` is a further condition on the ``kept``
-    columns (those of the table's side end in ``_t``).
+    columns (those of the table's side end in ``_t``). The segments are searched in so many ``turns``, each written before the
+    next begins, so that only a share of the probes lies on disk at a time.
 
     With ``label``, links between nodes of one label are left out, each other pair is met once, by the
     probes of the smaller label, and the largest label sends none: a large group that has one label already
@@ -135,14 +136,23 @@ def near_links(prints: DataFrame, distance: int = 4, parts: int = 3, label: str
         sizes = saved(prints.groupBy(label).agg(F.count("*").alias("__size")))
         largest = sizes.agg(F.max(F.struct("__size", label)).alias("x")).select("x.*").first()
         prints = prints.join(sizes, label)
+        if turns > 1:  # read twice a turn
+            prints = saved(prints)
         asked = prints.where(F.col(label) != largest[1]) if largest[1] is not None else prints
         carried += ["__size", label]
         order = F.struct("__size", label) < F.struct(F.col("__size_t").alias("__size"), F.col(f"{label}_t").alias(label))
-    entries = _keys(prints, second, [0] * len(second), carried).select("key", *(F.col(x).alias(f"{x}_t") for x in carried))
-    met = _keys(asked, second, radii, carried).join(entries.hint("merge"), "key").where(order & (_apart(lanes) <= distance))
-    if also is not None:
-        met = met.where(also)
-    return met.select(F.greatest(node, f"{node}_t").alias("u"), F.least(node, f"{node}_t").alias("v")).distinct()
+    found = []
+    for turn in range(turns):
+        some = second[turn::turns]
+        entries = _keys(prints, some, [0] * len(second), carried).select("key", *(F.col(x).alias(f"{x}_t") for x in carried))
+        met = _keys(asked, some, radii, carried).join(entries.hint("merge"), "key").where(order & (_apart(lanes) <= distance))
+        if also is not None:
+            met = met.where(also)
+        found.append(met.select(F.greatest(node, f"{node}_t").alias("u"), F.least(node, f"{node}_t").alias("v")).distinct())
+        if turns > 1:
+            found[turn] = saved(found[turn])
+            release(prints.sparkSession)
+    return functools.reduce(DataFrame.union, found).distinct() if turns > 1 else found[0]
 
 
 def _leaders(prints: DataFrame, distance: int, parts: int, node: str = "fp", lanes: tuple[str, ...] = ("fp",), more: tuple[str, ...] = (), also: Column | None = None, kept: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
@@ -188,8 +198,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Fingerprints for whole-set similarity: lanes of 64 bits, each in three segments. The segments of the first two lanes are
-#: probed to radius 1, those of the others to radius 0; the bits of the first two are compared.
-LANES, COMPARED, SEGMENTS = 10, 2, 3
+#: probed to radius 1, those of the others to radius 0; the bits of the first two are compared. All pairs are met in so many turns.
+LANES, COMPARED, SEGMENTS, TURNS = 10, 2, 3, 3
+#: Longs that hold, for each of 64 hash classes a long, whether a set has an odd number of members in it.
+PARITIES = 2
 #: Rounds in which nodes are compared with one node of each of their buckets, before all pairs of different groups are met.
 ROUNDS = 1
 SALTS = np.random.default_rng(11).integers(0, 1 << 63, LANES, dtype=np.uint64)
@@ -213,11 +225,29 @@ def allowance(similarity: float) -> int:
     return min(bits, math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share))))
 
 
-_LANES = tuple(f"f{k}" for k in range(LANES))
+_LANES, _ODD = tuple(f"f{k}" for k in range(LANES)), tuple(f"p{k}" for k in range(PARITIES))
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes, the parities of its members in each hash class, as ``PARITIES`` longs.
+
+    Each class in which two sets differ holds a member that only one of them has, so as many members at
+    least differ: unlike a comparison of fingerprints this never rules a pair out by chance.
+    """
+    classes = BITS * PARITIES
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = owner * classes + (np.concatenate(sets) >> np.uint64(24)).astype(np.int64) % classes
+    odd = np.bincount(place, minlength=len(sets) * classes) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(-1, PARITIES)
+
+
+def _few_odd(similarity: float) -> Column:
+    """Whether the parities of two sets leave this Jaccard similarity possible."""
+    return _apart(list(_ODD)) <= F.floor((F.col("n") + F.col("n_t")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """``id, text_hash, node, n, f0..``: a row's set of shingles as a hash, its size and its fingerprint."""
+    """``id, text_hash, node, n, f0.., p0..``: a row's set of shingles as a hash, its size, its fingerprint and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, texts in sliced(batches, "text", 1 << 19):
@@ -225,10 +255,10 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
             sizes = np.array([len(x) for x in sets])
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
             columns = [node, *(majority(x, sizes) for x in _laned(np.concatenate(sets)))]
-            arrays = [pa.array(x.view(np.int64)) for x in columns]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), arrays[0], pa.array(sizes), *arrays[1:]], names=["id", "text_hash", "node", "n", *_LANES])
+            arrays = [pa.array(x.view(np.int64)) for x in columns] + [pa.array(np.ascontiguousarray(x)) for x in parities(sets).T]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), arrays[0], pa.array(sizes), *arrays[1:]], names=["id", "text_hash", "node", "n", *_LANES, *_ODD])
 
-    lanes = "".join(f", {x} long" for x in _LANES)
+    lanes = "".join(f", {x} long" for x in (*_LANES, *_ODD))
     return rows.select("id", "text_hash", "text").mapInArrow(run, f"id long, text_hash long, node long, n long{lanes}")
 
 
@@ -266,8 +296,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     21 bits are probed to radius 1 and 24 more to radius 0, the distance of 128 bits is checked against
     :func:`allowance`, and whole sets decide. A pair of similarity 0.8 is met with a chance of about 0.83,
     one of 0.85 with 0.94, of 0.9 with 0.99 (and more often through a third text). Nodes are first compared
-    with one node of each of their buckets, for a few rounds; the full search then meets only nodes that are
-    not yet in one group.
+    with one node of each of their buckets; the full search then meets only nodes that are not yet in one
+    group, and of these only pairs that the parities of 128 hash classes leave possible. Of a large group of
+    near copies that are not linked that leaves few pairs, as long as sets have fewer than about 300
+    members; of longer texts the compared bits alone decide what is verified.
 
     Null text counts as empty; word-less texts are one group. A null id keeps its row; its component is
     the smallest non-null id reached, null if there is none. Repeated ids and rows are kept; other columns
@@ -276,16 +308,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), text.alias("text"))
     marked = saved(_sketches(rows, width))
-    nodes = marked.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("text_hash", "n", *_LANES)).alias("x")).select("node", "least", "x.*")
+    nodes = marked.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("text_hash", "n", *_LANES, *_ODD)).alias("x")).select("node", "least", "x.*")
     nodes = saved(nodes)
     searched, bits = nodes.where("n > 0"), allowance(similarity)
     alike = F.least("n", "n_t") >= F.greatest("n", "n_t") * F.lit(similarity - 1e-9)
-    how = {"node": "node", "lanes": _LANES[:COMPARED], "more": _LANES[COMPARED:], "also": alike, "kept": ("n",)}
-    met = functools.reduce(DataFrame.union, [_leaders(searched, bits, SEGMENTS, seed=k, **how) for k in range(ROUNDS)])
+    how = {"node": "node", "lanes": _LANES[:COMPARED], "more": _LANES[COMPARED:]}
+    met = functools.reduce(DataFrame.union, [_leaders(searched, bits, SEGMENTS, also=alike, kept=("n",), seed=k, **how) for k in range(ROUNDS)])
     stars = components(_verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows, nodes, width, similarity))
-    named = saved(searched.join(stars, "node", "left").select("node", "n", *_LANES, F.coalesce("root", "node").alias("label")))
+    named = saved(searched.join(stars, "node", "left").select("node", "n", *_LANES, *_ODD, F.coalesce("root", "node").alias("label")))
     release(docs.sparkSession)
-    links = _verified(near_links(named, bits, SEGMENTS, label="label", radius=1, **how), rows, nodes, width, similarity)
+    links = _verified(near_links(named, bits, SEGMENTS, label="label", radius=1, also=alike & _few_odd(similarity), kept=("n", *_ODD), turns=TURNS, **how), rows, nodes, width, similarity)
     whole = components(links.union(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     rooted = nodes.select("node", "least").join(whole, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))

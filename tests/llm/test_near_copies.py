@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from riskloom.llm import simhash
 from riskloom.llm.simhash import near_copies
 
 
@@ -66,3 +69,31 @@ def test_stage_keeps_one_of_each_group(spark):
     want = set(brute(rows))  # a pair at the threshold is met with a chance of 0.83; no other document is taken for a copy
     assert kept >= want and len(kept - want) <= 2 and len(kept) < len(rows) - 20
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_unlinked_near_copies_are_ruled_out_before_whole_sets(spark, monkeypatch):
+    """70 copies of one text whose similarities stay near 0.66: few pairs of them are worth whole sets."""
+    rng = random.Random(7)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for k in range(70):
+        copy = list(base)
+        for place in rng.sample(range(5, 145), 3):
+            copy[place] = f"own{k}x{place}"
+        rows.append((k, " ".join(copy)))
+    asked, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    found = {r["id"]: r["component"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k] for k, _ in rows] == brute(rows)
+    assert len(asked) == 2 and asked[1] < 400  # of 2,415 pairs; fingerprints alone leave 1,280
+
+
+def test_parities_never_exceed_what_differs():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 60, 400, 3000):
+        both = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((both, rng.integers(0, 1 << 63, k, dtype=np.uint64)))) for k in (0, 1, size // 9, size)]
+        odd = simhash.parities([*sets, np.zeros(0, np.uint64)]).view(np.uint64)
+        for i, a in enumerate(sets):
+            assert not odd[-1].any() and np.bitwise_count(odd[i]).sum() <= len(a)
+            for j, b in enumerate(sets):
+                assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(a, b))
