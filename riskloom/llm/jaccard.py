@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.shared import components, dropped, release, saved, sliced
 
-#: Slots of the table of frequent shingles (one byte each, sent to every task), hashes counted at a time, and the
-#: occurrences in such a block that make a shingle known. The table only orders shingles: results never depend on it.
-SLOTS, COUNTED, OFTEN = 1 << 22, 1 << 21, 4
+#: Mixed regions are measured against one of their documents so often before their pairs are.
+OFTEN = 2
+#: No longer read (there is no table of frequent shingles any more); a test still sets it.
+SLOTS = 1 << 22
 #: Regions of more documents are split by so many pivots, at most so often.
 REGION, PIVOTS, DEPTH = 48, 4, 3
-#: Of its nearest one-shingle pivots a document takes so many along into regions that are divided.
+#: Of the first-level regions of a document so many are taken along, to see where a pair meets first.
 HEAD = 16
+#: Longs of the folded parities that travel with each row of a region.
+FOLDED = 4
 #: Words that a worker keeps the hashes of, and the most bits of the filter of wanted texts.
 WORDS, FILTER_BITS = 1 << 18, 1 << 29
 #: Sets with so many members together (8 MB) are sent to every task.
@@ -56,30 +59,50 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def frequencies(rows: DataFrame, width: int) -> np.ndarray:
-    """For each slot of hashes, how often (log2) the most frequent known shingle in it occurs; 0 for rare ones."""
+def most_apart(size: int, other: int, percent: int) -> int:
+    """The largest symmetric difference that two linked sets of these sizes can have."""
+    return (100 - percent) * (size + other) // (100 + percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(some: list[np.ndarray]) -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(some), return_counts=True)
-            often = counts >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["key", "n"])
 
-        held, size, words = [], 0, WordHashes()
-        for _, texts in sliced(batches, "text", 1 << 20):
-            for text in texts:
-                held.append(shingle_set(text, width, words))
-                size += len(held[-1])
-            if size >= COUNTED:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
-
-    counts = rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    level = counts.groupBy(F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(F.log2("n").cast("int")).alias("level"))
-    found, out = level.where("level >= 3").toArrow(), np.zeros(SLOTS, np.uint8)  # a row a slot at most
-    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+def class_count(level: int, percent: int) -> int:
+    """How many hash classes sets of 2^level to 2^(level + 1) - 1 members are parted into: more than can differ, with a margin."""
+    top = (2 << level) - 1
+    most = most_apart(top, top * 100 // percent, percent)
+    return most + 1 + max(6, most // 8)
+
+
+def class_pivots(members: np.ndarray, level: int, percent: int, wanted: int) -> np.ndarray:
+    """The ``wanted`` nearest of a set's class pivots (what it holds of each hash class), as hashes.
+
+    The largest are nearest; of equal ones the smaller hash comes first, so the order is the same for all sets.
+    """
+    count = class_count(level, percent)
+    classes = ((members >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)  # in order, as the members are
+    ends = np.searchsorted(classes, np.arange(count + 1))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(members)))
+    sums = sums[ends[1:]] - sums[ends[:-1]]
+    sums ^= sums >> np.uint64(29)
+    found = sums * np.uint64(0xBF58476D1CE4E5B9) + (np.arange(count, dtype=np.uint64) + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    found ^= found >> np.uint64(32)
+    return found[np.lexsort((found, ends[:-1] - ends[1:]))[:wanted]]
+
+
+def first_pivots(members: np.ndarray, percent: int) -> np.ndarray:
+    """The first-level regions of a set: any two linked sets share one.
+
+    Sets of one level (sizes 2^k to 2^(k+1) - 1) are parted into the same classes, more of them than linked
+    sets can differ in by members, so at most d = :func:`most_apart` of a set's class pivots are not the
+    other's; among the d + 1 first of each, in a common order, one is in both. A set that can be linked to
+    one of the level below takes its pivots there too. Empty classes come last and count as pivots.
+    """
+    size = len(members)
+    if not size:
+        return members
+    level = size.bit_length() - 1
+    out = class_pivots(members, level, percent, most_apart(size, size * 100 // percent, percent) + 1)
+    low = (1 << level) - 1
+    if least_overlap(size, percent) <= low:
+        out = np.concatenate((out, class_pivots(members, level - 1, percent, most_apart(size, low, percent) + 1)))
     return out
 
 
@@ -106,8 +129,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
-def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``id, text_hash, node, n, keys, bits``: a row's set of shingles as a hash, its size, its nearest one-shingle pivots, its parities."""
+def _marked(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id, text_hash, node, n, keys, bits``: a row's set of shingles as a hash, its size, its first pivots, its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -117,9 +140,7 @@ def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> Da
                 members = shingle_set(text, width, words)
                 nodes.append(xxhash.xxh64_intdigest(members.tobytes()))
                 sizes.append(len(members))
-                wanted = len(members) - least_overlap(len(members), percent) + 1 if len(members) else 0
-                order = np.argsort(levels[(members % np.uint64(SLOTS)).astype(np.int64)], kind="stable")[:wanted]
-                keys.append(members[order].view(np.int64))
+                keys.append(first_pivots(members, percent).view(np.int64))
                 bits.append(parities(members))
             columns = [some.column(0), some.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys), _lists(bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", "keys", "bits"])
@@ -127,6 +148,12 @@ def _marked(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> Da
     return rows.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, node long, n long, keys array<long>, bits array<long>")
 
 
+def _folded() -> list[F.Column]:
+    """The parities of at most ``FOLDED`` x 64 hash classes: longs of ``bits`` that lie so far apart, exclusive or."""
+    place = lambda k: F.filter("bits", lambda x, i: i % FOLDED == k)
+    return [F.aggregate(place(k), F.lit(0).cast("long"), lambda p, q: p.bitwiseXOR(q)).alias(f"b{k}") for k in range(FOLDED)]
+
+
 def _seen(hashes: DataFrame) -> tuple[int, np.ndarray]:
     """A filter of the longs in column ``h``: as many bits as there is need for, up to a fixed most; it may pass others."""
     bits = 1 << 10
@@ -208,15 +235,11 @@ def _labelled(regions: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int) -> F.Column:
-    """Whether two members of a region may be linked: sizes, places of the region's shingle in both, distances to its pivots."""
-    share = F.lit(percent / (100 + percent))
-    least = F.ceil((F.col("n") + F.col("n_t")) * share - 1e-9)
+    """Whether two members of a region may be linked, by their sizes and folded parities (a lower bound of what differs)."""
     sizes = F.least("n", "n_t") * 100 >= F.greatest("n", "n_t") * percent
-    # The first shingle that both hold: what comes after it in either set must suffice.
-    places = F.least(F.col("n") - F.col("pos"), F.col("n_t") - F.col("pos_t")) >= least
-    # |d(x, q) - d(y, q)| <= d(x, y) for every pivot q of the region.
-    pivots = F.forall(F.arrays_zip("far", "far_t"), lambda z: F.abs(z["far"] - z["far_t"]) <= 1 - percent / 100 + 1e-9)
-    return sizes & places & pivots
+    most = F.floor((F.col("n") + F.col("n_t")) * F.lit((100 - percent) / (100 + percent)) + 1e-9)
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_t"))) for k in range(FOLDED)), F.lit(0))
+    return sizes & (apart <= most)
 
 
 def _alike_bits(percent: int) -> F.Column:
@@ -224,52 +247,62 @@ def _alike_bits(percent: int) -> F.Column:
     return _apart("bits", "bits_t") <= F.floor((F.col("n") + F.col("n_t")) * F.lit((100 - percent) / (100 + percent)) + 1e-9)
 
 
-def _alike_heads(percent: int) -> F.Column:
-    """Whether two heads (the first shingles of each set, in the common order) leave a link possible, and meet first in this region.
+_CARRIED = ["node", "n", *(f"b{k}" for k in range(FOLDED))]
 
-    At most n - least members of a set are missing in the other, so of the shingles that both hold the first
-    (head - n + least) lie in both heads. A pair is taken in the region of the first shingle that it shares.
-    """
-    least = F.ceil((F.col("n") + F.col("n_t")) * F.lit(percent / (100 + percent)) - 1e-9)
-    both = F.array_intersect("head", "head_t")
-    needed = F.least(F.size("head") - F.col("n"), F.size("head_t") - F.col("n_t")) + least
-    return (F.size(both) >= needed) & ((F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("key")))
+
+def _led(regions: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` of a region's first document (in the order of a hash) and the others that may be linked to it."""
+    lead = regions.groupBy("region").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *_CARRIED)).alias("lead"))
+    lead = lead.select("region", *(F.col(f"lead.{x}").alias(f"{x}_t") for x in _CARRIED))
+    met = regions.join(lead, "region").where((F.col("node") != F.col("node_t")) & _possible(percent))
+    return met.select(F.col("node").alias("u"), F.col("node_t").alias("v")).distinct()
 
 
 def _pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` of different components that share a region, one of them at home in it, and may be linked."""
-    headed = [x for x in ("head",) if x in regions.columns]
-    right = regions.select("region", *(F.col(x).alias(f"{x}_t") for x in ("node", "n", "pos", "label", "home", "far", *headed)))
+    """The pairs ``u, v`` of different components that share a region, one of them at home in it, and may be linked.
+
+    A pair that shares several first-level regions is taken in the first of them, as far as both heads tell.
+    """
+    right = regions.select("region", *(F.col(x).alias(f"{x}_t") for x in (*_CARRIED, "label", "home", "far", "head")))
     allowed = (F.col("node") > F.col("node_t")) & (F.col("label") != F.col("label_t")) & (F.col("home") | F.col("home_t")) & _possible(percent)
-    met = regions.hint("merge").join(right, "region").where(allowed & _alike_heads(percent) if headed else allowed)
+    # |d(x, q) - d(y, q)| <= d(x, y) for every pivot q of the region.
+    pivots = F.forall(F.arrays_zip("far", "far_t"), lambda z: F.abs(z["far"] - z["far_t"]) <= 1 - percent / 100 + 1e-9)
+    first = F.coalesce(F.get(F.array_intersect("head", "head_t"), F.lit(0)) >= F.col("key"), F.lit(True))
+    met = regions.hint("merge").join(right, "region").where(allowed & pivots & first)
     return met.select(F.col("node").alias("u"), F.col("node_t").alias("v")).distinct()
 
 
-def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The Voronoi regions of pivots inside each region, and the links to pivots that were found.
+def _split(regions: DataFrame, texts: Texts, depth: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The Voronoi regions of pivots inside each region, the regions that these do not divide, and the links to pivots.
 
     A document lies at home in the region of its nearest pivot and is a guest in every region whose
     pivot is within d(home) + 2t: if d(x, y) <= t, and q is the home pivot of x, then
     d(y, q) <= d(x, q) + t <= d(x, q') + t <= d(y, q') + 2t for the home pivot q' of y.
+    A region that guests would more than double stays as it is; the distances to its pivots rule out pairs there.
     """
     # Pivots by hash order, a minimum each: pre-aggregated, however large a region is.
     draws = [F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(k), "node").alias("h"), "node"))["node"] for k in range(PIVOTS)]
     pivots = regions.groupBy("region").agg(F.array_distinct(F.array(*draws)).alias("qs"))
-    asked = saved(regions.join(pivots, "region").withColumn("q", F.explode("qs")).drop("qs", "far", "head"))
-    far = texts.distances(asked.where("node <> q").select(F.col("node").alias("u"), F.col("q").alias("v")))
-    d = F.when(F.col("node") == F.col("q"), 0.0).otherwise(1 - F.col("shared") / F.col("joined"))
-    known = asked.join(far.withColumnsRenamed({"u": "node", "v": "q"}), ["node", "q"], "left").select(*asked.columns, d.alias("d"))
-    carried = ["region", "key", "node", "n", "pos", "size"]
-    # A row a document and region: its distances to the (at most four) pivots.
-    seen = known.groupBy(*carried).agg(F.array_sort(F.collect_list(F.struct("q", "d"))).alias("all"))
-    home = F.array_min(F.transform("all", lambda x: F.struct(x["d"].alias("d"), x["q"].alias("q"))))
+    asked = saved(regions.drop("far").join(pivots, "region"))
+    each = [asked.select(F.col("node").alias("u"), F.get("qs", F.lit(k)).alias("v")) for k in range(PIVOTS)]
+    wanted = each[0]
+    for more in each[1:]:
+        wanted = wanted.union(more)
+    far = texts.distances(wanted.where("u <> v"))
+    # A row a document: its distances to the pivots of its regions, which share a few.
+    known = far.groupBy(F.col("u").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("v", 1 - F.col("shared") / F.col("joined")))).alias("known"))
+    to = F.transform("qs", lambda q: F.struct(F.when(q == F.col("node"), 0.0).otherwise(F.element_at("known", q)).alias("d"), q.alias("q")))
+    seen = asked.join(known, "node", "left").withColumn("all", to).withColumn("own", F.array_min("all"))
     near = F.filter("all", lambda x: x["d"] <= F.col("own.d") + F.lit(2 * (1 - percent / 100) + 1e-9))
-    spread = seen.withColumn("own", home).withColumn("at", F.explode(near))
-    parts = spread.select(F.xxhash64("region", "at.q").alias("region"), "key", "node", "n", "pos", F.col("size").alias("before"), (F.col("at.q") == F.col("own.q")).alias("home"), F.transform("all", lambda x: x["d"]).alias("far"))
-    parts = saved(parts.join(texts.nodes.select("node", F.slice("keys", 1, HEAD).alias("head")), "node"))
+    placed = saved(seen.withColumn("near", near).withColumn("far", F.transform("all", lambda x: x["d"])).drop("qs", "known", "all"))
+    parted = placed.groupBy("region").agg((F.sum(F.size("near")) <= 2 * F.count("*")).alias("parted"))
+    marked = placed.join(parted, "region")
+    spread = marked.where("parted").withColumn("at", F.explode("near"))
+    parts = saved(spread.select(F.xxhash64("region", "at.q").alias("region"), "key", *_CARRIED, "head", F.col("size").alias("before"), (F.col("at.q") == F.col("own.q")).alias("home"), "far"))
+    whole = saved(marked.where("not parted").select("region", "key", *_CARRIED, "head", "label", "home", "far"))
     links = saved(_linked(far, percent))
-    dropped(asked, far)
-    return parts, links
+    dropped(asked, far, placed)
+    return parts, whole, links
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -279,19 +312,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``width``-word shingles (ASCII lower-cased, 64-bit hashes), that is, where their Jaccard distance, a
     metric, is at most t = 1 - percent/100. Equal sets are one node from the start.
 
-    First pivots are the one-shingle sets. A document of n shingles is equally near (1 - 1/n) to each
-    shingle that it holds, ties go to the rarest, and it is replicated to its n - ceil(n * percent/100) + 1
-    nearest ones: two documents within t lack too few of each other's shingles to miss each other there.
-    (Pivots that are documents cannot divide a corpus at this level: nearly all distances are 1.) In each
-    region all documents are first measured against one pivot, a document; what is linked is one component,
-    and regions within one component are done. Larger regions are divided by four pivots of their own,
-    with homes, guests within the triangle inequality's window, and recursion (:func:`_split`); in regions of
-    48 documents or less, or after three levels, pairs of different components that sizes, places, the
-    distances to the pivots, the first shingles of both and the parities of their hash classes leave
-    possible are measured. Every distance is taken on whole sets.
-
-    Rarity comes from a fixed table of frequent shingles, which orders them and decides nothing else. All
-    regions stay in written tables, pre-aggregated before they are shuffled; no region is gathered in a task.
+    First pivots are small sets: what a document holds of each of some hash classes. Their number follows the
+    document's size, so that linked documents differ in fewer classes than there are. A document of n
+    shingles is at distance 1 - k/n from a pivot of k of its shingles; it is replicated to its nearest ones, so
+    many that two documents within t share one (:func:`first_pivots`). In each region all documents are
+    measured against one document, in two turns; what is linked is one component, and regions within
+    one component are done. Larger regions are divided by four pivots of their own, with homes, guests within
+    the triangle inequality's window, and recursion (:func:`_split`); in regions of 48 documents or less, in
+    those that pivots do not divide, or after three levels, pairs of different components that sizes,
+    distances to the pivots and the parities of their hash classes leave possible are measured. Every
+    distance is taken on whole sets. All regions stay in written tables, pre-aggregated before they are
+    shuffled; no region is gathered in a task.
 
     Null and word-less texts have no shingles and no links. A null id keeps its row; its component is the
     smallest non-null id reached, null if none. Repeated ids and rows are kept; other columns are ignored;
@@ -299,41 +330,47 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    full = saved(_marked(rows, width, percent, frequencies(rows, width)))
+    full = saved(_marked(rows, width, percent))
     one = full.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash", "n", "keys", "bits")).alias("from"))
     nodes = saved(one.select("node", "least", "from.*"))
     marked = saved(full.select("id", "node", "n"))
     dropped(full)
-    # What is shuffled twice is narrow: first the shingles alone, to find those that two nodes hold, then (size, place) in one number.
-    spread = nodes.select("node", "n", F.posexplode("keys").alias("pos", "region"))
+    release(docs.sparkSession)
+    # What is shuffled as a whole is narrow: first the regions alone, to find those that two nodes share.
+    spread = nodes.select("node", F.explode("keys").alias("region"))
     shared = spread.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region")
-    place = (F.shiftleft("n", 31) + F.col("pos")).alias("place")
-    met = spread.select("region", "node", place).join(shared, "region")
-    regions = saved(met.select("region", "node", F.shiftright("place", 31).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")))
+    met = saved(spread.join(shared, "region").select("region", "node"))
     release(docs.sparkSession)
+    regions = saved(met.join(nodes.select("node", "n", *_folded()), "node").select("region", *_CARRIED))
+    dropped(met)
     texts = Texts(rows, nodes, width, percent)
-    lead = saved(regions.groupBy("region").agg(F.min(F.struct("node", "n", "pos")).alias("lead")))
-    first = regions.join(lead, "region").withColumns({"node_t": F.col("lead.node"), "n_t": F.col("lead.n"), "pos_t": F.col("lead.pos"), "far": F.array().cast("array<double>"), "far_t": F.array().cast("array<double>")})
-    links = texts.links(first.where((F.col("node") != F.col("node_t")) & _possible(percent)).select(F.col("node").alias("u"), F.col("node_t").alias("v")))
+    now = regions
+    links = texts.links(_led(now, 0, percent))
     stars = components(links)
-    started = regions.select("region", "node", "n", "pos", F.lit(True).alias("home"), F.array().cast("array<double>").alias("far"))
-    open_regions, depth = saved(_labelled(started, stars)), 0
-    dropped(regions, lead)
+    for turn in range(1, OFTEN):
+        now = _labelled(regions, stars)
+        links = saved(links.union(texts.links(_led(now, turn, percent))))
+        stars = components(links)
+    now = saved(_labelled(regions, stars))
+    heads = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("region")), 1, HEAD).alias("head"))
+    started = now.join(heads, "node").withColumns({"key": F.col("region"), "home": F.lit(True), "far": F.array().cast("array<double>")})
+    open_regions, depth = saved(started), 0
+    dropped(regions, now)
     release(docs.sparkSession)
     while not open_regions.isEmpty():
         large = F.col("size") > REGION
         if depth:  # a region that its pivots did not divide is not divided again
             large = large & (F.col("size") < 0.8 * F.col("before"))
-        now = open_regions if depth == DEPTH else open_regions.where(~large)
-        links = links.union(texts.links(_pairs(now, percent)))
+        few = open_regions if depth == DEPTH else open_regions.where(~large)
+        links = links.union(texts.links(_pairs(few, percent)))
         rest = open_regions.where(large) if depth < DEPTH else open_regions.limit(0)
         if rest.isEmpty():
             break
-        parts, more = _split(rest.drop("before") if depth else rest.withColumn("key", F.col("region")), texts, depth, percent)
-        links = saved(links.union(more))
+        parts, whole, more = _split(rest.drop("before") if depth else rest, texts, depth, percent)
+        links = saved(links.union(more).union(texts.links(_pairs(whole, percent))))
         stars = components(links)
         former, open_regions = open_regions, saved(_labelled(parts, stars))
-        dropped(former, parts)
+        dropped(former, parts, whole)
         depth += 1
     whole = components(links)
     rooted = nodes.join(whole, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
