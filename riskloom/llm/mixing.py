@@ -441,6 +441,8 @@ def learn(rows: DataFrame, code: Code, size: int, rate: float = 0.02, shard: int
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
         shards = dealt.repartition(partitions, "shard").sortWithinPartitions("shard", "order", "order2").select("shard", "text")
         sums = saved(shards.mapInArrow(run, schema))
+    del shards
+    release(spark)  # the texts' shuffle, before the shards' sums are shuffled
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):
         found = {r["part"]: bytes(r["sums"]) for r in sums.repartition("part").mapInArrow(add, schema).collect()}
     dropped(sums)
@@ -492,6 +494,7 @@ def scored(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.col(text_col).cast("string").alias("text"))
     vocabulary = saved(token_counts(rows))
+    release(spark)
     n, v = vocabulary.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n = n or 0
     model = learn(rows.where("learned"), *_code(vocabulary), rate, shard)

@@ -183,3 +183,13 @@ def test_tokens_are_counted_across_batches(spark, monkeypatch, counted):
     finally:
         spark.conf.set(name, before)
     assert found == {b"a": 30, b"b": 10, b"c": 10, b"d": 0, b"": 30}
+
+
+def test_shuffles_are_let_go_before_the_next_large_one(spark, monkeypatch):
+    """After tokens are counted, after the shards are learned, and after these are added up."""
+    calls = []
+    for name in ("saved", "release"):
+        before = getattr(mixing, name)
+        monkeypatch.setattr(mixing, name, lambda x, name=name, before=before: (calls.append(name), before(x))[1])
+    scored(spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string"), F.lit(True))
+    assert calls == ["saved", "release", "saved", "release", "release", "saved"]
