@@ -12,9 +12,16 @@ from pyspark.sql import types as T
 from riskloom.core.checks import col
 
 
-def _side(df: DataFrame) -> int:
-    """Ranges are cut in so many coarse ones of so many fine ones: four ranges a shuffle partition, 64 at least."""
-    return max(8, math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+#: A row's range is found in steps of at most so many comparisons and one: what a row runs through stays short enough to be compiled, for any number of ranges.
+RADIX = 8
+
+
+def _steps(df: DataFrame) -> tuple[int, int]:
+    """Ranges are told apart by so many digits (the second) of so many values each: four ranges a shuffle partition, 64 at least."""
+    least, digits = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1
+    while RADIX**digits < least:
+        digits += 1
+    return next(r for r in range(2, RADIX + 1) if r**digits >= least), digits
 
 
 def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1, split: Column | None = None, descending: bool = False) -> DataFrame:
@@ -28,28 +35,33 @@ def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1,
     upper end of their range, as all values with more than a few ranges' share of the rows do, are parted once
     more by the ranges of that number.
     """
-    side = _side(df)
-    shares = [i / side**2 for i in range(1, side**2)]
+    radix, digits = _steps(df)
+    count = radix**digits
+    shares = [i / count for i in range(1, count)]
     number = F.when(~F.isnan(lead), F.col(lead))
     per = [F.percentile_approx(number if kind is None else F.when(kind == i, number), shares, 10_000) for i in range(kinds)]
     inner = [] if split is None else [F.percentile_approx(split.cast("double"), shares, 10_000)]
     every = df.agg(F.array(*per, *inner).alias("c")).scalar()
 
-    def among(value: Column, cuts: Column, to: str) -> DataFrame:
-        """Adds the number of cuts below the value, found in two steps."""
-        above = lambda place: F.coalesce((value > F.get(cuts, place)).cast("int"), F.lit(0))
-        coarse = df.withColumn("__coarse", sum((above(F.lit(i * side - 1)) for i in range(1, side)), start=F.lit(0)))
-        fine = sum((above(F.col("__coarse") * side + i) for i in range(side - 1)), start=F.lit(0))
-        return coarse.withColumn(to, F.col("__coarse") * side + fine).drop("__coarse")
+    def among(df: DataFrame, value: Column, cuts: str, to: str) -> DataFrame:
+        """Adds the number of cuts below the value, a digit after the other."""
+        place, size = F.lit(0), count
+        for digit in range(digits):
+            size //= radix
+            above = [F.coalesce((value > F.get(cuts, place + (i * size - 1))).cast("int"), F.lit(0)) for i in range(1, radix)]
+            df = df.withColumn(to, place + size * sum(above[1:], start=above[0]))
+            place = F.col(to)
+        return df
 
-    cuts = F.get(every, F.lit(0) if kind is None else kind)
-    df = among(F.col(lead), cuts, "__range")
+    # The subquery stands in the plan once, as a column: a copy in each comparison would be planned as often.
+    places = F.lit(0) if kind is None else kind
     if split is None:
-        return df
-    df = among(split.cast("double"), F.get(every, F.lit(kinds)), "__part")
-    part = 1 + (side**2 - 1 - F.col("__part") if descending else F.col("__part"))
-    at_end = F.coalesce(F.col(lead) == F.get(cuts, F.col("__range")), F.lit(False))
-    return df.withColumn("__range", F.col("__range") * (side**2 + 1) + F.when(at_end, part).otherwise(0)).drop("__part")
+        return among(df.withColumn("__cuts", F.get(every, places)), F.col(lead), "__cuts", "__range").drop("__cuts")
+    df = df.withColumn("__every", every).withColumns({"__cuts": F.get("__every", places), "__inner": F.get("__every", F.lit(kinds))})
+    df = among(among(df, F.col(lead), "__cuts", "__range"), split.cast("double"), "__inner", "__part")
+    part = 1 + (count - 1 - F.col("__part") if descending else F.col("__part"))
+    at_end = F.coalesce(F.col(lead) == F.get("__cuts", F.col("__range")), F.lit(False))
+    return df.withColumn("__range", F.col("__range") * (count + 1) + F.when(at_end, part).otherwise(0)).drop("__part", "__every", "__cuts", "__inner")
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -115,10 +127,8 @@ def placed(df: DataFrame, groups: Sequence[str], lead: str, ties: Sequence[str]
     split = magnitude(df, ties[0]) if ties else F.col("__h").cast("double")
     ran = running(hashed.withColumn("__split", split), groups, lead, ["__n"], False, [*map(col, ties), F.col("__h"), *every], split=F.col("__split"))
     each = ran.withColumn("__before", F.col("__n_run") - F.col("__n"))
-    few = each.where(F.col("__n") <= ALIKE).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
-    blocks = each.where(F.col("__n") > ALIKE).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ALIKE).cast("long")))).repartition("__h", "__b")
-    many = blocks.withColumn("__i", F.explode(F.sequence(F.col("__b") + 1, F.least(F.col("__b") + ALIKE, F.col("__n"))))).drop("__b")
-    whole = few.unionByName(many)
+    blocks = each.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(ALIKE).cast("long")))).repartition("__h", "__b")
+    whole = blocks.withColumn("__i", F.explode(F.sequence(F.col("__b") + 1, F.least(F.col("__b") + ALIKE, F.col("__n")))))
     return whole.select(*every, (F.col("__before") + F.col("__i")).alias("__row"), F.col("__n_all").alias("__rows"))
 
 

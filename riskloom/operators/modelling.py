@@ -20,7 +20,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -241,10 +241,27 @@ def with_folds(df: DataFrame, target: str, cv: int = 5, strategy: str = "stratif
     return ranked.withColumn("fold", F.pmod(F.col("__row") - 1, F.lit(cv)).cast("int")).drop("__row", "__rows", "__deal")
 
 
+def _part(fold: int, strategy: str) -> tuple[Column, Column]:
+    """Which rows train in the round of a fold, and which are measured."""
+    return F.col("fold") < fold if strategy == "expanding" else F.col("fold") != fold, F.col("fold") == fold
+
+
+def _folds(cv: int, strategy: str) -> range:
+    return range(1 if strategy == "expanding" else 0, cv)
+
+
 def rounds(folded: DataFrame, cv: int, strategy: str = "stratified") -> list[tuple[int, DataFrame, DataFrame]]:
-    """(fold, training rows, rows to measure) of each round: all other folds train, or, ``expanding``, the earlier ones (cv - 1 rounds)."""
-    first = 1 if strategy == "expanding" else 0
-    return [(k, folded.where(F.col("fold") < k if strategy == "expanding" else F.col("fold") != k), folded.where(F.col("fold") == k)) for k in range(first, cv)]
+    """(fold, training rows, rows to measure) of each round: all other folds train, or, ``expanding``, the earlier ones (cv - 1 rounds).
+
+    Each frame holds the whole plan of ``folded``, which is to be cached first.
+    """
+    return [(k, *(folded.where(x) for x in _part(k, strategy))) for k in _folds(cv, strategy)]
+
+
+def in_rounds(folded: DataFrame, cv: int, strategy: str = "stratified") -> DataFrame:
+    """The rows of all :func:`rounds` in one frame: ``folded`` with ``round`` and ``side`` (train or held), a row for each round that it is in."""
+    told = [F.when(x, F.struct(F.lit(k).alias("round"), F.lit(side).alias("side"))) for k in _folds(cv, strategy) for side, x in zip(("train", "held"), _part(k, strategy), strict=True)]
+    return folded.withColumn("__in", F.explode(F.array_compact(F.array(*told)))).select("*", "__in.*").drop("__in")
 
 
 @dataclass

@@ -373,8 +373,7 @@ query("folds_group", f"SELECT seg, CAST(1 AS BIGINT) AS folds, count(*) AS rows_
 def _round_rows(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     """How many rows train and are measured in each round, and the sums of their ids."""
     folded = _folded(spark, sf_dir, "time_series", date_col="day", order_cols=["id"])
-    sides = [x.agg(F.lit(k).alias("round"), F.lit(side).alias("side"), F.count("*").alias("rows_in"), F.sum("id").alias("ids")) for k, *both in modelling.rounds(folded, 4, strategy) for side, x in zip(("train", "held"), both, strict=True)]
-    return functools.reduce(DataFrame.union, sides)
+    return modelling.in_rounds(folded, 4, strategy).groupBy("round", "side").agg(F.count("*").alias("rows_in"), F.sum("id").alias("ids"))
 
 
 def _rounds_sql(train: str, first: int) -> str:
