@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ranking import placed
 from riskloom.operators import modelling
+from riskloom.plans import registry
 
 
 def planned(df):
@@ -32,3 +33,10 @@ def test_rounds_in_one_frame_are_the_rounds(spark, strategy, lines):
     want = {(k, side): sorted(r["id"] for r in x.collect()) for k, *both in modelling.rounds(folded, 4, strategy) for side, x in zip(("train", "held"), both, strict=True)}
     assert got == want and len(got) == lines and Counter(together.columns) == Counter(["id", "fold", "round", "side"])
     assert planned(together).count("Range (") == 1
+
+
+@pytest.mark.parametrize("name", ["tf_custom_cols", "tf_median_std", "tf_relations", "tf_windows", "tf_zero_fill"])
+def test_references_times_months_are_not_broadcast(spark, name):
+    lines = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    under = [b for a, b in zip(lines, lines[1:], strict=False) if "BroadcastExchange" in a]
+    assert any("Generate explode(sequence(" in x for x in lines) and under and not any("Generate explode(sequence(" in x for x in under)
