@@ -132,6 +132,21 @@ def placed(df: DataFrame, groups: Sequence[str], lead: str, ties: Sequence[str]
     return whole.select(*every, (F.col("__before") + F.col("__i")).alias("__row"), F.col("__n_all").alias("__rows"))
 
 
+def dealt(df: DataFrame, groups: Sequence[str], key: Column, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``name``, the rows' numbers from 1 within each group, in the order of the hashes ``key`` (equal ones follow ``ties``); groups must not be null.
+
+    Hashes fall into ranges evenly, so no quantiles are needed: the input is read twice, once for the sizes of the ranges.
+    """
+    radix, digits = _steps(df)
+    parts = df.withColumn("__key", key).withColumn("__range", F.pmod("__key", F.lit(radix**digits)))
+    ahead = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(*groups, "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    inner = Window.partitionBy(*groups, "__range").orderBy("__key", *map(col, ties))
+    each = parts.withColumn("__in", F.row_number().over(inner))
+    return each.join(sizes, [*groups, "__range"]).select(*[col(c) for c in df.columns], (F.col("__ahead") + F.col("__in")).alias(name))
+
+
 def observed_quantiles(df: DataFrame, values: Sequence[Column], parts: int, interpolated: bool = False) -> list[list[float]]:
     """For each of the values the quantiles 1/parts .. (parts - 1)/parts: observed ones, or between the two next ones if ``interpolated``.
 

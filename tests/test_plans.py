@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.ranking import placed
-from riskloom.operators import modelling
+from riskloom.operators import modelling, search
 from riskloom.plans import registry
 
 
@@ -40,3 +40,19 @@ def test_references_times_months_are_not_broadcast(spark, name):
     lines = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
     under = [b for a, b in zip(lines, lines[1:], strict=False) if "BroadcastExchange" in a]
     assert any("Generate explode(sequence(" in x for x in lines) and under and not any("Generate explode(sequence(" in x for x in under)
+
+
+def test_shuffles_of_many_columns_read_no_more_than_of_one(spark):
+    df = spark.range(1000).select("id", *[(F.col("id") * k).cast("double").alias(f"c{k}") for k in range(6)])
+    reads = [planned(search.shuffled(df, names, 1, [f"s_{n}" for n in names])).count("Range (") for names in (["c1"], [f"c{k}" for k in range(6)])]
+    assert reads[0] == reads[1] < 16
+
+
+def test_columns_of_several_types_are_dealt_anew(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("v"), F.concat(F.lit("n"), "id").alias("s"), F.array("id").alias("a"))
+    got = search.shuffled(df, ["v", "s", "a", "v"], 4, ["v", "s2", "a", "v2"]).collect()
+    assert list(got[0].asDict()) == ["id", "v", "s", "a", "s2", "v2"] and [r["s"] for r in got] == [f"n{r['id']}" for r in got]
+    for name, want in (("id", range(500)), ("v", [float(i) if i % 5 else None for i in range(500)]), ("v2", [float(i) if i % 5 else None for i in range(500)]), ("s2", [f"n{i}" for i in range(500)]), ("a", [[i] for i in range(500)])):
+        assert sorted((str(r[name]) for r in got)) == sorted(map(str, want))
+    for pair in (lambda r: (r["v"], float(r["id"])), lambda r: (r["v2"], r["v"]), lambda r: (r["s2"], r["s"]), lambda r: (r["a"], [r["id"]])):
+        assert sum(a == b for a, b in map(pair, got)) < 60
