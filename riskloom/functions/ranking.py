@@ -24,7 +24,7 @@ def _steps(df: DataFrame) -> tuple[int, int]:
     return next(r for r in range(2, RADIX + 1) if r**digits >= least), digits
 
 
-def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1, split: Column | None = None, descending: bool = False) -> DataFrame:
+def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1, split: Column | None = None, descending: bool = False, cuts: DataFrame | None = None) -> DataFrame:
     """``df`` with ``__range``: the number of the range of ``lead`` that a row lies in (approximate quantiles part the ranges).
 
     The quantiles are a subquery of the plan: nothing runs before the result is used. With ``kind`` (0 up
@@ -33,7 +33,7 @@ def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1,
 
     With ``split``, a number that orders rows of equal ``lead`` (rising, even if ``descending``), rows that equal the
     upper end of their range, as all values with more than a few ranges' share of the rows do, are parted once
-    more by the ranges of that number.
+    more by the ranges of that number. ``cuts`` may be a smaller table whose values lie as those of ``df`` do.
     """
     radix, digits = _steps(df)
     count = radix**digits
@@ -41,7 +41,7 @@ def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1,
     number = F.when(~F.isnan(lead), F.col(lead))
     per = [F.percentile_approx(number if kind is None else F.when(kind == i, number), shares, 10_000) for i in range(kinds)]
     inner = [] if split is None else [F.percentile_approx(split.cast("double"), shares, 10_000)]
-    every = df.agg(F.array(*per, *inner).alias("c")).scalar()
+    every = (df if cuts is None else cuts).agg(F.array(*per, *inner).alias("c")).scalar()
 
     def among(df: DataFrame, value: Column, cuts: str, to: str) -> DataFrame:
         """Adds the number of cuts below the value, a digit after the other."""
@@ -64,32 +64,31 @@ def ranged(df: DataFrame, lead: str, kind: Column | None = None, kinds: int = 1,
     return df.withColumn("__range", F.col("__range") * (count + 1) + F.when(at_end, part).otherwise(0)).drop("__part", "__every", "__cuts", "__inner")
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Equality of columns with those of the right side, which are named __g0, __g1 and so on; null equals null."""
-    on = F.lit(True)
-    for i, c in enumerate(names):
-        on &= left[c].eqNullSafe(right[f"__g{i}"])
-    return on
-
-
-def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1, split: Column | None = None) -> DataFrame:
+def running(df: DataFrame, groups: Sequence[str], lead: str, values: Sequence[str], descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1, split: Column | None = None, cuts: DataFrame | None = None, summed: bool = False) -> DataFrame:
     """``df`` with ``<value>_run`` and ``<value>_all``: sums of its group from the highest ``lead`` down to and with the row (lowest up, if not ``descending``), and of the whole group.
 
     Rows are summed within (group, range), which are spread over the cluster, and moved up by the sums of
     the ranges before, a table of at most groups x ranges rows. ``split``, a number that rises with ``ties``,
-    parts rows of equal ``lead`` too (:func:`ranged`).
+    parts rows of equal ``lead`` too, and ``cuts`` may be a smaller table to cut ranges by (:func:`ranged`). A group is one column, a struct (in
+    which null equals null), so that the sums within ranges and the join with those of the ranges before ask for the same
+    shuffle. ``summed``: rows of one group and ``lead`` are added up first, in that same shuffle; only these columns are returned.
     """
-    parts = ranged(df, lead, kind, kinds, split, descending)
+    kept = [*groups, lead, *values] if summed else df.columns
+    parts = ranged(df, lead, kind, kinds, split, descending, cuts)
+    parts = parts.withColumn("__key", F.struct(*map(col, groups))) if groups else parts
+    group = ["__key"] if groups else []
+    on = [*group, "__range"]
+    if summed:
+        parts = parts.repartition(*on).groupBy(*on, lead).agg(*[F.sum(v).alias(v) for v in values])
     direction = F.desc if descending else F.asc
-    ahead = Window.partitionBy(*groups).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    sums = parts.groupBy(*groups, "__range").agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
-    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate([*groups, "__range"])]
-    sums = sums.select(*keys, *[F.coalesce(F.sum(f"__s_{v}").over(ahead), F.lit(0)).alias(f"__a_{v}") for v in values], *[F.sum(f"__s_{v}").over(whole).alias(f"{v}_all") for v in values])
-    inner = Window.partitionBy(*groups, "__range").orderBy(direction(lead), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*group).orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    sums = parts.groupBy(*on).agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    sums = sums.select(*on, *[F.coalesce(F.sum(f"__s_{v}").over(ahead), F.lit(0)).alias(f"__a_{v}") for v in values], *[F.sum(f"__s_{v}").over(whole).alias(f"{v}_all") for v in values])
+    inner = Window.partitionBy(*on).orderBy(direction(lead), *ties).rowsBetween(Window.unboundedPreceding, 0)
     own = parts.withColumns({f"__o_{v}": F.sum(v).over(inner) for v in values})
-    joined = own.join(sums, _same(own, sums, [*groups, "__range"]))
-    return joined.select(*[col(c) for c in df.columns], *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values], *[f"{v}_all" for v in values])
+    back = [F.col("__key").getField(c).alias(c) if c in groups else col(c) for c in kept]
+    return own.join(sums, on).select(*back, *[(F.col(f"__o_{v}") + F.col(f"__a_{v}")).alias(f"{v}_run") for v in values], *[f"{v}_all" for v in values])
 
 
 def numbered(df: DataFrame, groups: Sequence[str], lead: str, descending: bool = True, ties: Sequence[Column] = ()) -> DataFrame:
@@ -188,13 +187,13 @@ def tile_end(tile: Column, rows: Column, tiles: int) -> Column:
     return tile * F.floor(rows / tiles) + F.least(tile, rows % tiles)
 
 
-def tiled(counts: DataFrame, groups: Sequence[str], lead: str, tiles: int, descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1) -> DataFrame:
+def tiled(counts: DataFrame, groups: Sequence[str], lead: str, tiles: int, descending: bool = True, ties: Sequence[Column] = (), kind: Column | None = None, kinds: int = 1, cuts: DataFrame | None = None) -> DataFrame:
     """``groups.., lead, tile, n, e``: rows of counts (n rows alike, e of them events) in equal shares of each group's rows.
 
     The highest values (or lowest) are in tile 1. A row of counts that a tile's end cuts is parted there;
     of rows that are alike in ``lead`` and ``ties`` the events come last, so the result is definite.
     """
-    ran = running(counts.where("n > 0"), groups, lead, ["n"], descending, ties, kind, kinds)
+    ran = running(counts.where("n > 0"), groups, lead, ["n"], descending, ties, kind, kinds, cuts=cuts)
     before = F.col("n_run") - F.col("n")
     spans = ran.withColumns({"__before": before, "__tiles": F.sequence(tile_of(before + 1, F.col("n_all"), tiles), tile_of(F.col("n_run"), F.col("n_all"), tiles))})
     each = spans.withColumn("tile", F.explode("__tiles"))

@@ -25,11 +25,12 @@ def _subsets(df: DataFrame, groups: list[str], scores: list[str], target: str) -
     return [s for size in range(len(groups) + 1) for s in combinations(groups, size)]
 
 
-def _counts(df: DataFrame, groups: list[str], subsets: list[tuple[str, ...]], scores: list[str], target: str, ties: list[str]) -> DataFrame:
+def _counts(df: DataFrame, groups: list[str], subsets: list[tuple[str, ...]], scores: list[str], target: str, ties: list[str]) -> tuple[DataFrame, DataFrame]:
     """``part, k0.., score, s, t0.., n, e``: counts of rows that are alike, once for each subset of the groups.
 
     The table is read once, for all scores; rows that are alike collapse before they are repeated for the
-    subsets. A row without a valid pair counts 0, so that its group is not lost.
+    subsets. A row without a valid pair counts 0, so that its group is not lost. The second table has the rows that count
+    before they are repeated: their scores lie as those of the first do.
     """
     y = col(target).cast("double")
     sides = []
@@ -42,7 +43,7 @@ def _counts(df: DataFrame, groups: list[str], subsets: list[tuple[str, ...]], sc
     order_or_null = [F.when(F.col("x.s").isNotNull(), F.col(k)).alias(k) for k in order]
     alike = rows.select(*keys, *order_or_null, "x.*").groupBy(*keys, "score", "s", *order).agg(F.count("y").alias("n"), F.coalesce(F.sum("y").cast("long"), F.lit(0)).alias("e"))
     parts = [F.struct(F.lit(p).alias("part"), *[(F.col(f"g{i}") if g in subset else F.lit(None).cast("string")).alias(f"k{i}") for i, g in enumerate(groups)]) for p, subset in enumerate(subsets)]
-    return alike.select(F.explode(F.array(*parts)).alias("p"), "score", "s", *order, "n", "e").select("p.*", "score", "s", *order, "n", "e")
+    return alike.select(F.explode(F.array(*parts)).alias("p"), "score", "s", *order, "n", "e").select("p.*", "score", "s", *order, "n", "e"), alike.where("n > 0")
 
 
 def _labels(groups: list[str], subsets: list[tuple[str, ...]], scores: list[str]) -> tuple[list, Column]:
@@ -64,8 +65,8 @@ def calculate_metrics(df: DataFrame, group_columns: str | Sequence[str] | None =
     subsets = _subsets(df, groups, scores, target_column)
     reject(df, binary_fault(target_column))
     keys = ["part", *[f"k{i}" for i in range(len(groups))], "score"]
-    counts = _counts(df, groups, subsets, scores, target_column, [] if exact else ties)
-    points = metrics.exact_points(counts, keys, F.col("score"), len(scores)) if exact else metrics.tile_points(metrics.tile_counts(counts, keys, n_tiles, [f"t{i}" for i in range(len(ties))], True, F.col("score"), len(scores)), keys)
+    counts, cuts = _counts(df, groups, subsets, scores, target_column, [] if exact else ties)
+    points = metrics.exact_points(counts, keys, F.col("score"), len(scores), cuts) if exact else metrics.tile_points(metrics.tile_counts(counts, keys, n_tiles, [f"t{i}" for i in range(len(ties))], True, F.col("score"), len(scores), cuts), keys)
     both = (F.col("e_all") > 0) & (F.col("n_all") > 0)
     tpr, fpr = F.col("er") / F.when(both, F.col("e_all")), F.col("nr") / F.when(both, F.col("n_all"))
     back_t, back_f = F.col("e") / F.when(both, F.col("e_all")), (F.col("n") - F.col("e")) / F.when(both, F.col("n_all"))
@@ -85,7 +86,7 @@ def calculate_ntile(df: DataFrame, group_columns: str | Sequence[str] | None = N
     subsets = _subsets(df, groups, scores, target_column)
     reject(df, binary_fault(target_column) | {f"scores in {s!r} must be finite": F.abs(col(s).cast("double")) == float("inf") for s in scores})
     keys = ["part", *[f"k{i}" for i in range(len(groups))], "score"]
-    counts = _counts(df, groups, subsets, scores, target_column, ties)
-    tiles = metrics.tile_counts(counts, keys, n_tiles, [f"t{i}" for i in range(len(ties))], not ascending, F.col("score"), len(scores))
+    counts, cuts = _counts(df, groups, subsets, scores, target_column, ties)
+    tiles = metrics.tile_counts(counts, keys, n_tiles, [f"t{i}" for i in range(len(ties))], not ascending, F.col("score"), len(scores), cuts)
     held, name = _labels(groups, subsets, scores)
     return metrics.risk_columns(tiles, *keys).select(*held, *metrics.RISK_COLUMNS, name)

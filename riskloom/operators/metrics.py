@@ -41,9 +41,9 @@ def collapsed(rows: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) ->
     return rows.groupBy(*keys, "s", *ties).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("e"))
 
 
-def tile_counts(counts: DataFrame, keys: Sequence[str], n_tiles: int, ties: Sequence[str] = (), descending: bool = True, kind: Column | None = None, kinds: int = 1) -> DataFrame:
+def tile_counts(counts: DataFrame, keys: Sequence[str], n_tiles: int, ties: Sequence[str] = (), descending: bool = True, kind: Column | None = None, kinds: int = 1, cuts: DataFrame | None = None) -> DataFrame:
     """Per group and tile: lowest and highest score, rows, events. A table of groups x tiles."""
-    parts = tiled(counts, keys, "s", n_tiles, descending, [F.col(t) for t in ties], kind, kinds)
+    parts = tiled(counts, keys, "s", n_tiles, descending, [F.col(t) for t in ties], kind, kinds, cuts)
     return parts.groupBy(*keys, "tile").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
@@ -71,10 +71,11 @@ def tile_points(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.withColumns({"er": F.sum("e").over(down), "nr": F.sum(F.col("n") - F.col("e")).over(down), "e_all": F.sum("e").over(whole), "n_all": F.sum(F.col("n") - F.col("e")).over(whole)})
 
 
-def exact_points(counts: DataFrame, keys: Sequence[str], kind: Column | None = None, kinds: int = 1) -> DataFrame:
+def exact_points(counts: DataFrame, keys: Sequence[str], kind: Column | None = None, kinds: int = 1, cuts: DataFrame | None = None) -> DataFrame:
     """A point for each distinct score, from rows of counts; the sums run down distributed."""
-    whole = counts.where("n > 0").groupBy(*keys, "s").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).withColumn("o", F.col("n") - F.col("e"))
-    return running(whole, keys, "s", ["e", "o"], kind=kind, kinds=kinds).withColumnsRenamed({"e_run": "er", "o_run": "nr", "o_all": "n_all"})
+    rows = counts.where("n > 0").withColumn("o", F.col("n") - F.col("e"))
+    ran = running(rows, keys, "s", ["e", "o"], kind=kind, kinds=kinds, cuts=cuts, summed=True)
+    return ran.withColumn("n", F.col("e") + F.col("o")).withColumnsRenamed({"e_run": "er", "o_run": "nr", "o_all": "n_all"})
 
 
 def _empty_overall(found: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.ranking import placed
-from riskloom.operators import modelling, search
+from riskloom.functions.ranking import placed, running, tiled
+from riskloom.operators import cube, modelling, search
 from riskloom.plans import registry
 
 
@@ -56,3 +56,26 @@ def test_columns_of_several_types_are_dealt_anew(spark):
         assert sorted((str(r[name]) for r in got)) == sorted(map(str, want))
     for pair in (lambda r: (r["v"], float(r["id"])), lambda r: (r["v2"], r["v"]), lambda r: (r["s2"], r["s"]), lambda r: (r["a"], [r["id"]])):
         assert sum(a == b for a, b in map(pair, got)) < 60
+
+
+def test_running_sums_shuffle_their_rows_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("odd.g"), (F.col("id") % 700).cast("double").alias("v"), F.lit(1).alias("n"))
+        once, summed = running(df, ["odd.g"], "v", ["n"]), running(df, ["odd.g"], "v", ["n"], summed=True)
+        dealt_out = [x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert len(dealt_out) == 4 and not any("coalesce" in x for x in dealt_out)
+        values = Counter((i % 5 or None, float(i % 700)) for i in range(2000))
+        want = sorted(((g, v, n, sum(m for (h, w), m in values.items() if h == g and w >= v), 400) for (g, v), n in values.items()), key=str)
+        assert sorted(map(tuple, summed.collect()), key=str) == want and summed.columns == ["odd.g", "v", "n", "n_run", "n_all"]
+        assert sorted((r["odd.g"], r["v"], r["n_all"]) for r in once.where("v = 3").collect() if r["odd.g"]) == [(3, 3.0, 400)] * 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_cubes_cut_ranges_by_rows_before_they_are_repeated(spark):
+    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 2).alias("b"), (F.col("id") % 4 > 0).cast("int").alias("target"), F.col("id").cast("double").alias("score"))
+    counts, cuts = cube._counts(df, ["a", "b"], cube._subsets(df, ["a", "b"], ["score"], "target"), ["score"], "target", [])
+    assert (counts.count(), cuts.count()) == (1200, 300)
+    assert [r["n"] for r in tiled(counts, ["part"], "s", 3, kind=F.col("score"), cuts=cuts).groupBy("part", "tile").agg(F.sum("n").alias("n")).collect()] == [100] * 12
