@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions.neighbours import neighbour_information
 from riskloom.functions.ranking import placed, running, tiled
 from riskloom.operators import cube, modelling, search
 from riskloom.plans import registry
@@ -79,3 +80,8 @@ def test_cubes_cut_ranges_by_rows_before_they_are_repeated(spark):
     counts, cuts = cube._counts(df, ["a", "b"], cube._subsets(df, ["a", "b"], ["score"], "target"), ["score"], "target", [])
     assert (counts.count(), cuts.count()) == (1200, 300)
     assert [r["n"] for r in tiled(counts, ["part"], "s", 3, kind=F.col("score"), cuts=cuts).groupBy("part", "tile").agg(F.sum("n").alias("n")).collect()] == [100] * 12
+
+
+def test_neighbour_information_plans_its_quantiles_a_few_times(spark):
+    values = spark.range(100).select(F.lit(0).alias("f"), (F.col("id") % 2).alias("y"), F.col("id").cast("double").alias("value"))
+    assert planned(neighbour_information(values, 3, 1)).count("scalar-subquery") <= 12
