@@ -85,3 +85,9 @@ def test_cubes_cut_ranges_by_rows_before_they_are_repeated(spark):
 def test_neighbour_information_plans_its_quantiles_a_few_times(spark):
     values = spark.range(100).select(F.lit(0).alias("f"), (F.col("id") % 2).alias("y"), F.col("id").cast("double").alias("value"))
     assert planned(neighbour_information(values, 3, 1)).count("scalar-subquery") <= 12
+
+
+def test_a_shuffle_of_rows_in_places_ranks_no_values(spark):
+    rows = spark.range(1, 40).select((F.col("id") % 4).cast("double").alias("c"), F.col("id").alias("__at"))
+    moved = search.exchanged(rows, ["c"], 7)
+    assert "scalar-subquery" not in planned(moved) and Counter(r["c"] for r in moved.collect()) == Counter(float(i % 4) for i in range(1, 40))
